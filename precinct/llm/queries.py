@@ -2,20 +2,52 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
 from precinct.llm.common import table
 from precinct.llm.decontaminate import contamination
+from precinct.llm.encode import read_id_files, write_id_files
+from precinct.llm.lines import dedup_lines
+from precinct.llm.media import documents_as_media
+from precinct.llm.packing import pack
+from precinct.llm.substrings import dedup_substrings
 from precinct.llm.urls import judge_urls
 
 
+def op2_media_columns(spark, sf_dir):
+    return documents_as_media(table(spark, sf_dir, "documents")).drop("digest")
+
+
+def op4_substring_dedup(spark, sf_dir):
+    return dedup_substrings(table(spark, sf_dir, "documents"))
+
+
+def op5_line_dedup(spark, sf_dir):
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "removed")
+
+
 def op6_url_filter(spark, sf_dir):
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
+#: The vocabulary file, and the id that ends a document.
+VOCABULARY, END_ID = "word_bpe_49k.json", 2
+
+
+def op7_token_ids(spark, sf_dir):
+    files, ranks = write_id_files(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), END_ID)
+    return read_id_files(files, ranks).drop("ids")
+
+
+def op8_packing(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark, sf_dir):
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans", "matches")
 
 
-QUERIES = {f.__name__: f for f in (op6_url_filter, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op2_media_columns, op4_substring_dedup, op5_line_dedup, op6_url_filter, op7_token_ids, op8_packing, op10_decontaminate)}
 
 #: DuckDB has no suffix arrays; this says which words a window covers by joining windows as text.
 _DECONTAMINATE = r"""
