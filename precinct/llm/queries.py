@@ -4,20 +4,31 @@ from __future__ import annotations
 
 import public_tokenizers
 
+from precinct.llm.brown import score_texts
 from precinct.llm.common import table
 from precinct.llm.decontaminate import contamination
 from precinct.llm.encode import read_id_files, write_id_files
 from precinct.llm.lines import dedup_lines
 from precinct.llm.media import documents_as_media
+from precinct.llm.ngrams import jaccard_components
 from precinct.llm.packing import pack
 from precinct.llm.substrings import dedup_substrings
+from precinct.llm.toxicity import score_toxicity
 from precinct.llm.urls import judge_urls
 
 
+def op1_toxicity(spark, sf_dir):
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_media_columns(spark, sf_dir):
     return documents_as_media(table(spark, sf_dir, "documents")).drop("digest")
 
 
+def op3_ngram_join(spark, sf_dir):
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op4_substring_dedup(spark, sf_dir):
     return dedup_substrings(table(spark, sf_dir, "documents"))
 
@@ -43,11 +54,18 @@ def op8_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_scoring(spark, sf_dir):
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark, sf_dir):
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans", "matches")
 
 
-QUERIES = {f.__name__: f for f in (op2_media_columns, op4_substring_dedup, op5_line_dedup, op6_url_filter, op7_token_ids, op8_packing, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (
+    op1_toxicity, op2_media_columns, op3_ngram_join, op4_substring_dedup, op5_line_dedup,
+    op6_url_filter, op7_token_ids, op8_packing, op9_lm_scoring, op10_decontaminate,
+)}
 
 #: DuckDB has no suffix arrays; this says which words a window covers by joining windows as text.
 _DECONTAMINATE = r"""
