@@ -2,5 +2,11 @@
 
 from __future__ import annotations
 
+from precinct.plans import base, core, evaluation, models, network, space, text
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+for _module in (core, text, evaluation, models, space, network):
+    QUERIES |= _module.R.queries
+    ORACLE |= _module.R.oracle
+__all__ = ["ORACLE", "QUERIES", "base"]
