@@ -7,7 +7,8 @@ the one element; without words it is empty and linked with nothing. Two document
 Tokens have one global order, rare ones first. Documents with a shared token among the first n - ceil(0.75 n) + l of
 each, at least l of them, are candidates, and no link is missed for any l. Each document takes its own l: the
 higher the estimated number of candidates in its basic prefix, the longer the prefix and the more shared tokens
-are required; a pair must share as many as the lower l of the two. The frequencies behind the order come from counts
+are required; a pair must share as many as the lower l of the two, and where its own sizes ask for a larger overlap,
+it must share them among the fewer tokens that this leaves at the start of each. The frequencies behind the order come from counts
 within blocks of documents and steer cost only: any order gives the same links.
 
 Work stays linear in large groups of copies. Equal sets are one class, joined through its first document. A first round
@@ -38,10 +39,10 @@ from precinct.llm.lines import hinted
 WORDS = 5
 PERCENT = 75
 #: Frequent tokens that the order knows; the others count as rare. A hint of bounded size, not a limit on results.
-KNOWN = 200_000
+KNOWN = 1_000_000
 #: Hashes a task holds when it counts frequent tokens.
 BLOCK = 3_000_000
-MAX_EXTRA = 8
+MAX_EXTRA = 2
 _MEMO = Bounded(lambda w: xxhash.xxh3_64_intdigest(w))
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(WORDS)], np.uint64)
 
@@ -54,19 +55,24 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(texts: list[str]) -> list[np.ndarray]:
-    """Each text's sorted distinct shingle hashes."""
+    """Each text's sorted distinct shingle hashes. All texts' windows are hashed at once, those of one text are kept."""
     words = [space_words(t) for t in texts]
-    out = []
-    for w in words:
-        h = word_hashes(w, _MEMO)
-        n = min(len(h), WORDS)
-        if not n:
+    h = word_hashes([w for ws in words for w in ws], _MEMO)
+    wide = max(len(h) - WORDS + 1, 0)
+    total = np.full(wide, WORDS, np.uint64)
+    for k in range(WORDS):
+        total += h[k : wide + k] * _POWERS[k]
+    total = _mixed(total)
+    out, at = [], 0
+    for ws in words:
+        n = len(ws)
+        if n >= WORDS:
+            out.append(np.unique(total[at : at + n - WORDS + 1]))
+        elif n:
+            out.append(_mixed(np.array([n], np.uint64) + (h[at : at + n] * _POWERS[:n]).sum(dtype=np.uint64)))
+        else:
             out.append(np.empty(0, np.uint64))
-            continue
-        total = np.full(len(h) - n + 1, n, np.uint64)
-        for k in range(n):
-            total += h[k : len(h) - n + 1 + k] * _POWERS[k]
-        out.append(np.unique(_mixed(total)))
+        at += n
     return out
 
 
@@ -112,20 +118,22 @@ def _survey(docs: DataFrame) -> DataFrame:
 
 
 def prefix(s: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, int]:
-    """(places of the prefix's tokens, required matches) of a set whose tokens were seen so often."""
+    """(places of the prefix's tokens, in order, and required matches) of a set whose tokens were seen so often.
+
+    The cost is estimated on the part that a document of the same size would be met in."""
     n = len(s)
-    least = -(-PERCENT * n // 100)
+    least, same = -(-PERCENT * n // 100), -(-2 * PERCENT * n // (100 + PERCENT))
     order = np.argsort(seen, kind="stable")
-    cost = float(seen[order[: n - least + 1]].sum())
-    need = min(least, 1 + min(MAX_EXTRA, int(np.log2(1 + cost / 8))))
+    cost = float(seen[order[: n - same + 1]].sum())
+    need = min(least, 1 + min(MAX_EXTRA, int(np.log10(1 + cost / 10))))
     return order[: n - least + need], need
 
 
 def _postings(docs: DataFrame, known: np.ndarray, seen: np.ndarray) -> DataFrame:
-    """A row for each prefix token: token, doc, n, need, common (whether the order knows it as frequent)."""
+    """A row for each prefix token: token, doc, n, need, size (of the prefix), pos, common (whether the order knows it)."""
 
     def one(batch: pa.RecordBatch) -> dict:
-        token, doc, size, need, common = [], [], [], [], []
+        token, doc, n, need, size, pos, common = [], [], [], [], [], [], []
         for d, s in zip(batch["doc_id"].to_pylist(), shingle_sets(batch["text"].to_pylist()), strict=True):
             if len(s):
                 at = np.minimum(np.searchsorted(known, s), max(len(known) - 1, 0))
@@ -134,70 +142,100 @@ def _postings(docs: DataFrame, known: np.ndarray, seen: np.ndarray) -> DataFrame
                 token.append(s[places])
                 common.append(often[places] > 0)
                 doc += [d] * len(places)
-                size += [len(s)] * len(places)
+                n += [len(s)] * len(places)
                 need += [k] * len(places)
+                size += [len(places)] * len(places)
+                pos.append(np.arange(len(places)))
         if not token:
-            return {k: [] for k in ("token", "doc", "n", "need", "common")}
-        return {"token": np.concatenate(token).view(np.int64), "doc": doc, "n": size, "need": need, "common": np.concatenate(common)}
+            return {k: [] for k in ("token", "doc", "n", "need", "size", "pos", "common")}
+        return {"token": np.concatenate(token).view(np.int64), "doc": doc, "n": n, "need": need, "size": size, "pos": np.concatenate(pos), "common": np.concatenate(common)}
 
-    return map_batches(docs, one, "token long, doc long, n int, need int, common boolean")
+    return map_batches(docs, one, "token long, doc long, n int, need int, size int, pos int, common boolean")
 
 
 def _sizes_fit(a: str, b: str):
     return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
 
 
-def verified_links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link, by their whole sets. pairs is read more than once: pass it materialised."""
-    ids = materialize(pairs.select("a").union(pairs.select("b")).distinct(), "candidates").withColumnRenamed("a", "doc_id")
+def overlap_bound(x: np.ndarray, y: np.ndarray) -> int:
+    """At least the overlap of two sets, from the sorted low bits of their hashes, repeats and all."""
+    (a, na), (b, nb) = np.unique(x, return_counts=True), np.unique(y, return_counts=True)
+    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    return int(np.minimum(na[i], nb[j]).sum())
 
-    def sets(batch: pa.RecordBatch) -> dict:
-        return {"doc": batch["doc_id"], "items": [s.tobytes() for s in shingle_sets(batch["text"].to_pylist())]}
 
-    items = materialize(map_batches(docs.join(hinted(ids), "doc_id", "left_semi"), sets, "doc long, items binary"), "candidate-sets")
-    left = items.select(F.col("doc").alias("a"), F.col("items").alias("x"))
-    right = items.select(F.col("doc").alias("b"), F.col("items").alias("y"))
+def _compared(pairs: DataFrame, items: DataFrame, column: str, kind: str, overlap) -> DataFrame:
+    """The pairs (a, b) whose overlap, by the given column of both documents' items, is enough."""
+    left = items.select(F.col("doc").alias("a"), F.col(column).alias("x"))
+    right = items.select(F.col("doc").alias("b"), F.col(column).alias("y"))
 
     def one(batch: pa.RecordBatch) -> dict:
         good = []
         for x, y in zip(batch["x"], batch["y"], strict=True):
-            x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            good.append(100 * both >= PERCENT * (len(x) + len(y) - both) > 0)
+            x, y = (np.frombuffer(v.as_buffer(), kind) for v in (x, y))
+            both = overlap(x, y)
+            good.append(both > 0 and 100 * both >= PERCENT * (len(x) + len(y) - both))
         mask = pa.array(good, pa.bool_())
         return {"a": batch["a"].filter(mask), "b": batch["b"].filter(mask)}
 
     return map_batches(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y"), one, "a long, b long")
 
 
+def verified_links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link. pairs is read more than once: pass it materialised.
+
+    Two bytes a hash bound the overlap from above, which drops most pairs at a quarter of the bytes and no link; the
+    whole hashes of the others decide."""
+    ids = materialize(pairs.select("a").union(pairs.select("b")).distinct(), "candidates").withColumnRenamed("a", "doc_id")
+
+    def sets(batch: pa.RecordBatch) -> dict:
+        found = shingle_sets(batch["text"].to_pylist())
+        return {"doc": batch["doc_id"], "items": [s.tobytes() for s in found], "low": [np.sort(s.astype(np.uint16)).tobytes() for s in found]}
+
+    items = materialize(map_batches(docs.join(hinted(ids), "doc_id", "left_semi"), sets, "doc long, items binary, low binary"), "candidate-sets")
+    likely = materialize(_compared(pairs, items, "low", "<u2", overlap_bound), "likely-pairs")
+    return _compared(likely, items, "items", "<u8", lambda x, y: len(np.intersect1d(x, y, assume_unique=True)))
+
+
 def _neighbours(docs: DataFrame, known: np.ndarray, seen: np.ndarray) -> tuple[DataFrame, DataFrame]:
-    """(shared, pairs): the postings whose token has company, and the first round's pairs."""
+    """(shared, pairs): the postings whose token has company, and the first round's pairs.
+
+    Of the documents with a token, each meets the next in size and the most central one of its size class: the one with
+    the largest share of its prefix in common with others, as the original of a group of altered copies has."""
     rows = _postings(docs, known, seen)
     by_size = Window.partitionBy("token").orderBy("n", "doc")
     last = F.lag(F.struct("doc", "n")).over(by_size)
-    rare = rows.filter("not common").select("token", "doc", "n", "need", last.alias("last"), F.lead("doc").over(by_size).alias("next"))
+    rare = rows.filter("not common").select("token", "doc", "n", "need", "size", "pos", last.alias("last"), F.lead("doc").over(by_size).alias("next"))
     rare = rare.filter("last is not null or next is not null").drop("next")
-    often = rows.filter("common").select("token", "doc", "n", "need", F.lit(None).cast("struct<doc:long,n:int>").alias("last"))
+    often = rows.filter("common").select("token", "doc", "n", "need", "size", "pos", F.lit(None).cast("struct<doc:long,n:int>").alias("last"))
     shared = materialize(rare.union(often), "shared-tokens")
     near = shared.filter("last is not null").select(F.col("last.doc").alias("a"), F.col("doc").alias("b"), F.col("last.n").alias("na"), F.col("n").alias("nb"))
-    # A frequent token's documents go to the first of their size class: minima, not a sorted group.
-    band = shared.filter("last is null").withColumn("band", F.floor(F.log("n") / F.log(F.lit(100 / PERCENT)))).select("token", "band", "doc", "n")
-    first = band.groupBy("token", "band").agg(F.min(F.struct("doc", "n")).alias("f"))
-    star = band.join(first, ["token", "band"]).select(F.col("f.doc").alias("a"), F.col("doc").alias("b"), F.col("f.n").alias("na"), F.col("n").alias("nb"))
+    # Minima and maxima over tokens, not sorted groups; two overlapping rows of size classes.
+    central = shared.groupBy("doc").agg((F.count("*") / F.max("size")).alias("central"))
+    place = F.log("n") / F.log(F.lit(100 / PERCENT))
+    band = F.explode(F.array(F.floor(place) * 2, F.floor(place + 0.5) * 2 + 1)).alias("band")
+    placed = materialize(shared.join(hinted(central), "doc").select("token", "doc", "n", "central"), "central")
+    placed = placed.select("token", band, "doc", "n", "central")
+    first = placed.groupBy("token", "band").agg(F.min(F.struct(-F.col("central"), F.col("doc"), F.col("n"))).alias("f"), F.count("*").alias("k")).filter("k > 1")
+    star = placed.join(first, ["token", "band"]).select(F.col("f.doc").alias("a"), F.col("doc").alias("b"), F.col("f.n").alias("na"), F.col("n").alias("nb"))
     pairs = near.union(star).filter("a <> b").filter(_sizes_fit("na", "nb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return shared, materialize(pairs, "first-pairs")
 
 
 def _remaining(shared: DataFrame, component: DataFrame, tested: DataFrame) -> DataFrame:
     """Pairs that share enough prefix tokens, are in different components and were not tested."""
-    rows = shared.select("token", "doc", "n", "need").join(hinted(component), F.col("doc") == F.col("node"), "left")
-    rows = materialize(rows.select("token", "doc", "n", "need", F.coalesce("component", "doc").alias("c")), "open-tokens")
+    rows = shared.select("token", "doc", "n", "need", "size", "pos").join(hinted(component), F.col("doc") == F.col("node"), "left")
+    rows = materialize(rows.select("token", "doc", "n", "need", "size", "pos", F.coalesce("component", "doc").alias("c")), "open-tokens")
     several = rows.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("token")
     rows = rows.join(several, "token")
-    a = rows.select("token", *[F.col(x).alias(f"a_{x}") for x in ("doc", "n", "need", "c")])
-    b = rows.select("token", *[F.col(x).alias(f"b_{x}") for x in ("doc", "n", "need", "c")])
-    met = a.join(b, "token").filter("a_doc < b_doc and a_c <> b_c").filter(_sizes_fit("a_n", "b_n"))
-    enough = met.groupBy(F.col("a_doc").alias("a"), F.col("b_doc").alias("b")).agg(F.count("*").alias("k"), F.first(F.least("a_need", "b_need")).alias("need"))
+    a = rows.select("token", *[F.col(x).alias(f"a_{x}") for x in ("doc", "n", "need", "size", "pos", "c")])
+    b = rows.select("token", *[F.col(x).alias(f"b_{x}") for x in ("doc", "n", "need", "size", "pos", "c")])
+    # For an overlap of at least `overlap`, the first `least` shared tokens stand among the first n - overlap + least of each.
+    overlap = F.ceil((F.col("a_n") + F.col("b_n")) * PERCENT / (100 + PERCENT))
+    least = F.least("a_need", "b_need")
+    early = (F.col("a_pos") < F.col("a_n") - overlap + least) & (F.col("b_pos") < F.col("b_n") - overlap + least)
+    met = a.join(b, "token").filter("a_doc < b_doc and a_c <> b_c").filter(_sizes_fit("a_n", "b_n")).filter(early)
+    enough = met.groupBy(F.col("a_doc").alias("a"), F.col("b_doc").alias("b")).agg(F.count("*").alias("k"), F.first(least).alias("need"))
     return enough.filter("k >= need").select("a", "b").join(tested, ["a", "b"], "left_anti")
 
 
@@ -205,10 +243,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links; itself without any)."""
     docs = docs_text(docs)
     survey = materialize(_survey(docs), "shingle-survey")
-    frequent = survey.filter("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "token").limit(KNOWN).collect()
-    known = np.array([r["token"] for r in frequent], np.int64).view(np.uint64)
+    frequent = survey.filter("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "token").limit(KNOWN).toArrow()
+    known = frequent["token"].to_numpy().view(np.uint64)
     order = np.argsort(known)
-    known, seen = known[order], np.array([r["seen"] for r in frequent], np.int64)[order]
+    known, seen = known[order], frequent["seen"].to_numpy()[order].astype(np.int32)
     every = survey.filter("token is null").select("doc_id", "n", "d1", "d2")
     classes = materialize(every.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     member = every.join(classes.filter("copies > 1").drop("copies"), ["d1", "d2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
