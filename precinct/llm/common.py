@@ -20,8 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch between the JVM and Python: both hold several.
+ARROW_BYTES = 8_000_000
+
+
 def docs_text(docs: DataFrame) -> DataFrame:
-    """Only doc_id and text (null: empty), whatever other columns there are."""
+    """Only doc_id and text (null: empty), whatever other columns there are; Arrow batches are kept small."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 

@@ -93,7 +93,7 @@ class Channel:
 
     def __init__(self, model: np.ndarray):
         self.model = model.tolist()
-        self.restored = Bounded(self._word, 200_000)
+        self.restored = Bounded(self._word, 100_000)
 
     def readings(self, text: str) -> list[tuple[int, list[tuple[str, float]]]]:
         """The lattice: for each place (steps forward, [(letters, cost)])."""
@@ -185,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, max_train: int
     known = docs.join(hinted(marks), "doc_id").select("text", "toxic", "w")
 
     def count(batch: pa.RecordBatch) -> dict:
-        channel, memo, n = _channel(model), Bounded(features, 200_000), [Counter(), Counter()]
+        channel, memo, n = _channel(model), Bounded(features, 40_000), [Counter(), Counter()]
         for text, toxic, w in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), batch["w"].to_pylist(), strict=True):
             for f in [*document_features(channel.words(text), memo), ""]:  # "" counts documents
                 n[toxic][f] += w
@@ -230,7 +230,7 @@ def _raw_scores(docs: DataFrame, model: np.ndarray, weights: dict[str, float], e
 
     def one(batch: pa.RecordBatch) -> dict:
         channel = _channel(model)
-        worth = Bounded(lambda w: [f for f in features(w) if f in weights])
+        worth = Bounded(lambda w: [f for f in features(w) if f in weights], 100_000)
         raw = [min(math.fsum(weights[f] for f in document_features(channel.words(text), worth)), MOST_RAW) for text in batch["text"].to_pylist()]
         return {n: batch[n] for n in names} | {"raw": raw}
 
