@@ -14,9 +14,12 @@ each kept. An empty table gives no rows.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -73,32 +76,77 @@ def read_file(blob: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [None if x else i for x, i in zip(null, ids, strict=True)], counts, decode_values(blob[at : at + nc], blob[at + nc :], n)
 
 
+class Recent:
+    """A memo in two generations: what is used stays, memory is bounded."""
+
+    def __init__(self, most: int):
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.most = most
+
+    def ready(self, keys: set[bytes]) -> list[bytes]:
+        """Bring known keys to the new generation; returns the others."""
+        if len(self.new) > self.most:
+            self.new, self.old = {}, self.new
+        missing = []
+        for k in keys - self.new.keys():
+            v = self.old.get(k)
+            if v is None:
+                missing.append(k)
+            else:
+                self.new[k] = v
+        return missing
+
+
+#: The tokenizer's own pieces of a lower-cased Latin-1 word: letters, single digits, runs of signs. Fixed values.
+_LETTER, _DIGIT, _SPACE = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^{_LETTER}{_DIGIT}{_SPACE}]+")
+
+
 class WordEncoder:
-    """Whole texts to ids, by way of a memo of the words between white space.
+    """Whole texts to ids, by way of a memo of the words between white space and of their pieces.
 
-    The tokenizer drops white space and never merges across it, so a text's ids are its words' ids in order."""
+    The tokenizer drops white space, cuts words into pieces and never merges across them, so a text's ids are its
+    pieces' ids in order. Words with other characters than Latin-1, or that may hold a special token, go to the
+    tokenizer whole."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.wide = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.memo: dict[bytes, bytes] = {}
-        self.most = most
+        self.words, self.pieces = Recent(most), Recent(most)
+
+    def _cut(self, word: bytes) -> list[bytes]:
+        # bytes.isalpha() is true of ASCII letters alone, and A-Z are lower-cased by now.
+        if word.isalpha():
+            return [word]
+        if word[-1:] in (b".", b",") and word[:-1].isalpha():
+            return [word[:-1], word[-1:]]
+        text = word.decode("utf-8")
+        if b"<|" in word or max(text) > "\xff":
+            return [word]
+        return [p.encode("utf-8") for p in PIECES.findall(text.lower())]
+
+    def _learn(self, words: set[bytes]) -> None:
+        missing = self.words.ready(words)
+        cuts = [self._cut(w) for w in missing]
+        new = self.pieces.ready(set(chain.from_iterable(cuts)))
+        made, code = self.pieces.new, {2: "H", 4: "I"}[int(self.wide[2])]
+        for k in range(0, len(new), 10_000):
+            part = new[k : k + 10_000]
+            for p, e in zip(part, self.tokenizer.encode_batch_fast([p.decode("utf-8") for p in part], add_special_tokens=False), strict=True):
+                made[p] = array(code, e.ids).tobytes()
+        known = self.words.new
+        for w, c in zip(missing, cuts, strict=True):
+            known[w] = made[c[0]] if len(c) == 1 else b"".join([made[p] for p in c])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         # "<|" may begin a special token, whose case counts; elsewhere the tokenizer lower-cases A-Z anyhow.
         split = [(b if b"<|" in b else b.translate(LOWER)).split() for b in (t.encode("utf-8") for t in texts)]
-        if len(self.memo) > self.most:
-            self.memo.clear()
-        new = list({w for words in split for w in words if w not in self.memo})
-        for k in range(0, len(new), 10_000):
-            part = new[k : k + 10_000]
-            made = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False)
-            for w, e in zip(part, made, strict=True):
-                self.memo[w] = np.array(e.ids, self.wide).tobytes()
-        get = self.memo.__getitem__
+        self._learn(set().union(*split))
+        get = self.words.new.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 
