@@ -74,11 +74,11 @@ WITH words AS (
   UNION ALL
   SELECT 'b', CAST(item_id AS VARCHAR), NULL, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark
 ), item AS (
-  SELECT id, n, unnest(list_transform(range(1, len(w) - n + 2), i -> array_to_string(w[i:i + n - 1], ' '))) AS win
+  SELECT id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS win
   FROM (SELECT id, w, least(len(w), 10) AS n FROM words WHERE kind = 'b' AND len(w) > 0)
 ), sizes AS (SELECT DISTINCT n FROM item
 ), windows AS (
-  SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS i, unnest(list_transform(range(1, len(w) - n + 2), i -> array_to_string(w[i:i + n - 1], ' '))) AS win
+  SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS i, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS win
   FROM words, sizes WHERE kind = 'd' AND len(w) >= n
 ), hits AS (SELECT DISTINCT x.doc_id, x.n, x.i, item.id FROM windows x JOIN item ON x.win = item.win AND x.n = item.n
 ), n_hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id
