@@ -204,21 +204,24 @@ def _neighbours(docs: DataFrame, known: np.ndarray, seen: np.ndarray) -> tuple[D
     the largest share of its prefix in common with others, as the original of a group of altered copies has."""
     rows = _postings(docs, known, seen)
     by_size = Window.partitionBy("token").orderBy("n", "doc")
-    last = F.lag(F.struct("doc", "n")).over(by_size)
+    last = F.lag(F.struct("doc", "n", "pos")).over(by_size)
     rare = rows.filter("not common").select("token", "doc", "n", "need", "size", "pos", last.alias("last"), F.lead("doc").over(by_size).alias("next"))
     rare = rare.filter("last is not null or next is not null").drop("next")
-    often = rows.filter("common").select("token", "doc", "n", "need", "size", "pos", F.lit(None).cast("struct<doc:long,n:int>").alias("last"))
+    often = rows.filter("common").select("token", "doc", "n", "need", "size", "pos", F.lit(None).cast("struct<doc:long,n:int,pos:int>").alias("last"))
     shared = materialize(rare.union(often), "shared-tokens")
-    near = shared.filter("last is not null").select(F.col("last.doc").alias("a"), F.col("doc").alias("b"), F.col("last.n").alias("na"), F.col("n").alias("nb"))
+    near = shared.filter("last is not null").select(F.col("last.doc").alias("a"), F.col("doc").alias("b"), F.col("last.n").alias("na"), F.col("n").alias("nb"), F.col("last.pos").alias("pa"), F.col("pos").alias("pb"))
     # Minima and maxima over tokens, not sorted groups; two overlapping rows of size classes.
     central = shared.groupBy("doc").agg((F.count("*") / F.max("size")).alias("central"))
     place = F.log("n") / F.log(F.lit(100 / PERCENT))
     band = F.explode(F.array(F.floor(place) * 2, F.floor(place + 0.5) * 2 + 1)).alias("band")
-    placed = materialize(shared.join(hinted(central), "doc").select("token", "doc", "n", "central"), "central")
-    placed = placed.select("token", band, "doc", "n", "central")
-    first = placed.groupBy("token", "band").agg(F.min(F.struct(-F.col("central"), F.col("doc"), F.col("n"))).alias("f"), F.count("*").alias("k")).filter("k > 1")
-    star = placed.join(first, ["token", "band"]).select(F.col("f.doc").alias("a"), F.col("doc").alias("b"), F.col("f.n").alias("na"), F.col("n").alias("nb"))
-    pairs = near.union(star).filter("a <> b").filter(_sizes_fit("na", "nb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    placed = materialize(shared.join(hinted(central), "doc").select("token", "doc", "n", "pos", "central"), "central")
+    placed = placed.select("token", band, "doc", "n", "pos", "central")
+    first = placed.groupBy("token", "band").agg(F.min(F.struct(-F.col("central"), F.col("doc"), F.col("n"), F.col("pos"))).alias("f"), F.count("*").alias("k")).filter("k > 1")
+    star = placed.join(first, ["token", "band"]).select(F.col("f.doc").alias("a"), F.col("doc").alias("b"), F.col("f.n").alias("na"), F.col("n").alias("nb"), F.col("f.pos").alias("pa"), F.col("pos").alias("pb"))
+    # Of a link's shared tokens, the first stands among the first n - overlap + 1 of both documents.
+    overlap = F.ceil((F.col("na") + F.col("nb")) * PERCENT / (100 + PERCENT))
+    early = (F.col("pa") <= F.col("na") - overlap + MAX_EXTRA) & (F.col("pb") <= F.col("nb") - overlap + MAX_EXTRA)
+    pairs = near.union(star).filter("a <> b").filter(_sizes_fit("na", "nb")).filter(early).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return shared, materialize(pairs, "first-pairs")
 
 
