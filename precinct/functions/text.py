@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from precinct import fixed
 
-MO_CHARS = 4096
-
 
 def tokens(text: Column) -> Column:
     """Maximal runs of letters or hyphens, lower-cased."""
@@ -69,8 +67,10 @@ def _label(text: Column, patterns: dict[str, str]) -> Column:
     return F.coalesce(*[F.when(text.rlike(_word(p)), name) for name, p in patterns.items()])
 
 
-def mo_features(text: Column) -> Column:
-    t = F.substring(F.coalesce(text, F.lit("")), 1, MO_CHARS)
+def mo_features(text: Column, chars: int | None = None) -> Column:
+    """Of the whole text, or of its first `chars` characters."""
+    t = F.coalesce(text, F.lit(""))
+    t = t if chars is None else F.substring(t, 1, chars)
     items = F.transform(F.regexp_extract_all(t, F.lit(_word(fixed.ITEMS)), 1), lambda w: F.when(F.lower(w) == "jewelry", "jewellery").otherwise(F.lower(w)))
     return F.struct(
         _label(t, fixed.ENTRY).alias("entry_method"), _label(t, fixed.TARGET).alias("target_type"), _label(t, fixed.TIME_OF_DAY).alias("time_of_day"),

@@ -16,9 +16,10 @@ R = Register()
 _TYPES = list(fixed.EVIDENCE)
 
 
-def evidence(spark, sf):
+def evidence(spark, sf, where="l_orderkey % 20 = 0"):
+    """Of the orders that the SQL takes, or of others; queries named ..._whole take all."""
     types = F.array(*[F.lit(t) for t in _TYPES])
-    li = table(spark, sf, "lineitem").filter("l_orderkey % 20 = 0")
+    li = table(spark, sf, "lineitem").filter(where)
     return li.select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("seq"), F.element_at(types, (F.col("l_partkey") % 27 + 1).cast("int")).alias("type"), (F.col("l_quantity") % 2 == 0).alias("present"))
 
 
@@ -42,6 +43,22 @@ def a23_bayes_factor(spark, sf):
     return rounded(inference.bayes_factor(e.filter("seq % 2 = 1"), e.filter("seq % 2 = 0")).select("case_id", F.log("bayes_factor").alias("log_factor")))
 
 
+@R("a21_running_posterior_whole")
+def a21_running_posterior_whole(spark, sf):
+    return rounded(inference.running_posterior(evidence(spark, sf, "true")).select("case_id", "seq", "type", "present", "posterior"))
+
+
+@R("a22_case_posterior_whole")
+def a22_case_posterior_whole(spark, sf):
+    return rounded(inference.case_posterior(evidence(spark, sf, "true")))
+
+
+@R("a23_bayes_factor_whole")
+def a23_bayes_factor_whole(spark, sf):
+    e = evidence(spark, sf, "true")
+    return rounded(inference.bayes_factor(e.filter("seq % 2 = 1"), e.filter("seq % 2 = 0")).select("case_id", F.log("bayes_factor").alias("log_factor")))
+
+
 def anomaly_rows(spark, sf):
     e = crime_events(spark, sf).filter("lat is not null and occurred_at is not null")
     return e.select(F.col("seq").alias("id"), "lat", "lon", ((F.col("occurred_at").cast("double") - 1704067200) / 86400).alias("t"), F.hour("occurred_at").cast("double").alias("hour"), (F.length(F.coalesce("crime_type", F.lit(""))) % 7).cast("double").alias("kind"))
@@ -65,8 +82,9 @@ def a27_anomalies(spark, sf):
     return rounded(inference.anomaly_scores(r, inference.fit_anomaly(r)).select("id", "lof", "score", "is_anomaly"), 5)
 
 
-def leads(spark, sf):
-    e = crime_events(spark, sf).filter("seq % 4 = 0")
+def leads(spark, sf, where="seq % 4 = 0"):
+    """Of the events that the SQL takes, or of others; queries named ..._whole take all."""
+    e = crime_events(spark, sf).filter(where)
     links = e.select("event_id", F.concat(F.lit("SERIES-"), F.col("seq") % 9).alias("series_id"), (F.col("seq") % 100 / 100.0).alias("p"))
     mo = e.select("event_id", F.explode(F.array(*[F.struct((F.col("seq") * k % 7).alias("c"), F.lit(k).alias("k")) for k in (1, 2, 3, 5)])).alias("m")).select("event_id", F.concat(F.lit("case"), "m.c", F.lit("_"), "m.k").alias("case_id"), (F.col("m.c") / 7.0).alias("score"), F.when(F.col("m.c") % 2 == 0, "solo offender").otherwise("group of two").alias("detail"))
     people = e.select("event_id", F.concat(F.lit("p"), F.col("seq") % 5).alias("person_id"), (F.col("seq") % 10 / 10.0).alias("risk"), F.lit("direct_participant").alias("kind"))
@@ -104,7 +122,23 @@ def x03_leads_csv(spark, sf):
 
 @R("x06_case_reports")
 def x06_case_reports(spark, sf):
-    return export.case_report(leads(spark, sf))
+    """All events."""
+    return export.case_report(leads(spark, sf, "true"))
+
+
+@R("w08_ranked_leads_whole")
+def w08_ranked_leads_whole(spark, sf):
+    return rounded(leads(spark, sf, "true").select("event_id", "category", "headline", "confidence", "contradictions", "score", "rank"))
+
+
+@R("w09_lead_summary_whole")
+def w09_lead_summary_whole(spark, sf):
+    return rounded(inference.lead_summary(leads(spark, sf, "true")))
+
+
+@R("x03_leads_csv_whole")
+def x03_leads_csv_whole(spark, sf):
+    return export.leads_csv(leads(spark, sf, "true"))
 
 
 @R("x01_events_csv", f"WITH {CE} SELECT event_id, coalesce(crime_type, '') AS crime_type, suburb, printf('%.6f', coalesce(lat, 0)) AS lat, printf('%.6f', coalesce(lon, 0)) AS lon, coalesce(strftime(occurred_at, '%Y-%m-%dT%H:%M:%SZ'), '') AS occurred_at, outcome, '0.500' AS quality_score FROM ce")
