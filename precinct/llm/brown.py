@@ -1,14 +1,16 @@
 """Language-model scores by Brown class-based bigrams.
 
-P(text) = product over its tokens, one end included, of P(class | class before) P(token | class). The `CLUSTERED` most
-frequent words get classes by exchange clustering: each word in turn moves to the class that raises the likelihood of
-the class bigrams most, until a sweep moves few. All other words share classes by their shape (letters of one
-language, signs, digits), so a word never seen has a class too. Transitions are smoothed towards the class's own
-frequency; in the shape classes a word has probability (c + 1) / (N_s + V_s + 1).
-
-Counts are taken over all training documents. A table of the `LEXICON` most frequent words goes to every task; the
-counts of all other words, however many, come by a join on the word. What the driver holds is bounded: the lexicon
-and the bigram table of the clustered words.
+P(text) = product over its tokens, one end included, of P(class | class before) P(token | class). Every training word
+seen at least `MIN_COUNT` times gets a class by exchange clustering: it moves to the class that raises the likelihood
+of the class bigrams most. The `SEEDS` most frequent words are clustered first, one after the other; then all words
+move in sweeps, for which Spark sums each word's counts by the class of its neighbours, until a sweep moves few or
+gains nothing. Rarer and unseen words share three classes by their shape (letters, letters and a sign, all else).
+Transitions are smoothed towards the class's own frequency; in the shape classes a word has probability
+(c + 1) / (N_s + V_s + 1).
+
+Counts are taken over all training documents. A table of the `LEXICON` most frequent words goes to every task; what
+is known of all other words, however many, comes by a join on the word or on its key, a 64-bit hash. What the driver
+holds is bounded: the lexicon and the bigram tables of the seeds and of the classes.
 
 Null texts count as empty (one token, the end). Rows without doc_id are training rows; repeated rows are scored and
 counted each. Without training documents every count is 0. An empty table gives no rows.
@@ -16,39 +18,38 @@ counted each. Without training documents every count is 0. An empty table gives
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from precinct.blocks.shared import materialize
+from precinct.blocks.shared import materialize, small_enough
 from precinct.llm.common import Bounded, as_arrow, docs_text, map_batches, remainder, slices, space_words
+from precinct.llm.lines import BROADCAST_ROWS, hinted
 
 LEXICON = 200_000
-CLUSTERED = 2000
+SEEDS = 1000
+MIN_COUNT = 3
 CLASSES = 64
 SWEEPS = 6
+#: Sweeps over all words, after those over the seeds.
+ROUNDS = 3
 SMOOTH = 20.0
 #: Entries that a task holds before it hands counts on.
 HELD = 400_000
 
-#: Shapes of words outside the clustering: letters of German, of Spanish, of French, other non-ASCII, none of these; with
-#: a sign at the end or not; and what has digits or more signs. Fixed values.
-_GERMAN, _SPANISH, _FRENCH = re.compile("[äöüß]"), re.compile("[ñóíáú]"), re.compile("[éèêçàùâîôû]")
-SHAPES = 11
+#: Shapes of words outside the clustering: letters, letters with a sign at the end, all else.
+SHAPES = 3
 
 
 def shape(word: str) -> int:
     core = word.rstrip(".,;:!?")
-    if not core.isalpha():
-        return 10
-    of = 0 if core.isascii() else 1 if _GERMAN.search(core) else 2 if _SPANISH.search(core) else 3 if _FRENCH.search(core) else 4
-    return 2 * of + (core != word)
+    return 2 if not core.isalpha() else int(core != word)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -75,39 +76,50 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class Symbols:
-    """Word to symbol: 0 the end, then the clustered words, then the shapes."""
+class Keys:
+    """Word to key: 0 is the end; else the low two bits are 1 + the word's shape, and the rest is the place in the
+    lexicon (from 1), or a negative hash for words outside it, or 0 for words that are too rare to have a class."""
 
-    def __init__(self, clustered: list[str]):
-        self.of = {w.encode("utf-8"): k + 1 for k, w in enumerate(clustered)}
-        self.first_shape = len(clustered) + 1
-        self.size = self.first_shape + SHAPES
+    def __init__(self, words: list[str], counts: np.ndarray):
+        n = int((counts >= MIN_COUNT).sum())  # words come by count
+        self.of = {w.encode("utf-8"): k + 1 for k, w in enumerate(words[:n])}
+        #: Whether words outside the lexicon may be clustered too.
+        self.open = n == len(words) >= LEXICON
         self.memo = Bounded(self, 300_000)
 
     def __call__(self, word: bytes) -> int:
-        k = self.of.get(word)
-        return self.first_shape + shape(word.decode("utf-8")) if k is None else k
+        s = 1 + shape(word.decode("utf-8"))
+        if k := self.of.get(word):
+            return k << 2 | s
+        return ((xxhash.xxh3_64_intdigest(word) >> 1 & ~3) | s) - (1 << 63) if self.open else s
 
 
-def bigram_table(docs: DataFrame, symbols: Symbols) -> np.ndarray:
-    """Counts [a, b] of symbol b after a, the end before each document's first word."""
-    shared = docs.sparkSession.sparkContext.broadcast(symbols)
+def bigram_table(docs: DataFrame, keys: Keys) -> DataFrame:
+    """(a, b, n): how often key b comes after key a, the end before each document's first word."""
+    shared = docs.sparkSession.sparkContext.broadcast(keys)
 
     def one(batch: pa.RecordBatch) -> dict:
-        s = shared.value
-        words = [space_words(t) for t in batch["text"].to_pylist()]
+        get = shared.value.memo.__getitem__
         flat = [0]
-        for ws in words:
-            flat += map(s.memo.__getitem__, ws)
+        for t in batch["text"].to_pylist():
+            flat += map(get, space_words(t))
             flat.append(0)
         x = np.array(flat, np.int64)
-        code, n = np.unique(x[:-1] * s.size + x[1:], return_counts=True)
-        return {"code": code, "n": n}
+        a, b = x[:-1], x[1:]
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        return {"a": a[first], "b": b[first], "n": np.diff(np.append(first, len(a)))}
+
+    return map_batches(docs.select("text"), one, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
-    rows = map_batches(docs.select("text"), one, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(symbols.size**2)
-    out[rows["code"].to_numpy()] = rows["n"].to_numpy()
-    return out.reshape(symbols.size, symbols.size)
+
+def square(pairs: DataFrame, size: int) -> np.ndarray:
+    """Sums of n by the numbers x and y, both below size."""
+    rows = pairs.groupBy("x", "y").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros((size, size))
+    out[rows["x"].to_numpy(), rows["y"].to_numpy()] = rows["n"].to_numpy()
+    return out
 
 
 def _phi(x: np.ndarray) -> np.ndarray:
@@ -124,57 +136,166 @@ def exchange(n: np.ndarray, clustered: int, classes: int = CLASSES, sweeps: int
     total = int(of.max()) + 1
     add = lambda v: np.bincount(of, weights=v, minlength=total)
     g = np.array([np.bincount(of, weights=row, minlength=total) for row in np.array([np.bincount(of, weights=col, minlength=total) for col in n.T]).T])
-    words = np.arange(1, classes + 1)
     for _ in range(sweeps):
         moved = 0
         for w in range(1, clustered + 1):
             was, own = of[w], n[w, w]
             out, into = add(n[w]), add(n[:, w])
-            out[was] -= own
-            into[was] -= own
-            g[was] -= out
-            g[:, was] -= into
-            g[was, was] -= own
-            rows, cols = g[words], g[:, words].T
-            # The gain of class k: its row, its column, its own cell (counted once), less the marginals.
-            gain = (_phi(rows + out) - _phi(rows)).sum(1) + (_phi(cols + into) - _phi(cols)).sum(1)
-            d, o, i = g[words, words], out[words], into[words]
-            gain += _phi(d + o + i + own) - _phi(d + o) - _phi(d + i) + _phi(d)
-            r, c = rows.sum(1) + i, cols.sum(1) + o  # what comes from and goes to the class's own words counts wherever w goes
-            gain -= _phi(r + out.sum() + own) - _phi(r) + _phi(c + into.sum() + own) - _phi(c)
-            new = was if gain[was - 1] >= gain.max() - 1e-9 else int(words[np.argmax(gain)])
+            new = best_class(g, was, out, into, own, classes)
             moved += new != was
             of[w] = new
-            g[new] += out
-            g[:, new] += into
-            g[new, new] += own
+            put(g, new, out, into, own, 1)
         if moved <= clustered // 200:
             break
     return of
 
 
+def put(g: np.ndarray, k: int, out: np.ndarray, into: np.ndarray, own: float, sign: int) -> None:
+    """Add a word to class k, or take it out: its counts by the class after and before it, and with itself."""
+    g[k] += sign * out
+    g[:, k] += sign * into
+    g[k, k] += sign * own
+
+
+def best_class(g: np.ndarray, was: int, out: np.ndarray, into: np.ndarray, own: float, classes: int) -> int:
+    """The class of 1..classes in which a word makes the likelihood greatest. Takes the word out of g, and what it has
+    with itself out of `out` and `into`."""
+    out[was] -= own
+    into[was] -= own
+    put(g, was, out, into, own, -1)
+    words = slice(1, classes + 1)
+    o, i, a, b = out[words], into[words], np.flatnonzero(out), np.flatnonzero(into)
+    rows, cols = g[words], g[:, words].T
+    # The gain of class k: its row, its column, its own cell (counted once), less the marginals.
+    gain = (_phi(rows[:, a] + out[a]) - _phi(rows[:, a])).sum(1) + (_phi(cols[:, b] + into[b]) - _phi(cols[:, b])).sum(1)
+    d = np.diagonal(rows[:, words])
+    gain += _phi(d + o + i + own) - _phi(d + o) - _phi(d + i) + _phi(d)
+    r, c = rows.sum(1) + i, cols.sum(1) + o  # what comes from and goes to the class's own words counts wherever w goes
+    gain -= _phi(r + out.sum() + own) - _phi(r) + _phi(c + into.sum() + own) - _phi(c)
+    return int(was) if 1 <= was <= classes and gain[was - 1] >= gain.max() - 1e-9 else int(np.argmax(gain)) + 1
+
+
+def likelihood(g: np.ndarray) -> float:
+    return float(_phi(g).sum() - _phi(g.sum(0)).sum() - _phi(g.sum(1)).sum())
+
+
+def _classed(bigrams: DataFrame, of: DataFrame, classes: int) -> DataFrame:
+    """bigrams with the classes x of a and y of b, and whether a and b can move. of: key, cls (null: not yet moved)."""
+    small = small_enough(of, BROADCAST_ROWS)
+    for key, cls, moves in (("a", "x", "a_moves"), ("b", "y", "b_moves")):
+        side = of.select(F.col("key").alias(key), F.col("cls").alias(cls), F.lit(True).alias(moves))
+        bigrams = bigrams.join(F.broadcast(side) if small else side, key, "left").withColumn(cls, F.coalesce(cls, _fallback(F.col(key), classes)))
+    return bigrams
+
+
+def _fallback(key: Column, classes: int) -> Column:
+    """The class of a word without one of its own, or of the end."""
+    s = key.bitwiseAND(F.lit(3).cast("long")).cast("int")
+    return F.when(s == 0, 0).otherwise(s + classes)
+
+
+def _sweep(bigrams: DataFrame, of: DataFrame, g: np.ndarray, classes: int) -> DataFrame:
+    """of after each word has moved to its best class, all others being where they were."""
+    both = _classed(bigrams, of, classes)
+    self_ = F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0).cast("long")
+    sides = F.array(
+        F.struct(F.col("a").alias("key"), F.lit(False).alias("before"), F.col("y").alias("k"), "n", self_.alias("own"), F.col("a_moves").alias("moves")),
+        F.struct(F.col("b").alias("key"), F.lit(True).alias("before"), F.col("x").alias("k"), "n", F.lit(0).cast("long").alias("own"), F.col("b_moves").alias("moves")),
+    )
+    counts = both.select(F.explode(sides).alias("s")).select("s.*").filter("moves").groupBy("key", "before", "k").agg(F.sum("n").alias("n"), F.sum("own").alias("own"))
+    words = counts.groupBy("key").agg(F.collect_list(F.struct("before", "k", "n")).alias("seen"), F.sum("own").alias("own")).join(of, "key")
+    total = len(g)
+
+    def one(batch: pa.RecordBatch) -> dict:
+        mine, new = g.copy(), []
+        seen = batch["seen"]
+        size = np.diff(seen.offsets.to_numpy())
+        before, k, n = (x.to_numpy(zero_copy_only=False) for x in seen.flatten().flatten())
+        at = np.concatenate([[0], np.cumsum(size)])
+        for j, (was, key, own) in enumerate(zip(batch["cls"].to_pylist(), batch["key"].to_pylist(), batch["own"].to_pylist(), strict=True)):
+            table = np.zeros((2, total))
+            piece = slice(at[j], at[j + 1])
+            table[before[piece].astype(np.int64), k[piece]] = n[piece]
+            old = classes + (key & 3) if was is None else was
+            new.append(best_class(mine, old, table[0], table[1], own, classes))
+            put(mine, old, table[0], table[1], own, 1)
+        return {"key": batch["key"], "cls": pa.array(new, pa.int32())}
+
+    return map_batches(words.select("key", "cls", "seen", "own"), one, "key long, cls int")
+
+
+def cluster(bigrams: DataFrame, of: DataFrame, classes: int, rounds: int) -> tuple[DataFrame, np.ndarray]:
+    """(key, cls) of all words that move, and the class bigrams. of: key, cls of the seeds, null for all others."""
+    table = lambda of: square(_classed(bigrams, of, classes).select("x", "y", "n"), classes + 1 + SHAPES)
+    g = table(of)
+    for k in range(rounds):
+        new = materialize(_sweep(bigrams, of, g, classes), "word-classes")
+        better = table(new)
+        if k and likelihood(better) <= likelihood(g):
+            break
+        of, g, gain = new, better, likelihood(better) - likelihood(g)
+        if k and gain <= 1e-4 * abs(likelihood(g)):
+            break
+    return of, g
+
+
+class Fitted:
+    """vocabulary: word, n, key, cls (null: by shape); numbers for the driver."""
+
+    def __init__(self, training: DataFrame):
+        spark = training.sparkSession
+        counted = materialize(word_counts(training), "vocabulary")
+        self.ends = training.count()
+        sizes = counted.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+        self.tokens, self.distinct = sizes["n"] + self.ends, sizes["v"] + (self.ends > 0)
+        top = counted.orderBy(F.desc("n"), "word").limit(LEXICON).toArrow()
+        self.words, self.counts = top["word"].to_pylist(), top["n"].to_numpy().astype(float)
+        self.keys = keys = Keys(self.words, self.counts)
+        shared = spark.sparkContext.broadcast(keys)
+
+        def keyed(batch: pa.RecordBatch) -> dict:
+            return {"word": batch["word"], "n": batch["n"], "key": [shared.value(w.encode("utf-8")) for w in batch["word"].to_pylist()]}
+
+        words = materialize(map_batches(counted, keyed, "word string, n long, key long"), "word-keys")
+        bigrams = materialize(bigram_table(training, keys), "bigrams")
+        seeds = min(SEEDS, len(keys.of))
+        place = lambda c: F.when(F.shiftright(c, 2).between(1, seeds), F.shiftright(c, 2)).when(F.col(c) == 0, 0).otherwise(seeds + F.col(c).bitwiseAND(F.lit(3).cast("long")))
+        n = square(bigrams.select(place("a").cast("int").alias("x"), place("b").cast("int").alias("y"), "n"), seeds + 1 + SHAPES)
+        if not self.ends:
+            n[:] = 0
+        of = exchange(n, seeds)
+        self.classes = max(1, min(CLASSES, seeds))
+        start = F.element_at(F.array(*[F.lit(int(k)) for k in of[1 : seeds + 1]]), F.shiftright("key", 2).cast("int")) if seeds else F.lit(None).cast("int")
+        moving = words.filter(F.col("n") >= MIN_COUNT).groupBy("key").agg(F.sum("n").alias("n"))
+        moving = materialize(moving.select("key", F.when(F.shiftright("key", 2).between(1, seeds), start).alias("cls")), "moving-words")
+        self.of, self.g = cluster(bigrams, moving, self.classes, ROUNDS)
+        self.vocabulary = words.join(hinted(self.of), "key", "left").withColumn("cls", F.when(F.col("n") >= MIN_COUNT, F.col("cls")))
+        rare = words.filter(F.col("n") < MIN_COUNT).groupBy(F.col("key").bitwiseAND(F.lit(3).cast("long")).alias("s")).agg(F.sum("n").alias("n"), F.count("*").alias("v"))
+        self.shapes = {r["s"] - 1: (r["n"], r["v"]) for r in rare.collect()}
+
+
 class Model:
     """What a task needs: numbers for the lexicon's words, then for the shapes, whose words' counts are joined later."""
 
-    def __init__(self, words: list[str], counts: np.ndarray, symbols: Symbols, of: np.ndarray, bigrams: np.ndarray, shapes: dict[int, tuple[int, int]]):
-        total = int(of.max()) + 1
-        g = np.zeros((total, total))
-        np.add.at(g, (of[:, None], of[None, :]), bigrams)
+    def __init__(self, fit: Fitted):
+        words, counts, classes, g = fit.words, fit.counts, fit.classes, fit.g
+        total = len(g)
         tokens = g.sum(0)
         own = (tokens + 1) / (tokens.sum() + total)
         self.step = np.log10((g + SMOOTH * own) / (g.sum(1, keepdims=True) + SMOOTH))
-        shape_cost = np.zeros(total)
+        self.shape_cost = np.zeros(total)
         for s in range(SHAPES):
-            n, v = shapes.get(s, (0, 0))
-            shape_cost[of[symbols.first_shape + s]] = np.log10(n + v + 1)
+            n, v = fit.shapes.get(s, (0, 0))
+            self.shape_cost[classes + 1 + s] = np.log10(n + v + 1)
+        self.log_tokens = np.log10(np.maximum(tokens, 1))
         self.known = len(words)
-        symbol = np.array([symbols(w.encode("utf-8")) for w in words] + [symbols.first_shape + s for s in range(SHAPES)], np.int64)
-        self.classes = of[symbol]
+        self.classes = np.array([classes + 1 + shape(w) for w in words] + [classes + 1 + s for s in range(SHAPES)], np.int64)
+        got = fit.of.filter("key > 0").toArrow()  # the lexicon's
+        self.classes[(got["key"].to_numpy() >> 2) - 1] = got["cls"].to_numpy()
         self.more = np.concatenate([np.log10(counts + 1.0), np.zeros(SHAPES)])
-        clustered = symbol < symbols.first_shape
-        with np.errstate(divide="ignore"):
-            share = np.log10(np.concatenate([counts, np.ones(SHAPES)]) / np.maximum(tokens[self.classes], 1))
-        self.emission = np.where(clustered, share, self.more - shape_cost[self.classes])
+        share = np.log10(np.concatenate([counts, np.ones(SHAPES)])) - self.log_tokens[self.classes]
+        self.emission = np.where(self.classes <= classes, share, self.more - self.shape_cost[self.classes])
+        self.open = fit.keys.open
         self.at = {w.encode("utf-8"): k for k, w in enumerate(words)}
         self.memo = Bounded(self._number, 300_000)
 
@@ -184,10 +305,10 @@ class Model:
 
 
 def _scored(docs: DataFrame, model: Model, end_more: float) -> DataFrame:
-    """A row a document (uid, doc_id, held_out, n_tokens, n_known, base, score) and a row (uid, word) for each of
-    its tokens outside the lexicon."""
+    """A row a document (uid, doc_id, held_out, n_tokens, n_known, base, score) and a row (uid, word, at) for each of
+    its tokens outside the lexicon. Where such words may have classes, the document's row has those of all its tokens."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    arrow = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("word", pa.string())])
+    arrow = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("classes", pa.list_(pa.int16())), ("word", pa.string()), ("at", pa.int32())])
 
     def rows(**columns) -> pa.RecordBatch:
         n = len(columns["uid"])
@@ -215,40 +336,51 @@ def _scored(docs: DataFrame, model: Model, end_more: float) -> DataFrame:
                 rare = k >= m.known
                 ids = uid + np.arange(len(size))
                 known = size - add(rare.astype(np.int64)).astype(np.int64) + (end_more > 0)
-                yield rows(uid=ids, doc_id=piece["doc_id"], held_out=piece["held_out"], n_tokens=size + 1, n_known=known, base=add(m.more[k]) + end_more, score=moves + add(m.emission[k]))
+                kept = {"classes": pa.ListArray.from_arrays(pa.array(np.append(starts, len(flat)), pa.int32()), pa.array(m.classes[k], pa.int16()))} if m.open else {}
+                yield rows(uid=ids, doc_id=piece["doc_id"], held_out=piece["held_out"], n_tokens=size + 1, n_known=known, base=add(m.more[k]) + end_more, score=moves + add(m.emission[k]), **kept)
                 at = np.flatnonzero(rare)
-                yield rows(uid=ids[doc[at]], word=pa.array([flat[i] for i in at.tolist()], pa.binary()).cast(pa.string()))
+                yield rows(uid=ids[doc[at]], word=pa.array([flat[i] for i in at.tolist()], pa.binary()).cast(pa.string()), at=at - starts[doc[at]])
                 uid += len(size)
 
-    return docs.mapInArrow(run, "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, word string")
+    return docs.mapInArrow(run, "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, classes array<smallint>, word string, at int")
+
+
+def _corrected(rare: DataFrame, made: DataFrame, model: Model) -> DataFrame:
+    """(uid, more_score): what the score gains where words outside the lexicon have classes of their own."""
+    found = rare.filter("cls is not null").groupBy("uid").agg(F.collect_list(F.struct("at", "cls", "n")).alias("found"))
+    shared = made.sparkSession.sparkContext.broadcast(model)
+
+    def one(batch: pa.RecordBatch) -> dict:
+        m, out = shared.value, []
+        for j, found in enumerate(batch["found"].to_pylist()):
+            old = np.concatenate([[0], batch["classes"][j].values.to_numpy(), [0]])
+            new = old.copy()
+            at, cls, n = (np.array([f[c] for f in found], np.int64) for c in ("at", "cls", "n"))
+            new[at + 1] = cls
+            gain = np.log10(n) - m.log_tokens[cls] + m.shape_cost[old[at + 1]]
+            out.append(float(gain.sum() + (m.step[new[:-1], new[1:]] - m.step[old[:-1], old[1:]]).sum()))
+        return {"uid": batch["uid"], "more_score": out}
+
+    return map_batches(made.filter("word is null").join(found, "uid").select("uid", "classes", "found"), one, "uid long, more_score double")
 
 
-def score_texts(docs: DataFrame) -> DataFrame:
+def score_texts(docs: DataFrame, fit: Fitted | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs."""
     docs = docs_text(docs).withColumn("held_out", F.col("doc_id").isNotNull() & (remainder(7) == 2))
-    training = docs.filter("not held_out")
-    vocabulary = materialize(word_counts(training), "vocabulary")
-    ends = training.count()
-    sizes = vocabulary.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    tokens, distinct = sizes["n"] + ends, sizes["v"] + (ends > 0)
-    top = vocabulary.orderBy(F.desc("n"), "word").limit(LEXICON).toArrow()
-    words, counts = top["word"].to_pylist(), top["n"].to_numpy().astype(float)
-    symbols = Symbols(words[:CLUSTERED])
-    bigrams = bigram_table(training, symbols)
-    if not ends:
-        bigrams[:] = 0
-    of = exchange(bigrams, min(CLUSTERED, len(words)))
-
-    def shaped(batch: pa.RecordBatch) -> dict:
-        return {"shape": [-1 if w.encode("utf-8") in symbols.of else shape(w) for w in batch["word"].to_pylist()], "n": batch["n"]}
-
-    rows = map_batches(vocabulary, shaped, "shape int, n long").groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
-    model = Model(words, counts, symbols, of, bigrams, {r["shape"]: (r["n"], r["v"]) for r in rows})
-    made = materialize(_scored(docs, model, float(np.log10(ends + 1))), "scored")
-    rare = made.filter("word is not null").select("uid", "word").join(vocabulary, "word")
-    rare = rare.groupBy("uid").agg(F.sum(F.log10(F.col("n") + 1)).alias("more"), F.count("*").alias("seen"))
-    more, seen = F.coalesce("more", F.lit(0.0)), F.coalesce("seen", F.lit(0))
-    base = F.col("base") + more - F.col("n_tokens") * float(np.log10(tokens + distinct + 1))
-    return made.filter("word is null").select("uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score").join(rare, "uid", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + seen).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + more).alias("score")
-    )
+    fit = fit or Fitted(docs.filter("not held_out"))
+    model = Model(fit)
+    made = materialize(_scored(docs, model, float(np.log10(fit.ends + 1))), "scored")
+    rare = made.filter("word is not null").select("uid", "word", "at").join(fit.vocabulary, "word")
+    logs = F.log10(F.col("n") + 1)
+    sums = rare.groupBy("uid").agg(F.sum(logs).alias("more"), F.sum(F.when(F.col("cls").isNull(), logs).otherwise(0.0)).alias("more_score"), F.count("*").alias("seen"))
+    out = made.filter("word is null").select("uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score").join(sums, "uid", "left")
+    if model.open:
+        out = out.join(_corrected(rare, made, model).withColumnRenamed("more_score", "class_score"), "uid", "left")
+    else:
+        out = out.withColumn("class_score", F.lit(0.0))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    base = F.col("base") + zero("more") - F.col("n_tokens") * float(np.log10(fit.tokens + fit.distinct + 1))
+    return out.select(
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(fit.tokens).cast("long").alias("train_tokens"),
+        base.alias("base_score"), (F.col("score") + zero("more_score") + zero("class_score")).alias("score"),
+    )

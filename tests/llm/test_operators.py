@@ -349,6 +349,42 @@ def test_exchange_finds_classes():
     assert len(set(of[1:5])) == 1 and len(set(of[5:9])) == 1 and of[1] != of[5]
 
 
+@pytest.mark.parametrize("lexicon", [200_000, 12])
+def test_all_frequent_words_have_classes(spark, monkeypatch, lexicon):
+    """Far more words than seeds, with the class of each; scores by hand from the classes, also beyond the lexicon."""
+    monkeypatch.setattr(brown, "LEXICON", lexicon)
+    monkeypatch.setattr(brown, "SEEDS", 10)
+    g = random.Random(4)
+    left, right = [f"l{chr(97 + k)}" for k in range(20)], [f"r{chr(97 + k)}" for k in range(20)]
+    rows = [(k, " ".join(g.choice(left) + " " + g.choice(right) for _ in range(12)) + f" rare{k} odd.") for k in range(60)]
+    docs = spark.createDataFrame(fixture(rows), SCHEMA)
+    train = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    fit = brown.Fitted(brown.docs_text(docs).filter(F.col("doc_id").isin([i for i, _ in train])))
+    of = {r["word"]: (r["n"], r["cls"]) for r in fit.vocabulary.collect()}
+    c = collections.Counter(w for _, t in train for w in t.split())
+    assert {w: n for w, (n, _) in of.items()} == c
+    assert all((k is not None and 1 <= k <= fit.classes) == (c[w] >= brown.MIN_COUNT) for w, (_, k) in of.items())
+    assert not {of[w][1] for w in left} & {of[w][1] for w in right}
+    cls = lambda w: of[w][1] if w in of and of[w][1] else fit.classes + 1 + brown.shape(w)
+    total = fit.classes + 1 + brown.SHAPES
+    n = np.zeros((total, total))
+    for _, t in train:
+        k = [0, *map(cls, t.split()), 0]
+        np.add.at(n, (k[:-1], k[1:]), 1)
+    assert (n == fit.g).all()
+    tokens, prior = n.sum(0), (n.sum(0) + 1) / (n.sum() + total)
+    unseen = collections.Counter()
+    for w, k in c.items():
+        if k < brown.MIN_COUNT:
+            unseen[brown.shape(w)] += k + 1
+    got = by_id(brown.score_texts(docs, fit))
+    for i, t in rows:
+        k = [0, *map(cls, t.split()), 0]
+        want = sum(math.log10((n[a, b] + brown.SMOOTH * prior[b]) / (n[a].sum() + brown.SMOOTH)) for a, b in itertools.pairwise(k))
+        want += sum(math.log10(c[w] / tokens[cls(w)]) if cls(w) <= fit.classes else math.log10((c[w] + 1) / (unseen[brown.shape(w)] + 1)) for w in t.split())
+        assert math.isclose(got[i]["score"], want, rel_tol=1e-9)
+
+
 # -- 10
 
 
