@@ -8,7 +8,8 @@ of work.
 
 Exact repeats meet by a 128-bit digest. For near lines, every line emits hashed keys of its variants within the bound:
 up to `SHORT` characters, all its one-character deletions and itself; beyond that, the two variants that delete
-either half, for its own length and the length below (one edit leaves one half whole). Half keys that bring few
+either half, for its own length and the length below (one edit leaves one half whole); lines of exactly
+`SHORT` characters emit both. Half keys that bring few
 lines together are joined pair by pair; a half key that more than `GROUP` lines share is refined to character deletions of
 what the key leaves out, and there a minimum for each key and place takes the place of pairs, so no group is expanded.
 Every near pair is verified on its text.
@@ -92,7 +93,10 @@ def _emit(docs: DataFrame) -> DataFrame:
                 # A batch that is not in id order may not skip keys: the earliest place counts.
                 if len(line) >= MIN_FUZZY and ((a, b) not in seen or not ordered(batch)):
                     seen.add((a, b))
-                    made += cuts("line", line) if len(line) <= SHORT else [(HALF, x, -1) for x, _, _ in halves(line)]
+                    if len(line) <= SHORT:
+                        made += cuts("line", line)
+                    if len(line) >= SHORT:  # lines of SHORT characters meet both those of one less and those of one more
+                        made += [(HALF, x, -1) for x, _, _ in halves(line)]
                 for x, y, z in made:
                     kind.append(x)
                     key.append(y)

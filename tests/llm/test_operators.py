@@ -216,6 +216,15 @@ def test_line_dedup(spark, docs, empty):
     assert set(docs.columns) < set(lines.dedup_lines(docs).columns)
 
 
+@pytest.mark.parametrize("at", [0, 5, 15, 16, 17, 31, 32])
+def test_near_lines_on_both_sides_of_short(spark, at):
+    base = "".join(chr(97 + k * 7 % 26) for k in range(lines.SHORT))
+    other = "".join(chr(97 + k * 11 % 26) for k in range(lines.SHORT + 1))
+    rows = [(1, base), (2, base[:at] + "#" + base[at:]), (3, other), (4, other[:at] + other[at + 1 :])]
+    got = by_id(lines.dedup_lines(spark.createDataFrame(fixture(rows), SCHEMA)))
+    assert {i for i, r in got.items() if r["removed"]} == {2, 4}
+
+
 def test_large_half_groups_are_refined(spark):
     half = "shared first half of many lines "
     rows = [(i, half + f"{'tail' * 6} number {chr(97 + i % 26)}{i:03d}") for i in range(120)]
