@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from precinct import registry
 from precinct.functions import text
+from precinct.operators import network
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -26,3 +27,22 @@ def test_all_orders_and_events(spark):
     assert run("j08_edges_whole").count() == pairs
     assert run("a31_degrees_whole").count() == read("lineitem").select("l_partkey").distinct().count()
     assert run("w09_lead_summary_whole").count() == read("events").count()
+
+
+def test_betweenness_from_all_people_in_blocks(spark, monkeypatch):
+    """A path a-b-c-d-e, a block for every few sources, and the registered leads' own input."""
+    e = spark.createDataFrame([(a, b, 1.0) for a, b in zip("abcd", "bcde")], "src string, dst string, weight double")
+    who = spark.createDataFrame([(p,) for p in "abcde"], "person_id string")
+    monkeypatch.setattr(network, "BLOCK_PAIRS", 10)
+    got = {r["person_id"]: round(r["betweenness"], 9) for r in network.betweenness(e, who).collect()}
+    assert got == {"a": 0, "b": 0.5, "c": round(8 / 12, 9), "d": 0.5, "e": 0}
+    from precinct.plans import network as plans
+
+    w = spark.createDataFrame([("a", "i", 1.0), ("b", "i", 1.0), ("b", "j", 1.0), ("c", "j", 1.0), ("c", "k", 1.0), ("d", "k", 1.0)], "person_id string, incident_id string, w double")
+    monkeypatch.setattr(plans, "weights", lambda *_: w)
+    seen = {r["person_id"]: r["betweenness"] for r in registry.QUERIES["a29_betweenness"](spark, SF).collect()}
+    assert seen == {"a": 0, "b": 0.666666667, "c": 0.666666667, "d": 0}
+    kept = []
+    monkeypatch.setattr(network, "network_leads", lambda w, nodes, e: kept.append(nodes) or nodes)
+    registry.QUERIES["a33_network_leads"](spark, SF)
+    assert {r["person_id"]: round(r["betweenness"], 9) for r in kept[0].collect()} == seen
