@@ -1,9 +1,8 @@
 """Packing by optimal length buckets.
 
 One aggregation gives the histogram of token counts over all documents; dynamic programming over it chooses at most
-`n_buckets` upper bounds that make the padded total least (exactly, for the histogram's values: counts up to 4096 as
-they are, longer ones rounded up to 64 steps an octave, so the histogram is bounded whatever the data). Documents
-stay whole. Batches form inside each bucket, in ascending doc_id order, of as many documents as the token
+`n_buckets` upper bounds that make the padded total least, exactly. Distinct counts are at most the root of twice all tokens, so the histogram is small.
+Documents stay whole. Batches form inside each bucket, in ascending doc_id order, of as many documents as the token
 budget holds at the bucket's length, at least one.
 
 Null and empty texts have 0 tokens and go to the lowest bucket. Equal ids and lengths are placed side by side; an
@@ -22,20 +21,12 @@ from precinct.blocks.shared import materialize
 
 N_BUCKETS = 16
 TOKEN_BUDGET = 65_536
-EXACT = 4096
-STEPS = 64
 
 
 def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"\S+")).cast("long")
 
 
-def grid(n: Column) -> Column:
-    """The histogram's value for a count: itself, or rounded up to a step of its octave."""
-    step = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(n, F.lit(1)).cast("double"))) - 6).cast("long")
-    return F.when(n <= EXACT, n).otherwise(F.ceil(n / step).cast("long") * step)
-
-
 def optimal_bounds(lengths: list[int], counts: list[int], k: int) -> list[int]:
     """The at most k upper bounds, ascending, with the least padded total. Lines through (documents before,
     cost so far) and a lower hull make each layer linear."""
@@ -81,8 +72,8 @@ def pack(docs: DataFrame, n_buckets: int = N_BUCKETS, token_budget: int = TOKEN_
     counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (word_count(F.col("text")) if length is None else length).alias("n_tokens"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     key = F.col("doc_id").asc_nulls_first()
-    rows = materialize(counted.repartitionByRange(n, key).withColumns({"part": F.spark_partition_id(), "len": grid(F.col("n_tokens"))}), "packing")
-    found = sorted((r["len"], r["n"]) for r in rows.groupBy("len").agg(F.count("*").alias("n")).collect())  # the bounded histogram
+    rows = materialize(counted.repartitionByRange(n, key).withColumns({"part": F.spark_partition_id(), "len": F.col("n_tokens")}), "packing")
+    found = sorted((r["len"], r["n"]) for r in rows.groupBy("len").agg(F.count("*").alias("n")).collect())  # a row for each distinct length
     bounds = optimal_bounds([a for a, _ in found], [b for _, b in found], n_buckets)
     if not bounds:
         bounds = [0]

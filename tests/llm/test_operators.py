@@ -332,6 +332,11 @@ def test_packing(docs, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_long_documents_have_exact_bounds(spark):
+    d = spark.createDataFrame(fixture([(1, "w " * 5001), (2, "w " * 9003), (3, "w")]), SCHEMA)
+    assert {r["doc_id"]: (r["bucket_len"], r["pad"]) for r in packing.pack(d).collect()} == {1: (5001, 0), 2: (9003, 0), 3: (1, 0)}
+
+
 # -- 9
 
 
