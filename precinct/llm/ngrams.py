@@ -16,60 +16,60 @@ verifies only neighbours (by size) among those that share a token, which ties a
 all of whose documents are by then in one component are done. A second round pairs what shares enough of the
 remaining tokens and is not in one component yet. Only the sets of candidates travel, to be verified exactly.
 
-Null texts count as empty. Rows without doc_id have no component. doc_ids are taken to be unique; rows that repeat one
-with the same text give the same result. An empty table gives no rows.
+Null texts count as empty. Rows without doc_id have no component. Rows that repeat a doc_id are one document with
+several texts: each row has its own n_shingles, and the document links with whatever one of its texts links with. An empty
+table gives no rows. Sets are of 64-bit hashes; classes of equal sets have 128-bit digests.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from precinct.blocks.components import connected_components
 from precinct.blocks.shared import materialize
-from precinct.llm.common import Bounded, docs_text, map_batches, slices, space_words, word_hashes
+from precinct.llm.common import HashedWords, docs_text, map_batches, mixed, slices
 from precinct.llm.lines import hinted
 
 WORDS = 5
 PERCENT = 75
 #: Frequent tokens that the order knows; the others count as rare. A hint of bounded size, not a limit on results.
 KNOWN = 1_000_000
-#: Hashes a task holds when it counts frequent tokens.
-BLOCK = 3_000_000
+#: Hashes a task holds when it counts frequent tokens, and prefix tokens when it deals them out.
+BLOCK, DEALT = 2_000_000, 400_000
+#: Prefix tokens of a bucket, in which tokens meet: what a task handles at a time.
+BUCKET = 200_000
 MAX_EXTRA = 2
-_MEMO = Bounded(lambda w: xxhash.xxh3_64_intdigest(w))
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(WORDS)], np.uint64)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """A finaliser, so that the sums spread over all bits."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def shingle_sets(texts: list[str]) -> list[np.ndarray]:
+def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     """Each text's sorted distinct shingle hashes. All texts' windows are hashed at once, those of one text are kept."""
-    words = [space_words(t) for t in texts]
-    h = word_hashes([w for ws in words for w in ws], _MEMO)
+    words = HashedWords(texts)
+    h = words.hashes
     wide = max(len(h) - WORDS + 1, 0)
     total = np.full(wide, WORDS, np.uint64)
     for k in range(WORDS):
         total += h[k : wide + k] * _POWERS[k]
-    total = _mixed(total)
+    total = mixed(total)
     out, at = [], 0
-    for ws in words:
-        n = len(ws)
+    for n in words.counts.tolist():
         if n >= WORDS:
-            out.append(np.unique(total[at : at + n - WORDS + 1]))
+            s = np.sort(total[at : at + n - WORDS + 1])
+            first = np.empty(len(s), bool)
+            first[0] = True
+            np.not_equal(s[1:], s[:-1], out=first[1:])
+            out.append(s[first])
         elif n:
-            out.append(_mixed(np.array([n], np.uint64) + (h[at : at + n] * _POWERS[:n]).sum(dtype=np.uint64)))
+            out.append(mixed(np.array([n], np.uint64) + (h[at : at + n] * _POWERS[:n]).sum(dtype=np.uint64)))
         else:
             out.append(np.empty(0, np.uint64))
         at += n
@@ -92,15 +92,17 @@ def _survey(docs: DataFrame) -> DataFrame:
         held, size, seen = [], 0, set()
 
         def shared() -> pa.RecordBatch:
-            token, count = np.unique(np.concatenate(held), return_counts=True)
-            often = count > 1
+            every = np.sort(np.concatenate(held))
             held.clear()
             seen.clear()
-            return rows(token=token[often].view(np.int64), seen=count[often])
+            at = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+            count = np.diff(np.append(at, len(every)))
+            often = count > 1
+            return rows(token=every[at[often]].view(np.int64), seen=count[often])
 
         for b in batches:
             for piece in slices(b):
-                sets = shingle_sets(piece["text"].to_pylist())
+                sets = shingle_sets(piece["text"])
                 digests = [_digest(s) for s in sets]
                 for s, d in zip(sets, digests, strict=True):
                     if d not in seen and len(s):  # copies count once in a block
@@ -129,28 +131,114 @@ def prefix(s: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, int]:
     return order[: n - least + need], need
 
 
-def _postings(docs: DataFrame, known: np.ndarray, seen: np.ndarray) -> DataFrame:
-    """A row for each prefix token: token, doc, n, need, size (of the prefix), pos, common (whether the order knows it)."""
+#: A prefix token's numbers while it is dealt out, as arrays in binary columns.
+FIELDS = {"low": "<u4", "high": "<u4", "doc": "<i8", "n": "<u4", "need": "u1", "pos": "<u4"}
+SHARED = "token long, doc long, n int, need int, size int, pos int, last_doc long, last_n int, last_pos int"
 
-    def one(batch: pa.RecordBatch) -> dict:
-        token, doc, n, need, size, pos, common = [], [], [], [], [], [], []
-        for d, s in zip(batch["doc_id"].to_pylist(), shingle_sets(batch["text"].to_pylist()), strict=True):
-            if len(s):
-                at = np.minimum(np.searchsorted(known, s), max(len(known) - 1, 0))
-                often = np.where(known[at] == s, seen[at], 0) if len(known) else np.zeros(len(s), np.int64)
-                places, k = prefix(s, often)
-                token.append(s[places])
-                common.append(often[places] > 0)
-                doc += [d] * len(places)
-                n += [len(s)] * len(places)
-                need += [k] * len(places)
-                size += [len(places)] * len(places)
-                pos.append(np.arange(len(places)))
-        if not token:
-            return {k: [] for k in ("token", "doc", "n", "need", "size", "pos", "common")}
-        return {"token": np.concatenate(token).view(np.int64), "doc": doc, "n": n, "need": need, "size": size, "pos": np.concatenate(pos), "common": np.concatenate(common)}
-
-    return map_batches(docs, one, "token long, doc long, n int, need int, size int, pos int, common boolean")
+
+def packed(x: np.ndarray, kind: str) -> bytes:
+    """The array with its bytes by significance, so that the zeros of small numbers stand together and compress."""
+    x = np.ascontiguousarray(x, kind)
+    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def unpacked(raw: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
+
+
+def prefix_size(n, need):
+    return n - (PERCENT * n + 99) // 100 + need
+
+
+def _dealt(docs: DataFrame, known: np.ndarray, seen: np.ndarray, buckets: int) -> DataFrame:
+    """Prefix tokens dealt out by their hash, many to a row. Those that the order knows to be shared need not meet and go
+    to buckets of their own, by where they come from, so a hot token is in no one place."""
+    schema = pa.schema([("bucket", pa.int32()), *[(f, pa.binary()) for f in FIELDS]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size, turn = 0, TaskContext.get().partitionId()
+
+        def out() -> pa.RecordBatch:
+            nonlocal turn
+            token, doc, n, need, pos, common = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            turn += 1
+            high, low = token >> np.uint64(32), token & np.uint64(0xFFFFFFFF)
+            bucket = (high * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+            target = np.where(common, buckets + turn % buckets, bucket)
+            order = np.argsort(target, kind="stable")
+            target = target[order]
+            begin = np.flatnonzero(np.concatenate([[True], target[1:] != target[:-1]]))
+            columns = {"low": low[order], "high": bucket[order], "doc": doc[order], "n": n[order], "need": need[order], "pos": pos[order]}
+            made = {f: [packed(columns[f][a:b], kind) for a, b in itertools.pairwise([*begin.tolist(), len(order)])] for f, kind in FIELDS.items()}
+            return pa.RecordBatch.from_arrays([pa.array(target[begin], pa.int32()), *[pa.array(made[f], pa.binary()) for f in FIELDS]], schema=schema)
+
+        for b in batches:
+            for piece in slices(b):
+                for d, s in zip(piece["doc_id"].to_pylist(), shingle_sets(piece["text"]), strict=True):
+                    if len(s):
+                        at = np.minimum(np.searchsorted(known, s), max(len(known) - 1, 0))
+                        often = np.where(known[at] == s, seen[at], 0) if len(known) else np.zeros(len(s), np.int64)
+                        places, need = prefix(s, often)
+                        k = len(places)
+                        held.append((s[places], np.full(k, d), np.full(k, len(s)), np.full(k, need), np.arange(k), often[places] > 0))
+                        size += k
+                    if size >= DEALT:
+                        size = 0
+                        yield out()
+        if held:
+            yield out()
+
+    return docs.mapInArrow(run, "bucket int, " + ", ".join(f"{f} binary" for f in FIELDS))
+
+
+def _met(dealt: DataFrame, buckets: int, tasks: int) -> DataFrame:
+    """Prefix tokens that several documents have (or that are known to be shared): `SHARED`, with the one that comes
+    before by (n, doc) among those with the same token. A task handles one bucket at a time."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    schema = to_arrow_schema(_parse_datatype_string(SHARED))
+
+    def rows(x: dict, keep: np.ndarray, last: np.ndarray | None) -> pa.RecordBatch:
+        x = {f: v[keep] for f, v in x.items()}
+        none = np.ones(len(keep), bool) if last is None else ~last[keep]
+        before = (lambda v: np.zeros(len(keep), v.dtype)) if last is None else (lambda v: np.concatenate([v[:1], v[:-1]]))
+        columns = {
+            "token": x["high"].astype(np.int64) << 32 | x["low"].astype(np.int64), "doc": x["doc"], "n": x["n"], "need": x["need"],
+            "size": prefix_size(x["n"].astype(np.int64), x["need"].astype(np.int64)), "pos": x["pos"],
+            "last_doc": before(x["doc"]), "last_n": before(x["n"]), "last_pos": before(x["pos"]),
+        }
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name].astype(f.type.to_pandas_dtype()), f.type, mask=none if f.name.startswith("last_") else None) for f in schema], schema=schema)
+
+    def meet(held: list[dict]) -> pa.RecordBatch:
+        x = {f: np.concatenate([h[f] for h in held]) for f in FIELDS}
+        order = np.lexsort((x["doc"], x["n"], x["low"]))
+        x = {f: v[order] for f, v in x.items()}
+        same = x["low"][1:] == x["low"][:-1]
+        last, more = np.concatenate([[False], same]), np.concatenate([same, [False]])
+        return rows(x, np.flatnonzero(last | more), last)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = -1, []
+        for b in batches:
+            fields = [b[f].to_pylist() for f in FIELDS]
+            for k, bucket in enumerate(b["bucket"].to_pylist()):
+                if bucket != now and held:
+                    yield meet(held)
+                    held = []
+                now = bucket
+                x = {f: unpacked(v[k], kind) for v, (f, kind) in zip(fields, FIELDS.items(), strict=True)}
+                if bucket < buckets:
+                    held.append(x)
+                else:
+                    yield rows(x, np.arange(len(x["doc"])), None)
+        if held:
+            yield meet(held)
+
+    return dealt.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(run, SHARED)
 
 
 def _sizes_fit(a: str, b: str):
@@ -189,7 +277,7 @@ def verified_links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     ids = materialize(pairs.select("a").union(pairs.select("b")).distinct(), "candidates").withColumnRenamed("a", "doc_id")
 
     def sets(batch: pa.RecordBatch) -> dict:
-        found = shingle_sets(batch["text"].to_pylist())
+        found = shingle_sets(batch["text"])
         return {"doc": batch["doc_id"], "items": [s.tobytes() for s in found], "low": [np.sort(s.astype(np.uint16)).tobytes() for s in found]}
 
     items = materialize(map_batches(docs.join(hinted(ids), "doc_id", "left_semi"), sets, "doc long, items binary, low binary"), "candidate-sets")
@@ -197,19 +285,15 @@ def verified_links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return _compared(likely, items, "items", "<u8", lambda x, y: len(np.intersect1d(x, y, assume_unique=True)))
 
 
-def _neighbours(docs: DataFrame, known: np.ndarray, seen: np.ndarray) -> tuple[DataFrame, DataFrame]:
-    """(shared, pairs): the postings whose token has company, and the first round's pairs.
+def _neighbours(docs: DataFrame, known: np.ndarray, seen: np.ndarray, tokens: int) -> tuple[DataFrame, DataFrame]:
+    """(shared, pairs): the prefix tokens that have company, and the first round's pairs. tokens: of all sets.
 
     Of the documents with a token, each meets the next in size and the most central one of its size class: the one with
     the largest share of its prefix in common with others, as the original of a group of altered copies has."""
-    rows = _postings(docs, known, seen)
-    by_size = Window.partitionBy("token").orderBy("n", "doc")
-    last = F.lag(F.struct("doc", "n", "pos")).over(by_size)
-    rare = rows.filter("not common").select("token", "doc", "n", "need", "size", "pos", last.alias("last"), F.lead("doc").over(by_size).alias("next"))
-    rare = rare.filter("last is not null or next is not null").drop("next")
-    often = rows.filter("common").select("token", "doc", "n", "need", "size", "pos", F.lit(None).cast("struct<doc:long,n:int,pos:int>").alias("last"))
-    shared = materialize(rare.union(often), "shared-tokens")
-    near = shared.filter("last is not null").select(F.col("last.doc").alias("a"), F.col("doc").alias("b"), F.col("last.n").alias("na"), F.col("n").alias("nb"), F.col("last.pos").alias("pa"), F.col("pos").alias("pb"))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(1, tokens * (100 - PERCENT) // 100 // BUCKET)
+    shared = materialize(_met(_dealt(docs, known, seen, buckets), buckets, max(tasks, buckets // 4)), "shared-tokens")
+    near = shared.filter("last_doc is not null").select(F.col("last_doc").alias("a"), F.col("doc").alias("b"), F.col("last_n").alias("na"), F.col("n").alias("nb"), F.col("last_pos").alias("pa"), F.col("pos").alias("pb"))
     # Minima and maxima over tokens, not sorted groups; two overlapping rows of size classes.
     central = shared.groupBy("doc").agg((F.count("*") / F.max("size")).alias("central"))
     place = F.log("n") / F.log(F.lit(100 / PERCENT))
@@ -227,17 +311,19 @@ def _neighbours(docs: DataFrame, known: np.ndarray, seen: np.ndarray) -> tuple[D
 
 def _remaining(shared: DataFrame, component: DataFrame, tested: DataFrame) -> DataFrame:
     """Pairs that share enough prefix tokens, are in different components and were not tested."""
-    rows = shared.select("token", "doc", "n", "need", "size", "pos").join(hinted(component), F.col("doc") == F.col("node"), "left")
-    rows = materialize(rows.select("token", "doc", "n", "need", "size", "pos", F.coalesce("component", "doc").alias("c")), "open-tokens")
+    rows = shared.select("token", "doc", "n", "need", "pos").join(hinted(component), F.col("doc") == F.col("node"), "left")
+    rows = materialize(rows.select("token", "doc", "n", "need", "pos", F.coalesce("component", "doc").alias("c")), "open-tokens")
     several = rows.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("token")
     rows = rows.join(several, "token")
-    a = rows.select("token", *[F.col(x).alias(f"a_{x}") for x in ("doc", "n", "need", "size", "pos", "c")])
-    b = rows.select("token", *[F.col(x).alias(f"b_{x}") for x in ("doc", "n", "need", "size", "pos", "c")])
+    # Sizes that fit are in the same band or in bands side by side.
+    band = F.floor(F.log("n") / F.log(F.lit(100 / PERCENT)) + 1e-9)
+    a = rows.select("token", F.explode(F.array(band - 1, band, band + 1)).alias("band"), *[F.col(x).alias(f"a_{x}") for x in ("doc", "n", "need", "pos", "c")])
+    b = rows.select("token", band.alias("band"), *[F.col(x).alias(f"b_{x}") for x in ("doc", "n", "need", "pos", "c")])
     # For an overlap of at least `overlap`, the first `least` shared tokens stand among the first n - overlap + least of each.
     overlap = F.ceil((F.col("a_n") + F.col("b_n")) * PERCENT / (100 + PERCENT))
     least = F.least("a_need", "b_need")
     early = (F.col("a_pos") < F.col("a_n") - overlap + least) & (F.col("b_pos") < F.col("b_n") - overlap + least)
-    met = a.join(b, "token").filter("a_doc < b_doc and a_c <> b_c").filter(_sizes_fit("a_n", "b_n")).filter(early)
+    met = a.join(b, ["token", "band"]).filter("a_doc < b_doc and a_c <> b_c").filter(_sizes_fit("a_n", "b_n")).filter(early)
     enough = met.groupBy(F.col("a_doc").alias("a"), F.col("b_doc").alias("b")).agg(F.count("*").alias("k"), F.first(least).alias("need"))
     return enough.filter("k >= need").select("a", "b").join(tested, ["a", "b"], "left_anti")
 
@@ -254,11 +340,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     classes = materialize(every.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     member = every.join(classes.filter("copies > 1").drop("copies"), ["d1", "d2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
     member = materialize(member, "members")
-    copies = member.filter("rep <> doc_id").select("doc_id")
-    firsts = docs.filter("doc_id is not null").join(hinted(copies), "doc_id", "left_anti")
-
-    shared, pairs = _neighbours(firsts, known, seen)
-    links = materialize(verified_links(firsts, pairs), "links")
+    copies = member.groupBy("doc_id").agg(F.bool_and(F.col("rep") != F.col("doc_id")).alias("copy"), F.min("rep").alias("low"), F.max("rep").alias("high"))
+    several = copies.filter("low <> high").select("doc_id").join(member, "doc_id").filter("rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
+    several = materialize(several, "several-texts")
+    firsts = docs.filter("doc_id is not null").join(hinted(copies.filter("copy").select("doc_id")), "doc_id", "left_anti")
+
+    tokens = every.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    shared, pairs = _neighbours(firsts, known, seen, tokens)
+    links = materialize(verified_links(firsts, pairs).union(several), "links")
     component = materialize(connected_components(links, "a", "b"), "components")
     rest = materialize(_remaining(shared, component, pairs), "second-pairs")
     more = materialize(verified_links(firsts, rest), "links")
