@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from precinct.blocks.shared import hinted, materialize
+
 #: Byte table that lower-cases A-Z and leaves all else alone.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: As LOWER, and every ASCII byte that is neither letter nor digit becomes a space.
@@ -30,6 +33,29 @@ def docs_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+def told_apart(docs: DataFrame) -> DataFrame:
+    """docs_text of the rows with a doc_id, and `tx`: 0, or a hash of the text where an id has several texts. Rows equal in
+    both are one document."""
+    docs = docs_text(docs).filter("doc_id is not null")
+    tx = F.xxhash64("text")
+    several = docs.groupBy("doc_id").agg(F.min(tx).alias("low"), F.max(tx).alias("high")).filter("low <> high").select("doc_id", F.lit(True).alias("several"))
+    several = materialize(several, "ids-with-several-texts")
+    return docs.join(hinted(several), "doc_id", "left").select("doc_id", F.when(F.col("several"), tx).otherwise(F.lit(0).cast("long")).alias("tx"), "text")
+
+
+def with_found(docs: DataFrame, keyed: DataFrame, found: DataFrame, column: str) -> DataFrame:
+    """All rows and columns of docs, and a struct `column` of what was found for (doc_id, tx), or null. No other column of docs
+    is touched, whatever its name."""
+    ids = materialize(keyed.filter("tx <> 0").select("doc_id").distinct(), "ids-with-several-texts")
+    several = hinted(ids.select(F.struct(F.col("doc_id").alias("id"), F.lit(True).alias("several")).alias("__several")))
+    right = hinted(found.select(F.struct(*found.columns).alias("__found")))
+    id_ = F.col("__row.doc_id").cast("long")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")).join(several, id_ == F.col("__several.id"), "left")
+    tx = F.when(F.col("__several.several"), F.xxhash64(F.coalesce("__row.text", F.lit("")))).otherwise(F.lit(0).cast("long"))
+    joined = rows.join(right, (id_ == F.col("__found.doc_id")) & (tx == F.col("__found.tx")), "left")
+    return joined.select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns], F.col("__found").alias(column))
+
+
 def remainder(n: int) -> F.Column:
     """crc32 of the id as text, modulo n; null ids count as 0."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % n, F.lit(0))
@@ -102,6 +128,50 @@ class Bounded(dict):
         return value
 
 
+# -- Columns of numbers in binary, dealt out by the bucket ----------------------------------------------------------------
+
+
+def packed(x: np.ndarray, kind: str) -> bytes:
+    """The array with its bytes by significance, so that the zeros of small numbers stand together and compress."""
+    x = np.ascontiguousarray(x, kind)
+    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def unpacked(raw: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
+
+
+def deal(target: np.ndarray, columns: dict[str, np.ndarray], fields: dict[str, str]) -> pa.RecordBatch:
+    """A row a bucket of target: its entries of all columns, packed. fields: name and numpy type of each."""
+    order = np.argsort(target, kind="stable")
+    target = target[order]
+    begin = np.flatnonzero(np.concatenate([[True], target[1:] != target[:-1]])) if len(target) else np.empty(0, np.int64)
+    spans = list(itertools.pairwise([*begin.tolist(), len(order)]))
+    made = {f: [packed(x[a:b], fields[f]) for a, b in spans] for f, x in ((f, columns[f][order]) for f in fields)}
+    schema = pa.schema([("bucket", pa.int32()), *[(f, pa.binary()) for f in fields]])
+    return pa.RecordBatch.from_arrays([pa.array(target[begin], pa.int32()), *[pa.array(made[f], pa.binary()) for f in fields]], schema=schema)
+
+
+def dealt_schema(fields: dict[str, str]) -> str:
+    return "bucket int, " + ", ".join(f"{f} binary" for f in fields)
+
+
+def undealt(batches: Iterator[pa.RecordBatch], fields: dict[str, str]) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
+    """(bucket, its columns), one bucket at a time, of rows sorted by the bucket."""
+    now, held = None, []
+    whole = lambda: {f: np.concatenate([unpacked(h[f], kind) for h in held]) for f, kind in fields.items()}
+    for b in batches:
+        for row in b.to_pylist():
+            if row["bucket"] != now and held:
+                yield now, whole()
+                held = []
+            now = row["bucket"]
+            held.append(row)
+    if held:
+        yield now, whole()
+
+
 # -- Words as hashes, without a Python object a word ---------------------------------------------------------------------
 
 #: Words hashed at a time: what this needs stays in the processor's cache.
@@ -152,11 +222,19 @@ class HashedWords:
         first[1:] &= ~inside[:-1]
         heads = ends[:-1][ends[:-1] < len(inside)]
         first[heads] = inside[heads]  # a text begins a word whatever stands before it
-        self.inside, self.starts = inside, np.flatnonzero(first)
+        self.inside, self.starts, self.heads = inside, np.flatnonzero(first), heads
         self.bounds = np.searchsorted(self.starts, ends)
         self.counts = np.diff(self.bounds)
         self.hashes = mixed(self._sums())
 
+    def stops(self) -> np.ndarray:
+        """Where each word ends."""
+        last = self.inside.copy()
+        last[:-1] &= ~self.inside[1:]
+        before = self.heads[self.heads > 0] - 1
+        last[before] = self.inside[before]
+        return np.flatnonzero(last) + 1
+
     def _sums(self) -> np.ndarray:
         s, n = self.starts, len(self.raw)
         out = np.empty(len(s), np.uint64)

@@ -13,13 +13,11 @@ each kept. An empty table gives no rows.
 
 from __future__ import annotations
 
+import itertools
 import os
-import re
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from precinct.blocks.shared import materialize
-from precinct.llm.common import LOWER, docs_text, map_batches
+from precinct.llm.common import HashedWords, docs_text, map_batches
 
 MAGIC = b"RVB1"
 FILE_BYTES = 4_000_000
@@ -76,78 +74,91 @@ def read_file(blob: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [None if x else i for x, i in zip(null, ids, strict=True)], counts, decode_values(blob[at : at + nc], blob[at + nc :], n)
 
 
-class Recent:
-    """A memo in two generations: what is used stays, memory is bounded."""
-
-    def __init__(self, most: int):
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-        self.most = most
-
-    def ready(self, keys: set[bytes]) -> list[bytes]:
-        """Bring known keys to the new generation; returns the others."""
-        if len(self.new) > self.most:
-            self.new, self.old = {}, self.new
-        missing = []
-        for k in keys - self.new.keys():
-            v = self.old.get(k)
-            if v is None:
-                missing.append(k)
-            else:
-                self.new[k] = v
-        return missing
-
-
-#: The tokenizer's own pieces of a lower-cased Latin-1 word: letters, single digits, runs of signs. Fixed values.
-_LETTER, _DIGIT, _SPACE = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
-PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^{_LETTER}{_DIGIT}{_SPACE}]+")
+#: Stands between words in one call of the tokenizer: a byte with an id of its own that text hardly has. Fixed value.
+SEPARATOR = "\x01"
 
 
 class WordEncoder:
-    """Whole texts to ids, by way of a memo of the words between white space and of their pieces.
+    """Whole texts to ids, by way of a memo of the words between white space.
 
-    The tokenizer drops white space, cuts words into pieces and never merges across them, so a text's ids are its
-    pieces' ids in order. Words with other characters than Latin-1, or that may hold a special token, go to the
-    tokenizer whole."""
+    The tokenizer drops white space, never merges across it and lower-cases, so a text's ids are its words' ids in order.
+    Words are known by their 64-bit hash; the memo is sorted arrays of hashes, places and lengths in a pool of ids, and
+    starts anew when full. Texts that may hold a special token go to the tokenizer whole."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.wide = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.words, self.pieces = Recent(most), Recent(most)
-
-    def _cut(self, word: bytes) -> list[bytes]:
-        # bytes.isalpha() is true of ASCII letters alone, and A-Z are lower-cased by now.
-        if word.isalpha():
-            return [word]
-        if word[-1:] in (b".", b",") and word[:-1].isalpha():
-            return [word[:-1], word[-1:]]
-        text = word.decode("utf-8")
-        if b"<|" in word or max(text) > "\xff":
-            return [word]
-        return [p.encode("utf-8") for p in PIECES.findall(text.lower())]
-
-    def _learn(self, words: set[bytes]) -> None:
-        missing = self.words.ready(words)
-        cuts = [self._cut(w) for w in missing]
-        new = self.pieces.ready(set(chain.from_iterable(cuts)))
-        made, code = self.pieces.new, {2: "H", 4: "I"}[int(self.wide[2])]
-        for k in range(0, len(new), 10_000):
-            part = new[k : k + 10_000]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast([p.decode("utf-8") for p in part], add_special_tokens=False), strict=True):
-                made[p] = array(code, e.ids).tobytes()
-        known = self.words.new
-        for w, c in zip(missing, cuts, strict=True):
-            known[w] = made[c[0]] if len(c) == 1 else b"".join([made[p] for p in c])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        # "<|" may begin a special token, whose case counts; elsewhere the tokenizer lower-cases A-Z anyhow.
-        split = [(b if b"<|" in b else b.translate(LOWER)).split() for b in (t.encode("utf-8") for t in texts)]
-        self._learn(set().union(*split))
-        get = self.words.new.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.wide = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        (self.separator,) = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.at, self.size = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.pool, self.used = np.empty(1 << 16, self.wide), 0
+
+    def _ids(self, words: list[str]) -> list[np.ndarray]:
+        """Each word's ids; many words take one call."""
+        alone = {k for k, w in enumerate(words) if SEPARATOR in w}
+        out: list = [None] * len(words)
+        for k in alone:
+            out[k] = np.array(self.tokenizer.encode(words[k], add_special_tokens=False).ids, self.wide)
+        rest = [k for k in range(len(words)) if k not in alone]
+        for j in range(0, len(rest), 5000):
+            part = rest[j : j + 5000]
+            (e,) = self.tokenizer.encode_batch_fast([f" {SEPARATOR} ".join([words[k] for k in part])], add_special_tokens=False)
+            ids = np.array(e.ids, self.wide)
+            cut = np.flatnonzero(ids == self.separator)
+            begins, ends = np.concatenate([[0], cut + 1]), np.append(cut, len(ids))
+            for k, a, b in zip(part, begins.tolist(), ends.tolist(), strict=True):
+                out[k] = ids[a:b]
+        return out
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        made = self._ids(words)
+        size = np.array([len(x) for x in made], np.int64)
+        at = self.used + np.cumsum(size) - size
+        self.used += int(size.sum())
+        if self.used > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.empty(self.used, self.wide)])
+        if made:
+            self.pool[self.used - int(size.sum()) : self.used] = np.concatenate(made)
+        known = np.concatenate([self.known, hashes])
+        order = np.argsort(known, kind="stable")
+        self.known, self.at, self.size = known[order], np.concatenate([self.at, at])[order], np.concatenate([self.size, size])[order]
+
+    def _places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.known, hashes), max(len(self.known) - 1, 0))
+        return at, self.known[at] == hashes if len(self.known) else np.zeros(len(hashes), bool)
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Each text's ids, little-endian, 2 bytes an id if the vocabulary allows."""
+        w = HashedWords(texts)
+        if len(self.known) > self.most:
+            self._forget()
+        order = np.argsort(w.hashes)
+        ranked = w.hashes[order]
+        new = np.concatenate([[True], ranked[1:] != ranked[:-1]]) if len(order) else np.empty(0, bool)
+        every, one = ranked[new], order[new]
+        _, there = self._places(every)
+        missing = one[~there]
+        raw, stops = w.raw.tobytes(), w.stops()
+        self._learn(every[~there], [raw[a:b].decode("utf-8", "replace") for a, b in zip(w.starts[missing].tolist(), stops[missing].tolist(), strict=True)])
+        at, _ = self._places(every)
+        which = np.empty(len(order), np.int64)
+        which[order] = np.cumsum(new) - 1
+        at = at[which]
+        size = self.size[at]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        flat = self.pool[np.repeat(self.at[at] - ends[:-1], size) + np.arange(ends[-1])]
+        cuts = ends[w.bounds].tolist()
+        out = [flat[a:b].tobytes() for a, b in itertools.pairwise(cuts)]
+        if b"<|" in raw:
+            for k, t in enumerate(texts.to_pylist()):
+                if "<|" in t:
+                    out[k] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.wide).tobytes()
+        return out
 
 
 def encoder(path: str) -> WordEncoder:
@@ -163,8 +174,8 @@ def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     def one(batch: pa.RecordBatch) -> dict:
         e = encoder(path)
         end = np.array([end_id], e.wide).tobytes()
-        ids = [x + end for x in e.encode(batch["text"].to_pylist())]
-        return {"doc_id": batch["doc_id"], "ids": ids, "wide": [int(e.wide[2])] * len(ids)}
+        ids = [x + end for x in e.encode(batch["text"])]
+        return {"doc_id": batch["doc_id"], "ids": ids, "wide": [e.wide.itemsize] * len(ids)}
 
     return map_batches(docs_text(docs), one, "doc_id long, ids binary, wide int")
 

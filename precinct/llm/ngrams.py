@@ -23,7 +23,6 @@ table gives no rows. Sets are of 64-bit hashes; classes of equal sets have 128-b
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,9 +34,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from precinct.blocks.components import connected_components
-from precinct.blocks.shared import materialize
-from precinct.llm.common import HashedWords, docs_text, map_batches, mixed, slices
-from precinct.llm.lines import hinted
+from precinct.blocks.shared import hinted, materialize
+from precinct.llm.common import HashedWords, deal, dealt_schema, docs_text, map_batches, mixed, slices, undealt
 
 WORDS = 5
 PERCENT = 75
@@ -136,17 +134,6 @@ FIELDS = {"low": "<u4", "high": "<u4", "doc": "<i8", "n": "<u4", "need": "u1", "
 SHARED = "token long, doc long, n int, need int, size int, pos int, last_doc long, last_n int, last_pos int"
 
 
-def packed(x: np.ndarray, kind: str) -> bytes:
-    """The array with its bytes by significance, so that the zeros of small numbers stand together and compress."""
-    x = np.ascontiguousarray(x, kind)
-    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
-
-
-def unpacked(raw: bytes, kind: str) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
-
-
 def prefix_size(n, need):
     return n - (PERCENT * n + 99) // 100 + need
 
@@ -154,7 +141,6 @@ def prefix_size(n, need):
 def _dealt(docs: DataFrame, known: np.ndarray, seen: np.ndarray, buckets: int) -> DataFrame:
     """Prefix tokens dealt out by their hash, many to a row. Those that the order knows to be shared need not meet and go
     to buckets of their own, by where they come from, so a hot token is in no one place."""
-    schema = pa.schema([("bucket", pa.int32()), *[(f, pa.binary()) for f in FIELDS]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -168,12 +154,7 @@ def _dealt(docs: DataFrame, known: np.ndarray, seen: np.ndarray, buckets: int) -
             high, low = token >> np.uint64(32), token & np.uint64(0xFFFFFFFF)
             bucket = (high * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
             target = np.where(common, buckets + turn % buckets, bucket)
-            order = np.argsort(target, kind="stable")
-            target = target[order]
-            begin = np.flatnonzero(np.concatenate([[True], target[1:] != target[:-1]]))
-            columns = {"low": low[order], "high": bucket[order], "doc": doc[order], "n": n[order], "need": need[order], "pos": pos[order]}
-            made = {f: [packed(columns[f][a:b], kind) for a, b in itertools.pairwise([*begin.tolist(), len(order)])] for f, kind in FIELDS.items()}
-            return pa.RecordBatch.from_arrays([pa.array(target[begin], pa.int32()), *[pa.array(made[f], pa.binary()) for f in FIELDS]], schema=schema)
+            return deal(target, {"low": low, "high": bucket, "doc": doc, "n": n, "need": need, "pos": pos}, FIELDS)
 
         for b in batches:
             for piece in slices(b):
@@ -191,7 +172,7 @@ def _dealt(docs: DataFrame, known: np.ndarray, seen: np.ndarray, buckets: int) -
         if held:
             yield out()
 
-    return docs.mapInArrow(run, "bucket int, " + ", ".join(f"{f} binary" for f in FIELDS))
+    return docs.mapInArrow(run, dealt_schema(FIELDS))
 
 
 def _met(dealt: DataFrame, buckets: int, tasks: int) -> DataFrame:
@@ -213,30 +194,16 @@ def _met(dealt: DataFrame, buckets: int, tasks: int) -> DataFrame:
         }
         return pa.RecordBatch.from_arrays([pa.array(columns[f.name].astype(f.type.to_pandas_dtype()), f.type, mask=none if f.name.startswith("last_") else None) for f in schema], schema=schema)
 
-    def meet(held: list[dict]) -> pa.RecordBatch:
-        x = {f: np.concatenate([h[f] for h in held]) for f in FIELDS}
-        order = np.lexsort((x["doc"], x["n"], x["low"]))
-        x = {f: v[order] for f, v in x.items()}
-        same = x["low"][1:] == x["low"][:-1]
-        last, more = np.concatenate([[False], same]), np.concatenate([same, [False]])
-        return rows(x, np.flatnonzero(last | more), last)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = -1, []
-        for b in batches:
-            fields = [b[f].to_pylist() for f in FIELDS]
-            for k, bucket in enumerate(b["bucket"].to_pylist()):
-                if bucket != now and held:
-                    yield meet(held)
-                    held = []
-                now = bucket
-                x = {f: unpacked(v[k], kind) for v, (f, kind) in zip(fields, FIELDS.items(), strict=True)}
-                if bucket < buckets:
-                    held.append(x)
-                else:
-                    yield rows(x, np.arange(len(x["doc"])), None)
-        if held:
-            yield meet(held)
+        for bucket, x in undealt(batches, FIELDS):
+            if bucket >= buckets:
+                yield rows(x, np.arange(len(x["doc"])), None)
+                continue
+            order = np.lexsort((x["doc"], x["n"], x["low"]))
+            x = {f: v[order] for f, v in x.items()}
+            same = x["low"][1:] == x["low"][:-1]
+            last, more = np.concatenate([[False], same]), np.concatenate([same, [False]])
+            yield rows(x, np.flatnonzero(last | more), last)
 
     return dealt.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(run, SHARED)
 

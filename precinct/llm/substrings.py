@@ -1,30 +1,47 @@
 """Substring dedup by content-defined chunking.
 
-A gear rolling hash over the last 16 bytes decides where a text is cut, so an insertion moves only the cuts beside it.
-The variable chunks (32 bytes on average, at most `MAX_CHUNK`) meet by 128-bit digest; the occurrence that is first by
-(doc_id, place) is the original and the others are copies. Copies that follow each other in a document form a span; a
-span of at least `MIN_SPAN` bytes is a repeated passage and goes, shorter ones are chance or idiom and stay.
+A gear rolling hash over the last 16 bytes decides where a text is cut: wherever it is the least of some `WINDOW` places
+in a row, so every such stretch has a cut and an insertion moves only the cuts beside it. The variable chunks meet by
+digest; the occurrence that is first by (doc_id, place) is the original and the others are copies. Copies that follow
+each other in a document form a run. A run is compared with the bytes beside its original, which gives the passage's true
+ends, in whole words. A passage of at least `MIN_WORDS` words (or `MIN_BYTES` bytes, for texts without spaces) is a
+repeat and goes; shorter ones are idiom and stay.
 
-Cuts fall between characters. Null and empty texts have no chunks and stay as they are. Rows that repeat with one
-doc_id count as one document; rows without doc_id stay as they are. An empty table gives no rows.
+Chunks are dealt out by digest in packed blocks. A task sends one chunk for each digest and `HELD` chunks, so a
+digest that a large part of the corpus has makes no large group; what it holds back are copies anyhow, whose original is
+looked up afterwards.
+
+Cuts fall between characters. Null and empty texts have no chunks and stay as they are. Rows that repeat doc_id and text
+are one document; other texts under the same doc_id are documents of their own. Rows without doc_id stay as they are. An
+empty table gives no rows. Digests have 64 bits and those of the bucket.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from precinct.blocks.shared import materialize
-from precinct.llm.common import docs_text, map_batches
-from precinct.llm.lines import hinted
+from precinct.blocks.shared import hinted, materialize
+from precinct.llm.common import deal, dealt_schema, map_batches, slices, told_apart, undealt, with_found
 
-MEAN_CHUNK = 32
+WINDOW = 80
 MIN_CHUNK = 8
-MAX_CHUNK = 256
-MIN_SPAN = 100
+MAX_CHUNK = 250
+MIN_WORDS = 50
+MIN_BYTES = 600
+#: Bytes beside a run that are compared: more than a passage can reach beyond its whole chunks.
+CONTEXT = 320
+#: Chunks that a task holds before it deals them out, and chunks of a bucket.
+HELD, BUCKET = 500_000, 200_000
+#: Chunks at either end of a run that say which original lies beside it.
+ENDS = 4
 SPANS = "array<struct<begin:int,end:int>>"
 
 #: Gear table: a fixed pseudo-random number for each byte, from a linear congruential rule.
@@ -34,6 +51,7 @@ for _k in range(256):
     for _ in range(4):
         _x = (_x * 6364136223846793005 + 1442695040888963407) % (1 << 64)
     GEAR[_k] = _x >> 32
+_NEVER = np.uint32(0xFFFFFFFF)
 
 
 def rolling(data: np.ndarray) -> np.ndarray:
@@ -45,17 +63,31 @@ def rolling(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def cut_places(data: np.ndarray, mean: int = MEAN_CHUNK) -> np.ndarray:
+def _over_windows(x: np.ndarray, wide: int, pick) -> np.ndarray:
+    """pick (minimum or maximum) over every `wide` places in a row, by doubling."""
+    out, have = x, 1
+    while 2 * have <= wide:
+        out = pick(out[:-have], out[have:])
+        have *= 2
+    return pick(out[: len(x) - wide + 1], out[wide - have : wide - have + len(x) - wide + 1]) if have < wide else out
+
+
+def cut_places(data: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Ends of the chunks of a text's UTF-8 bytes; the last is its length."""
     n = len(data)
     if not n:
         return np.empty(0, np.int64)
-    h = rolling(data) & np.uint32(0xFFFF)
-    ends = np.flatnonzero(h < 65536 // mean) + 1
-    ends = ends[(ends < n)]
-    ends = ends[(data[ends] & 0xC0) != 0x80]
-    if len(ends):
-        ends = ends[np.diff(ends, prepend=-MIN_CHUNK) >= MIN_CHUNK]  # a rule that looks back one cut only
+    ends = np.empty(0, np.int64)
+    if n >= window + 16:
+        h = rolling(data)
+        h[:15] = _NEVER
+        h[:-1][(data[1:] & 0xC0) == 0x80] = _NEVER  # not inside a character
+        least = np.zeros(n + window - 1, np.uint32)
+        least[window - 1 : n] = _over_windows(h, window, np.minimum)
+        ends = np.flatnonzero((_over_windows(least, window, np.maximum) == h) & (h != _NEVER)) + 1
+        ends = ends[ends < n]
+        if len(ends):
+            ends = ends[np.diff(ends, prepend=-MIN_CHUNK) >= MIN_CHUNK]  # a rule that looks back one cut only
     ends = np.append(ends, n)
     begins = np.concatenate([[0], ends[:-1]])
     if (long := ends - begins > MAX_CHUNK).any():
@@ -67,56 +99,189 @@ def cut_places(data: np.ndarray, mean: int = MEAN_CHUNK) -> np.ndarray:
     return ends
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """A row for every chunk: h1, h2 (digest), doc_id, at (first byte), size."""
+FIELDS = {"h": "<u8", "doc": "<i8", "tx": "<i8", "at": "<u4", "size": "<u2", "first_doc": "<i8", "first_tx": "<i8", "first_at": "<u4"}
+COPIES = "held boolean, doc long, tx long, at int, size int, first_doc long, first_tx long, first_at int"
 
-    def one(batch: pa.RecordBatch) -> dict:
-        digests, at, size, counts = [], [], [], []
-        for text in batch["text"].to_pylist():
-            raw = text.encode("utf-8")
-            ends = cut_places(np.frombuffer(raw, np.uint8))
-            begins = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-            digests += [xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
-            at.append(begins)
-            size.append(ends - begins)
-            counts.append(len(ends))
-        h = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-        flat = lambda x: np.concatenate(x).astype(np.int32) if x else np.empty(0, np.int32)
-        doc = np.repeat(batch["doc_id"].to_numpy(zero_copy_only=False), counts)
-        return {"h1": np.ascontiguousarray(h[:, 0]), "h2": np.ascontiguousarray(h[:, 1]), "doc_id": doc, "at": flat(at), "size": flat(size)}
-
-    return map_batches(docs, one, "h1 long, h2 long, doc_id long, at int, size int")
-
-
-def merge_copies(copies: list[dict], least: int) -> tuple[list[dict], list[int]]:
-    """Spans of at least `least` bytes made of copies that follow each other, and the originals' documents."""
-    spans: list[dict] = []
-    held: list[set] = []
+
+def _dealt(docs: DataFrame, buckets: int) -> DataFrame:
+    """Chunks by bucket of their digest; copies of a digest that the task has already sent go to buckets of their own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size, turn = 0, TaskContext.get().partitionId()
+
+        def out() -> pa.RecordBatch:
+            nonlocal turn
+            turn += 1
+            digests = np.frombuffer(b"".join(x[0] for x in held), "<u8").reshape(-1, 2)
+            h, bucket = np.ascontiguousarray(digests[:, 0]), ((digests[:, 1] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            doc, tx, at, size = (np.concatenate([x[k] for x in held]) for k in (1, 2, 3, 4))
+            held.clear()
+            order = np.lexsort((at, tx, doc, bucket, h))
+            h, bucket, doc, tx, at, size = (v[order] for v in (h, bucket, doc, tx, at, size))
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (bucket[1:] != bucket[:-1])])
+            first = np.flatnonzero(new)[np.cumsum(new) - 1]
+            columns = {"h": np.where(new, h, 0), "doc": doc, "tx": tx, "at": at, "size": size, "first_doc": np.where(new, 0, doc[first]), "first_tx": np.where(new, 0, tx[first]), "first_at": np.where(new, 0, at[first])}
+            return deal(np.where(new, bucket, buckets + turn % buckets), columns, FIELDS)
+
+        for b in batches:
+            for piece in slices(b):
+                for doc, tx, text in zip(piece["doc_id"].to_pylist(), piece["tx"].to_pylist(), piece["text"].to_pylist(), strict=True):
+                    raw = text.encode("utf-8")
+                    ends = cut_places(np.frombuffer(raw, np.uint8))
+                    k = len(ends)
+                    if k:
+                        begins = np.concatenate([[0], ends[:-1]])
+                        digests = b"".join([xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)])
+                        held.append((digests, np.full(k, doc), np.full(k, tx), begins, ends - begins))
+                        size += k
+                    if size >= HELD:
+                        size = 0
+                        yield out()
+        if held:
+            yield out()
+
+    return docs.mapInArrow(run, dealt_schema(FIELDS))
+
+
+def _copies(dealt: DataFrame, buckets: int, tasks: int) -> DataFrame:
+    """`COPIES`: every chunk that isn't the first with its digest, with the first; for those held back by a task (held), with the
+    one that was sent in their place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, x in undealt(batches, FIELDS):
+            if bucket < buckets:
+                order = np.lexsort((x["at"], x["tx"], x["doc"], x["h"]))
+                x = {f: v[order] for f, v in x.items()}
+                new = np.concatenate([[True], x["h"][1:] != x["h"][:-1]])
+                first = np.flatnonzero(new)[np.cumsum(new) - 1]
+                x |= {f"first_{f}": x[f][first] for f in ("doc", "tx", "at")}
+                x = {f: v[~new] for f, v in x.items()}
+            n = len(x["doc"])
+            kinds = {"held": pa.bool_(), "doc": pa.int64(), "tx": pa.int64(), "at": pa.int32(), "size": pa.int32(), "first_doc": pa.int64(), "first_tx": pa.int64(), "first_at": pa.int32()}
+            x["held"] = np.full(n, bucket >= buckets)
+            yield pa.RecordBatch.from_arrays([pa.array(x[f].astype(k.to_pandas_dtype()), k) for f, k in kinds.items()], names=list(kinds))
+
+    return dealt.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(run, COPIES)
+
+
+def chunk_copies(docs: DataFrame) -> DataFrame:
+    """doc, tx, at, size, first_doc, first_tx, first_at: every chunk that isn't the first with its digest. docs: told_apart."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = max(1, 2 * size // WINDOW // BUCKET)
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = materialize(_copies(_dealt(docs, buckets), buckets, max(tasks, buckets // 4)), "chunk-copies")
+    sent, back = found.filter("not held").drop("held"), found.filter("held").drop("held")
+    true = sent.select(*[F.col(f).alias(f"s_{f}") for f in ("doc", "tx", "at")], F.struct("first_doc", "first_tx", "first_at").alias("true"))
+    on = (F.col("first_doc") == F.col("s_doc")) & (F.col("first_tx") == F.col("s_tx")) & (F.col("first_at") == F.col("s_at"))
+    back = back.join(true, on, "left").select("doc", "tx", "at", "size", *[F.coalesce(F.col(f"true.{f}"), F.col(f)).alias(f) for f in ("first_doc", "first_tx", "first_at")])
+    return sent.union(back)
+
+
+def runs_of(copies: list[dict]) -> list[dict]:
+    """Runs of copies that follow each other: begin, end, the originals' documents, and the places in documents that
+    stand where the run begins and ends (doc, tx, at)."""
+    runs: list[list[dict]] = []
     for c in sorted(copies, key=lambda c: c["at"]):
-        if spans and spans[-1]["end"] == c["at"]:
-            spans[-1]["end"] += c["size"]
-            held[-1].add(c["first"])
+        if runs and runs[-1][-1]["at"] + runs[-1][-1]["size"] == c["at"]:
+            runs[-1].append(c)
         else:
-            spans.append({"begin": c["at"], "end": c["at"] + c["size"]})
-            held.append({c["first"]})
-    kept = [(s, f) for s, f in zip(spans, held, strict=True) if s["end"] - s["begin"] >= least]
-    return [s for s, _ in kept], sorted(set().union(*(f for _, f in kept))) if kept else []
+            runs.append([c])
 
+    def beside(chunks: list[dict], place: int) -> tuple[int, int, int]:
+        weight: Counter = Counter()
+        for c in chunks:
+            weight[c["first_doc"], c["first_tx"], c["first_at"] - c["at"]] += c["size"]
+        doc, tx, off = min(weight, key=lambda k: (-weight[k], k))
+        return doc, tx, max(place + off, 0)
 
-def repeated_spans(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
-    """doc_id, spans (bytes of repeated passages), first_doc_ids: for the documents that have some."""
-    docs = docs_text(docs).filter("doc_id is not null")
-    first = F.min(F.struct("doc_id", "at")).alias("first")
-    common = materialize(chunks(docs).groupBy("h1", "h2").agg(first, F.count("*").alias("n")).filter("n > 1").drop("n"), "common-chunks")
-    copies = chunks(docs).join(hinted(common), ["h1", "h2"]).filter(F.struct("doc_id", "at") > F.col("first"))
-    by_doc = copies.groupBy("doc_id").agg(F.collect_set(F.struct("at", "size", F.col("first.doc_id").alias("first"))).alias("copies"))
+    return [
+        {"begin": (a := r[0]["at"]), "end": (b := r[-1]["at"] + r[-1]["size"]), "firsts": sorted({c["first_doc"] for c in r}), "left": beside(r[:ENDS], a), "right": beside(r[-ENDS:], b)}
+        for r in runs
+    ]
+
+
+RUN = "begin int, end int, firsts array<long>, l_doc long, l_tx long, l_at int, r_doc long, r_tx long, r_at int"
+
+
+def _runs(copies: DataFrame) -> DataFrame:
+    by_doc = copies.groupBy("doc", "tx").agg(F.collect_list(F.struct("at", "size", "first_doc", "first_tx", "first_at")).alias("copies"))
+
+    def one(batch: pa.RecordBatch) -> dict:
+        rows = [(d, t, r) for d, t, c in zip(batch["doc"].to_pylist(), batch["tx"].to_pylist(), batch["copies"].to_pylist(), strict=True) for r in runs_of(c)]
+        sides = {f"{s}_{f}": [r[side][k] for _, _, r in rows] for s, side in (("l", "left"), ("r", "right")) for k, f in enumerate(("doc", "tx", "at"))}
+        return {"doc": [x[0] for x in rows], "tx": [x[1] for x in rows], **{f: [r[f] for _, _, r in rows] for f in ("begin", "end", "firsts")}, **sides}
+
+    return map_batches(by_doc, one, f"doc long, tx long, {RUN}")
+
+
+def _contexts(docs: DataFrame, runs: DataFrame) -> DataFrame:
+    """doc, tx, at, after, bytes: up to CONTEXT bytes before or after each wanted place."""
+    side = lambda s, after: runs.select(*[F.col(f"{s}_{f}").alias(f) for f in ("doc", "tx", "at")], F.lit(after).alias("after"))
+    wanted = side("l", False).union(side("r", True)).distinct().groupBy(F.col("doc").alias("doc_id"), "tx").agg(F.collect_list(F.struct("at", "after")).alias("want"))
+    found = docs.join(hinted(materialize(wanted, "wanted-contexts")), ["doc_id", "tx"]).dropDuplicates(["doc_id", "tx"])
 
     def one(batch: pa.RecordBatch) -> dict:
-        made = [(d, *merge_copies(c, min_span)) for d, c in zip(batch["doc_id"].to_pylist(), batch["copies"].to_pylist(), strict=True)]
-        made = [m for m in made if m[1]]
-        return {"doc_id": [m[0] for m in made], "spans": [m[1] for m in made], "first_doc_ids": [m[2] for m in made]}
+        out = []
+        for doc, tx, text, want in zip(*(batch[c].to_pylist() for c in ("doc_id", "tx", "text", "want")), strict=True):
+            raw = text.encode("utf-8")
+            for w in want:
+                k = w["at"]
+                out.append((doc, tx, k, w["after"], raw[k : k + CONTEXT] if w["after"] else raw[max(0, k - CONTEXT) : k]))
+        return {f: [x[k] for x in out] for k, f in enumerate(("doc", "tx", "at", "after", "bytes"))}
+
+    return map_batches(found.select("doc_id", "tx", "text", "want"), one, "doc long, tx long, at int, after boolean, bytes binary")
+
+
+def _same(a: bytes, b: bytes) -> int:
+    """Length of the common start."""
+    n = min(len(a), len(b))
+    x = np.flatnonzero(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)) if n else []
+    return int(x[0]) if len(x) else n
+
+
+_SPACE = frozenset(b" \t\n\x0b\x0c\r")
+
+
+def passages(raw: bytes, runs: list[dict], min_words: int = MIN_WORDS, min_bytes: int = MIN_BYTES) -> tuple[list[dict], list[int]]:
+    """(spans, originals' documents) of the repeats: runs with their true ends, in whole words, joined where they meet."""
+    spans: list[list] = []
+    for r in sorted(runs, key=lambda r: r["begin"]):
+        a = r["begin"] - _same(raw[: r["begin"]][-CONTEXT:][::-1], (r["before"] or b"")[::-1])
+        b = r["end"] + _same(raw[r["end"] : r["end"] + CONTEXT], r["after"] or b"")
+        if spans and a <= spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], b)
+            spans[-1][2].update(r["firsts"])
+        else:
+            spans.append([a, b, set(r["firsts"])])
+    out, firsts = [], set()
+    for a, b, docs in spans:
+        # Words that are only in part the same stay, unless the passage is one long word; then whole characters count.
+        x, y = a, b
+        while 0 < x < y and raw[x - 1] not in _SPACE and raw[x] not in _SPACE:
+            x += 1
+        while x < y < len(raw) and raw[y - 1] not in _SPACE and raw[y] not in _SPACE:
+            y -= 1
+        if x >= y:
+            x, y = a, b
+            while x < len(raw) and raw[x] & 0xC0 == 0x80:
+                x += 1
+            while 0 < y < len(raw) and raw[y] & 0xC0 == 0x80:
+                y -= 1
+        if y - x >= min_bytes or len(raw[x:y].split()) >= min_words:
+            out.append({"begin": x, "end": y})
+            firsts |= docs
+    return out, sorted(firsts)
+
 
-    return map_batches(by_doc, one, f"doc_id long, spans {SPANS}, first_doc_ids array<long>")
+def repeated_runs(docs: DataFrame) -> DataFrame:
+    """doc_id, tx, runs: for the documents (told_apart) that have chunks which are copies, with the bytes beside the originals."""
+    runs = materialize(_runs(chunk_copies(docs)), "runs-of-copies")
+    beside = materialize(_contexts(docs, runs), "contexts")
+    for s, name in (("l", "before"), ("r", "after")):
+        c = beside.filter(F.col("after") == (s == "r")).select(*[F.col(f).alias(f"{s}_{f}") for f in ("doc", "tx", "at")], F.col("bytes").alias(name))
+        runs = runs.join(c, [f"{s}_doc", f"{s}_tx", f"{s}_at"], "left")
+    return runs.groupBy(F.col("doc").alias("doc_id"), "tx").agg(F.collect_list(F.struct("begin", "end", "firsts", "before", "after")).alias("runs"))
 
 
 def cut_out(text: str, spans: list[dict]) -> str:
@@ -127,18 +292,19 @@ def cut_out(text: str, spans: list[dict]) -> str:
     return b"".join([*out, raw[at:]]).decode("utf-8")
 
 
-def dedup_substrings(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
+def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS, min_bytes: int = MIN_BYTES) -> DataFrame:
     """doc_id, text without its repeated passages, has_repeats, removed_bytes, spans, first_doc_ids (who has the originals)."""
-    found = materialize(repeated_spans(docs, min_span), "repeated-spans").withColumnRenamed("doc_id", "_id")
-    joined = docs_text(docs).join(hinted(found), F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    keyed = told_apart(docs)
+    found = materialize(repeated_runs(keyed), "repeated-runs")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    joined = with_found(plain, keyed, found, "found").select("doc_id", "text", F.col("found.runs").alias("runs"))
 
     def one(batch: pa.RecordBatch) -> dict:
-        spans = batch["spans"].to_pylist()
-        text = [t if s is None else cut_out(t, s) for t, s in zip(batch["text"].to_pylist(), spans, strict=True)]
+        texts = batch["text"].to_pylist()
+        made = [passages(t.encode("utf-8"), r, min_words, min_bytes) if r else ([], []) for t, r in zip(texts, batch["runs"].to_pylist(), strict=True)]
         return {
-            "doc_id": batch["doc_id"], "text": text, "has_repeats": [s is not None for s in spans],
-            "removed_bytes": [sum(x["end"] - x["begin"] for x in s or []) for s in spans],
-            "spans": [s or [] for s in spans], "first_doc_ids": [f or [] for f in batch["first_doc_ids"].to_pylist()],
+            "doc_id": batch["doc_id"], "text": [cut_out(t, s) if s else t for t, (s, _) in zip(texts, made, strict=True)], "has_repeats": [bool(s) for s, _ in made],
+            "removed_bytes": [sum(x["end"] - x["begin"] for x in s) for s, _ in made], "spans": [s for s, _ in made], "first_doc_ids": [f for _, f in made],
         }
 
     return map_batches(joined, one, f"doc_id long, text string, has_repeats boolean, removed_bytes long, spans {SPANS}, first_doc_ids array<long>")

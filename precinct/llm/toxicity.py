@@ -27,9 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from precinct.blocks.shared import materialize
+from precinct.blocks.shared import hinted, materialize
 from precinct.llm.common import Bounded, docs_text, map_batches, remainder, space_words
-from precinct.llm.lines import hinted
 
 MAX_TRAIN = 200_000
 FEATURES = 4096

@@ -10,13 +10,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from precinct.llm import brown, decontaminate, encode, lines, media, ngrams, packing, substrings, toxicity, urls
-from precinct.llm.common import letter_words, space_words
+from precinct.llm.common import HashedWords, letter_words, space_words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, spans string, n int"
 
@@ -165,23 +166,71 @@ def test_overlap_bound_never_low(a, b):
 # -- 4
 
 
+def word_maker(seed):
+    g = random.Random(seed)
+    return lambda n: " ".join("".join(g.choice("abcdefghij") for _ in range(g.randrange(1, 8))) for _ in range(n))
+
+
 def test_repeated_passages(spark, docs, empty):
-    g = random.Random(5)
-    word = lambda: "".join(g.choice("abcdefghij") for _ in range(g.randrange(3, 9)))
-    text = lambda n: " ".join(word() for _ in range(n))
-    passages = [text(60) for _ in range(30)]
+    """Every passage of 51 words is caught, to its ends; passages of 30 words and single texts stay."""
+    text = word_maker(5)
+    passages = [text(51) for _ in range(40)]
+    short = [text(30) for _ in range(20)]
     rows = []
     for k, p in enumerate(passages):
         rows += [(100 + k, f"{text(30)} {p} {text(25)}"), (200 + k, f"{text(40)} {p} {text(35)}"), (300 + k, text(120))]
-    got = by_id(substrings.dedup_substrings(spark.createDataFrame(fixture(rows), SCHEMA)))
-    assert not any(got[k]["has_repeats"] for k in got if k < 200 or k >= 300)
-    caught = [k for k in range(30) if got[200 + k]["has_repeats"] and got[200 + k]["first_doc_ids"] == [100 + k]]
-    assert len(caught) >= 29 and all(passages[k][150:200] not in got[200 + k]["text"] for k in caught)
+    for k, p in enumerate(short):
+        rows += [(400 + k, f"{text(30)} {p} {text(25)}"), (500 + k, f"{text(40)} {p} {text(35)}")]
+    for parts in (1, 5):
+        got = by_id(substrings.dedup_substrings(spark.createDataFrame(fixture(rows), SCHEMA).repartition(parts)))
+        assert {k for k in got if got[k]["has_repeats"]} == {200 + k for k in range(40)}
+        full = dict(rows)
+        for k, p in enumerate(passages):
+            r = got[200 + k]
+            assert r["first_doc_ids"] == [100 + k]
+            (span,) = r["spans"]
+            cut = full[200 + k].encode()[span["begin"] : span["end"]].decode()
+            assert p in cut and len(cut) <= len(p) + 4 and len(r["text"]) == len(full[200 + k]) - r["removed_bytes"]
     same = by_id(substrings.dedup_substrings(docs))
     assert same[22]["text"] == "" and same[23]["text"] == "" and same[10]["has_repeats"] and not same[0]["has_repeats"]
     assert substrings.dedup_substrings(empty).count() == 0
 
 
+def test_chunks_by_brute_force(spark):
+    """Copies, runs and spans of many overlapping texts against a plain model over the same chunks."""
+    g, text = random.Random(8), word_maker(9)
+    pool = [text(n) for n in (60, 80, 55, 70)]
+    texts = {i: " ".join(g.choice([*pool, text(20), text(9)]) for _ in range(4)) for i in range(30)}
+    seen, want = {}, {}
+    for i, t in sorted(texts.items()):
+        raw = t.encode()
+        ends = substrings.cut_places(np.frombuffer(raw, np.uint8)).tolist()
+        copies = []
+        for a, b in itertools.pairwise([0, *ends]):
+            first = seen.setdefault(raw[a:b], (i, 0, a))
+            if first != (i, 0, a):
+                copies.append({"at": a, "size": b - a, "first_doc": first[0], "first_tx": 0, "first_at": first[2]})
+        runs = substrings.runs_of(copies)
+        for r in runs:
+            (d, _, k), (e, _, m) = r["left"], r["right"]
+            r["before"], r["after"] = texts[d].encode()[max(0, k - substrings.CONTEXT) : k], texts[e].encode()[m : m + substrings.CONTEXT]
+        want[i] = substrings.passages(raw, runs)
+    got = by_id(substrings.dedup_substrings(spark.createDataFrame(fixture(texts.items()), SCHEMA).repartition(3)))
+    assert {i: ([s.asDict() for s in r["spans"]], r["first_doc_ids"]) for i, r in got.items()} == want
+    assert sum(r["has_repeats"] for r in got.values()) > 20
+
+
+def test_ids_with_several_texts(spark):
+    """Texts under one id are documents of their own; equal rows are one. Nothing is cut by another text's places."""
+    text = word_maker(3)
+    p, other, third = text(60), text(70), "é" * 30 + " " + text(40)
+    rows = [(1, f"{p} {other}"), (2, third), (2, f"{text(5)} {p} {text(5)}"), (2, third), (None, p), (None, p)]
+    got = substrings.dedup_substrings(spark.createDataFrame(fixture(rows), SCHEMA)).collect()
+    assert len(got) == len(rows)
+    assert sorted((r["doc_id"] or 0, r["has_repeats"]) for r in got) == [(0, False), (0, False), (1, False), (2, False), (2, False), (2, True)]
+    assert sum(r["text"] == third for r in got) == 2
+
+
 def test_cuts_resist_insertions():
     g = random.Random(2)
     a = "".join(g.choice("abcdefghijklmnop ") for _ in range(5000))
@@ -189,7 +238,17 @@ def test_cuts_resist_insertions():
     one, two = chunks(a), chunks(a[:2000] + "inserted" + a[2000:])
     assert b"".join(one) == a.encode()
     assert len(set(one) - set(two)) <= 3
-    assert max(map(len, chunks("é" * 3000))) <= substrings.MAX_CHUNK + 1
+    for t in ("é" * 3000, "x" * 5000, "=-" * 900, "日本" * 400):
+        assert b"".join(chunks(t)) == t.encode() and max(map(len, chunks(t))) <= substrings.MAX_CHUNK + 3
+        assert all(c.decode() for c in chunks(t))
+
+
+@settings(deadline=None, max_examples=100)
+@given(st.lists(st.integers(0, 9), min_size=1, max_size=60), st.integers(1, 20))
+def test_over_windows(x, wide):
+    if len(x) >= wide:
+        got = substrings._over_windows(np.array(x), wide, np.minimum)
+        assert got.tolist() == [min(x[k : k + wide]) for k in range(len(x) - wide + 1)]
 
 
 # -- 5
@@ -309,6 +368,13 @@ def test_token_files(docs, empty):
         encode.read_file(encode.write_file([1], np.array([1]), np.array([5]))[:-1])
 
 
+@settings(deadline=None, max_examples=150)
+@given(st.lists(st.text(st.characters(max_codepoint=0x24F) | st.sampled_from("<|> \n\x01the\u0301日\u2028\u200dİ"), max_size=25), max_size=6))
+def test_ids_equal_the_tokenizers(texts):
+    e = encode.encoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert [np.frombuffer(x, e.wide).tolist() for x in e.encode(pa.array(texts, pa.string()))] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 # -- 8
 
 
@@ -435,6 +501,16 @@ def test_words_by_the_given_classes():
         assert [w.decode() for w in letter_words(t)] == re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
 
 
+@settings(deadline=None, max_examples=150)
+@given(st.lists(st.text(st.characters(max_codepoint=0x17F) | st.sampled_from(" \t\x00\x0bab"), max_size=30), max_size=6))
+def test_hashed_words(texts):
+    w, plain = HashedWords(pa.array(texts, pa.string())), [space_words(t) for t in texts]
+    flat = [x for ws in plain for x in ws]
+    assert w.counts.tolist() == [len(x) for x in plain]
+    assert len(set(zip(flat, w.hashes.tolist(), strict=True))) == len(set(flat)) == len(set(w.hashes.tolist()))
+    assert [w.raw[a:b].tobytes().lower() for a, b in zip(w.starts, w.stops(), strict=True)] == [x.lower() for x in flat]
+
+
 # -- The pipeline
 
 
