@@ -1,16 +1,17 @@
 """Language-model scores by Brown class-based bigrams.
 
 P(text) = product over its tokens, one end included, of P(class | class before) P(token | class). Every training word
-seen at least `MIN_COUNT` times gets a class by exchange clustering: it moves to the class that raises the likelihood
-of the class bigrams most. The `SEEDS` most frequent words are clustered first, one after the other; then all words
-move in sweeps, for which Spark sums each word's counts by the class of its neighbours, until a sweep moves few or
-gains nothing. Rarer and unseen words share three classes by their shape (letters, letters and a sign, all else).
-Transitions are smoothed towards the class's own frequency; in the shape classes a word has probability
+seen at least `MIN_COUNT` times gets a class by exchange clustering. The `SEEDS` most frequent words are clustered first,
+one after the other: each moves to the class that raises the likelihood of the class bigrams most, until a sweep
+moves few. Then all other words move in sweeps, each to its best class while the classes of its neighbours are held, until a
+sweep gains little; Spark sums each word's counts by the class of its neighbours, in packed blocks dealt out by the
+word. Rarer and unseen words share three classes by their shape (letters, letters and a sign, all else). Transitions
+are smoothed towards the class's own frequency; in the shape classes a word has probability
 (c + 1) / (N_s + V_s + 1).
 
-Counts are taken over all training documents. A table of the `LEXICON` most frequent words goes to every task; what
-is known of all other words, however many, comes by a join on the word or on its key, a 64-bit hash. What the driver
-holds is bounded: the lexicon and the bigram tables of the seeds and of the classes.
+Texts become blocks of word numbers once. A table of the most frequent words (at most `LEXICON`, all seen equally often or
+more) goes to every task; what is known of all other words, however many, comes by a join on the word's key, a 64-bit hash with
+its shape. What the driver holds is bounded: the lexicon and the bigram tables of the seeds and of the classes.
 
 Null texts count as empty (one token, the end). Rows without doc_id are training rows; repeated rows are scored and
 counted each. Without training documents every count is 0. An empty table gives no rows.
@@ -18,107 +19,161 @@ counted each. Without training documents every count is 0. An empty table gives
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from precinct.blocks.shared import materialize, small_enough
-from precinct.llm.common import Bounded, as_arrow, docs_text, map_batches, remainder, slices, space_words
-from precinct.llm.lines import BROADCAST_ROWS, hinted
+from precinct.blocks.shared import materialize
+from precinct.llm.common import HashedWords, dealt_schema, docs_text, packed, remainder, slices, undealt, unpacked
 
-LEXICON = 200_000
+LEXICON = 1_000_000
 SEEDS = 1000
 MIN_COUNT = 3
 CLASSES = 64
 SWEEPS = 6
 #: Sweeps over all words, after those over the seeds.
-ROUNDS = 3
+ROUNDS = 2
 SMOOTH = 20.0
-#: Entries that a task holds before it hands counts on.
-HELD = 400_000
+#: Words that a task holds before it hands counts on, and counts of a bucket of words.
+HELD, BUCKET = 2_000_000, 400_000
 
 #: Shapes of words outside the clustering: letters, letters with a sign at the end, all else.
 SHAPES = 3
+_SIGN = np.array([not (c >= 128 or chr(c).isalpha() or c == 32 or 9 <= c <= 13) for c in range(256)])
+_STOP = np.array([chr(c) in ".,;:!?" for c in range(256)])
 
 
-def shape(word: str) -> int:
-    core = word.rstrip(".,;:!?")
-    return 2 if not core.isalpha() else int(core != word)
+def word_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(key of every word, words of each text): a hash whose low two bits are 1 + the word's shape. 0 is the end."""
+    w = HashedWords(texts)
+    if not len(w.starts):
+        return np.empty(0, np.int64), w.counts
+    signs = np.add.reduceat(_SIGN[w.raw].astype(np.int32), w.starts)
+    shape = np.where(signs == 0, 0, np.where((signs == 1) & _STOP[w.raw[w.stops() - 1]], 1, 2))
+    return ((w.hashes & ~np.uint64(3)) | (shape + 1).astype(np.uint64)).view(np.int64), w.counts
+
+
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct values, how often each) of a sorted array."""
+    at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.empty(0, np.int64)
+    return x[at], np.diff(np.append(at, len(x)))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) over all rows; every task hands on partial counts of bounded size."""
-    arrow = pa.schema([("word", pa.string()), ("n", pa.int64())])
+    """(key, n) over all rows; every task hands on partial counts of bounded size."""
+    arrow = pa.schema([("key", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        held, size = [], 0
 
         def out() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()).cast(pa.string()), pa.array(list(held.values()), pa.int64())], schema=arrow)
+            key, n = _runs(np.sort(np.concatenate(held)))
             held.clear()
-            return made
+            return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int64())], schema=arrow)
 
         for b in batches:
             for piece in slices(b):
-                for text in piece["text"].to_pylist():
-                    held.update(space_words(text))
-                if len(held) > HELD:
+                key, _ = word_keys(piece["text"])
+                held.append(key)
+                size += len(key)
+                if size >= HELD:
+                    size = 0
                     yield out()
         if held:
             yield out()
 
-    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-class Keys:
-    """Word to key: 0 is the end; else the low two bits are 1 + the word's shape, and the rest is the place in the
-    lexicon (from 1), or a negative hash for words outside it, or 0 for words that are too rare to have a class."""
+    return docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
-    def __init__(self, words: list[str], counts: np.ndarray):
-        n = int((counts >= MIN_COUNT).sum())  # words come by count
-        self.of = {w.encode("utf-8"): k + 1 for k, w in enumerate(words[:n])}
-        #: Whether words outside the lexicon may be clustered too.
-        self.open = n == len(words) >= LEXICON
-        self.memo = Bounded(self, 300_000)
 
-    def __call__(self, word: bytes) -> int:
-        s = 1 + shape(word.decode("utf-8"))
-        if k := self.of.get(word):
-            return k << 2 | s
-        return ((xxhash.xxh3_64_intdigest(word) >> 1 & ~3) | s) - (1 << 63) if self.open else s
+#: Ids in blocks: those below it are the shapes of words outside the lexicon, then come the lexicon's words by key.
+FIRST = SHAPES
 
 
-def bigram_table(docs: DataFrame, keys: Keys) -> DataFrame:
-    """(a, b, n): how often key b comes after key a, the end before each document's first word."""
+def index(docs: DataFrame, keys: np.ndarray) -> DataFrame:
+    """A row for every block of texts: block, doc_ids, held_out, sizes, ids (packed), and for the words outside the lexicon
+    rare (their keys) and rare_at (packed places). keys: the lexicon's, sorted."""
     shared = docs.sparkSession.sparkContext.broadcast(keys)
+    arrow = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("ids", pa.binary()), ("rare", pa.list_(pa.int64())), ("rare_at", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon, block = shared.value, TaskContext.get().partitionId() << 32
+        for b in batches:
+            for piece in slices(b):
+                key, counts = word_keys(piece["text"])
+                at = np.minimum(np.searchsorted(lexicon, key), max(len(lexicon) - 1, 0))
+                there = lexicon[at] == key if len(lexicon) else np.zeros(len(key), bool)
+                rare = np.flatnonzero(~there)
+                ids = np.where(there, at + FIRST, (key & 3) - 1)
+                row = [[block], [piece["doc_id"].to_pylist()], [piece["held_out"].to_pylist()], [counts.tolist()], [packed(ids, "<u4")], pa.array([key[rare].tolist()], pa.list_(pa.int64())), [packed(rare, "<u4")]]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(row, arrow, strict=True)], schema=arrow)
+                block += 1
+
+    return docs.mapInArrow(run, "block long, doc_ids array<long>, held_out array<boolean>, sizes array<int>, ids binary, rare array<long>, rare_at binary")
+
+
+class Block:
+    """A row of `index` as arrays. classes(of): class of each word, of those outside the lexicon by the row's `patch`."""
+
+    def __init__(self, row: dict):
+        self.doc_ids, self.held = row["doc_ids"], np.array(row["held_out"], bool)
+        self.sizes = np.array(row["sizes"], np.int64)
+        self.ids = unpacked(row["ids"], "<u4").astype(np.int64)
+        self.rare, self.rare_at = np.array(row["rare"], np.int64), unpacked(row["rare_at"], "<u4").astype(np.int64)
+        patch = row.get("patch") or []
+        self.own = self.rare_at[np.array([p["at"] for p in patch], np.int64)]  # words outside the lexicon that can move
+        self.own_key = self.rare[np.array([p["at"] for p in patch], np.int64)]
+        self.own_class, self.own_n = (np.array([p[f] for p in patch], np.int64) for f in ("cls", "n"))
+
+    def classes(self, of: np.ndarray) -> np.ndarray:
+        out = of[self.ids]
+        out[self.own] = self.own_class
+        return out
+
+    def lined_up(self, values: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(values of the kept documents' words with 0, the end, around every document; place of each word in it)."""
+        sizes = self.sizes[kept]
+        place = np.arange(int(sizes.sum())) + np.repeat(np.arange(len(sizes)), sizes) + 1
+        out = np.zeros(len(place) + len(sizes) + 1, np.int64)
+        out[place] = values[np.repeat(kept, self.sizes)]
+        return out, place
+
+
+def _each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    for b in batches:
+        for k in range(b.num_rows):
+            yield Block(b.slice(k, 1).to_pylist()[0])
+
+
+def _summed_pairs(blocks: DataFrame, of: np.ndarray, size: int) -> np.ndarray:
+    """Training bigrams by the numbers below `size` that `of` (or the patch) gives the words; 0 is the end."""
+    shared = blocks.sparkSession.sparkContext.broadcast(of)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for block in _each_block(batches):
+            x, _ = block.lined_up(block.classes(shared.value), ~block.held)
+            n = np.bincount(x[:-1] * size + x[1:], minlength=size * size)
+            total = n if total is None else total + n
+        if total is not None:
+            rows = total.reshape(size, size)
+            full = np.flatnonzero(rows.any(axis=1))
+            yield pa.RecordBatch.from_pydict({"x": pa.array(full, pa.int32()), "n": pa.array([packed(rows[k], "<i8") for k in full], pa.binary())})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for x, n in zip(b["x"].to_pylist(), b["n"].to_pylist(), strict=True):
+                total[x] = total.get(x, 0) + unpacked(n, "<i8")
+        if total:
+            yield pa.RecordBatch.from_pydict({"x": pa.array(list(total), pa.int32()), "n": pa.array([packed(n, "<i8") for n in total.values()], pa.binary())})
 
-    def one(batch: pa.RecordBatch) -> dict:
-        get = shared.value.memo.__getitem__
-        flat = [0]
-        for t in batch["text"].to_pylist():
-            flat += map(get, space_words(t))
-            flat.append(0)
-        x = np.array(flat, np.int64)
-        a, b = x[:-1], x[1:]
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-        return {"a": a[first], "b": b[first], "n": np.diff(np.append(first, len(a)))}
-
-    return map_batches(docs.select("text"), one, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-
-
-def square(pairs: DataFrame, size: int) -> np.ndarray:
-    """Sums of n by the numbers x and y, both below size."""
-    rows = pairs.groupBy("x", "y").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros((size, size))
-    out[rows["x"].to_numpy(), rows["y"].to_numpy()] = rows["n"].to_numpy()
+    for r in blocks.mapInArrow(count, "x int, n binary").repartition("x").mapInArrow(add, "x int, n binary").collect():
+        out[r["x"]] = unpacked(r["n"], "<i8")
     return out
 
 
@@ -179,208 +234,262 @@ def likelihood(g: np.ndarray) -> float:
     return float(_phi(g).sum() - _phi(g.sum(0)).sum() - _phi(g.sum(1)).sum())
 
 
-def _classed(bigrams: DataFrame, of: DataFrame, classes: int) -> DataFrame:
-    """bigrams with the classes x of a and y of b, and whether a and b can move. of: key, cls (null: not yet moved)."""
-    small = small_enough(of, BROADCAST_ROWS)
-    for key, cls, moves in (("a", "x", "a_moves"), ("b", "y", "b_moves")):
-        side = of.select(F.col("key").alias(key), F.col("cls").alias(cls), F.lit(True).alias(moves))
-        bigrams = bigrams.join(F.broadcast(side) if small else side, key, "left").withColumn(cls, F.coalesce(cls, _fallback(F.col(key), classes)))
-    return bigrams
+# -- Sweeps over all words -----------------------------------------------------------------------------------------------
 
+#: Of a block's words: key, class now and whether it is in the lexicon, number of contexts. Of the contexts: side and class, count.
+WORDS_, SEEN = {"key": "<i8", "was": "u1", "lex": "u1", "k": "u1"}, {"ctx": "u1", "n": "<u4"}
 
-def _fallback(key: Column, classes: int) -> Column:
-    """The class of a word without one of its own, or of the end."""
-    s = key.bitwiseAND(F.lit(3).cast("long")).cast("int")
-    return F.when(s == 0, 0).otherwise(s + classes)
 
+def _contexts(blocks: DataFrame, lexicon: Lexicon, buckets: int) -> DataFrame:
+    """Each word's counts by the class before and after it, in every block, dealt out by the word."""
+    shared, total = blocks.sparkSession.sparkContext.broadcast(lexicon), lexicon.total
+    schema = pa.schema([("bucket", pa.int32()), *[(f, pa.binary()) for f in (*WORDS_, *SEEN)]])
 
-def _sweep(bigrams: DataFrame, of: DataFrame, g: np.ndarray, classes: int) -> DataFrame:
-    """of after each word has moved to its best class, all others being where they were."""
-    both = _classed(bigrams, of, classes)
-    self_ = F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0).cast("long")
-    sides = F.array(
-        F.struct(F.col("a").alias("key"), F.lit(False).alias("before"), F.col("y").alias("k"), "n", self_.alias("own"), F.col("a_moves").alias("moves")),
-        F.struct(F.col("b").alias("key"), F.lit(True).alias("before"), F.col("x").alias("k"), "n", F.lit(0).cast("long").alias("own"), F.col("b_moves").alias("moves")),
-    )
-    counts = both.select(F.explode(sides).alias("s")).select("s.*").filter("moves").groupBy("key", "before", "k").agg(F.sum("n").alias("n"), F.sum("own").alias("own"))
-    words = counts.groupBy("key").agg(F.collect_list(F.struct("before", "k", "n")).alias("seen"), F.sum("own").alias("own")).join(of, "key")
-    total = len(g)
-
-    def one(batch: pa.RecordBatch) -> dict:
-        mine, new = g.copy(), []
-        seen = batch["seen"]
-        size = np.diff(seen.offsets.to_numpy())
-        before, k, n = (x.to_numpy(zero_copy_only=False) for x in seen.flatten().flatten())
-        at = np.concatenate([[0], np.cumsum(size)])
-        for j, (was, key, own) in enumerate(zip(batch["cls"].to_pylist(), batch["key"].to_pylist(), batch["own"].to_pylist(), strict=True)):
-            table = np.zeros((2, total))
-            piece = slice(at[j], at[j + 1])
-            table[before[piece].astype(np.int64), k[piece]] = n[piece]
-            old = classes + (key & 3) if was is None else was
-            new.append(best_class(mine, old, table[0], table[1], own, classes))
-            put(mine, old, table[0], table[1], own, 1)
-        return {"key": batch["key"], "cls": pa.array(new, pa.int32())}
-
-    return map_batches(words.select("key", "cls", "seen", "own"), one, "key long, cls int")
-
-
-def cluster(bigrams: DataFrame, of: DataFrame, classes: int, rounds: int) -> tuple[DataFrame, np.ndarray]:
-    """(key, cls) of all words that move, and the class bigrams. of: key, cls of the seeds, null for all others."""
-    table = lambda of: square(_classed(bigrams, of, classes).select("x", "y", "n"), classes + 1 + SHAPES)
-    g = table(of)
-    for k in range(rounds):
-        new = materialize(_sweep(bigrams, of, g, classes), "word-classes")
-        better = table(new)
-        if k and likelihood(better) <= likelihood(g):
-            break
-        of, g, gain = new, better, likelihood(better) - likelihood(g)
-        if k and gain <= 1e-4 * abs(likelihood(g)):
-            break
-    return of, g
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex = shared.value
+        for block in _each_block(batches):
+            train = ~block.held
+            x, place = block.lined_up(block.classes(lex.of), train)
+            # Words by number: the lexicon's, then those outside it that can move; all others and the seeds stay.
+            word = np.where(block.ids >= FIRST, block.ids, -1)
+            more, back = np.unique(block.own_key, return_inverse=True)
+            word[block.own] = len(lex.of) + back
+            word[np.isin(block.ids, lex.seeds)] = -1
+            word = word[np.repeat(train, block.sizes)]
+            moves = word >= 0
+            w, p = word[moves], place[moves]
+            seen, n = _runs(np.sort(np.concatenate([(w * 2) * total + x[p - 1], (w * 2 + 1) * total + x[p + 1]])))
+            if not len(seen):
+                continue
+            w, k = _runs(seen // (2 * total))
+            out = w >= len(lex.of)
+            key = np.where(out, more[np.where(out, w - len(lex.of), 0)] if len(more) else 0, lex.keys[np.minimum(w, len(lex.of) - 1) - FIRST])
+            was = np.zeros(len(w), np.int64)
+            was[~out] = lex.of[w[~out]]
+            if out.any():
+                now = np.zeros(len(more), np.int64)
+                now[back] = block.own_class
+                was[out] = now[w[out] - len(lex.of)]
+            bucket = ((key.view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            start = np.cumsum(k) - k
+            k = k[order]
+            entry = np.repeat(start[order] - (np.cumsum(k) - k), k) + np.arange(len(seen))
+            values = {"key": key[order], "was": was[order], "lex": ~out[order], "k": k, "ctx": (seen % (2 * total))[entry], "n": n[entry]}
+            name, words = _runs(bucket[order])
+            w_end, e_end = np.cumsum(words), np.cumsum(k)[np.cumsum(words) - 1]
+            cut = lambda f, kind, ends: [packed(values[f][a:b], kind) for a, b in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True)]  # noqa: E731, B023
+            made = [cut(f, kind, w_end) for f, kind in WORDS_.items()] + [cut(f, kind, e_end) for f, kind in SEEN.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(name, pa.int32()), *[pa.array(m, pa.binary()) for m in made]], schema=schema)
+
+    return blocks.mapInArrow(run, dealt_schema(WORDS_ | SEEN))
+
+
+def best_classes(g: np.ndarray, classes: int, was: np.ndarray, k: np.ndarray, ctx: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Each word's best class by its contexts (k[w] of them, in order), all other words being where they are: the exchange's
+    gain, with what a word has with its own class's other words counted by that class."""
+    total, every = len(g), slice(1, classes + 1)
+    begin = np.cumsum(k) - k
+    word = np.repeat(np.arange(len(k)), k)
+    rows = np.concatenate([g[:, every], g[every].T])  # [side and class of the neighbour, class of the word]
+    gain = np.empty((len(k), classes))
+    stay = np.zeros(len(k))
+    inside = (was >= 1) & (was <= classes)
+    mine = rows[ctx, np.where(inside, was - 1, 0)[word]]
+    stay += np.add.reduceat(_phi(mine) - _phi(np.maximum(mine - n, 0)), begin)
+    least = np.minimum(n, 16)
+    small = np.arange(17)[:, None, None]
+    table = _phi(rows[None] + small) - _phi(rows)[None]
+    step = max(1, 40_000 * len(k) // max(len(ctx), 1))
+    for a in range(0, len(k), step):
+        b = min(a + step, len(k))
+        lo, hi = begin[a], begin[b - 1] + k[b - 1]
+        c, m = ctx[lo:hi], n[lo:hi]
+        part = table[least[lo:hi], c]
+        big = np.flatnonzero(m > 16)
+        part[big] = _phi(rows[c[big]] + m[big, None]) - _phi(rows[c[big]])
+        gain[a:b] = np.add.reduceat(part, begin[a:b] - lo)
+    for side, marginal in ((0, g[:, every].sum(0)), (1, g[every].sum(1))):
+        size = np.add.reduceat(np.where((ctx >= total) == bool(side), n, 0), begin).astype(float)
+        gain -= _phi(marginal + size[:, None]) - _phi(marginal)
+        own = marginal[np.where(inside, was - 1, 0)]
+        stay -= _phi(own) - _phi(np.maximum(own - size, 0))
+    gain[inside, was[inside] - 1] = stay[inside]
+    new = gain.argmax(1) + 1
+    kept = inside & (stay >= gain.max(1) - 1e-9)
+    return np.where(kept, was, new)
+
+
+def _moved(contexts: DataFrame, g: np.ndarray, classes: int, tasks: int) -> DataFrame:
+    """key, cls, lex: every word in its best class."""
+    fields = WORDS_ | SEEN
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, x in undealt(batches, fields):
+            key, head, number = np.unique(x["key"], return_index=True, return_inverse=True)
+            word = number[np.repeat(np.arange(len(number)), x["k"].astype(np.int64))]
+            code = word * 256 + x["ctx"]
+            order = np.argsort(code, kind="stable")
+            seen, many = _runs(code[order])
+            n = np.add.reduceat(x["n"][order].astype(np.int64), np.cumsum(many) - many)
+            _, k = _runs(seen // 256)
+            new = best_classes(g, classes, x["was"][head].astype(np.int64), k, seen % 256, n)
+            yield pa.RecordBatch.from_pydict({"key": pa.array(key, pa.int64()), "cls": pa.array(new, pa.int32()), "lex": pa.array(x["lex"][head] > 0, pa.bool_())})
+
+    return contexts.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "key long, cls int, lex boolean")
+
+
+class Lexicon:
+    """keys (sorted) and counts of the lexicon's words, and `of`: the class of each id of a block."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, classes: int):
+        self.keys, self.counts, self.classes, self.total = keys, counts, classes, classes + 1 + SHAPES
+        shape = np.concatenate([np.arange(SHAPES), (keys & 3) - 1])
+        self.of, self.seeds = classes + 1 + shape, np.empty(0, np.int64)
 
 
 class Fitted:
-    """vocabulary: word, n, key, cls (null: by shape); numbers for the driver."""
+    """The counts, the classes and what the driver needs of them. outside: key, n, cls of the words beyond the lexicon that
+    have a class; blocks: the index of all texts."""
 
-    def __init__(self, training: DataFrame):
-        spark = training.sparkSession
-        counted = materialize(word_counts(training), "vocabulary")
+    def __init__(self, docs: DataFrame):
+        """docs: doc_id, text, held_out."""
+        training = docs.filter("not held_out")
+        self.vocabulary = counted = materialize(word_counts(training), "vocabulary")
         self.ends = training.count()
         sizes = counted.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
         self.tokens, self.distinct = sizes["n"] + self.ends, sizes["v"] + (self.ends > 0)
-        top = counted.orderBy(F.desc("n"), "word").limit(LEXICON).toArrow()
-        self.words, self.counts = top["word"].to_pylist(), top["n"].to_numpy().astype(float)
-        self.keys = keys = Keys(self.words, self.counts)
-        shared = spark.sparkContext.broadcast(keys)
-
-        def keyed(batch: pa.RecordBatch) -> dict:
-            return {"word": batch["word"], "n": batch["n"], "key": [shared.value(w.encode("utf-8")) for w in batch["word"].to_pylist()]}
-
-        words = materialize(map_batches(counted, keyed, "word string, n long, key long"), "word-keys")
-        bigrams = materialize(bigram_table(training, keys), "bigrams")
-        seeds = min(SEEDS, len(keys.of))
-        place = lambda c: F.when(F.shiftright(c, 2).between(1, seeds), F.shiftright(c, 2)).when(F.col(c) == 0, 0).otherwise(seeds + F.col(c).bitwiseAND(F.lit(3).cast("long")))
-        n = square(bigrams.select(place("a").cast("int").alias("x"), place("b").cast("int").alias("y"), "n"), seeds + 1 + SHAPES)
-        if not self.ends:
-            n[:] = 0
-        of = exchange(n, seeds)
-        self.classes = max(1, min(CLASSES, seeds))
-        start = F.element_at(F.array(*[F.lit(int(k)) for k in of[1 : seeds + 1]]), F.shiftright("key", 2).cast("int")) if seeds else F.lit(None).cast("int")
-        moving = words.filter(F.col("n") >= MIN_COUNT).groupBy("key").agg(F.sum("n").alias("n"))
-        moving = materialize(moving.select("key", F.when(F.shiftright("key", 2).between(1, seeds), start).alias("cls")), "moving-words")
-        self.of, self.g = cluster(bigrams, moving, self.classes, ROUNDS)
-        self.vocabulary = words.join(hinted(self.of), "key", "left").withColumn("cls", F.when(F.col("n") >= MIN_COUNT, F.col("cls")))
-        rare = words.filter(F.col("n") < MIN_COUNT).groupBy(F.col("key").bitwiseAND(F.lit(3).cast("long")).alias("s")).agg(F.sum("n").alias("n"), F.count("*").alias("v"))
+        # The least count from which on all words fit in the lexicon; counts above a thousand stand together.
+        often = sorted(((r["c"], r["k"]) for r in counted.filter(F.col("n") >= MIN_COUNT).groupBy(F.least("n", F.lit(1000)).alias("c")).agg(F.count("*").alias("k")).collect()), reverse=True)
+        self.least, held = 1001, 0
+        for c, k in often:
+            if held + k > LEXICON:
+                break
+            self.least, held = c, held + k
+        top = counted.filter(F.col("n") >= self.least).toArrow()
+        keys, counts = top["key"].to_numpy(), top["n"].to_numpy().astype(float)
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order]
+        self.blocks = materialize(index(docs, keys), "blocks")
+        by_count = np.lexsort((keys, -counts))[:SEEDS]
+        self.lexicon = lex = Lexicon(keys, counts, max(1, min(CLASSES, len(by_count))))
+        lex.seeds = by_count + FIRST
+        # Bigrams of the seeds; all other words by their shape.
+        symbol = lex.of - lex.classes + len(by_count)
+        symbol[lex.seeds] = 1 + np.arange(len(by_count))
+        self.open = any(c < self.least for c, _ in often)
+        outside = counted.filter((F.col("n") >= MIN_COUNT) & (F.col("n") < self.least))
+        self.outside = outside.select("key", "n", (F.col("key").bitwiseAND(F.lit(3).cast("long")) + lex.classes).cast("int").alias("cls"))
+        n = _summed_pairs(self._patched(symbol[:SHAPES]), symbol, len(by_count) + 1 + SHAPES)
+        lex.of[lex.seeds] = exchange(n, len(by_count))[1 : len(by_count) + 1]
+        self._sweeps(outside)
+        rare = counted.filter(F.col("n") < MIN_COUNT).groupBy(F.col("key").bitwiseAND(F.lit(3).cast("long")).alias("s")).agg(F.sum("n").alias("n"), F.count("*").alias("v"))
         self.shapes = {r["s"] - 1: (r["n"], r["v"]) for r in rare.collect()}
 
+    def _patched(self, fixed: np.ndarray | None = None) -> DataFrame:
+        """blocks with `patch`: place in rare, count and class of each occurrence of a word outside the lexicon that has a class
+        (fixed: numbers by shape in their place)."""
+        if not self.open:
+            return self.blocks
+        of = self.outside if fixed is None else self.outside.withColumn("cls", F.element_at(F.array(*[F.lit(int(k)) for k in fixed]), F.col("key").bitwiseAND(F.lit(3).cast("long")).cast("int")))
+        found = self.blocks.select("block", F.posexplode("rare").alias("at", "key")).join(of, "key").groupBy("block").agg(F.collect_list(F.struct("at", "cls", "n")).alias("patch"))
+        return self.blocks.join(found, "block", "left")
+
+    def _sweeps(self, outside: DataFrame) -> None:
+        lex = self.lexicon
+        spark = self.blocks.sparkSession
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        buckets = max(1, 2 * self.tokens // BUCKET)
+        blocks = self._patched()
+        self.g = _summed_pairs(blocks, lex.of, lex.total)
+        for _ in range(ROUNDS if self.ends else 0):
+            new = materialize(_moved(_contexts(blocks, lex, buckets), self.g, lex.classes, max(tasks, buckets // 4)), "word-classes")
+            was = (lex.of.copy(), self.outside, self.g, blocks)
+            mine = new.filter("lex").select("key", "cls").toArrow()
+            lex.of[np.searchsorted(lex.keys, mine["key"].to_numpy()) + FIRST] = mine["cls"].to_numpy()
+            if self.open:
+                self.outside = materialize(outside.select("key", "n").join(new.filter("not lex").select("key", "cls"), "key"), "outside-classes")
+            blocks = self._patched()
+            self.g = _summed_pairs(blocks, lex.of, lex.total)
+            gain = likelihood(self.g) - likelihood(was[2])
+            if gain < 0:
+                lex.of, self.outside, self.g, blocks = was
+            if gain <= 1e-3 * abs(likelihood(self.g)):
+                break
+        self.patched = blocks
+
 
 class Model:
-    """What a task needs: numbers for the lexicon's words, then for the shapes, whose words' counts are joined later."""
+    """What a task needs: numbers for the ids of blocks, class transitions, and costs of the shapes."""
 
     def __init__(self, fit: Fitted):
-        words, counts, classes, g = fit.words, fit.counts, fit.classes, fit.g
-        total = len(g)
+        lex, g, classes = fit.lexicon, fit.g, fit.lexicon.classes
         tokens = g.sum(0)
-        own = (tokens + 1) / (tokens.sum() + total)
+        own = (tokens + 1) / (tokens.sum() + lex.total)
         self.step = np.log10((g + SMOOTH * own) / (g.sum(1, keepdims=True) + SMOOTH))
-        self.shape_cost = np.zeros(total)
+        self.shape_cost = np.zeros(lex.total)
         for s in range(SHAPES):
             n, v = fit.shapes.get(s, (0, 0))
             self.shape_cost[classes + 1 + s] = np.log10(n + v + 1)
         self.log_tokens = np.log10(np.maximum(tokens, 1))
-        self.known = len(words)
-        self.classes = np.array([classes + 1 + shape(w) for w in words] + [classes + 1 + s for s in range(SHAPES)], np.int64)
-        got = fit.of.filter("key > 0").toArrow()  # the lexicon's
-        self.classes[(got["key"].to_numpy() >> 2) - 1] = got["cls"].to_numpy()
-        self.more = np.concatenate([np.log10(counts + 1.0), np.zeros(SHAPES)])
-        share = np.log10(np.concatenate([counts, np.ones(SHAPES)])) - self.log_tokens[self.classes]
-        self.emission = np.where(self.classes <= classes, share, self.more - self.shape_cost[self.classes])
-        self.open = fit.keys.open
-        self.at = {w.encode("utf-8"): k for k, w in enumerate(words)}
-        self.memo = Bounded(self._number, 300_000)
-
-    def _number(self, word: bytes) -> int:
-        k = self.at.get(word)
-        return self.known + shape(word.decode("utf-8")) if k is None else k
-
-
-def _scored(docs: DataFrame, model: Model, end_more: float) -> DataFrame:
-    """A row a document (uid, doc_id, held_out, n_tokens, n_known, base, score) and a row (uid, word, at) for each of
-    its tokens outside the lexicon. Where such words may have classes, the document's row has those of all its tokens."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    arrow = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("classes", pa.list_(pa.int16())), ("word", pa.string()), ("at", pa.int32())])
-
-    def rows(**columns) -> pa.RecordBatch:
-        n = len(columns["uid"])
-        return pa.RecordBatch.from_arrays([as_arrow(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in arrow], schema=arrow)
+        self.of = lex.of
+        self.more = np.concatenate([np.zeros(SHAPES), np.log10(lex.counts + 1)])
+        share = np.concatenate([np.zeros(SHAPES), np.log10(lex.counts)]) - self.log_tokens[lex.of]
+        self.emission = np.where(np.arange(len(lex.of)) >= FIRST, share, -self.shape_cost[lex.of])
+
+
+SCORED = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>"
+
+
+def _scored(blocks: DataFrame, model: Model, end_more: float) -> DataFrame:
+    """A row a document: `SCORED`, without what its words outside the lexicon add; rare has their keys."""
+    shared = blocks.sparkSession.sparkContext.broadcast(model)
+    names = [c.split()[0] for c in SCORED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         uid = TaskContext.get().partitionId() << 40
-        for b in batches:
-            for piece in slices(b):
-                words = [space_words(t) for t in piece["text"].to_pylist()]
-                size = np.array([len(w) for w in words], np.int64)
-                flat = [w for ws in words for w in ws]
-                k = np.fromiter(map(m.memo.__getitem__, flat), np.int64, count=len(flat))
-                ends = np.cumsum(size)
-                starts = ends - size
-                # Per document, from running totals: its words' numbers, and its classes with an end on either side.
-                run_of = lambda v: np.concatenate([[0.0], np.cumsum(v)])
-                add = lambda v: run_of(v)[ends] - run_of(v)[starts]  # noqa: E731, B023
-                classes = np.zeros(len(flat) + len(size) + 1, np.int64)
-                doc = np.repeat(np.arange(len(size)), size)
-                classes[np.arange(len(flat)) + doc + 1] = m.classes[k]
-                step = run_of(m.step[classes[:-1], classes[1:]])
-                moves = step[ends + np.arange(len(size)) + 1] - step[starts + np.arange(len(size))]
-                rare = k >= m.known
-                ids = uid + np.arange(len(size))
-                known = size - add(rare.astype(np.int64)).astype(np.int64) + (end_more > 0)
-                kept = {"classes": pa.ListArray.from_arrays(pa.array(np.append(starts, len(flat)), pa.int32()), pa.array(m.classes[k], pa.int16()))} if m.open else {}
-                yield rows(uid=ids, doc_id=piece["doc_id"], held_out=piece["held_out"], n_tokens=size + 1, n_known=known, base=add(m.more[k]) + end_more, score=moves + add(m.emission[k]), **kept)
-                at = np.flatnonzero(rare)
-                yield rows(uid=ids[doc[at]], word=pa.array([flat[i] for i in at.tolist()], pa.binary()).cast(pa.string()), at=at - starts[doc[at]])
-                uid += len(size)
-
-    return docs.mapInArrow(run, "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, classes array<smallint>, word string, at int")
-
-
-def _corrected(rare: DataFrame, made: DataFrame, model: Model) -> DataFrame:
-    """(uid, more_score): what the score gains where words outside the lexicon have classes of their own."""
-    found = rare.filter("cls is not null").groupBy("uid").agg(F.collect_list(F.struct("at", "cls", "n")).alias("found"))
-    shared = made.sparkSession.sparkContext.broadcast(model)
-
-    def one(batch: pa.RecordBatch) -> dict:
-        m, out = shared.value, []
-        for j, found in enumerate(batch["found"].to_pylist()):
-            old = np.concatenate([[0], batch["classes"][j].values.to_numpy(), [0]])
-            new = old.copy()
-            at, cls, n = (np.array([f[c] for f in found], np.int64) for c in ("at", "cls", "n"))
-            new[at + 1] = cls
-            gain = np.log10(n) - m.log_tokens[cls] + m.shape_cost[old[at + 1]]
-            out.append(float(gain.sum() + (m.step[new[:-1], new[1:]] - m.step[old[:-1], old[1:]]).sum()))
-        return {"uid": batch["uid"], "more_score": out}
-
-    return map_batches(made.filter("word is null").join(found, "uid").select("uid", "classes", "found"), one, "uid long, more_score double")
-
-
-def score_texts(docs: DataFrame, fit: Fitted | None = None) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs."""
+        for block in _each_block(batches):
+            size, ids = block.sizes, block.ids
+            docs = len(size)
+            ends = np.cumsum(size)
+            starts = ends - size
+            run_of = lambda v: np.concatenate([[0.0], np.cumsum(v)])
+            add = lambda v: run_of(v)[ends] - run_of(v)[starts]  # noqa: E731, B023
+            classes = block.classes(m.of)
+            emission = m.emission[ids]
+            emission[block.own] = np.log10(np.maximum(block.own_n, 1)) - m.log_tokens[block.own_class]
+            x, _ = block.lined_up(classes, np.ones(docs, bool))
+            step = run_of(m.step[x[:-1], x[1:]])
+            moves = step[ends + np.arange(docs) + 1] - step[starts + np.arange(docs)]
+            known = add((ids >= FIRST).astype(np.int64)).astype(np.int64) + (end_more > 0)
+            cut = np.searchsorted(block.rare_at, np.append(starts, len(ids)))
+            rare = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(block.rare, pa.int64()))
+            columns = [uid + np.arange(docs), pa.array(block.doc_ids, pa.int64()), block.held, size + 1, known, add(m.more[ids]) + end_more, moves + add(emission), rare]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
+            uid += docs
+
+    return blocks.mapInArrow(run, SCORED)
+
+
+def score_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity for every row of docs."""
     docs = docs_text(docs).withColumn("held_out", F.col("doc_id").isNotNull() & (remainder(7) == 2))
-    fit = fit or Fitted(docs.filter("not held_out"))
-    model = Model(fit)
-    made = materialize(_scored(docs, model, float(np.log10(fit.ends + 1))), "scored")
-    rare = made.filter("word is not null").select("uid", "word", "at").join(fit.vocabulary, "word")
+    return scored_by(Fitted(docs))
+
+
+def scored_by(fit: Fitted) -> DataFrame:
+    made = materialize(_scored(fit.patched, Model(fit), float(np.log10(fit.ends + 1))), "scored")
+    low = fit.vocabulary.filter(F.col("n") < fit.least)
+    rare = made.select("uid", F.explode("rare").alias("key")).join(low, "key")
     logs = F.log10(F.col("n") + 1)
-    sums = rare.groupBy("uid").agg(F.sum(logs).alias("more"), F.sum(F.when(F.col("cls").isNull(), logs).otherwise(0.0)).alias("more_score"), F.count("*").alias("seen"))
-    out = made.filter("word is null").select("uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score").join(sums, "uid", "left")
-    if model.open:
-        out = out.join(_corrected(rare, made, model).withColumnRenamed("more_score", "class_score"), "uid", "left")
-    else:
-        out = out.withColumn("class_score", F.lit(0.0))
+    # Words outside the lexicon with a class of their own are in the score already.
+    sums = rare.groupBy("uid").agg(F.sum(logs).alias("more"), F.sum(F.when(F.col("n") < MIN_COUNT, logs).otherwise(0.0)).alias("more_score"), F.count("*").alias("seen"))
+    out = made.drop("rare").join(sums, "uid", "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     base = F.col("base") + zero("more") - F.col("n_tokens") * float(np.log10(fit.tokens + fit.distinct + 1))
+    score = F.col("score") + zero("more_score")
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(fit.tokens).cast("long").alias("train_tokens"),
-        base.alias("base_score"), (F.col("score") + zero("more_score") + zero("class_score")).alias("score"),
+        base.alias("base_score"), score.alias("score"), F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"),
     )

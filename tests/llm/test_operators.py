@@ -429,6 +429,26 @@ def test_exchange_finds_classes():
     assert len(set(of[1:5])) == 1 and len(set(of[5:9])) == 1 and of[1] != of[5]
 
 
+def test_best_classes_is_the_exchange_gain():
+    """For words without a class yet, and whose neighbours are others, the batch finds what the single exchange finds."""
+    g, classes = np.random.default_rng(1).integers(0, 40, (1 + 5 + brown.SHAPES,) * 2).astype(float), 5
+    total, k, ctx, n, want = len(g), [], [], [], []
+    for w in range(60):
+        r = np.random.default_rng(w)
+        out, into = r.integers(0, 30, total) * (r.random(total) < 0.4), r.integers(0, 30, total) * (r.random(total) < 0.4)
+        out[1:6] = into[1:6] = 0
+        out[0] += 1
+        codes = [*np.flatnonzero(into), *(total + np.flatnonzero(out))]
+        k.append(len(codes))
+        ctx += codes
+        n += [*into[into > 0], *out[out > 0]]
+        mine = g.copy()
+        brown.put(mine, 6, out, into, 0, 1)
+        want.append(brown.best_class(mine, 6, out.astype(float), into.astype(float), 0.0, classes))
+    got = brown.best_classes(g, classes, np.full(60, 6), np.array(k), np.array(ctx), np.array(n))
+    assert got.tolist() == want
+
+
 @pytest.mark.parametrize("lexicon", [200_000, 12])
 def test_all_frequent_words_have_classes(spark, monkeypatch, lexicon):
     """Far more words than seeds, with the class of each; scores by hand from the classes, also beyond the lexicon."""
@@ -437,16 +457,22 @@ def test_all_frequent_words_have_classes(spark, monkeypatch, lexicon):
     g = random.Random(4)
     left, right = [f"l{chr(97 + k)}" for k in range(20)], [f"r{chr(97 + k)}" for k in range(20)]
     rows = [(k, " ".join(g.choice(left) + " " + g.choice(right) for _ in range(12)) + f" rare{k} odd.") for k in range(60)]
-    docs = spark.createDataFrame(fixture(rows), SCHEMA)
     train = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
-    fit = brown.Fitted(brown.docs_text(docs).filter(F.col("doc_id").isin([i for i, _ in train])))
-    of = {r["word"]: (r["n"], r["cls"]) for r in fit.vocabulary.collect()}
+    docs = brown.docs_text(spark.createDataFrame(fixture(rows), SCHEMA)).withColumn("held_out", ~F.col("doc_id").isin([i for i, _ in train]))
+    fit = brown.Fitted(docs)
     c = collections.Counter(w for _, t in train for w in t.split())
-    assert {w: n for w, (n, _) in of.items()} == c
-    assert all((k is not None and 1 <= k <= fit.classes) == (c[w] >= brown.MIN_COUNT) for w, (_, k) in of.items())
-    assert not {of[w][1] for w in left} & {of[w][1] for w in right}
-    cls = lambda w: of[w][1] if w in of and of[w][1] else fit.classes + 1 + brown.shape(w)
-    total = fit.classes + 1 + brown.SHAPES
+    words = sorted({w for _, t in rows for w in t.split()})
+    key = dict(zip(words, brown.word_keys(pa.array(words))[0].tolist(), strict=True))
+    shape = lambda w: (key[w] & 3) - 1
+    assert [shape(w) for w in ("la", "odd.", "rare0")] == [0, 1, 2]
+    assert {r["key"]: r["n"] for r in fit.vocabulary.collect()} == {key[w]: n for w, n in c.items()}
+    of = dict(zip(fit.lexicon.keys.tolist(), fit.lexicon.of[brown.FIRST :].tolist(), strict=True))
+    of |= {r["key"]: r["cls"] for r in fit.outside.collect()}
+    classes = fit.lexicon.classes
+    assert len(of) == sum(n >= brown.MIN_COUNT for n in c.values()) and all(1 <= k <= classes for k in of.values())
+    assert not {of[key[w]] for w in left} & {of[key[w]] for w in right}
+    cls = lambda w: of.get(key[w], classes + 1 + shape(w))
+    total = classes + 1 + brown.SHAPES
     n = np.zeros((total, total))
     for _, t in train:
         k = [0, *map(cls, t.split()), 0]
@@ -456,13 +482,21 @@ def test_all_frequent_words_have_classes(spark, monkeypatch, lexicon):
     unseen = collections.Counter()
     for w, k in c.items():
         if k < brown.MIN_COUNT:
-            unseen[brown.shape(w)] += k + 1
-    got = by_id(brown.score_texts(docs, fit))
+            unseen[shape(w)] += k + 1
+    got = by_id(brown.scored_by(fit))
     for i, t in rows:
         k = [0, *map(cls, t.split()), 0]
         want = sum(math.log10((n[a, b] + brown.SMOOTH * prior[b]) / (n[a].sum() + brown.SMOOTH)) for a, b in itertools.pairwise(k))
-        want += sum(math.log10(c[w] / tokens[cls(w)]) if cls(w) <= fit.classes else math.log10((c[w] + 1) / (unseen[brown.shape(w)] + 1)) for w in t.split())
+        want += sum(math.log10(c[w] / tokens[cls(w)]) if cls(w) <= classes else math.log10((c[w] + 1) / (unseen[shape(w)] + 1)) for w in t.split())
         assert math.isclose(got[i]["score"], want, rel_tol=1e-9)
+        assert math.isclose(got[i]["perplexity"], 10 ** (-want / (len(k) - 1)), rel_tol=1e-9)
+
+
+def test_only_held_out_documents(spark):
+    """Without training documents no word is known."""
+    held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2][:3]
+    got = by_id(brown.score_texts(spark.createDataFrame(fixture([(i, "some words here") for i in held]), SCHEMA)))
+    assert all((r["n_known"], r["train_tokens"], r["held_out"]) == (0, 0, True) and r["score"] <= 0 for r in got.values()) and len(got) == 3
 
 
 # -- 10
