@@ -131,7 +131,7 @@ def prefix(s: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, int]:
 
 #: A prefix token's numbers while it is dealt out, as arrays in binary columns.
 FIELDS = {"low": "<u4", "high": "<u4", "doc": "<i8", "n": "<u4", "need": "u1", "pos": "<u4"}
-SHARED = "token long, doc long, n int, need int, size int, pos int, last_doc long, last_n int, last_pos int"
+SHARED = "token long, doc long, n int, need int, size int, pos int, many boolean, last_doc long, last_n int, last_pos int"
 
 
 def prefix_size(n, need):
@@ -177,19 +177,20 @@ def _dealt(docs: DataFrame, known: np.ndarray, seen: np.ndarray, buckets: int) -
 
 def _met(dealt: DataFrame, buckets: int, tasks: int) -> DataFrame:
     """Prefix tokens that several documents have (or that are known to be shared): `SHARED`, with the one that comes
-    before by (n, doc) among those with the same token. A task handles one bucket at a time."""
+    before by (n, doc) among those with the same token, and whether more than two have it. A task handles one bucket at a
+    time."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     schema = to_arrow_schema(_parse_datatype_string(SHARED))
 
-    def rows(x: dict, keep: np.ndarray, last: np.ndarray | None) -> pa.RecordBatch:
+    def rows(x: dict, keep: np.ndarray, many: np.ndarray, last: np.ndarray | None) -> pa.RecordBatch:
         x = {f: v[keep] for f, v in x.items()}
         none = np.ones(len(keep), bool) if last is None else ~last[keep]
         before = (lambda v: np.zeros(len(keep), v.dtype)) if last is None else (lambda v: np.concatenate([v[:1], v[:-1]]))
         columns = {
             "token": x["high"].astype(np.int64) << 32 | x["low"].astype(np.int64), "doc": x["doc"], "n": x["n"], "need": x["need"],
-            "size": prefix_size(x["n"].astype(np.int64), x["need"].astype(np.int64)), "pos": x["pos"],
+            "size": prefix_size(x["n"].astype(np.int64), x["need"].astype(np.int64)), "pos": x["pos"], "many": many[keep],
             "last_doc": before(x["doc"]), "last_n": before(x["n"]), "last_pos": before(x["pos"]),
         }
         return pa.RecordBatch.from_arrays([pa.array(columns[f.name].astype(f.type.to_pandas_dtype()), f.type, mask=none if f.name.startswith("last_") else None) for f in schema], schema=schema)
@@ -197,13 +198,15 @@ def _met(dealt: DataFrame, buckets: int, tasks: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, x in undealt(batches, FIELDS):
             if bucket >= buckets:
-                yield rows(x, np.arange(len(x["doc"])), None)
+                yield rows(x, np.arange(len(x["doc"])), np.ones(len(x["doc"]), bool), None)
                 continue
             order = np.lexsort((x["doc"], x["n"], x["low"]))
             x = {f: v[order] for f, v in x.items()}
             same = x["low"][1:] == x["low"][:-1]
             last, more = np.concatenate([[False], same]), np.concatenate([same, [False]])
-            yield rows(x, np.flatnonzero(last | more), last)
+            # A third: one on both sides, or another step the same way.
+            third = (last & more) | (last & np.concatenate([[False], last[:-1]])) | (more & np.concatenate([more[1:], [False]]))
+            yield rows(x, np.flatnonzero(last | more), third, last)
 
     return dealt.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(run, SHARED)
 
@@ -221,8 +224,9 @@ def overlap_bound(x: np.ndarray, y: np.ndarray) -> int:
 
 def _compared(pairs: DataFrame, items: DataFrame, column: str, kind: str, overlap) -> DataFrame:
     """The pairs (a, b) whose overlap, by the given column of both documents' items, is enough."""
-    left = items.select(F.col("doc").alias("a"), F.col(column).alias("x"))
-    right = items.select(F.col("doc").alias("b"), F.col(column).alias("y"))
+    of = lambda side: items.join(hinted(pairs.select(F.col(side).alias("doc")).distinct()), "doc", "left_semi")
+    left = of("a").select(F.col("doc").alias("a"), F.col(column).alias("x"))
+    right = of("b").select(F.col("doc").alias("b"), F.col(column).alias("y"))
 
     def one(batch: pa.RecordBatch) -> dict:
         good = []
@@ -261,12 +265,10 @@ def _neighbours(docs: DataFrame, known: np.ndarray, seen: np.ndarray, tokens: in
     buckets = max(1, tokens * (100 - PERCENT) // 100 // BUCKET)
     shared = materialize(_met(_dealt(docs, known, seen, buckets), buckets, max(tasks, buckets // 4)), "shared-tokens")
     near = shared.filter("last_doc is not null").select(F.col("last_doc").alias("a"), F.col("doc").alias("b"), F.col("last_n").alias("na"), F.col("n").alias("nb"), F.col("last_pos").alias("pa"), F.col("pos").alias("pb"))
-    # Minima and maxima over tokens, not sorted groups; two overlapping rows of size classes.
+    # Minima over tokens, not sorted groups. Where two documents have a token, they are neighbours already.
     central = shared.groupBy("doc").agg((F.count("*") / F.max("size")).alias("central"))
-    place = F.log("n") / F.log(F.lit(100 / PERCENT))
-    band = F.explode(F.array(F.floor(place) * 2, F.floor(place + 0.5) * 2 + 1)).alias("band")
-    placed = materialize(shared.join(hinted(central), "doc").select("token", "doc", "n", "pos", "central"), "central")
-    placed = placed.select("token", band, "doc", "n", "pos", "central")
+    band = F.floor(F.log("n") / F.log(F.lit(100 / PERCENT))).cast("int").alias("band")
+    placed = materialize(shared.filter("many").join(hinted(materialize(central, "central")), "doc").select("token", band, "doc", "n", "pos", "central"), "placed")
     first = placed.groupBy("token", "band").agg(F.min(F.struct(-F.col("central"), F.col("doc"), F.col("n"), F.col("pos"))).alias("f"), F.count("*").alias("k")).filter("k > 1")
     star = placed.join(first, ["token", "band"]).select(F.col("f.doc").alias("a"), F.col("doc").alias("b"), F.col("f.n").alias("na"), F.col("n").alias("nb"), F.col("f.pos").alias("pa"), F.col("pos").alias("pb"))
     # Of a link's shared tokens, the first stands among the first n - overlap + 1 of both documents.
