@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from precinct.blocks.shared import materialize
 from precinct.llm.common import HashedWords, dealt_schema, docs_text, packed, remainder, slices, undealt, unpacked
 
-LEXICON = 1_000_000
+LEXICON = 4_000_000
 SEEDS = 1000
 MIN_COUNT = 3
 CLASSES = 64
@@ -129,7 +129,7 @@ class Block:
         self.own_class, self.own_n = (np.array([p[f] for p in patch], np.int64) for f in ("cls", "n"))
 
     def classes(self, of: np.ndarray) -> np.ndarray:
-        out = of[self.ids]
+        out = of[self.ids].astype(np.int64)
         out[self.own] = self.own_class
         return out
 
@@ -265,7 +265,7 @@ def _contexts(blocks: DataFrame, lexicon: Lexicon, buckets: int) -> DataFrame:
             out = w >= len(lex.of)
             key = np.where(out, more[np.where(out, w - len(lex.of), 0)] if len(more) else 0, lex.keys[np.minimum(w, len(lex.of) - 1) - FIRST])
             was = np.zeros(len(w), np.int64)
-            was[~out] = lex.of[w[~out]]
+            was[~out] = lex.of[w[~out]].astype(np.int64)
             if out.any():
                 now = np.zeros(len(more), np.int64)
                 now[back] = block.own_class
@@ -345,7 +345,7 @@ class Lexicon:
     def __init__(self, keys: np.ndarray, counts: np.ndarray, classes: int):
         self.keys, self.counts, self.classes, self.total = keys, counts, classes, classes + 1 + SHAPES
         shape = np.concatenate([np.arange(SHAPES), (keys & 3) - 1])
-        self.of, self.seeds = classes + 1 + shape, np.empty(0, np.int64)
+        self.of, self.seeds = (classes + 1 + shape).astype(np.uint8), np.empty(0, np.int64)
 
 
 class Fitted:
@@ -367,33 +367,31 @@ class Fitted:
                 break
             self.least, held = c, held + k
         top = counted.filter(F.col("n") >= self.least).toArrow()
-        keys, counts = top["key"].to_numpy(), top["n"].to_numpy().astype(float)
+        keys, counts = top["key"].to_numpy(), top["n"].to_numpy()
         order = np.argsort(keys)
-        keys, counts = keys[order], counts[order]
+        keys, counts = keys[order], counts[order]  # a count takes 8 bytes, a class one
         self.blocks = materialize(index(docs, keys), "blocks")
         by_count = np.lexsort((keys, -counts))[:SEEDS]
         self.lexicon = lex = Lexicon(keys, counts, max(1, min(CLASSES, len(by_count))))
         lex.seeds = by_count + FIRST
         # Bigrams of the seeds; all other words by their shape.
-        symbol = lex.of - lex.classes + len(by_count)
+        symbol = lex.of.astype(np.int32) - lex.classes + len(by_count)
         symbol[lex.seeds] = 1 + np.arange(len(by_count))
         self.open = any(c < self.least for c, _ in often)
         outside = counted.filter((F.col("n") >= MIN_COUNT) & (F.col("n") < self.least))
         self.outside = outside.select("key", "n", (F.col("key").bitwiseAND(F.lit(3).cast("long")) + lex.classes).cast("int").alias("cls"))
-        n = _summed_pairs(self._patched(symbol[:SHAPES]), symbol, len(by_count) + 1 + SHAPES)
+        n = _summed_pairs(self.blocks, symbol, len(by_count) + 1 + SHAPES)
         lex.of[lex.seeds] = exchange(n, len(by_count))[1 : len(by_count) + 1]
         self._sweeps(outside)
         rare = counted.filter(F.col("n") < MIN_COUNT).groupBy(F.col("key").bitwiseAND(F.lit(3).cast("long")).alias("s")).agg(F.sum("n").alias("n"), F.count("*").alias("v"))
         self.shapes = {r["s"] - 1: (r["n"], r["v"]) for r in rare.collect()}
 
-    def _patched(self, fixed: np.ndarray | None = None) -> DataFrame:
-        """blocks with `patch`: place in rare, count and class of each occurrence of a word outside the lexicon that has a class
-        (fixed: numbers by shape in their place)."""
+    def _patched(self) -> DataFrame:
+        """blocks with `patch`: place in rare, count and class of each occurrence of a word outside the lexicon that has a class."""
         if not self.open:
             return self.blocks
-        of = self.outside if fixed is None else self.outside.withColumn("cls", F.element_at(F.array(*[F.lit(int(k)) for k in fixed]), F.col("key").bitwiseAND(F.lit(3).cast("long")).cast("int")))
-        found = self.blocks.select("block", F.posexplode("rare").alias("at", "key")).join(of, "key").groupBy("block").agg(F.collect_list(F.struct("at", "cls", "n")).alias("patch"))
-        return self.blocks.join(found, "block", "left")
+        found = self.blocks.select("block", F.posexplode("rare").alias("at", "key")).join(self.outside, "key").groupBy("block").agg(F.collect_list(F.struct("at", "cls", "n")).alias("patch"))
+        return materialize(self.blocks.join(found, "block", "left"), "patched-blocks")
 
     def _sweeps(self, outside: DataFrame) -> None:
         lex = self.lexicon
@@ -401,11 +399,11 @@ class Fitted:
         tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
         buckets = max(1, 2 * self.tokens // BUCKET)
         blocks = self._patched()
-        self.g = _summed_pairs(blocks, lex.of, lex.total)
+        self.g = _summed_pairs(self.blocks, lex.of, lex.total)  # words outside the lexicon start in the class of their shape
         for _ in range(ROUNDS if self.ends else 0):
             new = materialize(_moved(_contexts(blocks, lex, buckets), self.g, lex.classes, max(tasks, buckets // 4)), "word-classes")
             was = (lex.of.copy(), self.outside, self.g, blocks)
-            mine = new.filter("lex").select("key", "cls").toArrow()
+            mine = new.filter("lex").select("key", F.col("cls").cast("tinyint").alias("cls")).toArrow()
             lex.of[np.searchsorted(lex.keys, mine["key"].to_numpy()) + FIRST] = mine["cls"].to_numpy()
             if self.open:
                 self.outside = materialize(outside.select("key", "n").join(new.filter("not lex").select("key", "cls"), "key"), "outside-classes")
@@ -433,9 +431,7 @@ class Model:
             self.shape_cost[classes + 1 + s] = np.log10(n + v + 1)
         self.log_tokens = np.log10(np.maximum(tokens, 1))
         self.of = lex.of
-        self.more = np.concatenate([np.zeros(SHAPES), np.log10(lex.counts + 1)])
-        share = np.concatenate([np.zeros(SHAPES), np.log10(lex.counts)]) - self.log_tokens[lex.of]
-        self.emission = np.where(np.arange(len(lex.of)) >= FIRST, share, -self.shape_cost[lex.of])
+        self.counts = np.concatenate([np.zeros(SHAPES, np.int64), lex.counts])
 
 
 SCORED = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>"
@@ -457,7 +453,8 @@ def _scored(blocks: DataFrame, model: Model, end_more: float) -> DataFrame:
             run_of = lambda v: np.concatenate([[0.0], np.cumsum(v)])
             add = lambda v: run_of(v)[ends] - run_of(v)[starts]  # noqa: E731, B023
             classes = block.classes(m.of)
-            emission = m.emission[ids]
+            count = m.counts[ids]
+            emission = np.where(ids >= FIRST, np.log10(np.maximum(count, 1)) - m.log_tokens[classes], -m.shape_cost[classes])
             emission[block.own] = np.log10(np.maximum(block.own_n, 1)) - m.log_tokens[block.own_class]
             x, _ = block.lined_up(classes, np.ones(docs, bool))
             step = run_of(m.step[x[:-1], x[1:]])
@@ -465,7 +462,7 @@ def _scored(blocks: DataFrame, model: Model, end_more: float) -> DataFrame:
             known = add((ids >= FIRST).astype(np.int64)).astype(np.int64) + (end_more > 0)
             cut = np.searchsorted(block.rare_at, np.append(starts, len(ids)))
             rare = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(block.rare, pa.int64()))
-            columns = [uid + np.arange(docs), pa.array(block.doc_ids, pa.int64()), block.held, size + 1, known, add(m.more[ids]) + end_more, moves + add(emission), rare]
+            columns = [uid + np.arange(docs), pa.array(block.doc_ids, pa.int64()), block.held, size + 1, known, add(np.log10(count + 1)) + end_more, moves + add(emission), rare]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
             uid += docs
 
