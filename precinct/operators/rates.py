@@ -132,13 +132,21 @@ def shrinkage(post: DataFrame, days: float = 7.0) -> DataFrame:
     return post.withColumns({"predicted": F.col("mean") * max(days, 0.0), "shrunk": (1 - w) * F.col("alpha0") / F.col("beta0") + w * F.col("mean")})
 
 
+def zone_risk(post: DataFrame) -> DataFrame:
+    """The stored table of zone risks: zone, mean, var, lo, hi, updated_at."""
+    return post.select("zone", "mean", "var", "lo", "hi", F.current_timestamp().alias("updated_at"))
+
+
+ESCALATION_DAYS = 14
+
+
 def escalation(events: DataFrame, targets: DataFrame) -> DataFrame:
     """targets (zone, day) with the factor 1 + min(sum of exp(-0.1 lag) / 3, 1) over recent events of the zone."""
     latest = events.agg(F.to_date(F.max("occurred_at")).alias("latest"))
     daily = events.filter("occurred_at is not null").crossJoin(F.broadcast(latest)).filter(F.datediff("latest", F.to_date("occurred_at")) <= 30)  # one row
     daily = daily.groupBy("zone", F.to_date("occurred_at").alias("seen")).agg(F.count("*").alias("c"))
     lag = F.datediff("day", "seen")
-    near = targets.join(daily, "zone").withColumn("lag", lag).filter("lag between 0 and 14").groupBy("zone", "day").agg(F.sum(F.col("c") * F.exp(-0.1 * F.col("lag"))).alias("w"))
+    near = targets.join(daily, "zone").withColumn("lag", lag).filter(f"lag between 0 and {ESCALATION_DAYS}").groupBy("zone", "day").agg(F.sum(F.col("c") * F.exp(-0.1 * F.col("lag"))).alias("w"))
     return targets.join(near, ["zone", "day"], "left").withColumn("escalation", 1 + F.least(F.coalesce("w", F.lit(0.0)) / 3, F.lit(1.0))).drop("w")
 
 
@@ -173,7 +181,7 @@ def forecast_days(events: DataFrame, start: str, horizon: int = 7, untyped: str
 def forecast(events: DataFrame, start: str, horizon: int = 7, untyped: str = "pool") -> DataFrame:
     """A row a zone: mean risk, total expected, first peak day, alert level and rank."""
     days = forecast_days(events, start, horizon, untyped)
-    zones = days.groupBy("zone").agg(F.avg("risk").alias("weekly_risk"), F.sum("expected").alias("expected"), F.min_by("day", F.struct(-F.col("risk"), F.col("day"))).alias("peak_day"), F.max("risk").alias("peak_risk"))
+    zones = days.groupBy("zone").agg(F.avg("risk").alias("weekly_risk"), F.sum("expected").alias("expected"), F.min_by("day", F.struct(-F.round("risk", 12), F.col("day"))).alias("peak_day"), F.max("risk").alias("peak_risk"))
     return zones.withColumn("alert", alert(F.col("weekly_risk")))
 
 

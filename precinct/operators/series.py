@@ -9,14 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from precinct import fixed
-from precinct.blocks.band_join import band_join, sides
+from precinct.blocks.band_join import METRES_PER_DEGREE, band_join, geo_join, sides
 from precinct.blocks.components import connected_components
+from precinct.blocks.ranks import global_cumulate
 from precinct.blocks.shared import materialize
 from precinct.functions.geo import KM_PER_DEGREE, haversine_km
 from precinct.functions.text import crime_bucket, near_repeat_band
 
-METRES_PER_DEGREE = 111_000.0
-
 
 def days_since_2000(ts: Column) -> Column:
     return (ts.cast("double") - 946684800) / 86400.0
@@ -26,10 +25,6 @@ def _located(events: DataFrame) -> DataFrame:
     return events.filter("lat is not null and lon is not null and occurred_at is not null").withColumn("t", days_since_2000(F.col("occurred_at")))
 
 
-def _lon_step(metres: float, max_lat: float) -> float:
-    return metres / (METRES_PER_DEGREE * max(math.cos(math.radians(min(max_lat, 90.0))), 0.01))
-
-
 def near_repeats(events: DataFrame, seq: str = "seq") -> DataFrame:
     """Alerts (event, prior, metres, days, score): pairs inside the later event's band. `seq` orders events.
 
@@ -37,11 +32,10 @@ def near_repeats(events: DataFrame, seq: str = "seq") -> DataFrame:
     band = near_repeat_band(F.col("crime_type"))
     no_type = F.col("crime_type").isNull() | (F.trim("crime_type") == "")
     e = _located(events).withColumns({"band_m": F.when(no_type, 200.0).otherwise(band["metres"]), "band_d": F.when(no_type, 14.0).otherwise(band["days"])})
-    top = e.agg(F.max(F.abs("lat"))).first()[0] or 0.0
     widest = max(v[0] for v in [*fixed.NEAR_REPEAT.values(), fixed.NEAR_REPEAT_DEFAULT])
     longest = max(v[1] for v in [*fixed.NEAR_REPEAT.values(), fixed.NEAR_REPEAT_DEFAULT])
     a, b = sides(e.withColumnRenamed(seq, "seq_"), ["event_id", "seq_", "lat", "lon", "t", "band_m", "band_d"])
-    pairs = band_join(a, b.drop("b_band_m", "b_band_d"), "lat", "lon", "t", widest / METRES_PER_DEGREE * 1.01, _lon_step(widest, top) * 1.01, longest, F.col("b_seq_") < F.col("a_seq_"))
+    pairs = geo_join(a, b.drop("b_band_m", "b_band_d"), widest, longest, F.col("b_seq_") < F.col("a_seq_"))
     metres = haversine_km(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon")) * 1000
     out = pairs.withColumns({"metres": metres, "days": F.abs(F.col("a_t") - F.col("b_t"))}).filter("metres <= a_band_m and days <= a_band_d")
     score = F.exp(-F.col("metres") / F.col("a_band_m")) * F.exp(-F.col("days") / F.col("a_band_d"))
@@ -52,9 +46,8 @@ def knox(events: DataFrame, metres: float = 200.0, days: float = 14.0) -> DataFr
     """One row: near pairs, expected pairs and their ratio."""
     e = _located(events)
     box = e.agg(F.count("*").alias("n"), F.min("lat").alias("y0"), F.max("lat").alias("y1"), F.min("lon").alias("x0"), F.max("lon").alias("x1"), F.min("t").alias("t0"), F.max("t").alias("t1"))
-    top = e.agg(F.max(F.abs("lat"))).first()[0] or 0.0
     a, b = sides(e, ["event_id", "lat", "lon", "t"])
-    near = band_join(a, b, "lat", "lon", "t", metres / METRES_PER_DEGREE * 1.01, _lon_step(metres, top) * 1.01, days, F.col("b_event_id") < F.col("a_event_id"))
+    near = geo_join(a, b, metres, days, F.col("b_event_id") < F.col("a_event_id"))
     m = haversine_km(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon")) * 1000
     count = near.filter((m <= metres) & (F.abs(F.col("a_t") - F.col("b_t")) <= days)).agg(F.count("*").alias("near"))
     side = lambda span: F.greatest(span, F.lit(5.0 * metres))
@@ -79,11 +72,12 @@ def neighbours(points: DataFrame, eps: float) -> DataFrame:
 BUCKET_ORDER = {"burglary": 1, "theft": 2, "violent": 3, "other": 4}
 
 
-def detect_series(events: DataFrame, eps_km: float = 0.3, eps_days: float = 30.0, min_samples: int = 3, seq: str = "seq", null_island: bool = False, eps_by_bucket: dict[str, float] | None = None) -> DataFrame:
+def detect_series(events: DataFrame, eps_km: float = 0.3, eps_days: float = 30.0, min_samples: int = 3, seq: str = "seq", null_island: bool = False, eps_by_bucket: dict[str, float] | None = None, within: str | None = None) -> DataFrame:
     """event_id, series_id for the members of series; noise is left out.
 
     Core points have min_samples neighbours, themselves included; series are the connected components of core points;
-    a border point goes to the series that comes first. Missing places are dropped unless null_island."""
+    a border point goes to the series that comes first. Missing places are dropped unless null_island. within: a column, such as
+    the case, whose values have series of their own; the result has it, too."""
     e = events if null_island else events.filter("lat is not null and lon is not null")
     e = e.filter("occurred_at is not null").dropDuplicates(["event_id"])
     bucket = crime_bucket(F.col("crime_type"))
@@ -93,20 +87,26 @@ def detect_series(events: DataFrame, eps_km: float = 0.3, eps_days: float = 30.0
         if km > 0:
             scale = F.when(bucket == name, eps_km / km).otherwise(scale)
     days = F.floor(days_since_2000(F.col("occurred_at")))
-    pts = e.select(F.col(seq).alias("id"), "event_id", bucket.alias("grp"), (F.coalesce("lat", F.lit(0.0)) * scale).alias("x"), (F.coalesce("lon", F.lit(0.0)) * scale).alias("y"), (days * base / eps_days).alias("z"))
+    scope = F.lit("") if within is None else F.col(within).cast("string")
+    pts = e.select(F.col(seq).alias("id"), "event_id", scope.alias("scope"), bucket.alias("bucket"), F.concat_ws("|", scope, bucket).alias("grp"), (F.coalesce("lat", F.lit(0.0)) * scale).alias("x"), (F.coalesce("lon", F.lit(0.0)) * scale).alias("y"), (days * base / eps_days).alias("z"))
     pts = materialize(pts, "series-points")
     near = materialize(neighbours(pts, base), "series-neighbours")
     core = materialize(near.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") >= min_samples).select(F.col("a").alias("core")), "series-cores")
     links = near.join(core, F.col("a") == F.col("core"), "left_semi").join(core, F.col("b") == F.col("core"), "left_semi")
     comp = materialize(connected_components(links, "a", "b"), "series-components")
-    first = pts.join(comp, F.col("id") == F.col("node")).groupBy("grp", "component").agg(F.min("id").alias("first"))
-    order = F.element_at(F.create_map(*[F.lit(x) for kv in BUCKET_ORDER.items() for x in kv]), F.col("grp"))
-    number = F.row_number().over(Window.orderBy(order, "first"))  # over a row a series
-    named = first.select("component", number.alias("k"), F.concat(F.lit("SERIES-"), F.lpad(number.cast("string"), 4, "0")).alias("series_id"))
+    first = pts.join(comp, F.col("id") == F.col("node")).groupBy("scope", "bucket", "component").agg(F.min("id").alias("first"))
+    order = F.element_at(F.create_map(*[F.lit(x) for kv in BUCKET_ORDER.items() for x in kv]), F.col("bucket"))
+    first = first.withColumn("order", order)
+    if within is None:
+        numbered = global_cumulate(first, [F.asc("order"), F.asc("first")], {}, "k")
+    else:
+        numbered = first.withColumn("k", F.row_number().over(Window.partitionBy("scope").orderBy("order", "first")).cast("long"))
+    named = numbered.select("component", "k", F.concat(F.lit("SERIES-"), F.lpad(F.col("k").cast("string"), F.greatest(F.lit(4), F.length(F.col("k").cast("string"))), F.lit("0"))).alias("series_id"))
     of_core = comp.join(named, "component").select(F.col("node").alias("id"), "k", "series_id")
     border = near.join(core, F.col("a") == F.col("core"), "left_anti").join(of_core.withColumnRenamed("id", "b"), "b")
     border = border.groupBy(F.col("a").alias("id")).agg(F.min(F.struct("k", "series_id")).alias("s")).select("id", "s.k", "s.series_id")
-    return of_core.union(border).join(pts, "id").select("event_id", "series_id")
+    columns = ["event_id", "series_id"] if within is None else [F.col("scope").alias(within), "event_id", "series_id"]
+    return of_core.union(border).join(pts, "id").select(*columns)
 
 
 def series_summary(members: DataFrame, events: DataFrame) -> DataFrame:
@@ -125,23 +125,34 @@ def override_series(members: DataFrame, overrides: DataFrame) -> DataFrame:
     return out.select("event_id", F.when(F.col("_o"), F.col("new_series")).otherwise(F.col("series_id")).alias("series_id")).filter("series_id is not null").distinct()
 
 
-def link_probability(probes: DataFrame, members: DataFrame, events: DataFrame, mo: Column | None = None, least: float = 0.2) -> DataFrame:
-    """(event_id, series_id, p) for probes near a series: nearest place and nearest time count independently.
-
-    Beyond both bands of the series' dominant type p is only what MO gives, which stays under `least`, so candidates are
-    the series with a member in the space band or in the time band."""
-    summary = series_summary(members, events).select("series_id", near_repeat_band(F.col("dominant_type")).alias("band"))
-    m = members.join(events.select("event_id", "lat", "lon", "occurred_at"), "event_id").select("series_id", F.col("lat").alias("mlat"), F.col("lon").alias("mlon"), days_since_2000(F.col("occurred_at")).alias("mt"))
-    day = F.floor("mt")
-    inside = m.join(summary, "series_id").select("series_id", "band", "mlat", "mlon", "mt", day.alias("_d"))
-    p = probes.filter("lat is not null and occurred_at is not null").select("event_id", "lat", "lon", days_since_2000(F.col("occurred_at")).alias("t"))
-    longest = int(max(v[1] for v in [*fixed.NEAR_REPEAT.values(), fixed.NEAR_REPEAT_DEFAULT])) + 1
-    hits = p.withColumn("_b", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumn("_k", F.floor(F.col("t") / longest) + F.col("_b"))
-    cand = hits.join(inside.withColumn("_k", F.floor(F.col("mt") / longest)), "_k").select("event_id", "series_id").distinct()
-    all_pairs = cand.join(p, "event_id").join(inside, "series_id")
-    km = haversine_km(F.col("lat"), F.col("lon"), F.col("mlat"), F.col("mlon"))
-    g = all_pairs.groupBy("event_id", "series_id").agg(F.min(km).alias("km"), F.min(F.abs(F.col("t") - F.col("mt"))).alias("dt"), F.first("band").alias("band"))
-    similar = F.lit(0.0) if mo is None else mo
-    c = 0.35 * F.greatest(F.lit(0.0), 1 - F.col("km") * 1000 / F.col("band.metres")) + 0.35 * F.greatest(F.lit(0.0), 1 - F.col("dt") / F.col("band.days")) + 0.30 * similar
+def link_probability(probes: DataFrame, members: DataFrame, events: DataFrame, mo: DataFrame | None = None, least: float = 0.2, scope: str | None = None) -> DataFrame:
+    """(event_id, series_id, km, dt, p) for probes near a series: nearest place and nearest time count independently.
+
+    mo: (event_id, series_id, mo), similarity of method from 0 to 1; without a row it is 0. scope: a column of probes and members,
+    such as the case; only those of one value meet. Without MO, p reaches `least` only inside both bands of the series' dominant type,
+    so candidates are the series with a member in the space band; the pairs of mo are candidates, too."""
+    key = [scope] if scope else []
+    at = events.select("event_id", "crime_type", "lat", "lon", "occurred_at")
+    named = members.select(*key, "event_id", "series_id").withColumn("series", F.struct(*key, "series_id"))
+    summary = series_summary(named.select("event_id", F.col("series").alias("series_id")), events).select(F.col("series_id").alias("series"), near_repeat_band(F.col("dominant_type")).alias("band"))
+    m = named.join(at, "event_id").filter("lat is not null and occurred_at is not null")
+    inside = materialize(m.select("series", F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"), days_since_2000(F.col("occurred_at")).alias("b_t")).join(summary, "series"), "series-members")
+    p = probes.filter("lat is not null and lon is not null and occurred_at is not null").select(F.col("event_id").alias("a_event_id"), *[F.col(c).alias(f"a_{c}") for c in key], F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"), days_since_2000(F.col("occurred_at")).alias("a_t"))
+    widest = max(v[0] for v in [*fixed.NEAR_REPEAT.values(), fixed.NEAR_REPEAT_DEFAULT])
+    longest = max(v[1] for v in [*fixed.NEAR_REPEAT.values(), fixed.NEAR_REPEAT_DEFAULT])
+    same = F.lit(True)
+    for c in key:
+        same = same & (F.col(f"a_{c}").cast("string") == F.col(f"series.{c}").cast("string"))
+    pairs = geo_join(p, inside.select("series", "b_lat", "b_lon", "b_t"), widest, longest, same).select("a_event_id", "series").distinct()
+    if mo is not None:
+        known = mo.select(F.col("event_id").alias("a_event_id"), F.struct(*key, "series_id").alias("series"), F.col("mo").cast("double").alias("mo"))
+        pairs = pairs.join(known, ["a_event_id", "series"], "full").withColumn("mo", F.coalesce("mo", F.lit(0.0)))
+    else:
+        pairs = pairs.withColumn("mo", F.lit(0.0))
+    met = pairs.join(p, "a_event_id").join(inside, "series")
+    km = haversine_km(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
+    g = met.groupBy("a_event_id", "series").agg(F.min(km).alias("km"), F.min(F.abs(F.col("a_t") - F.col("b_t"))).alias("dt"), F.first("band").alias("band"), F.first("mo").alias("mo"))
+    near = lambda x, most: F.greatest(F.lit(0.0), 1 - x / most)
+    c = 0.35 * near(F.col("km") * 1000, F.col("band.metres")) + 0.35 * near(F.col("dt"), F.col("band.days")) + 0.30 * F.greatest(F.lit(0.0), F.least(F.col("mo"), F.lit(1.0)))
     prob = F.least(F.lit(0.95), 0.05 * F.col("band.multiplier") * c / 0.5)
-    return g.select("event_id", "series_id", "km", "dt", prob.alias("p")).filter(F.col("p") >= least)
+    return g.select(F.col("a_event_id").alias("event_id"), *[f"series.{c}" for c in key], "series.series_id", "km", "dt", prob.alias("p")).filter(F.col("p") >= least)

@@ -7,7 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -152,15 +153,83 @@ def geographic_profile(points: DataFrame, n: int = 80, buffer_km: float = 0.5, f
 
 def profile_summary(profile: DataFrame) -> DataFrame:
     """One row: the peak cell and the km2 that hold 50 and 80 % of the mass."""
-    p = materialize(profile, "profile")
-    w = Window.orderBy(F.desc("p"), "row", "col")  # over the cells of a bounded grid
+    return _summaries(materialize(profile, "profile").withColumn("series_id", F.lit(0))).drop("series_id")
+
+
+def _summaries(p: DataFrame) -> DataFrame:
+    """A row a series from its cells (series_id, row, col, lat, lon, p); grids are of bounded size."""
+    w = Window.partitionBy("series_id").orderBy(F.desc("p"), "row", "col")
     c = p.select("*", F.sum("p").over(w).alias("cum"), F.row_number().over(w).alias("k"))
-    box = p.agg(F.min("lat").alias("y0"), F.max("lat").alias("y1"), F.min("lon").alias("x0"), F.max("lon").alias("x1"), (F.max("row") + 1).alias("n"))
-    need = lambda share: F.min(F.when(F.col("cum") >= share, F.col("k")))
-    one = c.agg(F.min_by(F.struct("lat", "lon", "p"), "k").alias("peak"), need(0.5).alias("k50"), need(0.8).alias("k80")).crossJoin(F.broadcast(box))  # one row each
+    need = lambda share: F.min(F.when(F.col("cum") >= share - 1e-12, F.col("k")))
+    box = [f(c).alias(a) for f, c, a in ((F.min, "lat", "y0"), (F.max, "lat", "y1"), (F.min, "lon", "x0"), (F.max, "lon", "x1"))]
+    one = c.groupBy("series_id").agg(F.min_by(F.struct("lat", "lon", "p"), "k").alias("peak"), need(0.5).alias("k50"), need(0.8).alias("k80"), *box, (F.max("row") + 1).alias("n"))
     km = lambda a, b: (F.col(b) - F.col(a)) / (F.col("n") - 1) * KM_PER_DEGREE
     cell = km("y0", "y1") * km("x0", "x1") * F.cos(F.radians((F.col("y0") + F.col("y1")) / 2))
-    return one.select("peak.lat", "peak.lon", F.col("peak.p").alias("peak_p"), (F.col("k50") * cell).alias("area50_km2"), (F.col("k80") * cell).alias("area80_km2"))
+    return one.select("series_id", "peak.lat", "peak.lon", F.col("peak.p").alias("peak_p"), (F.col("k50") * cell).alias("area50_km2"), (F.col("k80") * cell).alias("area80_km2"))
+
+
+def series_profiles(members: DataFrame, n: int = 80, buffer_km: float = 0.5, f: float = 1.2, g: float = 1.2, least: int = 3) -> DataFrame:
+    """series_id with peak and areas, for all series with at least `least` located members. members: series_id, lat, lon.
+
+    Every batch of rows adds up one grid a series; the partial grids of a series, each of n x n numbers, meet by its id."""
+    located = members.filter("lat is not null and lon is not null").select("series_id", "lat", "lon")
+    margin = max(0.05, 4 * buffer_km / KM_PER_DEGREE)
+    boxes = located.groupBy("series_id").agg(F.count("*").alias("size"), (F.min("lat") - margin).alias("y0"), (F.max("lat") + margin).alias("y1"), (F.min("lon") - margin).alias("x0"), (F.max("lon") + margin).alias("x1"))
+    rows = located.join(boxes.filter(F.col("size") >= least), "series_id")
+    kernel, taps = rossmo(buffer_km, f, g), _taps(1.5)
+    axes = lambda y0, y1, x0, x1: (np.linspace(y0, y1, n), np.linspace(x0, x1, n))
+    box = ["y0", "y1", "x0", "x1"]
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for (series, *b), mine in pdf.groupby(["series_id", *box]):
+                yield pd.DataFrame({"series_id": [series], **{c: [v] for c, v in zip(box, b, strict=True)}, "grid": [kernel(mine, *axes(*b)).ravel()]})
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, sums = None, None
+        for pdf in batches:
+            for r in pdf.itertuples():
+                if held is not None and r.series_id != held.series_id:
+                    yield cells(held, sums)
+                    held = None
+                held, sums = (r, np.array(r.grid)) if held is None else (held, sums + r.grid)
+        if held is not None:
+            yield cells(held, sums)
+
+    def cells(r, sums: np.ndarray) -> pd.DataFrame:
+        grid = _smoothed(sums.reshape(n, n), taps)
+        lats, lons = axes(r.y0, r.y1, r.x0, r.x1)
+        row, col = np.divmod(np.arange(n * n), n)
+        return pd.DataFrame({"series_id": r.series_id, "row": row, "col": col, "lat": lats[row], "lon": lons[col], "p": (grid / grid.sum()).ravel()})
+
+    grids = rows.mapInPandas(partial, "series_id string, y0 double, y1 double, x0 double, x1 double, grid array<double>")
+    dealt = grids.repartition("series_id").sortWithinPartitions("series_id")
+    return _summaries(dealt.mapInPandas(whole, "series_id string, row int, col int, lat double, lon double, p double"))
+
+
+def _taps(sigma: float) -> np.ndarray:
+    half = math.ceil(3 * sigma)
+    k = np.exp(-0.5 * (np.arange(-half, half + 1) / sigma) ** 2)
+    return k / k.sum()
+
+
+def _smoothed(grid: np.ndarray, taps: np.ndarray) -> np.ndarray:
+    """Separable smoothing with clamped edges."""
+    half = len(taps) // 2
+    for axis in (1, 0):
+        n = grid.shape[axis]
+        grid = sum(w * np.take(grid, np.clip(np.arange(n) + k - half, 0, n - 1), axis) for k, w in enumerate(taps))
+    return grid
+
+
+def map_hotspots(points: DataFrame, top_k: int = 8) -> DataFrame:
+    """Hotspots of a map: a box with a tenth (at least 0.01) to spare, 40 x 40 cells; none for fewer than three points."""
+    located = points.filter("lat is not null and lon is not null")
+    b = bandwidths(located)
+    if b["n"] < 3:
+        return points.sparkSession.createDataFrame([], "rank int, lat double, lon double, peak double, mass double, crimes long")
+    dy, dx = max(0.1 * (b["y1"] - b["y0"]), 0.01), max(0.1 * (b["x1"] - b["x0"]), 0.01)
+    return hotspots(kde(located, 40, (b["y0"] - dy, b["y1"] + dy, b["x0"] - dx, b["x1"] + dx)), located, top_k)
 
 
 # -- Hawkes --------------------------------------------------------------------------------------------------------------
@@ -170,31 +239,68 @@ def _window(beta: float) -> float:
     return min(20 / beta, 90.0)
 
 
-def hawkes_pairs(events: DataFrame, days: float = 90.0) -> DataFrame:
-    """(b, dt, d2) of every event b and each event before it by (t, id) within so many days: a time-bucket join."""
-    e = events.select("id", "t", "lat", "lon")
-    late = e.select(F.col("id").alias("b"), F.col("t").alias("bt"), F.col("lat").alias("by"), F.col("lon").alias("bx"), F.explode(F.array(F.floor(F.col("t") / days), F.floor(F.col("t") / days) - 1)).alias("k"))
-    early = e.select("id", "t", "lat", "lon", F.floor(F.col("t") / days).alias("k"))
-    dt = F.col("bt") - F.col("t")
-    before = (F.col("t") < F.col("bt")) | ((F.col("t") == F.col("bt")) & (F.col("id") < F.col("b")))
-    met = late.join(early, "k").filter(before & (dt <= days))
-    return met.select("b", dt.alias("dt"), (F.pow(F.col("by") - F.col("lat"), 2) + F.pow(F.col("bx") - F.col("lon"), 2)).alias("d2"))
+#: Events of a block: what a task compares with another block at a time.
+BLOCK_EVENTS = 2000
 
 
-def _excitement(alpha, beta, s2, dt: Column, d2: Column) -> Column:
-    return F.when(dt <= _window(beta), alpha * beta * F.exp(-beta * dt) * s2 / (d2 + s2)).otherwise(0.0)
+def _blocks(events: DataFrame, days: float, n: int, prefix: str, lags: tuple[int, ...]) -> DataFrame:
+    """Events packed by time bucket in blocks of bounded size, as arrays; a block stands in its bucket less each lag."""
+    salt = F.pmod(F.xxhash64("id"), F.lit(max(1, n // BLOCK_EVENTS)))
+    rows = events.select(F.floor(F.col("t") / days).cast("long").alias("k"), salt.alias("salt"), F.struct("id", "t", "lat", "lon").alias("e"))
+    packed = rows.groupBy("k", "salt").agg(F.collect_list("e").alias(prefix))
+    return packed.select(F.explode(F.array(*[F.col("k") - x for x in lags])).alias("k"), F.col("salt").alias(f"{prefix}_salt"), prefix)
 
 
-def hawkes_nll(events: DataFrame, pairs: DataFrame, candidates: list[tuple[float, float, float, float]]) -> list[float]:
-    """Negative log-likelihood of each (mu, alpha, beta, sigma), all in one pass over the pairs."""
-    sums = pairs.groupBy("b").agg(*[F.sum(_excitement(a, b, s * s, F.col("dt"), F.col("d2"))).alias(f"x{k}") for k, (_, a, b, s) in enumerate(candidates)])
+def excitation(targets: DataFrame, events: DataFrame, candidates: list[tuple[float, float]], strict: bool) -> DataFrame:
+    """(id, x0, x1, ...): for each (beta, sigma), the sum over earlier events within the window of
+    beta exp(-beta dt) s2 / (d2 + s2). Earlier is by t alone if strict, else by (t, id).
+
+    Pairs of blocks meet by time bucket; pairs of events exist only as arrays inside a task."""
+    days = max(_window(b) for b, _ in candidates)
+    n = events.count()
+    late, early = _blocks(targets, days, n, "late", (0, 1)), _blocks(events, days, n, "early", (0,))
+    names = [f"x{k}" for k in range(len(candidates))]
+
+    def arrays(column: pa.ListArray, k: int) -> list[np.ndarray]:
+        return [x.to_numpy(zero_copy_only=False) for x in column[k].values.flatten()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                (bid, bt, by, bx), (aid, at, ay, ax) = arrays(batch["late"], k), arrays(batch["early"], k)
+                sums = np.zeros((len(candidates), len(bid)))
+                for i in range(0, len(bid), 250):
+                    part = slice(i, i + 250)
+                    dt = bt[part, None] - at
+                    before = dt > 0 if strict else (dt > 0) | ((dt == 0) & (aid < bid[part, None]))
+                    if not before.any():
+                        continue
+                    d2 = (by[part, None] - ay) ** 2 + (bx[part, None] - ax) ** 2
+                    fade = {b: np.where(before & (dt <= _window(b)), b * np.exp(-b * np.maximum(dt, 0)), 0.0) for b in {b for b, _ in candidates}}
+                    near = {s: s * s / (d2 + s * s) for s in {s for _, s in candidates}}
+                    for j, (b, s) in enumerate(candidates):
+                        sums[j, part] = (fade[b] * near[s]).sum(1)
+                yield pa.RecordBatch.from_arrays([pa.array(bid, pa.int64()), *map(pa.array, sums)], names=["id", *names])
+
+    pairs = late.join(early, "k").select("late", "early")
+    return pairs.mapInArrow(run, "id long, " + ", ".join(f"{x} double" for x in names)).groupBy("id").agg(*[F.sum(x).alias(x) for x in names])
+
+
+def hawkes_nll(events: DataFrame, candidates: list[tuple[float, float, float, float]]) -> list[float]:
+    """Negative log-likelihood of each (mu, alpha, beta, sigma), all in one pass over the pairs of blocks. Candidates that differ
+    in mu and alpha alone share the sums of their pairs."""
+    shapes = list(dict.fromkeys((b, s) for _, _, b, s in candidates))
+    return _nll(events, excitation(events, events, shapes, strict=False), shapes, candidates)
+
+
+def _nll(events: DataFrame, sums: DataFrame, shapes: list[tuple[float, float]], candidates: list[tuple]) -> list[float]:
     ends = events.agg(F.max("t").alias("t1"), F.min("t").alias("t0")).first()
     span = ends["t1"] - ends["t0"] if ends["t1"] > ends["t0"] else 1.0
-    rows = events.join(sums, F.col("id") == F.col("b"), "left")
+    rows = events.select("id", "t").join(sums, "id", "left")
     agg = []
-    for k, (mu, a, b, _) in enumerate(candidates):
-        left = ends["t1"] - F.col("t")
-        agg.append((-F.sum(F.log(mu + F.coalesce(f"x{k}", F.lit(0.0)))) + mu * span + F.sum(a * (1 - F.exp(-b * left)))).alias(f"n{k}"))
+    for k, (mu, a, b, s) in enumerate(candidates):
+        x = F.coalesce(F.col(f"x{shapes.index((b, s))}"), F.lit(0.0))
+        agg.append((-F.sum(F.log(mu + a * x)) + mu * span + F.sum(a * (1 - F.exp(-b * (ends["t1"] - F.col("t")))))).alias(f"n{k}"))
     return list(rows.agg(*agg).first())
 
 
@@ -202,17 +308,21 @@ BOUNDS = {0: (1e-6, 10.0), 1: (1e-6, 0.99), 2: (0.1, 20.0), 3: (1e-5, 0.5)}
 
 
 def fit_hawkes(events: DataFrame, sweeps: int = 10, width: int = 16, rounds: int = 4) -> dict:
-    """Coordinate descent; each line search narrows its interval by `width` candidates a pass. Gives parameters, nll, sweeps."""
+    """Coordinate descent; each line search narrows its interval by `width` candidates a pass. Gives parameters, nll, sweeps.
+
+    For mu and alpha the sums over pairs don't change, so their searches take one pass over the pairs between them."""
     events = materialize(events.select("id", "t", "lat", "lon"), "hawkes-events")
-    pairs = materialize(hawkes_pairs(events), "hawkes-pairs")
     now, best, done = [0.1, 0.3, 0.5, 0.01], math.inf, 0
     for done in range(1, sweeps + 1):  # noqa: B007
         was = best
+        shapes = [(now[2], now[3])]
+        sums = materialize(excitation(events, events, shapes, strict=False), "hawkes-sums")
         for axis, (low, high) in BOUNDS.items():
             lo, hi = math.log(low), math.log(high)
             for _ in range(rounds):
                 grid = np.linspace(lo, hi, width)
-                got = hawkes_nll(events, pairs, [tuple(float(math.exp(x)) if k == axis else v for k, v in enumerate(now)) for x in grid])
+                tries = [tuple(float(math.exp(x)) if k == axis else v for k, v in enumerate(now)) for x in grid]
+                got = _nll(events, sums, shapes, tries) if axis < 2 else hawkes_nll(events, tries)
                 k = int(np.argmin(got))
                 lo, hi = grid[max(k - 1, 0)], grid[min(k + 1, width - 1)]
             if got[k] < best:
@@ -224,12 +334,8 @@ def fit_hawkes(events: DataFrame, sweeps: int = 10, width: int = 16, rounds: int
 
 def hawkes_intensity(targets: DataFrame, events: DataFrame, mu: float, alpha: float, beta: float, sigma: float) -> DataFrame:
     """targets (id, t, lat, lon) with the intensity from strictly earlier events."""
-    w = _window(beta)
-    a = targets.select(F.col("id").alias("b"), F.col("t").alias("bt"), F.col("lat").alias("by"), F.col("lon").alias("bx"), F.explode(F.array(F.floor(F.col("t") / w), F.floor(F.col("t") / w) - 1)).alias("k"))
-    e = events.select("t", "lat", "lon", F.floor(F.col("t") / w).alias("k"))
-    dt, d2 = F.col("bt") - F.col("t"), F.pow(F.col("by") - F.col("lat"), 2) + F.pow(F.col("bx") - F.col("lon"), 2)
-    x = a.join(e, "k").filter(dt > 0).groupBy("b").agg(F.sum(_excitement(alpha, beta, sigma * sigma, dt, d2)).alias("x"))
-    return targets.join(x, F.col("id") == F.col("b"), "left").withColumn("intensity", mu + F.coalesce("x", F.lit(0.0))).drop("b", "x")
+    x = excitation(targets, events, [(beta, sigma)], strict=True)
+    return targets.join(x, "id", "left").withColumn("intensity", mu + alpha * F.coalesce("x0", F.lit(0.0))).drop("x0")
 
 
 def hawkes_surface(events: DataFrame, t: float, bbox: tuple, n: int, mu: float, alpha: float, beta: float, sigma: float) -> DataFrame:
@@ -252,6 +358,31 @@ def hawkes_surface(events: DataFrame, t: float, bbox: tuple, n: int, mu: float,
 # -- Gaussian process by random Fourier features ---------------------------------------------------------------------------
 
 
+def cholesky(a: np.ndarray) -> np.ndarray:
+    """Lower factor, row by row, in plain array operations: the matrix is small, and no threaded library is needed."""
+    out = np.zeros_like(a)
+    for k in range(len(a)):
+        out[k, k] = math.sqrt(a[k, k] - out[k, :k] @ out[k, :k])
+        out[k + 1 :, k] = (a[k + 1 :, k] - (out[k + 1 :, :k] * out[k, :k]).sum(1)) / out[k, k]
+    return out
+
+
+def substituted(root: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """x with root x = b, for a lower root."""
+    x = np.array(b, float)
+    for k in range(len(root)):
+        x[k] = (x[k] - np.tensordot(root[k, :k], x[:k], 1)) / root[k, k]
+    return x
+
+
+def back_substituted(root: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """x with root' x = b."""
+    x = np.array(b, float)
+    for k in range(len(root) - 1, -1, -1):
+        x[k] = (x[k] - (root[k + 1 :, k] * x[k + 1 :]).sum()) / root[k, k]
+    return x
+
+
 class FourierProcess:
     """Squared-exponential regression of y on (x1, x2): features are fixed by a seed, one pass adds up the Gram matrix."""
 
@@ -276,17 +407,16 @@ class FourierProcess:
         rows = df.select("x1", "x2", "y").mapInPandas(gram, "row int, value array<double>").select("row", F.posexplode("value").alias("col", "v")).groupBy("row", "col").agg(F.sum("v").alias("v")).toPandas()
         m = np.zeros((d, d + 1))
         m[rows["row"], rows["col"]] = rows["v"]
-        self.a = m[:, :d] + self.noise**2 * np.eye(d)
-        self.mean = np.linalg.solve(self.a, m[:, d])
-        self.cov = self.noise**2 * np.linalg.inv(self.a)
+        self.root = cholesky(m[:, :d] + self.noise**2 * np.eye(d))
+        self.mean = back_substituted(self.root, substituted(self.root, m[:, d]))
         return self
 
     def predict(self, df: DataFrame, key: str) -> DataFrame:
-        phi, mean, cov = self.phi, self.mean, self.cov
+        phi, mean, root, noise = self.phi, self.mean, self.root, self.noise
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 f = phi(pdf)
-                yield pd.DataFrame({key: pdf[key], "mean": f @ mean, "variance": np.einsum("ij,jk,ik->i", f, cov, f)})
+                yield pd.DataFrame({key: pdf[key], "mean": f @ mean, "variance": noise**2 * (substituted(root, f.T) ** 2).sum(0)})
 
         return df.select(key, "x1", "x2").mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, mean double, variance double")

@@ -227,15 +227,21 @@ def a02_poisson_fit(spark, sf):
     return rounded(out.withColumn("r", F.round("r", 4)))
 
 
-@R("a03_poisson_predict", f"""WITH {CE}, {_fit_sql("lower(coalesce(crime_type, ''))")},
+WHICH = "zone, hour_block, dow, month, type"
+#: Quantiles of the fitted counts, Poisson (F21) and negative binomial.
+QUANTILES = f"""pm AS (SELECT {WHICH}, k.range AS k, sum(CASE WHEN r IS NULL THEN exp(k.range * ln(rate) - rate - lgamma(k.range + 1)) ELSE exp(lgamma(k.range + r) - lgamma(k.range + 1) - lgamma(r) + r * ln(1 - p) + k.range * ln(p)) END) OVER (PARTITION BY {WHICH} ORDER BY k.range) AS cdf FROM fit, range(200) k),
+qn AS (SELECT {WHICH}, CAST(min(k) FILTER (cdf >= 0.05) AS DOUBLE) AS lo, CAST(min(k) FILTER (cdf >= 0.95) AS DOUBLE) AS hi FROM pm GROUP BY ALL)"""
+
+
+@R("a03_poisson_predict", f"""WITH {CE}, {_fit_sql("lower(coalesce(crime_type, ''))")}, {QUANTILES},
 rows AS (SELECT ce.event_id, suburb AS zone, CAST(hour(occurred_at) // 2 AS INT) AS hour_block, CAST(isodow(occurred_at) - 1 AS INT) AS dow, CAST(month(occurred_at) AS INT) AS month, CASE WHEN seq % 5 = 0 THEN 'other' ELSE lower(coalesce(crime_type, '')) END AS type FROM ce WHERE occurred_at IS NOT NULL)
-SELECT event_id, round(coalesce(rate, 0.01), 6) AS lambda, round(CASE WHEN rate IS NULL THEN 1 - exp(-0.01) WHEN r IS NOT NULL THEN 1 - pow(1 - p, r) ELSE 1 - exp(-rate) END, 6) AS p_any, coalesce(n_days, 0) AS n, CASE WHEN r IS NOT NULL THEN 'NegativeBinomial' ELSE 'NonHomogeneousPoisson' END AS model
-FROM rows LEFT JOIN fit USING (zone, hour_block, dow, month, type)""")
+SELECT event_id, round(coalesce(rate, 0.01), 6) AS lambda, round(coalesce(rate, 0.01), 6) AS expected, CASE WHEN rate IS NULL THEN 0 ELSE lo END AS ci90_lo, CASE WHEN rate IS NULL THEN 2 ELSE hi END AS ci90_hi, round(CASE WHEN rate IS NULL THEN 1 - exp(-0.01) WHEN r IS NOT NULL THEN 1 - pow(1 - p, r) ELSE 1 - exp(-rate) END, 6) AS p_any, coalesce(n_days, 0) AS n, CASE WHEN r IS NOT NULL THEN 'NegativeBinomial' ELSE 'NonHomogeneousPoisson' END AS model
+FROM rows LEFT JOIN fit USING ({WHICH}) LEFT JOIN qn USING ({WHICH})""")
 def a03_poisson_predict(spark, sf):
     """A03, J12; types that no bucket has get the prior."""
     e = zoned(spark, sf).filter("occurred_at is not null")
     rows = rates.bucketed(e, kind=F.when(F.col("seq") % 5 == 0, "other").otherwise(F.lower(F.coalesce("crime_type", F.lit("")))))
-    return rounded(rates.predict_poisson(rows.select("event_id", *rates.BUCKET), rates.fit_poisson(e)).select("event_id", "lambda", "p_any", "n", "model"))
+    return rounded(rates.predict_poisson(rows.select("event_id", *rates.BUCKET), rates.fit_poisson(e)).select("event_id", "lambda", "expected", "p_any", "ci90_lo", "ci90_hi", "n", "model"))
 
 
 @R("f21_count_quantiles", f"""WITH {CE}, {_fit_sql("''")}, u AS (SELECT DISTINCT rate FROM fit WHERE r IS NULL), k AS (SELECT range AS k FROM range(200)),
@@ -294,10 +300,10 @@ def w12_forecast_days(spark, sf):
     return rounded(rates.forecast_days(zoned(spark, sf), _START))
 
 
-@R("w12_forecast", f"""WITH {CE}, {_FC} SELECT zone, round(avg(risk), 6) AS weekly_risk, round(sum(expected), 6) AS expected, round(max(risk), 6) AS peak_risk,
+@R("w12_forecast", f"""WITH {CE}, {_FC} SELECT zone, round(avg(risk), 6) AS weekly_risk, round(sum(expected), 6) AS expected, round(max(risk), 6) AS peak_risk, arg_min(day, (-round(risk, 12), day)) AS peak_day,
 CASE WHEN avg(risk) >= 0.75 THEN 'CRITICAL' WHEN avg(risk) >= 0.5 THEN 'HIGH' WHEN avg(risk) >= 0.3 THEN 'ELEVATED' ELSE 'NORMAL' END AS alert FROM fz GROUP BY zone""")
 def w12_forecast(spark, sf):
-    return rounded(rates.forecast(zoned(spark, sf), _START).drop("peak_day"))
+    return rounded(rates.forecast(zoned(spark, sf), _START))
 
 
 @R("w13_top_zones", f"WITH {CE}, {_GP} SELECT zone, round(alpha / beta, 6) AS mean, CASE WHEN alpha / beta > 2 * alpha0 / beta0 THEN 'hot' WHEN alpha / beta > 1.3 * alpha0 / beta0 THEN 'elevated' ELSE 'normal' END AS label, row_number() OVER (ORDER BY alpha / beta DESC, zone) AS rank FROM post QUALIFY rank <= 8")

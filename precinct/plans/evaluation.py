@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from precinct.operators import evaluation as ev
+from precinct.operators import export
 from precinct.plans.base import Register, rounded
 from precinct.plans.fixtures import CE, PRED, crime_events, predictions, table
 
@@ -62,12 +63,20 @@ def a42_reliability(spark, sf):
     return rounded(ev.calibration_bins(predictions(spark, sf)))
 
 
-@R("a43_isotonic")
+#: Monotone means as the greatest, over starts up to i, of the least mean over ends from i.
+_PAVA = """cu AS (SELECT i, sum(w) OVER (ORDER BY i) AS w, sum(w * e) OVER (ORDER BY i) AS s FROM pt), sg AS (SELECT a.i + 1 AS a, b.i AS b, (b.s - a.s) / (b.w - a.w) AS m FROM (SELECT 0 AS i, 0 AS w, 0 AS s UNION ALL FROM cu) a JOIN cu b ON b.i > a.i),
+mn AS (SELECT a, b AS i, min(m) OVER (PARTITION BY a ORDER BY b DESC ROWS UNBOUNDED PRECEDING) AS m FROM sg), iso AS (SELECT i, max(m) AS v FROM mn GROUP BY i)"""
+
+
+@R("a43_isotonic", f"WITH {PRED}, pt AS (SELECT row_number() OVER (ORDER BY pred) AS i, pred, count(*) AS w, avg(y) AS e FROM pr GROUP BY pred), {_PAVA} SELECT id, round(pr.pred, 6) AS pred, round(v, 6) AS calibrated FROM pr JOIN pt ON pt.pred = pr.pred JOIN iso USING (i)")
 def a43_isotonic(spark, sf):
     return rounded(ev.isotonic(predictions(spark, sf)))
 
 
-@R("a44_ensemble_calibration")
+@R("a44_ensemble_calibration", f"""WITH {PRED}, pt AS (SELECT row_number() OVER (ORDER BY bin) AS i, 1 AS w, x, e FROM (SELECT greatest(0, least(19, floor(pred * 20))) AS bin, avg(pred) AS x, avg(y) AS e FROM pr GROUP BY 1)), {_PAVA},
+kn AS (SELECT 0 AS i, 0.0::DOUBLE AS x, 0.0::DOUBLE AS v UNION ALL SELECT i, x, v FROM pt JOIN iso USING (i) UNION ALL SELECT (SELECT max(i) + 1 FROM pt), 1.0, 1.0), sl AS (SELECT i, x AS x0, v AS y0, lead(x) OVER (ORDER BY i) AS x1, lead(v) OVER (ORDER BY i) AS y1 FROM kn),
+ap AS (SELECT p.pred, arg_min(CASE WHEN x1 - x0 > 1e-12 THEN y0 + (p.pred - x0) / (x1 - x0) * (y1 - y0) ELSE y0 END, i) AS c FROM (SELECT DISTINCT pred FROM pr) p JOIN sl ON p.pred BETWEEN x0 AND x1 GROUP BY 1)
+SELECT id, round(pred, 6) AS pred, round(greatest(0, least(1, c)), 6) AS calibrated FROM pr JOIN ap USING (pred)""")
 def a44_ensemble_calibration(spark, sf):
     p = predictions(spark, sf)
     return rounded(p.select("id", "pred", ev.apply_calibration(F.col("pred"), ev.calibration_table(p)).alias("calibrated")))
@@ -88,6 +97,12 @@ def a35_disparate_impact(spark, sf):
     return rounded(ev.disparate_impact(ev.group_stats(predictions(spark, sf))))
 
 
+@R("x10_bias_text", f"""WITH {_GS}, p AS (SELECT a.grp AS group_a, b.grp AS group_b, least(a.flag_rate, b.flag_rate) / greatest(a.flag_rate, b.flag_rate) AS ratio FROM gr a JOIN gr b ON a.grp < b.grp)
+SELECT group_a, group_b, '[' || CASE WHEN ratio < 0.8 THEN 'FLAGGED' ELSE 'OK' END || '] ' || group_a || ' vs ' || group_b || ': ratio ' || printf('%.4f', ratio) AS value FROM p""")
+def x10_bias_text(spark, sf):
+    return export.bias_text(ev.disparate_impact(ev.group_stats(predictions(spark, sf))))
+
+
 @R("a36_equal_opportunity", f"WITH {_GS} SELECT a.grp AS group_a, b.grp AS group_b, round(a.tpr / b.tpr, 6) AS ratio, a.tpr / b.tpr < 0.8 OR a.tpr / b.tpr > 1.25 AS flagged FROM gr a JOIN gr b ON a.first_id < b.first_id")
 def a36_equal_opportunity(spark, sf):
     return rounded(ev.equal_opportunity(ev.group_stats(predictions(spark, sf))))

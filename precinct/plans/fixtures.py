@@ -71,14 +71,11 @@ PERSON_COLUMNS = {
 }
 
 
-def person_incident(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
-    return table(spark, sf_dir, "lineitem").filter(where).selectExpr(*[f"{e} AS {c}" for c, e in PERSON_COLUMNS.items()])
+def person_incident(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").selectExpr(*[f"{e} AS {c}" for c, e in PERSON_COLUMNS.items()])
 
 
-#: The orders that the SQL below takes; queries named ..._whole take all.
-SQL_ORDERS = "l_orderkey % 10 = 0"
-
 #: DuckDB's side of the same inputs.
 CE = f"ce AS ({_select(CRIME_EVENT_COLUMNS, 'events')})"
 PRED = f"pr AS ({_select(PREDICTION_COLUMNS, 'lineitem')})"
-PEOPLE = f"pi AS ({_select(PERSON_COLUMNS, 'lineitem', 'WHERE l_orderkey % 10 = 0')})"
+PEOPLE = f"pi AS ({_select(PERSON_COLUMNS, 'lineitem')})"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from precinct import fixed
 from precinct.operators import export, inference, rates
 from precinct.plans.base import Register, rounded
-from precinct.plans.core import zoned
+from precinct.plans.core import _FC, zoned
 from precinct.plans.fixtures import CE, crime_events, table
 from precinct.sources import events as sources
 
@@ -16,15 +16,14 @@ R = Register()
 _TYPES = list(fixed.EVIDENCE)
 
 
-def evidence(spark, sf, where="l_orderkey % 20 = 0"):
-    """Of the orders that the SQL takes, or of others; queries named ..._whole take all."""
+def evidence(spark, sf):
     types = F.array(*[F.lit(t) for t in _TYPES])
-    li = table(spark, sf, "lineitem").filter(where)
+    li = table(spark, sf, "lineitem")
     return li.select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("seq"), F.element_at(types, (F.col("l_partkey") % 27 + 1).cast("int")).alias("type"), (F.col("l_quantity") % 2 == 0).alias("present"))
 
 
 _EV = f"""ty AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{k}', {v[0]}::DOUBLE, {v[1]}::DOUBLE)" for i, (k, v) in enumerate(fixed.EVIDENCE.items()))}) t(i, type, lr, reliability)),
-ev AS (SELECT l_orderkey AS case_id, l_linenumber AS seq, type, l_quantity % 2 = 0 AS present, lr, reliability, CASE WHEN l_quantity % 2 = 0 THEN lr ELSE 1 / lr END AS eff FROM lineitem JOIN ty ON i = l_partkey % 27 WHERE l_orderkey % 20 = 0)"""
+ev AS (SELECT l_orderkey AS case_id, l_linenumber AS seq, type, l_quantity % 2 = 0 AS present, lr, reliability, CASE WHEN l_quantity % 2 = 0 THEN lr ELSE 1 / lr END AS eff FROM lineitem JOIN ty ON i = l_partkey % 27)"""
 
 
 @R("a21_running_posterior", f"WITH {_EV}, s AS (SELECT *, sum(ln(eff)) OVER (PARTITION BY case_id ORDER BY seq, type, present ROWS UNBOUNDED PRECEDING) AS l FROM ev) SELECT case_id, seq, type, present, round(0.05 / 0.95 * exp(l) / (1 + 0.05 / 0.95 * exp(l)), 6) AS posterior FROM s")
@@ -43,22 +42,6 @@ def a23_bayes_factor(spark, sf):
     return rounded(inference.bayes_factor(e.filter("seq % 2 = 1"), e.filter("seq % 2 = 0")).select("case_id", F.log("bayes_factor").alias("log_factor")))
 
 
-@R("a21_running_posterior_whole")
-def a21_running_posterior_whole(spark, sf):
-    return rounded(inference.running_posterior(evidence(spark, sf, "true")).select("case_id", "seq", "type", "present", "posterior"))
-
-
-@R("a22_case_posterior_whole")
-def a22_case_posterior_whole(spark, sf):
-    return rounded(inference.case_posterior(evidence(spark, sf, "true")))
-
-
-@R("a23_bayes_factor_whole")
-def a23_bayes_factor_whole(spark, sf):
-    e = evidence(spark, sf, "true")
-    return rounded(inference.bayes_factor(e.filter("seq % 2 = 1"), e.filter("seq % 2 = 0")).select("case_id", F.log("bayes_factor").alias("log_factor")))
-
-
 def anomaly_rows(spark, sf):
     e = crime_events(spark, sf).filter("lat is not null and occurred_at is not null")
     return e.select(F.col("seq").alias("id"), "lat", "lon", ((F.col("occurred_at").cast("double") - 1704067200) / 86400).alias("t"), F.hour("occurred_at").cast("double").alias("hour"), (F.length(F.coalesce("crime_type", F.lit(""))) % 7).cast("double").alias("kind"))
@@ -75,16 +58,23 @@ def a25_anomaly_scores(spark, sf):
     return rounded(inference.anomaly_scores(r, inference.fit_anomaly(r)).select("id", "z_time", "z_space", "isolation"), 4)
 
 
-@R("a27_anomalies")
+_AXES = ("lat", "lon", "t", "hour", "kind")
+_DIST = "sqrt(" + " + ".join(f"pow(a.{c} - b.{c}, 2)" for c in _AXES) + ")"
+_LOF = f"""{_AN}, sc AS (SELECT id, {", ".join(f"{c} / s_{c} AS {c}" for c in _AXES)} FROM an, st), rf AS (SELECT * FROM sc ORDER BY md5(CAST(id AS VARCHAR)), id LIMIT 2000),
+nn AS (SELECT a.id, list_avg(min({_DIST}, 10)) AS near FROM sc a JOIN sc b ON {_DIST} >= 1e-12 GROUP BY a.id), mm AS (SELECT a.id, avg({_DIST}) AS mean_d FROM sc a JOIN rf b ON {_DIST} >= 1e-12 GROUP BY a.id),
+zz AS (SELECT id, abs(t - m_t) / s_t AS z_time, sqrt(pow((lat - m_lat) / s_lat, 2) + pow((lon - m_lon) / s_lon, 2)) AS z_space, least(sqrt({" + ".join(f"pow(({c} - m_{c}) / s_{c}, 2)" for c in _AXES)}) / (2 * sqrt(5)), 1) AS isolation FROM an, st),
+lo AS (SELECT zz.*, coalesce(near / mean_d, 1) AS lof FROM zz LEFT JOIN nn USING (id) LEFT JOIN mm USING (id)), cb AS (SELECT *, 0.4 * isolation + 0.4 * greatest(0, least((lof - 1) / 4 + 0.25, 1)) + 0.1 * least(z_time / 3, 1) + 0.1 * least(z_space / 3, 1) AS score FROM lo)"""
+
+
+@R("a27_anomalies", f"WITH {_LOF} SELECT id, round(lof, 5) AS lof, round(score, 5) AS score, score > 0.65 AS is_anomaly FROM cb")
 def a27_anomalies(spark, sf):
     """A26, A27."""
     r = anomaly_rows(spark, sf)
     return rounded(inference.anomaly_scores(r, inference.fit_anomaly(r)).select("id", "lof", "score", "is_anomaly"), 5)
 
 
-def leads(spark, sf, where="seq % 4 = 0"):
-    """Of the events that the SQL takes, or of others; queries named ..._whole take all."""
-    e = crime_events(spark, sf).filter(where)
+def leads(spark, sf):
+    e = crime_events(spark, sf)
     links = e.select("event_id", F.concat(F.lit("SERIES-"), F.col("seq") % 9).alias("series_id"), (F.col("seq") % 100 / 100.0).alias("p"))
     mo = e.select("event_id", F.explode(F.array(*[F.struct((F.col("seq") * k % 7).alias("c"), F.lit(k).alias("k")) for k in (1, 2, 3, 5)])).alias("m")).select("event_id", F.concat(F.lit("case"), "m.c", F.lit("_"), "m.k").alias("case_id"), (F.col("m.c") / 7.0).alias("score"), F.when(F.col("m.c") % 2 == 0, "solo offender").otherwise("group of two").alias("detail"))
     people = e.select("event_id", F.concat(F.lit("p"), F.col("seq") % 5).alias("person_id"), (F.col("seq") % 10 / 10.0).alias("risk"), F.lit("direct_participant").alias("kind"))
@@ -92,7 +82,7 @@ def leads(spark, sf, where="seq % 4 = 0"):
     return inference.generate_leads([inference.series_leads(links), inference.mo_leads(mo), inference.person_leads(people)], quality)
 
 
-_LD = f"""{CE}, le AS (SELECT * FROM ce WHERE seq % 4 = 0), q AS (SELECT event_id, (seq % 3)::DOUBLE / 2.5 AS quality FROM le),
+_LD = f"""{CE}, le AS (SELECT * FROM ce), q AS (SELECT event_id, (seq % 3)::DOUBLE / 2.5 AS quality FROM le),
 mo AS (SELECT event_id, 'case' || (seq * k % 7) || '_' || k AS case_id, (seq * k % 7)::DOUBLE / 7 AS score, CASE WHEN seq * k % 7 % 2 = 0 THEN 'solo offender' ELSE 'group of two' END AS detail FROM le, (SELECT unnest([1, 2, 3, 5]) AS k)),
 mk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY score DESC, case_id) AS n FROM mo) WHERE n <= 3 AND score >= 0.3),
 al AS (SELECT event_id, 'series' AS category, 'Linked to SERIES-' || (seq % 9) AS headline, printf('Link probability %.2f', (seq % 100)::DOUBLE / 100) AS detail, (seq % 100)::DOUBLE / 100 AS confidence, 1 AS o FROM le WHERE seq % 100 >= 20
@@ -120,25 +110,19 @@ def x03_leads_csv(spark, sf):
     return export.leads_csv(leads(spark, sf))
 
 
-@R("x06_case_reports")
-def x06_case_reports(spark, sf):
-    """All events."""
-    return export.case_report(leads(spark, sf, "true"))
-
-
-@R("w08_ranked_leads_whole")
-def w08_ranked_leads_whole(spark, sf):
-    return rounded(leads(spark, sf, "true").select("event_id", "category", "headline", "confidence", "contradictions", "score", "rank"))
-
+_ORIGIN = "CASE category " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in export.ORIGIN.items()) + " END"
 
-@R("w09_lead_summary_whole")
-def w09_lead_summary_whole(spark, sf):
-    return rounded(inference.lead_summary(leads(spark, sf, "true")))
 
-
-@R("x03_leads_csv_whole")
-def x03_leads_csv_whole(spark, sf):
-    return export.leads_csv(leads(spark, sf, "true"))
+@R("x06_case_reports", f"""WITH {_LD}, li AS (SELECT event_id, rank, confidence, '### #' || rank || ': ' || category || chr(10) || chr(10) || '**' || headline || '**' || chr(10) || chr(10) || '**Confidence:** ' || CAST(round(confidence * 100) AS INT) || '%' || chr(10) || chr(10) || CASE WHEN detail <> '' THEN detail || chr(10) || chr(10) ELSE '' END || '*Provenance: ' || {_ORIGIN} || '*' || chr(10) AS l FROM ld WHERE rank <= 50),
+bo AS (SELECT event_id, '# Case ' || event_id || chr(10) || chr(10) || '**Total leads:** ' || count(*) || ' (' || count(*) FILTER (confidence >= 0.7) || ' with high confidence)' || chr(10) || chr(10) || string_agg(l, chr(10) ORDER BY rank) AS t FROM li GROUP BY 1), sz AS (SELECT seq % 9 AS k, count(*) AS n FROM ce GROUP BY 1)
+SELECT event_id, t || chr(10) || '## Events' || chr(10) || chr(10) || '| id | time | type | area |' || chr(10) || '| --- | --- | --- | --- |' || chr(10) || '| ' || event_id || ' | ' || coalesce(strftime(occurred_at, '%Y-%m-%d %H:%M'), '') || ' | ' || coalesce(crime_type, '') || ' | ' || suburb || ' |' || chr(10)
+|| chr(10) || '## Series' || chr(10) || chr(10) || '| series | events |' || chr(10) || '| --- | --- |' || chr(10) || '| SERIES-' || (seq % 9) || ' | ' || sz.n || ' |' || chr(10) AS report FROM bo JOIN ce USING (event_id) JOIN sz ON sz.k = seq % 9""")
+def x06_case_reports(spark, sf):
+    """All events, each a case of its own, with the tables of events and series."""
+    e = crime_events(spark, sf)
+    sizes = e.groupBy((F.col("seq") % 9).alias("k")).agg(F.count("*").alias("size"))
+    series = e.select("event_id", (F.col("seq") % 9).alias("k")).join(F.broadcast(sizes), "k").select("event_id", F.concat(F.lit("SERIES-"), "k").alias("series_id"), "size")  # nine rows
+    return export.case_report(leads(spark, sf), e.select("event_id", F.col("event_id").alias("id"), "occurred_at", "crime_type", "suburb"), series)
 
 
 @R("x01_events_csv", f"WITH {CE} SELECT event_id, coalesce(crime_type, '') AS crime_type, suburb, printf('%.6f', coalesce(lat, 0)) AS lat, printf('%.6f', coalesce(lon, 0)) AS lon, coalesce(strftime(occurred_at, '%Y-%m-%dT%H:%M:%SZ'), '') AS occurred_at, outcome, '0.500' AS quality_score FROM ce")
@@ -146,17 +130,39 @@ def x01_events_csv(spark, sf):
     return export.events_csv(crime_events(spark, sf).withColumn("quality_score", F.lit(0.5)))
 
 
-@R("x02_events_json")
+_EJ = """'{"id":"' || event_id || '","type":"' || coalesce(crime_type, '') || '","suburb":"' || suburb || '","lat":' || CAST(coalesce(lat, 0) AS DECIMAL(20, 6)) || ',"lon":' || CAST(coalesce(lon, 0) AS DECIMAL(20, 6)) || ',"occurredAt":"' || coalesce(strftime(occurred_at, '%Y-%m-%dT%H:%M:%SZ'), '') || '","outcome":"' || outcome || '","quality":0.500}'"""
+
+
+@R("x02_events_json", f"WITH {CE} SELECT event_id, {_EJ} AS value FROM ce")
 def x02_events_json(spark, sf):
-    """X02, Q21."""
     return export.events_json(crime_events(spark, sf).withColumn("quality_score", F.lit(0.5)))
 
 
-@R("x04_forecast_json")
+@R("q21_events_since", f"WITH {CE}, s AS (SELECT * FROM ce WHERE occurred_at >= TIMESTAMP '2024-01-20') SELECT event_id, {_EJ} AS value, (SELECT count(*) FROM s) AS count FROM s")
+def q21_events_since(spark, sf):
+    return export.events_since_json(crime_events(spark, sf).withColumn("quality_score", F.lit(0.5)), "2024-01-20")
+
+
+@R("x01_events_table_csv", f"WITH {CE} SELECT event_id, coalesce(strftime(occurred_at, '%Y-%m-%dT%H:%M:%SZ'), '') AS occurred_at, coalesce(crime_type, '') AS crime_type, coalesce(location_raw, '') AS location, suburb, printf('%.6f', coalesce(lat, 0)) AS lat, printf('%.6f', coalesce(lon, 0)) AS lon, outcome, source FROM ce")
+def x01_events_table_csv(spark, sf):
+    return export.events_table_csv(crime_events(spark, sf))
+
+
+@R("x04_forecast_json", f"""WITH {CE}, {_FC}, o AS (SELECT zone, day, '{{"date":"' || day || '","risk":' || CAST(round(risk, 4) AS DECIMAL(20, 4)) || ',"expected":' || CAST(round(expected, 3) AS DECIMAL(20, 3)) || '}}' AS d FROM fz)
+SELECT zone, '{{"zone":"' || zone || '","days":[' || string_agg(d, ',' ORDER BY day) || ']}}' AS value FROM o GROUP BY zone""")
 def x04_forecast_json(spark, sf):
     return export.forecast_json(rates.forecast_days(zoned(spark, sf), "2024-01-28"))
 
 
+@R("x03_leads_json", f"""WITH {_LD}, co AS (SELECT a.event_id, a.lead_no, b.rank, CASE WHEN (contains(a.detail, 'solo') AND contains(b.detail, 'group')) OR (contains(a.detail, 'group') AND contains(b.detail, 'solo')) THEN ['"Contradicts lead rank ' || b.rank || ' (solo vs group)"'] ELSE [] END ||
+CASE WHEN a.category = b.category AND abs(a.confidence - b.confidence) > 0.5 THEN ['"Confidence conflict with lead rank ' || b.rank || ' (same category ' || chr(39) || b.category || chr(39) || ', delta > 0.5)"'] ELSE [] END AS m FROM ld a JOIN ld b ON a.event_id = b.event_id AND a.lead_no <> b.lead_no),
+cs AS (SELECT event_id, lead_no, array_to_string(flatten(list(m ORDER BY rank)), ',') AS m FROM co GROUP BY ALL)
+SELECT event_id, rank, '{{"rank":' || rank || ',"category":"' || category || '","headline":"' || headline || '","detail":"' || detail || '","confidence":' || CAST(round(confidence, 4) AS DECIMAL(20, 4)) || ',"contradictions":[' || coalesce(m, '') || ']}}' AS value FROM ld LEFT JOIN cs USING (event_id, lead_no) WHERE rank <= 50""")
+def x03_leads_json(spark, sf):
+    """X03 as JSON, with L07's messages."""
+    return export.leads_json(leads(spark, sf))
+
+
 def trail(spark, sf):
     stage = F.element_at(F.array(*[F.lit(s) for s in ("ingest", "nlp", "model", "inference", "output")]), (F.col("event_id") % 5 + 1).cast("int"))
     e = table(spark, sf, "events")
@@ -173,12 +179,26 @@ def x08_trail_chain(spark, sf):
     return export.chain(trail(spark, sf), "ev_42").select("event_id", "ts", "stage")
 
 
-@R("x07_trail_hash")
+_TRAIL = """tr AS (SELECT event_id AS n, ts::TIMESTAMP AS ts, 'ev_' || (event_id % 500) AS event_id, CASE event_id % 5 WHEN 0 THEN 'ingest' WHEN 1 THEN 'nlp' WHEN 2 THEN 'model' WHEN 3 THEN 'inference' ELSE 'output' END AS stage, props AS detail FROM events),
+ht AS (SELECT *, substr(sha256('{"ts":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z","event_id":"' || event_id || '","stage":"' || stage || '","source":"","model":"m1","action":"run"' || coalesce(',"detail":' || to_json(detail)::VARCHAR, '') || '}'), 1, 16) AS hash FROM tr)"""
+
+
+@R("x07_trail_hash", f"""WITH {_TRAIL} SELECT '{{"ts":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z","event_id":"' || event_id || '","stage":"' || stage || '","model":"m1","action":"run"' || coalesce(',"detail":' || to_json(detail)::VARCHAR, '') || ',"hash":"' || hash || '"}}' AS value FROM ht""")
 def x07_trail_hash(spark, sf):
     """Entries with their hash, as JSON."""
     return export.entries_json(trail(spark, sf).withColumn("hash", export.provenance_hash()))
 
 
+@R("x09_trail_csv", f"""WITH {_TRAIL} SELECT event_id, ts, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || ',' || event_id || ',' || stage || ',,m1,run,' || CASE WHEN contains(coalesce(detail, ''), '"') OR contains(coalesce(detail, ''), ',') THEN '"' || replace(detail, '"', '""') || '"' ELSE coalesce(detail, '') END || ',' || hash AS value FROM ht""")
+def x09_trail_csv(spark, sf):
+    return export.entries_csv(trail(spark, sf).withColumn("hash", export.provenance_hash()))
+
+
+@R("x09_chain_text", f"WITH {_TRAIL} SELECT event_id, string_agg(stage || ' (m1)', ' -> ' ORDER BY ts, stage) AS value FROM tr GROUP BY 1")
+def x09_chain_text(spark, sf):
+    return export.chain_text(trail(spark, sf))
+
+
 @R("q17_latest_audit", "SELECT 'ev_' || (event_id % 500) AS event_id, ts::TIMESTAMP AS ts FROM events ORDER BY ts DESC, 'ev_' || (event_id % 500) DESC LIMIT 200")
 def q17_latest_audit(spark, sf):
     return export.entries(trail(spark, sf), recent=200).select("event_id", "ts")

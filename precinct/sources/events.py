@@ -7,28 +7,29 @@ from pyspark.sql import functions as F
 
 from precinct import fixed
 
-#: Which canonical column a header stands for: its first rule that fits and is still free.
-RULES = [
-    ("date", lambda h: "date" in h or "time" in h or "month" in h),
-    ("id", lambda h: "id" in h and "date" not in h),
-    ("location", lambda h: "location" in h),
-    ("crime_type", lambda h: ("type" in h or "category" in h or "offense" in h or "offence" in h) and "location" not in h),
-    ("description", lambda h: "desc" in h or "context" in h or "narrative" in h),
-    ("lat", lambda h: "lat" in h),
-    ("lon", lambda h: "lon" in h or "lng" in h),
-    ("address", lambda h: "address" in h or "street" in h),
-    ("outcome", lambda h: "outcome" in h or "status" in h or "disposition" in h),
-]
+#: Words that a header holds (lower-cased) if it may stand for a canonical column, in the order of the rules, and
+#: a word that rules it out.
+HEADERS = {
+    "date": (("date", "occurred", "timestamp", "month"), None),
+    "id": (("id", "case_number", "case number", "incident"), "date"),
+    "location": (("location",), None),
+    "crime_type": (("category", "offense", "offence", "type"), "location"),
+    "description": (("description", "narrative", "detail", "summary"), None),
+    "lat": (("lat", "y_coord"), None),
+    "lon": (("lon", "lng", "x_coord"), None),
+    "address": (("address", "street", "block"), None),
+    "outcome": (("outcome", "resolution", "disposition", "arrest"), None),
+}
 
 
 def detect_columns(headers: list[str]) -> dict[str, str]:
-    """Canonical name to header."""
+    """Canonical name to header: each header takes the first rule that fits it and is still free."""
     out: dict[str, str] = {}
     for header in headers:
-        for name, fits in RULES:
-            if fits(header.lower()):
-                out.setdefault(name, header)
-                break
+        h = header.lower()
+        fits = (name for name, (words, never) in HEADERS.items() if name not in out and any(w in h for w in words) and not (never and never in h))
+        if name := next(fits, None):
+            out[name] = header
     return out
 
 
@@ -50,8 +51,10 @@ def map_rows(df: DataFrame, tag: str = "csv_import", columns: dict[str, str] | N
     )
 
 
-def read_events_csv(spark: SparkSession, path: str, tag: str = "csv_import", limit: int | None = None) -> DataFrame:
-    df = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, inferSchema=False)
+def read_events_csv(spark: SparkSession, path: str, tag: str = "csv_import", limit: int | None = None, multiline: bool = False) -> DataFrame:
+    """Events of CSV files. Files are split between tasks; multiline (a task a file) is for quoted fields with line breaks."""
+    df = spark.read.csv(path, header=True, multiLine=multiline, quote='"', escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, inferSchema=False)
+    df = df.withColumnsRenamed({c: c.removeprefix("\ufeff") for c in df.columns if c.startswith("\ufeff")})
     return map_rows(df.limit(limit) if limit else df, tag)
 
 
@@ -75,7 +78,8 @@ def categories(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k,) for k in sorted(fixed.POLICE_CATEGORIES)], "category string")
 
 
-WEATHER_SCHEMA = "utc_offset_seconds int, hourly struct<time:array<string>,temperature_2m:array<double>,precipitation:array<double>,windspeed_10m:array<double>,visibility:array<double>,is_day:array<int>,weathercode:array<int>>"
+_HOURLY = ("time:array<string>", "temperature_2m:array<double>", "precipitation:array<double>", "windspeed_10m:array<double>", "visibility:array<double>", "is_day:array<int>", "weathercode:array<int>")
+WEATHER_SCHEMA = f"utc_offset_seconds int, hourly struct<{','.join(_HOURLY)}>"
 
 
 def discomfort(t: Column) -> Column:
@@ -91,7 +95,7 @@ def weather_flags(df: DataFrame) -> DataFrame:
 
 def weather_hours(raw: DataFrame) -> DataFrame:
     """A row an hour; a later entry for an hour replaces an earlier one; missing tails take defaults."""
-    z = raw.select("utc_offset_seconds", F.posexplode(F.arrays_zip(*[F.col(f"hourly.{c}").alias(c) for c in ("time", "temperature_2m", "precipitation", "windspeed_10m", "visibility", "is_day", "weathercode")])).alias("pos", "h"))
+    z = raw.select("utc_offset_seconds", F.posexplode(F.arrays_zip(*[F.coalesce(F.col(f"hourly.{c}"), F.array().cast(kind)).alias(c) for c, kind in ("time", "temperature_2m", "precipitation", "windspeed_10m", "visibility", "is_day", "weathercode")])).alias("pos", "h"))
     local = F.coalesce(F.try_to_timestamp("h.time", F.lit("yyyy-MM-dd'T'HH:mm")), F.try_to_timestamp("h.time", F.lit("yyyy-MM-dd'T'HH:mm:ss")))
     utc = F.timestamp_seconds(F.unix_timestamp(local) - F.coalesce("utc_offset_seconds", F.lit(0)))
     v = lambda c, d: F.coalesce(f"h.{c}", F.lit(d))
