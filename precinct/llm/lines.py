@@ -6,66 +6,83 @@ Of the occurrences of a line, in (doc_id, line number) order, the first stays; a
 with all its occurrences. Whether the earlier line itself stays doesn't matter, so the result depends on no order
 of work.
 
-Exact repeats meet by a 128-bit digest. For near lines, every line emits hashed keys of its variants within the bound:
-up to `SHORT` characters, all its one-character deletions and itself; beyond that, the two variants that delete
-either half, for its own length and the length below (one edit leaves one half whole); lines of exactly
-`SHORT` characters emit both. Half keys that bring few
-lines together are joined pair by pair; a half key that more than `GROUP` lines share is refined to character deletions of
-what the key leaves out, and there a minimum for each key and place takes the place of pairs, so no group is expanded.
-Every near pair is verified on its text.
-
-Null and empty texts stay as they are. Rows that repeat with one doc_id count as one document. Rows without
-doc_id stay as they are and remove nothing. An empty table gives no rows.
+Exact repeats meet by a 128-bit digest. For near lines, every line emits hashed keys of its variants within the bound, itself
+and all its one-character deletions, and equal variants join: lines that lose a character at the same place, or of which
+one is what the other becomes by a loss, are near. A minimum for each key and place takes the place of pairs, so no
+group is expanded, and every near pair is verified on its text.
+
+Lines of `SHORT` characters or more are filtered before they emit their variants, without loss: one edit leaves one half
+whole, so only lines that share a half with another line (of the same length or one apart) can be near one, and they need only
+the deletions in the other half. Lines of exactly `SHORT` characters do both.
+
+Null and empty texts stay as they are. Rows that repeat doc_id and text are one document; other texts under the same
+doc_id are documents of their own. Rows without doc_id stay as they are and remove nothing. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from precinct.blocks.shared import materialize, small_enough
-from precinct.llm.common import docs_text, map_batches
+from precinct.blocks.shared import hinted, materialize
+from precinct.llm.common import map_batches, mixed, told_apart, with_found
 
 MIN_FUZZY = 10
 SHORT = 32
-GROUP = 32
-#: Rows that may be broadcast; beyond that, the same join shuffles.
-BROADCAST_ROWS = 500_000
 ID, HALF, CUT, WHOLE = 0, 1, 2, 3  # kinds of keys: identity, a half, a deletion at a place, the line itself
+_BASE = 0xD1342543DE82EF95
+_BACK = np.uint64(pow(_BASE, -1, 1 << 64))
+_UP = np.empty(0, np.uint64)
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
+def _powers(n: int) -> np.ndarray:
+    """At least n powers of the base; the table grows with the longest line."""
+    global _UP
+    if len(_UP) < n:
+        up = np.full(max(n, 2 * len(_UP), 1024), _BASE, np.uint64)
+        up[0] = 1
+        _UP = np.multiply.accumulate(up)
+    return _UP
 
 
-def key_of(*parts) -> int:
-    return _signed(xxhash.xxh3_64_intdigest("\x00".join(map(str, parts)).encode("utf-8", "surrogatepass")))
+def line_id(line: str) -> tuple[int, int]:
+    return tuple(np.frombuffer(xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass")), "<i8").tolist())
 
 
-def line_id(line: str) -> tuple[int, int]:
-    d = xxhash.xxh3_128_intdigest(line.encode("utf-8", "surrogatepass"))
-    return _signed(d >> 64), _signed(d & (1 << 64) - 1)
+def _sums(line: str) -> np.ndarray:
+    """Hash of the first k characters for each k: a polynomial in the characters' numbers."""
+    c = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(c * _powers(len(c))[: len(c)], dtype=np.uint64)])
 
 
-def halves(line: str) -> Iterator[tuple[int, bool, int]]:
-    """(key, whether it is the front, its length) of what is left of the line when either half is deleted."""
-    n = len(line)
+def halves(sums: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """(keys, places where the rest of the line begins and ends) when either half is taken, for the line's own length and
+    for the length below."""
+    n = len(sums) - 1
+    keys, rest = [], []
     for shorter in (n, n - 1):
         h = shorter // 2
-        yield key_of(shorter, "front", line[:h]), True, h
-        yield key_of(shorter, "back", line[n - h :]), False, h
+        back = (int(sums[n]) - int(sums[n - h])) * pow(_BASE, -(n - h), 1 << 64) & (1 << 64) - 1
+        keys += [[shorter, 0, int(sums[h])], [shorter, 1, back]]
+        rest += [(h, n), (0, n - h)]
+    return _scoped(np.array([k[2] for k in keys], np.uint64), np.array([2 * k[0] + k[1] + 1 for k in keys], np.uint64)), rest
+
 
+def _scoped(keys: np.ndarray, scope: np.ndarray) -> np.ndarray:
+    return mixed(keys ^ mixed(scope)).view(np.int64)
 
-def cuts(scope, rest: str) -> Iterator[tuple[int, int, int]]:
-    """(kind, key, place) of rest and of its one-character deletions."""
-    yield WHOLE, key_of(scope, rest), -1
-    for i in range(len(rest)):
-        yield CUT, key_of(scope, rest[:i] + rest[i + 1 :]), i
+
+def cuts(sums: np.ndarray, a: int, b: int, scope: int = 0) -> np.ndarray:
+    """Keys of a line's characters from a to b without each one of them, and of all of them, last."""
+    begin, end = sums[a : a + 1], sums[b : b + 1]
+    first, last = sums[a:b] - begin, end - sums[a + 1 : b + 1]
+    keys = np.append(first + last * _BACK, end - begin)
+    if a:
+        keys *= np.uint64(pow(_BASE, -a, 1 << 64))
+    return _scoped(keys, np.full(len(keys), scope & (1 << 64) - 1, np.uint64))
 
 
 def within_one(a: str, b: str) -> bool:
@@ -78,152 +95,149 @@ def within_one(a: str, b: str) -> bool:
     return a[k + 1 :] == b[k + 1 :] or a[k:] == b[k + 1 :] or a[k + 1 :] == b[k:]
 
 
+KEYED = "kind tinyint, key long, place int, h1 long, h2 long, doc_id long, tx long, line int"
+_NAMES = [c.split()[0] for c in KEYED.split(", ")]
+
+
+class _Keys:
+    """Key rows in the making."""
+
+    def __init__(self):
+        self.parts: list[tuple] = []
+
+    def add(self, kind: int, keys: np.ndarray, row: tuple) -> None:
+        self.parts.append((np.full(len(keys), kind, np.int8), keys, np.full(len(keys), -1, np.int32), len(keys), row))
+
+    def add_cuts(self, keys: np.ndarray, row: tuple) -> None:
+        n = len(keys)
+        place = np.arange(n, dtype=np.int32)
+        kind = np.full(n, CUT, np.int8)
+        kind[-1], place[-1] = WHOLE, -1
+        self.parts.append((kind, keys, place, n, row))
+
+    def columns(self) -> dict:
+        if not self.parts:
+            return {c: [] for c in _NAMES}
+        kind, key, place, n, rows = zip(*self.parts, strict=True)
+        fixed = zip(*rows, strict=True)
+        return {"kind": np.concatenate(kind), "key": np.concatenate(key), "place": np.concatenate(place)} | {c: np.repeat(np.array(v, np.int64), n) for c, v in zip(_NAMES[3:], fixed, strict=True)}
+
+
 def _emit(docs: DataFrame) -> DataFrame:
-    """A row for every key of every line: kind, key, place, h1, h2, doc_id, line."""
+    """A row for every key of every line: its identity, and its half keys or its variants."""
 
     def one(batch: pa.RecordBatch) -> dict:
-        kind, key, place, h1, h2, doc, at = [], [], [], [], [], [], []
+        keys = _Keys()
         seen: set[tuple[int, int]] = set()
-        for d, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+        ids = list(zip(batch["doc_id"].to_pylist(), batch["tx"].to_pylist(), strict=True))
+        in_order = all(a <= b for a, b in zip(ids, ids[1:], strict=False))  # then a line's later occurrences need no keys again
+        for (d, tx), text in zip(ids, batch["text"].to_pylist(), strict=True):
             for k, raw in enumerate(text.split("\n")):
                 if not (line := raw.strip()):
                     continue
                 a, b = line_id(line)
-                made = [(ID, a, -1)]
-                # A batch that is not in id order may not skip keys: the earliest place counts.
-                if len(line) >= MIN_FUZZY and ((a, b) not in seen or not ordered(batch)):
+                row = (a, b, d, tx, k)
+                keys.add(ID, np.zeros(1, np.int64), row)
+                if len(line) >= MIN_FUZZY and ((a, b) not in seen or not in_order):
                     seen.add((a, b))
+                    sums = _sums(line)
                     if len(line) <= SHORT:
-                        made += cuts("line", line)
-                    if len(line) >= SHORT:  # lines of SHORT characters meet both those of one less and those of one more
-                        made += [(HALF, x, -1) for x, _, _ in halves(line)]
-                for x, y, z in made:
-                    kind.append(x)
-                    key.append(y)
-                    place.append(z)
-                h1 += [a] * len(made)
-                h2 += [b] * len(made)
-                doc += [d] * len(made)
-                at += [k] * len(made)
-        return {"kind": pa.array(kind, pa.int8()), "key": key, "place": place, "h1": h1, "h2": h2, "doc_id": doc, "line": at}
-
-    return map_batches(docs, one, "kind tinyint, key long, place int, h1 long, h2 long, doc_id long, line int")
-
+                        keys.add_cuts(cuts(sums, 0, len(line)), row)
+                    if len(line) >= SHORT:
+                        keys.add(HALF, halves(sums)[0], row)
+        return keys.columns()
 
-def ordered(batch: pa.RecordBatch) -> bool:
-    ids = batch["doc_id"].to_numpy(zero_copy_only=False)
-    return bool((np.diff(ids) >= 0).all())
-
-
-def hinted(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df to be broadcast if it is proven to be small, else as it is."""
-    return F.broadcast(df) if small_enough(df, rows) else df
+    return map_batches(docs, one, KEYED)
 
 
 def fetch_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Texts of wanted lines (h1, doc_id, line), as h1, text, doc_id, line."""
-    by_doc = materialize(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line", "h1")).alias("want")), "wanted")
-    found = docs.join(hinted(by_doc, BROADCAST_ROWS // 5), "doc_id")
+    """Texts of wanted lines (h1, h2, doc_id, tx, line), as h1, h2, text, doc_id, tx, line."""
+    by_doc = materialize(wanted.groupBy("doc_id", "tx").agg(F.collect_list(F.struct("line", "h1", "h2")).alias("want")), "wanted")
+    found = docs.join(hinted(by_doc), ["doc_id", "tx"])
 
     def one(batch: pa.RecordBatch) -> dict:
-        h1, out, doc, at = [], [], [], []
-        for d, text, want in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), batch["want"].to_pylist(), strict=True):
+        out = []
+        for d, tx, text, want in zip(*(batch[c].to_pylist() for c in ("doc_id", "tx", "text", "want")), strict=True):
             lines = text.split("\n")
-            for w in want:
-                if w["line"] < len(lines):
-                    h1.append(w["h1"])
-                    out.append(lines[w["line"]].strip())
-                    doc.append(d)
-                    at.append(w["line"])
-        return {"h1": h1, "text": out, "doc_id": doc, "line": at}
-
-    return map_batches(found.select("doc_id", "text", "want"), one, "h1 long, text string, doc_id long, line int")
+            out += [(w["h1"], w["h2"], lines[w["line"]].strip(), d, tx, w["line"]) for w in want if w["line"] < len(lines)]
+        return {c: [x[k] for x in out] for k, c in enumerate(("h1", "h2", "text", "doc_id", "tx", "line"))}
 
+    return map_batches(found.select("doc_id", "tx", "text", "want"), one, "h1 long, h2 long, text string, doc_id long, tx long, line int")
 
-def _first(*more) -> list:
-    return [F.min(F.struct("doc_id", "line")).alias("first"), *more]
 
+_PLACE = ["doc_id", "tx", "line"]
 
-def _near_by_cuts(keys: DataFrame) -> DataFrame:
-    """(h1, first, other, other_first): lines with an earlier line at one key. keys: kind, key, place, h1, first.
 
-    Lines that lose the same character at the same place, or that are what another becomes by a loss, are near."""
-    earliest = F.min(F.struct("first", "h1"))
-    same = keys.filter(F.col("kind") == CUT).groupBy("key", "place").agg(earliest.alias("e"), F.count("*").alias("n")).filter("n > 1").select("key", "place", "e")
-    by_place = keys.join(same, ["key", "place"])
-    whole = keys.filter(F.col("kind") == WHOLE).groupBy("key").agg(earliest.alias("e"))
-    cut = keys.filter(F.col("kind") == CUT).groupBy("key").agg(earliest.alias("e"))
-    lengthened = keys.filter(F.col("kind") == CUT).join(whole, "key")
-    shortened = keys.filter(F.col("kind") == WHOLE).join(cut, "key")
-    cols = ["h1", "first", F.col("e.h1").alias("other"), F.col("e.first").alias("other_first")]
-    found = by_place.select(cols).union(lengthened.select(cols)).union(shortened.select(cols))
-    return found.filter("other_first < first and other <> h1").distinct()
+def _near_by_variants(keys: DataFrame) -> DataFrame:
+    """(h1, h2, first, o1, o2, other_first): lines with an earlier line at one key. keys: kind, key, place, h1, h2, first."""
+    earliest = F.min(F.struct("first", "h1", "h2"))
+    cut, whole = keys.filter(F.col("kind") == CUT), keys.filter(F.col("kind") == WHOLE)
+    same = cut.groupBy("key", "place").agg(earliest.alias("e"), F.count("*").alias("n")).filter("n > 1").select("key", "place", "e")
+    of = lambda df: df.groupBy("key").agg(earliest.alias("e"))
+    cols = ["h1", "h2", "first", F.col("e.h1").alias("o1"), F.col("e.h2").alias("o2"), F.col("e.first").alias("other_first")]
+    found = cut.join(same, ["key", "place"]).select(cols).union(cut.join(of(whole), "key").select(cols)).union(whole.join(of(cut), "key").select(cols))
+    return found.filter("other_first < first and (o1 <> h1 or o2 <> h2)").distinct()
 
 
 def near_earlier(docs: DataFrame, emitted: DataFrame) -> DataFrame:
-    """h1 of the lines that are near an earlier line."""
-    cut_rows = emitted.filter(F.col("kind").isin(CUT, WHOLE)).groupBy("kind", "key", "place", "h1").agg(*_first())
-    short = _near_by_cuts(materialize(cut_rows, "short-cuts"))
+    """h1, h2 of the lines that are near an earlier line."""
+    first = F.min(F.struct(*_PLACE)).alias("first")
+    short = emitted.filter(F.col("kind").isin(CUT, WHOLE)).groupBy("kind", "key", "place", "h1", "h2").agg(first)
     half = emitted.filter(F.col("kind") == HALF)
-    shared = materialize(half.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low <> high").select("key"), "shared-halves")
-    rows = materialize(half.join(hinted(shared), "key").groupBy("key", "h1").agg(*_first()), "half-rows")
-    size = rows.groupBy("key").agg(F.count("*").alias("n"))
-    sized = rows.join(size, "key")
-    few, many = sized.filter(F.col("n") <= GROUP), sized.filter(F.col("n") > GROUP)
-    a, b = few.select("key", "h1", "first"), few.select("key", F.col("h1").alias("other"), F.col("first").alias("other_first"))
-    pairs = a.join(b, "key").filter("other_first < first and other <> h1").drop("key").distinct()
-    texts = fetch_lines(docs, many.select("h1", "first.doc_id", "first.line").distinct())
-    refined = _near_by_cuts(materialize(_refine(texts, many), "long-cuts"))
-    return _verified(docs, materialize(short.union(pairs).union(refined).distinct(), "near-pairs"))
-
-
-def _refine(texts: DataFrame, many: DataFrame) -> DataFrame:
-    """Deletions of what a shared half leaves out, for the lines of large groups."""
-    keys = many.groupBy("h1").agg(F.collect_set("key").alias("keys"))  # at most four a line
+    both = lambda f, n: f(F.struct("h1", "h2")).alias(n)
+    shared = materialize(half.groupBy("key").agg(both(F.min, "low"), both(F.max, "high")).filter("low <> high").select("key"), "shared-halves")
+    lines = half.join(hinted(shared), "key").groupBy("h1", "h2").agg(first, F.collect_set("key").alias("keys"))  # at most four a line
+    lines = materialize(lines.select("h1", "h2", "first.*", "keys"), "half-lines")
+    texts = materialize(fetch_lines(docs, lines.drop("keys")).join(lines.select("h1", "h2", "keys"), ["h1", "h2"]), "half-texts")
+    long = _variants(texts).withColumn("first", F.struct(*_PLACE)).select("kind", "key", "place", "h1", "h2", "first").distinct()
+    near = _near_by_variants(materialize(short, "short-variants")).union(_near_by_variants(materialize(long, "long-variants")))
+    return _verified(docs, materialize(near.distinct(), "near-pairs"))
+
+
+def _variants(texts: DataFrame) -> DataFrame:
+    """For lines that share a half with another line, the variants of the rest."""
 
     def one(batch: pa.RecordBatch) -> dict:
-        kind, key, place, h1, first = [], [], [], [], []
-        for h, text, doc, line, want in zip(*(batch[c].to_pylist() for c in ("h1", "text", "doc_id", "line", "keys")), strict=True):
-            for k, front, n in halves(text):
-                if k in want:
-                    for x, y, z in cuts(k, text[n:] if front else text[: len(text) - n]):
-                        kind.append(x)
-                        key.append(y)
-                        place.append(z)
-                        h1.append(h)
-                        first.append({"doc_id": doc, "line": line})
-        return {"kind": pa.array(kind, pa.int8()), "key": key, "place": place, "h1": h1, "first": first}
+        out = _Keys()
+        for *row, text, keys in zip(*(batch[c].to_pylist() for c in ("h1", "h2", "doc_id", "tx", "line", "text", "keys")), strict=True):
+            sums = _sums(text)
+            for key, (a, b) in zip(*halves(sums), strict=True):
+                if key in keys:
+                    out.add_cuts(cuts(sums, a, b, int(key)), tuple(row))
+        return out.columns()
 
-    return map_batches(texts.join(keys, "h1"), one, "kind tinyint, key long, place int, h1 long, first struct<doc_id:long,line:int>").distinct()
+    return map_batches(texts.select("h1", "h2", "doc_id", "tx", "line", "text", "keys"), one, KEYED)
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    lines = pairs.select("h1", "first.doc_id", "first.line").union(pairs.select("other", "other_first.doc_id", "other_first.line")).distinct()
-    texts = materialize(fetch_lines(docs, lines).select("h1", "text").dropDuplicates(["h1"]), "line-texts")
-    both = pairs.join(texts, "h1").join(texts.select(F.col("h1").alias("other"), F.col("text").alias("other_text")), "other")
+    lines = pairs.select("h1", "h2", "first.*").union(pairs.select("o1", "o2", "other_first.*")).distinct()
+    texts = materialize(fetch_lines(docs, lines).select("h1", "h2", "text").dropDuplicates(["h1", "h2"]), "line-texts")
+    both = pairs.join(texts, ["h1", "h2"]).join(texts.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("text").alias("other_text")), ["o1", "o2"])
 
     def one(batch: pa.RecordBatch) -> dict:
-        good = [within_one(a, b) for a, b in zip(batch["text"].to_pylist(), batch["other_text"].to_pylist(), strict=True)]
-        return {"h1": [h for h, g in zip(batch["h1"].to_pylist(), good, strict=True) if g]}
+        good = pa.array([within_one(a, b) for a, b in zip(batch["text"].to_pylist(), batch["other_text"].to_pylist(), strict=True)], pa.bool_())
+        return {"h1": batch["h1"].filter(good), "h2": batch["h2"].filter(good)}
 
-    return map_batches(both.select("h1", "text", "other_text"), one, "h1 long").distinct()
+    return map_batches(both.select("h1", "h2", "text", "other_text"), one, "h1 long, h2 long").distinct()
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
-    """doc_id and the sorted numbers of its lines that go."""
-    docs = docs_text(docs).filter("doc_id is not null")
+    """doc_id, tx and the sorted numbers of its lines that go. docs: told_apart."""
     emitted = materialize(_emit(docs), "line-keys")
     lines = emitted.filter(F.col("kind") == ID)
     near = materialize(near_earlier(docs, emitted), "near-lines")
-    first = lines.groupBy("h1", "h2").agg(*_first(F.count("*").alias("n")))
-    verdict = materialize(first.join(near.withColumn("near", F.lit(True)), "h1", "left").filter("n > 1 or near").drop("n"), "line-verdicts")
-    goes = lines.join(hinted(verdict), ["h1", "h2"]).filter(F.col("near").isNotNull() | (F.struct("doc_id", "line") > F.col("first")))
-    return goes.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("removed"))
-
-
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """All columns of docs with the text that stays, and `removed`, the numbers of the lines that went (or null)."""
-    gone = materialize(repeated_lines(docs), "removed-lines").withColumnRenamed("doc_id", "_id")
-    joined = docs.join(hinted(gone), F.col("doc_id").cast("long") == F.col("_id"), "left").drop("_id")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, k: ~F.array_contains("removed", k)), "\n")
-    return joined.withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept))
+    first = lines.groupBy("h1", "h2").agg(F.min(F.struct(*_PLACE)).alias("first"), F.count("*").alias("n"))
+    verdict = materialize(first.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").filter("n > 1 or near").drop("n"), "line-verdicts")
+    goes = lines.join(hinted(verdict), ["h1", "h2"]).filter(F.col("near").isNotNull() | (F.struct(*_PLACE) > F.col("first")))
+    return goes.groupBy("doc_id", "tx").agg(F.array_sort(F.collect_set("line")).alias("removed"))
+
+
+def dedup_lines(docs: DataFrame, removed: str = "removed") -> DataFrame:
+    """All columns of docs with the text that stays, and the column `removed`, the numbers of the lines that went (or null). A
+    column of that name is replaced; give another name to keep it."""
+    keyed = told_apart(docs)
+    gone = materialize(repeated_lines(keyed), "removed-lines")
+    joined = with_found(docs, keyed, gone, "__found")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, k: ~F.array_contains("__found.removed", k)), "\n")
+    text = F.when(F.col("__found").isNull(), F.col("text")).otherwise(kept).alias("text")
+    return joined.select(*[text if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != removed], F.col("__found.removed").alias(removed))

@@ -284,6 +284,34 @@ def test_near_lines_on_both_sides_of_short(spark, at):
     assert {i for i, r in got.items() if r["removed"]} == {2, 4}
 
 
+def test_keys_of_variants():
+    """Equal keys for equal variants, and only for those, whatever part of a line they come from."""
+    g = random.Random(1)
+    seen = {}
+    for _ in range(300):
+        t = "".join(g.choice("abé😀") for _ in range(g.randrange(2, 9)))
+        a = g.randrange(0, len(t) - 1)
+        b = g.randrange(a + 1, len(t) + 1)
+        part = t[a:b]
+        keys = lines.cuts(lines._sums(t), a, b, 7).tolist()
+        for v, k in zip([part[:i] + part[i + 1 :] for i in range(len(part))] + [part], keys, strict=True):
+            assert seen.setdefault(v, k) == k
+    assert len(set(seen.values())) == len(seen)
+    for t in ("abcdefgh", "abcdefghi"):
+        keys, rest = lines.halves(lines._sums(t))
+        assert len(set(keys.tolist())) == 4 and [t[a:b] for a, b in rest] in (["efgh", "abcd", "defgh", "abcde"], ["efghi", "abcde", "efghi", "abcde"])
+
+
+def test_lines_of_ids_with_several_texts(spark):
+    """A row's lines are judged by its own text; rows without id and clashing names are left alone."""
+    rows = [(1, "a line of its own"), (2, "first here and now\nsecond here and now"), (2, "quite another text"), (3, "first here and now"), (None, "first here and now")]
+    d = spark.createDataFrame([(i, t, "x", True, 5) for i, t in rows], "doc_id long, text string, _id string, near boolean, removed int")
+    got = lines.dedup_lines(d, "gone").collect()
+    assert sorted((r["doc_id"] or 0, r["text"], r["gone"]) for r in got if r["gone"]) == [(3, "", [0])]
+    assert len(got) == 5 and all((r["_id"], r["near"], r["removed"]) == ("x", True, 5) for r in got)
+    assert set(lines.dedup_lines(d).columns) == set(d.columns)
+
+
 def test_large_half_groups_are_refined(spark):
     half = "shared first half of many lines "
     rows = [(i, half + f"{'tail' * 6} number {chr(97 + i % 26)}{i:03d}") for i in range(120)]
