@@ -25,7 +25,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; a document that had words and has none left goes too. n_chars follows the text."""
-    kept = dedup_lines(docs).filter("removed is null or text rlike '\\\\S'").drop("removed")
+    kept = dedup_lines(docs, "__removed").filter("__removed is null or text rlike '\\\\S'").drop("__removed")
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
