@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from precinct.blocks.shared import hinted, materialize
 
@@ -89,12 +90,12 @@ def slices(batch: pa.RecordBatch, most: int = STEP_BYTES) -> Iterator[pa.RecordB
         at = stop
 
 
-def map_batches(df: DataFrame, one: Callable[[pa.RecordBatch], Iterator[dict] | dict], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, one: Callable[[pa.RecordBatch], Iterator[dict] | dict], schema: str | StructType) -> DataFrame:
     """mapInArrow where one(batch) gives columns by name as a dict (or several dicts)."""
-    from pyspark.sql.types import StructType, _parse_datatype_string
+    from pyspark.sql.types import _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    spark_schema: StructType = _parse_datatype_string(schema)
+    spark_schema: StructType = _parse_datatype_string(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(spark_schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

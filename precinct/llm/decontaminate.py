@@ -7,7 +7,7 @@ its longest verbatim match with its place, and every place where a whole window
 
 A window is `window` consecutive words of an item; an item with fewer words, but not none, is one window.
 Null and empty texts have no words and match nothing; repeated items each count; several equal item_ids
-count once. Items are taken in blocks of at most `block_words` words, so what is broadcast is bounded.
+count once, items without an id as one item whose id is left out of the hash. Items are taken in blocks of at most `block_words` words, so what is broadcast is bounded.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from precinct.blocks.ranks import global_cumulate
+from precinct.blocks.shared import hinted, materialize
 from precinct.llm.common import docs_text, letter_words, map_batches
 
 WINDOW = 10
@@ -93,27 +95,27 @@ class ShardSuffixes:
             yield int(k), self.order[low[k] : high[k]]
 
 
-def _blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[str, str]]]:
-    """Items in blocks of bounded size, streamed one partition at a time."""
-    block, words = [], 0
+def _blocks(benchmark: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """(block, item_id, text) in the shared folder, of about `most` words a block, and the number of blocks."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    for row in items.filter("item_id is not null").toLocalIterator():
-        block.append((row["item_id"], row["text"]))
-        words += 1 + len(row["text"]) // 2
-        if words >= most:
-            yield block
-            block, words = [], 0
-    if block:
-        yield block
+    items = items.withColumns({"words": (F.length("text") / 2 + 1).cast("long"), "key": F.xxhash64("item_id", "text")})
+    # Equal rows may change places; blocks then hold the same items.
+    sized = global_cumulate(items, [F.asc("key"), F.asc_nulls_first("item_id"), F.asc("text")], {"upto": "words"})
+    blocks = materialize(sized.select(F.floor((F.col("upto") - 1) / most).cast("long").alias("block"), "item_id", "text"), "benchmark-blocks")
+    return blocks, (blocks.agg(F.max("block")).first()[0] or 0) + 1
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row a document: doc_id, n_words, spans (first word, end) of hit words, and for each item with
     a match its longest verbatim match (item_id, at, n_words). Further blocks of items see the same rows
-    once more, without a shuffle."""
+    once more, without a shuffle; the driver holds one block at a time, and rows are written between passes."""
     docs = docs_text(docs).withColumns({"n_words": F.lit(0).cast("long"), "spans": F.lit(None).cast(SPANS), "matches": F.lit(None).cast(MATCHES)})
-    for block in list(_blocks(benchmark, block_words)) or [[]]:
-        docs = _search(docs, TestSuffixes(block, window))
+    blocks, n = _blocks(benchmark, block_words)
+    for k in range(n):
+        items = [(r["item_id"], r["text"]) for r in blocks.filter(F.col("block") == k).select("item_id", "text").collect()]  # of bounded size
+        docs = _search(docs, TestSuffixes(items, window))
+        if k + 1 < n:
+            docs = materialize(docs, "searched")
     return docs.drop("text")
 
 
@@ -172,5 +174,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs in which no window of the benchmark occurs; all columns are kept."""
-    bad = contamination(docs, benchmark, window).filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long") == F.col("_bad"), "left_anti")
+    bad = contamination(docs, benchmark, window).filter("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
+    return docs.join(hinted(materialize(bad, "contaminated")), F.col("doc_id").cast("long") == F.col("__bad"), "left_anti")

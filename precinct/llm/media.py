@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from precinct.blocks.shared import materialize
 from precinct.llm.common import docs_text, map_batches
@@ -92,14 +93,15 @@ def parse_sequence(html: str) -> list[dict]:
 
 
 def interleave(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Every row's other columns, and its sequence in place of the HTML."""
-    rows = pages.withColumn(html, F.coalesce(html, F.lit(""))).withColumnRenamed(html, "text")
-    others = [f for f in rows.schema if f.name != "text"]
+    """Every row's other columns, whatever their names, and `sequence` in place of the HTML and of a column of that name."""
+    others = [c for c in pages.columns if c not in (html, "sequence")]
+    rows = pages.select(F.struct(F.lit(0).alias("__any"), *[F.col(f"`{c}`") for c in others]).alias("__row"), F.coalesce(F.col(f"`{html}`"), F.lit("")).alias("text"))
+    schema = StructType([rows.schema["__row"], *_parse_datatype_string(f"sequence {SEQUENCE}")])
 
     def one(batch: pa.RecordBatch) -> dict:
-        return {f.name: batch[f.name] for f in others} | {"sequence": [parse_sequence(x) for x in batch["text"].to_pylist()]}
+        return {"__row": batch["__row"], "sequence": [parse_sequence(x) for x in batch["text"].to_pylist()]}
 
-    return map_batches(rows, one, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others) + f", sequence {SEQUENCE}")
+    return map_batches(rows, one, schema).select(*[F.col(f"__row.`{c}`").alias(c) for c in others], "sequence")
 
 
 def media_references(sequences: DataFrame) -> DataFrame:

@@ -329,5 +329,5 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs that are the first of their component; all columns are kept."""
-    go = jaccard_components(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("_go"))
-    return docs.join(hinted(materialize(go, "near-copies")), F.col("doc_id").cast("long") == F.col("_go"), "left_anti")
+    go = jaccard_components(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("__go"))
+    return docs.join(hinted(materialize(go, "near-copies")), F.col("doc_id").cast("long") == F.col("__go"), "left_anti")

@@ -1,9 +1,9 @@
 """Toxicity of noisy text: a noisy channel undone by Viterbi decoding, then a linear score of the restored words.
 
 1. A character language model (interpolated order 3) is counted over all documents.
-2. Words that may be disguised (digits and signs among letters, letters three times or more, single letters in a row)
-   become lattices: a sign may stand for a letter, a run for one or two letters, what separates single letters for
-   nothing. Viterbi decoding finds the likeliest reading under the language model and the channel's costs. All other
+2. Words that may be disguised (digits and signs among or before letters, letters twice or more, single letters in a row)
+   become lattices: a sign may stand for a letter, a run for one or two letters, a sign between single letters for
+   nothing, a blank between them for nothing or for the end of a word. Viterbi decoding finds the likeliest reading under the language model and the channel's costs. All other
    words have one reading, themselves.
 3. Features are the restored words and their first letters. Weights are smoothed log-odds between toxic and clean
    labelled documents (near copies share one document's weight), for the features that mark toxic ones strongly; the sum over a document's distinct features goes
@@ -19,7 +19,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from precinct.blocks.shared import hinted, materialize
-from precinct.llm.common import Bounded, docs_text, map_batches, remainder, space_words
+from precinct.llm.common import HashedWords, docs_text, map_batches, remainder, space_words
 
 MAX_TRAIN = 200_000
 FEATURES = 4096
@@ -55,10 +56,16 @@ for _c in range(65536):
     if chr(_c).isalpha():
         _CODES[_c] = CODE.get(chr(_c), OTHER)
 
-DISGUISED = re.compile(r"[^\W\d_][\d@$!|+(<€£*#]+[^\W\d_]|[@$|][^\W\d_]|[^\W\d_][\d@$|]|(.)\1\1|^[\d@$!|+]{3,}$")
-SPACED = re.compile(r"(?<![^\s])(?:[^\W_][ .\-_*]){3,}[^\W_](?![^\s.,;:!?])")
+#: Signs and digits that stand for letters beside a letter, a run of three, or digits and signs alone.
+DISGUISED = re.compile(r"[^\W\d_][\d@$!|+(<€£*#]+[^\W\d_]|[\d@$!|+(<€£][^\W\d_]|[^\W\d_][\d@$|]|(.)\1\1|^[\d@$!|+]{3,}$")
+#: A letter twice, and nothing else than letters: the word may have one letter more than it should.
+DOUBLED = re.compile(r"([^\W\d_])\1")
+#: Letters with a separator after each.
+PARTED = re.compile(r"(?:[^\W_][.\-_*/~]){2,}[^\W_]")
+#: So many one-letter words in a row are read as spaced letters.
+SPACED = 4
 #: What is cut off a word's end, and off its start (where a sign may well stand for a letter).
-_END, _START = ".,;:?!\"'()[]{}%&*#$-_/\\~^`<>=+", ".,;:?\"'()[]{}%&*#-_/\\~^`>="
+_END, _START = ".,;:?!\"'()[]{}%&*#-_/\\~^`<>=+", ".,;:?\"'()[]{}%&*#-_/\\~^`>="
 
 
 def count_trigrams(texts: list[str]) -> np.ndarray:
@@ -92,10 +99,10 @@ class Channel:
 
     def __init__(self, model: np.ndarray):
         self.model = model.tolist()
-        self.restored = Bounded(self._word, 100_000)
 
-    def readings(self, text: str) -> list[tuple[int, list[tuple[str, float]]]]:
-        """The lattice: for each place (steps forward, [(letters, cost)])."""
+    def readings(self, text: str) -> list[list[tuple[str, float]]]:
+        """The lattice: for each place, what may stand there, with its cost. A blank between spaced letters may end a word or
+        stand for nothing."""
         out, k = [], 0
         while k < len(text):
             c = text[k]
@@ -103,10 +110,12 @@ class Channel:
             while k + run < len(text) and text[k + run] == c:
                 run += 1
             ways: list[tuple[str, float]] = []
-            if c.isalpha():
+            if c == " ":
+                ways += [("", 0.0), (" ", 0.0)]
+            elif c.isalpha():
                 ways.append((c * min(run, 2), RUN_COST * (run > 2)))
                 if run > 1:
-                    ways.append((c, RUN_COST * (run > 2) + RUN_COST * (run == 2)))
+                    ways.append((c, RUN_COST))
             else:
                 for x in LEET.get(c, ""):
                     ways.append((x * min(run, 2), SWAP_COST))
@@ -114,7 +123,7 @@ class Channel:
                         ways.append((x, SWAP_COST + RUN_COST))
                 if not ways or not c.isalnum():
                     ways.append(("", DROP_COST))
-            out.append((run, ways))
+            out.append(ways)
             k += run
         return out
 
@@ -122,13 +131,13 @@ class Channel:
         """The likeliest reading. A state is the last two characters; each keeps its best path."""
         code = CODE.get
         states: dict[tuple[int, int], tuple[float, tuple | None]] = {(EDGE, EDGE): (0.0, None)}
-        for _, ways in self.readings(text):
+        for ways in self.readings(text):
             new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (cost, path) in states.items():
                 for letters, price in ways:
                     x, y, total, way = a, b, cost + price, path
                     for c in letters:
-                        z = code(c, OTHER)
+                        z = EDGE if c == " " else code(c, OTHER)
                         total -= self.model[x][y][z]
                         x, y, way = y, z, (way, c)
                     if (x, y) not in new or total < new[x, y][0]:
@@ -141,29 +150,106 @@ class Channel:
             out.append(c)
         return "".join(reversed(out))
 
-    def _word(self, word: str) -> str:
+    def cost(self, letters: str) -> float:
+        """Of a word as it stands, under the character model."""
+        x = y = EDGE
+        total = 0.0
+        for c in letters:
+            z = CODE.get(c, OTHER)
+            total -= self.model[x][y][z]
+            x, y = y, z
+        return total - self.model[x][y][EDGE]
+
+    def undoubled(self, word: str) -> str:
+        """What `decode` gives for a word of letters with one run of two: its two readings side by side."""
+        at = DOUBLED.search(word).start()
+        short = word[:at] + word[at + 1 :]
+        if DOUBLED.search(word, at + 1):
+            return self.decode(word)
+        return short if self.cost(short) + RUN_COST < self.cost(word) else word
+
+    def word(self, word: str) -> str:
+        """The restored word."""
+        word = word.lower()
         core = word.rstrip(_END).lstrip(_START)
-        return self.decode(core) if DISGUISED.search(core) else core
+        if PARTED.fullmatch(core):
+            return self.decode(re.sub(r"[.\-_*/~]", "", core))
+        if DISGUISED.search(core):
+            return self.decode(core)
+        return self.undoubled(core) if DOUBLED.search(core) else core
+
+    def spaced(self, letters: list[str]) -> list[str]:
+        """The words in a row of one-letter words: the blanks are arcs of the lattice, so decoding finds where words end."""
+        return self.decode(" ".join(x.lower() for x in letters)).split()
 
     def words(self, text: str) -> set[str]:
         """Distinct restored words of a text."""
-        low = text.lower()
-        get = self.restored.__getitem__
-        found = set(map(get, set(low.split())))
-        for m in SPACED.finditer(low):
-            found.add(self.decode(re.sub(r"[ .\-_*]", "", m[0])))
-        found.discard("")
-        return found
+        return set(self.restored(pa.array([text]))[0]) - {""}
+
+    def restored(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+        """(restored words, the document of each) of a column of texts; each distinct word of a document once."""
+        w = HashedWords(texts)
+        _, one, which, doc = distinct_words(w)
+        raw, stops = w.raw.tobytes(), w.stops()
+        words = [self.word(raw[a:b].decode("utf-8", "replace")) for a, b in zip(w.starts[one].tolist(), stops[one].tolist(), strict=True)]
+        more = [(x, d) for d, letters in spaced_letters(w) for x in self.spaced(letters)]
+        return [words[k] for k in which.tolist()] + [x for x, _ in more], np.concatenate([doc, np.array([d for _, d in more], np.int64)])
+
+
+def distinct_words(w: HashedWords) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct hashes, a place of each, and for each document's distinct words: number of the hash, document)."""
+    every, one, which = np.unique(w.hashes, return_index=True, return_inverse=True)
+    doc = np.repeat(np.arange(len(w.counts)), w.counts)
+    pairs = np.unique(doc * max(len(every), 1) + which) if len(which) else np.empty(0, np.int64)
+    doc, which = np.divmod(pairs, max(len(every), 1))
+    return every, one, which, doc
+
+
+def spaced_letters(w: HashedWords) -> Iterator[tuple[int, list[str]]]:
+    """(document, letters) of every row of at least SPACED one-letter words."""
+    if not len(w.starts):
+        return
+    size = w.stops() - w.starts
+    lead = w.raw[w.starts]
+    single = (size == 1) & ((lead >= 65) & (lead <= 90) | (lead >= 97) & (lead <= 122) | (lead >= 48) & (lead <= 57) | np.isin(lead, np.frombuffer(b"@$!|+", np.uint8))) | (size == 2) & (lead >= 0xC3)
+    doc = np.repeat(np.arange(len(w.counts)), w.counts)
+    ends = np.flatnonzero(np.diff(np.concatenate([[False], single, [False]]).astype(np.int8)))
+    for a, b in zip(ends[::2].tolist(), ends[1::2].tolist(), strict=True):
+        for k in np.split(np.arange(a, b), np.flatnonzero(np.diff(doc[a:b])) + 1):
+            if len(k) >= SPACED:
+                yield int(doc[k[0]]), [w.raw[w.starts[x] : w.starts[x] + size[x]].tobytes().decode("utf-8", "replace") for x in k.tolist()]
+
+
+class Known:
+    """A memo of what words are worth, by their hash: sorted hashes and a number each; starts anew when full."""
+
+    def __init__(self, most: int = 1_000_000):
+        self.keys, self.numbers, self.most = np.empty(0, np.uint64), np.empty(0, np.int32), most
+
+    def numbers_of(self, hashes: np.ndarray, make: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        """Numbers of sorted distinct hashes; make gives those of the places in it that aren't known."""
+        if len(self.keys) > self.most:
+            self.keys, self.numbers = np.empty(0, np.uint64), np.empty(0, np.int32)
+        out = np.zeros(len(hashes), np.int32)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+            known = self.keys[at] == hashes
+            out[known] = self.numbers[at[known]]
+        else:
+            known = np.zeros(len(hashes), bool)
+        new = np.flatnonzero(~known)
+        if len(new):
+            out[new] = make(new)
+            keys = np.concatenate([self.keys, hashes[new]])
+            order = np.argsort(keys, kind="stable")
+            self.keys, self.numbers = keys[order], np.concatenate([self.numbers, out[new]])[order]
+        return out
 
 
 def features(word: str) -> list[str]:
     return ["=" + word] + ["^" + word[:k] for k in PREFIXES if len(word) > k]
 
 
-def document_features(words: set[str], memo: Bounded) -> set[str]:
-    return set().union(*map(memo.__getitem__, words)) if words else set()
-
-
 def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, max_train: int = MAX_TRAIN) -> dict:
     """{feature: weight} and the curve: weights is bounded by FEATURES."""
     marks = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
@@ -184,12 +270,19 @@ def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, max_train: int
     known = docs.join(hinted(marks), "doc_id").select("text", "toxic", "w")
 
     def count(batch: pa.RecordBatch) -> dict:
-        channel, memo, n = _channel(model), Bounded(features, 40_000), [Counter(), Counter()]
-        for text, toxic, w in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), batch["w"].to_pylist(), strict=True):
-            for f in [*document_features(channel.words(text), memo), ""]:  # "" counts documents
-                n[toxic][f] += w
-        rows = [(f, n[0][f], n[1][f]) for f in n[0].keys() | n[1].keys()]
-        return {"feature": [r[0] for r in rows], "clean": [r[1] for r in rows], "toxic": [r[2] for r in rows]}
+        channel, number, fids = _channel(model), {"": 0}, {}
+        words, doc = channel.restored(batch["text"])
+        for x in set(words):
+            fids[x] = [number.setdefault(f, len(number)) for f in features(x)] if x else []
+        per = [fids[x] for x in words]
+        size = np.fromiter(map(len, per), np.int64, count=len(per))
+        flat = np.fromiter(chain.from_iterable(per), np.int64, count=int(size.sum()))
+        # Each feature once a document; number 0 counts documents.
+        pairs = np.unique(np.concatenate([np.repeat(doc, size) * len(number) + flat, np.arange(batch.num_rows) * len(number)]))
+        d, f = np.divmod(pairs, len(number))
+        weight, toxic = batch["w"].to_numpy()[d], batch["toxic"].to_numpy()[d] > 0
+        add = lambda m: np.bincount(f[m], weights=weight[m], minlength=len(number)).astype(np.int64)
+        return {"feature": list(number), "clean": add(~toxic), "toxic": add(toxic)}
 
     counts = map_batches(known, count, "feature string, clean long, toxic long").groupBy("feature").agg((F.sum("clean") / UNIT).alias("c"), (F.sum("toxic") / UNIT).alias("t"))
     counts = materialize(counts.filter(F.expr(f"t >= {MIN_DOCS} or feature = ''")), "toxic-features")
@@ -225,27 +318,50 @@ def fit_curve(points: list[tuple[float, int, int]]) -> tuple[float, float]:
 
 
 def _raw_scores(docs: DataFrame, model: np.ndarray, weights: dict[str, float], extra: str) -> DataFrame:
-    names = [part.split()[0] for part in extra.split(",")]
+    names_ = [part.split()[0] for part in extra.split(",")]
 
     def one(batch: pa.RecordBatch) -> dict:
-        channel = _channel(model)
-        worth = Bounded(lambda w: [f for f in features(w) if f in weights], 100_000)
-        raw = [min(math.fsum(weights[f] for f in document_features(channel.words(text), worth)), MOST_RAW) for text in batch["text"].to_pylist()]
-        return {n: batch[n] for n in names} | {"raw": raw}
+        channel, known, worth = _memo(model, weights)
+        w = HashedWords(batch["text"])
+        every, at, which, doc = distinct_words(w)
+        raw, stops = w.raw.tobytes(), w.stops()
+
+        def number(word: str) -> int:
+            return worth.setdefault(tuple(f for f in features(word) if f in weights) if word else (), len(worth))
 
-    return map_batches(docs.select(*names, "text"), one, f"{extra}, raw double")
+        def made(places: np.ndarray) -> np.ndarray:
+            return np.array([number(channel.word(raw[w.starts[k] : stops[k]].decode("utf-8", "replace"))) for k in at[places].tolist()], np.int32)
 
+        hits = known.numbers_of(every, made)[which]
+        found: dict[int, set] = {}
+        names = list(worth)
+        for d, k in zip(doc[hits > 0].tolist(), hits[hits > 0].tolist(), strict=True):
+            found.setdefault(d, set()).update(names[k])
+        for d, letters in spaced_letters(w):
+            for x in channel.spaced(letters):
+                found.setdefault(d, set()).update(f for f in features(x) if f in weights)
+        raws = np.zeros(batch.num_rows)
+        for d, mine in found.items():
+            raws[d] = min(math.fsum(weights[f] for f in mine), MOST_RAW)
+        return {n: batch[n] for n in names_} | {"raw": raws}
 
-_CHANNELS: dict[bytes, Channel] = {}
+    return map_batches(docs.select(*names_, "text"), one, f"{extra}, raw double")
+
+
+_MEMO: dict[bytes, tuple] = {}
 
 
 def _channel(model: np.ndarray) -> Channel:
-    """One channel a worker and model, so that restored words are remembered between batches."""
-    key = model[:, :, 0].tobytes()
-    if key not in _CHANNELS:
-        _CHANNELS.clear()
-        _CHANNELS[key] = Channel(model)
-    return _CHANNELS[key]
+    return Channel(model)
+
+
+def _memo(model: np.ndarray, weights: dict[str, float]) -> tuple[Channel, Known, dict]:
+    """Channel, memo and features of the words in it, once a worker and model, so that words are remembered between batches."""
+    key = xxhash.xxh3_128_digest(model.tobytes() + repr(sorted(weights.items())).encode("utf-8"))
+    if key not in _MEMO:
+        _MEMO.clear()
+        _MEMO[key] = (Channel(model), Known(), {(): 0})
+    return _MEMO[key]
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
@@ -260,5 +376,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAI
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are not predicted to be toxic; all columns are kept."""
-    go = materialize(score_toxicity(docs, labels).filter("predicted = 1").select(F.col("doc_id").alias("_go")).distinct(), "toxic-documents")
-    return docs.join(hinted(go), F.col("doc_id").cast("long") == F.col("_go"), "left_anti")
+    go = materialize(score_toxicity(docs, labels).filter("predicted = 1").select(F.col("doc_id").alias("__go")).distinct(), "toxic-documents")
+    return docs.join(hinted(go), F.col("doc_id").cast("long") == F.col("__go"), "left_anti")

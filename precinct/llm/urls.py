@@ -96,7 +96,9 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, order: in
     pages = pages.select("page_id", "url")
     urls = pages.filter("url is not null").groupBy("url").agg(F.count("*").alias("weight"))
     host, path = host_path(F.col("url"))
-    urls = materialize(urls.select("url", "weight", longest_rule(host, path, rules)["verdict"].alias("ruled")), "urls")
+    tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    urls = urls.select("url", "weight", longest_rule(host, path, rules)["verdict"].alias("ruled"))
+    urls = materialize(urls.repartition(tasks, "url"), "urls")  # many small files: each URL becomes dozens of windows
     fit = F.crc32("url") % 5 > 0
     ruled = urls.filter("ruled is not null").select("url", (F.col("ruled") == "allow").alias("good"), F.lit(1).alias("weight"), fit.alias("fit"))
     both = ruled.agg(F.count_if(F.expr("fit and good")).alias("a"), F.count_if(F.expr("fit and not good")).alias("r")).first()

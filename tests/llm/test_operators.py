@@ -55,15 +55,52 @@ def by_id(df):
 # -- 1
 
 
+def word_model(*words):
+    """A character model that expects these words."""
+    n = np.full((28, 28, 28), 0.01)
+    for w in words:
+        for a, b, c in zip("##" + w + "#", "#" + w + "#", w + "#", strict=False):
+            f = lambda x: toxicity.CODE.get(x, toxicity.EDGE)
+            n[f(a), f(b), f(c)] += 10
+            if a == "#" and b == "#":
+                n[:, f(b), f(c)] += 1
+    return np.log(n / n.sum(2, keepdims=True))
+
+
 def test_channel_restores_words():
-    model = np.full((28, 28, 28), math.log(1 / 28))
-    for a, b, c in itertools.chain.from_iterable(zip(w, w[1:], w[2:]) for w in ("##idiot##", "##moron##", "##trash##")):
-        f = lambda x: toxicity.CODE.get(x, toxicity.EDGE)
-        model[f(a), f(b), f(c)] = math.log(0.9)
-    ch = toxicity.Channel(model)
+    ch = toxicity.Channel(word_model("idiot", "moron", "trash", "stupid", "such", "know", "you", "garbage", "a", "i"))
     assert ch.words("1d10t m0r0n tr@sh") == {"idiot", "moron", "trash"}
-    assert "idiot" in ch.words("you i d i o t") and ch.words("idiooooot") == {"idiot"}
-    assert ch.words("plain words, (here)!") == {"plain", "words", "here"}
+    assert ch.words("1diot 5tupid 7rash 9arbage !diot +rash") == {"idiot", "stupid", "trash", "garbage"}
+    assert ch.words("stuupid iddiot idiooooot i.d.i.o.t m-o-r-o-n") == {"stupid", "idiot", "moron"}
+    assert "idiot" in ch.words("you i d i o t") and {"such", "idiot"} <= ch.words("s u c h i d i o t") and {"idiot", "know"} <= ch.words("i d i o t k n o w")
+    assert ch.words("such, (know)! you.") == {"such", "know", "you"} and ch.words("") == set()
+
+
+@settings(deadline=None, max_examples=80)
+@given(st.text("ab1@$ .3", min_size=1, max_size=6), st.integers(0, 5))
+def test_decoding_is_the_best_path(text, seed):
+    """Viterbi against all paths of the lattice."""
+    model = np.log(np.random.default_rng(seed).dirichlet(np.ones(28), (28, 28)))
+    ch = toxicity.Channel(model)
+
+    def cost(path):
+        x = y = toxicity.EDGE
+        total = sum(price for _, price in path)
+        for c in "".join(letters for letters, _ in path):
+            z = toxicity.EDGE if c == " " else toxicity.CODE.get(c, toxicity.OTHER)
+            total -= model[x, y, z]
+            x, y = y, z
+        return total - model[x, y, toxicity.EDGE]
+
+    paths = {"".join(letters for letters, _ in p): cost(p) for p in sorted(itertools.product(*ch.readings(text)), key=cost, reverse=True)}
+    assert math.isclose(paths[ch.decode(text)], min(paths.values()), rel_tol=1e-9)
+
+
+@settings(deadline=None, max_examples=60)
+@given(st.from_regex(r"[a-d]{0,3}(aa|bb)[a-d]{0,3}", fullmatch=True), st.integers(0, 5))
+def test_one_doubled_letter(word, seed):
+    ch = toxicity.Channel(np.log(np.random.default_rng(seed).dirichlet(np.ones(28), (28, 28))))
+    assert ch.undoubled(word) == ch.decode(word)
 
 
 def test_toxicity_learns_and_holds_out(spark):
@@ -77,6 +114,10 @@ def test_toxicity_learns_and_holds_out(spark):
     assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in got.items())
     assert got[900]["predicted"] == 0
     assert toxicity.score_toxicity(d, labels.limit(0)).filter("predicted = 1").count() == 0
+    assert toxicity.score_toxicity(d.limit(0), labels).count() == 0
+    twice = d.filter("doc_id < 10").union(d.filter("doc_id < 10")).union(spark.createDataFrame(fixture([(950, "idiot " * 50_000), (None, "idiot")]), SCHEMA))
+    again = [r for r in toxicity.score_toxicity(d.union(twice), labels).collect() if r["doc_id"] in (None, 950, 4)]
+    assert len(again) == 5 and all(r["predicted"] == 1 for r in again)
 
 
 # -- 2
@@ -101,6 +142,12 @@ def test_interleaved_order():
         media.read_image(b"P5\n24 1\n255\nshort")
 
 
+def test_interleave_with_clashing_names(spark):
+    pages = spark.createDataFrame([(1, "<p>a</p>", "mine", 5), (2, None, "yours", 6)], "page_id long, html string, text string, sequence int")
+    got = {r["page_id"]: r for r in media.interleave(pages).collect()}
+    assert got[1]["text"] == "mine" and [i["text"] for i in got[1]["sequence"]] == ["a"] and got[2]["sequence"] == []
+
+
 # -- 3
 
 
@@ -156,6 +203,16 @@ def test_altered_group(spark):
     assert {i: r["component_id"] for i, r in got.items()} == {i: find(i) for i in sets}
 
 
+def test_documents_with_several_texts(spark):
+    """A document with two texts links with what either links with."""
+    g = random.Random(4)
+    text = lambda: " ".join(f"w{g.randrange(10**6)}" for _ in range(40))
+    a, b = text(), text()
+    rows = [(1, a), (5, b), (5, a), (9, b), (7, text()), (7, None), (3, "x")]
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngrams.jaccard_components(spark.createDataFrame(fixture(rows), SCHEMA)).collect())
+    assert got == [(1, 36, 1), (3, 1, 3), (5, 36, 1), (5, 36, 1), (7, 0, 7), (7, 36, 7), (9, 36, 1)]
+
+
 @settings(deadline=None, max_examples=60)
 @given(st.sets(st.integers(0, 40), min_size=1, max_size=30), st.sets(st.integers(0, 40), min_size=1, max_size=30))
 def test_overlap_bound_never_low(a, b):
@@ -558,6 +615,15 @@ def test_contamination(spark, docs, empty, block_words):
     assert decontaminate.remove_contaminated(docs, bench).columns == docs.columns
 
 
+def test_items_without_an_id(spark, docs):
+    """Their windows hit words; they count as one item and stay out of the hash."""
+    text = dict(some_texts())[0]
+    bench = spark.createDataFrame([(None, text[:150]), (7, text[:150]), (None, "one two")], "item_id long, text string")
+    got = by_id(decontaminate.contamination(docs, bench))
+    assert got[0]["contaminated"] and got[0]["n_items"] == 2 and got[0]["items_sha256"] == hashlib.sha256(b"7").hexdigest()
+    assert got[25]["n_hit"] == 2 and got[25]["n_items"] == 1 and got[25]["items_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
 def test_words_by_the_given_classes():
     for t in ("A-b_c9 Éx 'q'\x7f!z", "", "ß—ü 1.5"):
         assert [w.decode() for w in letter_words(t)] == re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
