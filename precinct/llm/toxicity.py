@@ -48,6 +48,8 @@ LEET = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "*": "aeiou", "#": "h",
 }
 SWAP_COST, DROP_COST, RUN_COST = 0.5, 3.0, 0.7
+#: Of reading a letter that stands twice as one: words often have two, so the model must much prefer one.
+DOUBLE_COST = 2.0
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 EDGE, OTHER, SIZE = 26, 27, 28  # word edge; any other letter
 CODE = {c: k for k, c in enumerate(LETTERS)}
@@ -115,7 +117,7 @@ class Channel:
             elif c.isalpha():
                 ways.append((c * min(run, 2), RUN_COST * (run > 2)))
                 if run > 1:
-                    ways.append((c, RUN_COST))
+                    ways.append((c, RUN_COST if run > 2 else DOUBLE_COST))
             else:
                 for x in LEET.get(c, ""):
                     ways.append((x * min(run, 2), SWAP_COST))
@@ -166,17 +168,19 @@ class Channel:
         short = word[:at] + word[at + 1 :]
         if DOUBLED.search(word, at + 1):
             return self.decode(word)
-        return short if self.cost(short) + RUN_COST < self.cost(word) else word
+        return short if self.cost(short) + DOUBLE_COST < self.cost(word) else word
 
-    def word(self, word: str) -> str:
-        """The restored word."""
+    def word(self, word: str) -> tuple[str, str]:
+        """(the restored word, the word that its first letters are taken from): a letter dropped from a pair doesn't change those."""
         word = word.lower()
         core = word.rstrip(_END).lstrip(_START)
         if PARTED.fullmatch(core):
-            return self.decode(re.sub(r"[.\-_*/~]", "", core))
-        if DISGUISED.search(core):
-            return self.decode(core)
-        return self.undoubled(core) if DOUBLED.search(core) else core
+            core = self.decode(re.sub(r"[.\-_*/~]", "", core))
+        elif DISGUISED.search(core):
+            core = self.decode(core)
+        elif DOUBLED.search(core):
+            return self.undoubled(core), core
+        return core, core
 
     def spaced(self, letters: list[str]) -> list[str]:
         """The words in a row of one-letter words: the blanks are arcs of the lattice, so decoding finds where words end."""
@@ -184,16 +188,17 @@ class Channel:
 
     def words(self, text: str) -> set[str]:
         """Distinct restored words of a text."""
-        return set(self.restored(pa.array([text]))[0]) - {""}
+        return {w for w, _ in self.restored(pa.array([text]))[0]} - {""}
 
-    def restored(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
-        """(restored words, the document of each) of a column of texts; each distinct word of a document once."""
+    def restored(self, texts: pa.Array) -> tuple[list[tuple[str, str]], np.ndarray, np.ndarray]:
+        """(restored words as `word` gives them; for each document's distinct words: place in that list, document)."""
         w = HashedWords(texts)
         _, one, which, doc = distinct_words(w)
         raw, stops = w.raw.tobytes(), w.stops()
         words = [self.word(raw[a:b].decode("utf-8", "replace")) for a, b in zip(w.starts[one].tolist(), stops[one].tolist(), strict=True)]
         more = [(x, d) for d, letters in spaced_letters(w) for x in self.spaced(letters)]
-        return [words[k] for k in which.tolist()] + [x for x, _ in more], np.concatenate([doc, np.array([d for _, d in more], np.int64)])
+        which = np.concatenate([which, len(words) + np.arange(len(more))])
+        return words + [(x, x) for x, _ in more], which, np.concatenate([doc, np.array([d for _, d in more], np.int64)])
 
 
 def distinct_words(w: HashedWords) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -246,8 +251,10 @@ class Known:
         return out
 
 
-def features(word: str) -> list[str]:
-    return ["=" + word] + ["^" + word[:k] for k in PREFIXES if len(word) > k]
+def features(word: str, stem: str | None = None) -> list[str]:
+    """Of a restored word: the word, and the first letters of stem (or of itself)."""
+    stem = word if stem is None else stem
+    return ["=" + word] + ["^" + stem[:k] for k in PREFIXES if len(stem) > k] if word else []
 
 
 def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, max_train: int = MAX_TRAIN) -> dict:
@@ -270,11 +277,10 @@ def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, max_train: int
     known = docs.join(hinted(marks), "doc_id").select("text", "toxic", "w")
 
     def count(batch: pa.RecordBatch) -> dict:
-        channel, number, fids = _channel(model), {"": 0}, {}
-        words, doc = channel.restored(batch["text"])
-        for x in set(words):
-            fids[x] = [number.setdefault(f, len(number)) for f in features(x)] if x else []
-        per = [fids[x] for x in words]
+        channel, number = _channel(model), {"": 0}
+        words, which, doc = channel.restored(batch["text"])
+        fids = [[number.setdefault(f, len(number)) for f in features(*x)] for x in words]
+        per = [fids[k] for k in which.tolist()]
         size = np.fromiter(map(len, per), np.int64, count=len(per))
         flat = np.fromiter(chain.from_iterable(per), np.int64, count=int(size.sum()))
         # Each feature once a document; number 0 counts documents.
@@ -326,8 +332,8 @@ def _raw_scores(docs: DataFrame, model: np.ndarray, weights: dict[str, float], e
         every, at, which, doc = distinct_words(w)
         raw, stops = w.raw.tobytes(), w.stops()
 
-        def number(word: str) -> int:
-            return worth.setdefault(tuple(f for f in features(word) if f in weights) if word else (), len(worth))
+        def number(word: tuple[str, str]) -> int:
+            return worth.setdefault(tuple(f for f in features(*word) if f in weights), len(worth))
 
         def made(places: np.ndarray) -> np.ndarray:
             return np.array([number(channel.word(raw[w.starts[k] : stops[k]].decode("utf-8", "replace"))) for k in at[places].tolist()], np.int32)

@@ -101,6 +101,7 @@ def test_decoding_is_the_best_path(text, seed):
 def test_one_doubled_letter(word, seed):
     ch = toxicity.Channel(np.log(np.random.default_rng(seed).dirichlet(np.ones(28), (28, 28))))
     assert ch.undoubled(word) == ch.decode(word)
+    assert toxicity.features("losez", "llosez") == ["=losez", "^llos", "^llose"] and toxicity.features("") == []
 
 
 def test_toxicity_learns_and_holds_out(spark):
