@@ -35,7 +35,7 @@ from pyspark.sql import Window
 
 from precinct.blocks.components import connected_components
 from precinct.blocks.shared import hinted, materialize
-from precinct.llm.common import HashedWords, deal, dealt_schema, docs_text, map_batches, mixed, slices, undealt
+from precinct.llm.common import HashedWords, deal, dealt_schema, docs_text, map_batches, mixed, packed, slices, undealt, unpacked
 
 WORDS = 5
 PERCENT = 75
@@ -231,7 +231,7 @@ def _compared(pairs: DataFrame, items: DataFrame, column: str, kind: str, overla
     def one(batch: pa.RecordBatch) -> dict:
         good = []
         for x, y in zip(batch["x"], batch["y"], strict=True):
-            x, y = (np.frombuffer(v.as_buffer(), kind) for v in (x, y))
+            x, y = (unpacked(v.as_buffer(), kind) for v in (x, y))
             both = overlap(x, y)
             good.append(both > 0 and 100 * both >= PERCENT * (len(x) + len(y) - both))
         mask = pa.array(good, pa.bool_())
@@ -249,7 +249,7 @@ def verified_links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def sets(batch: pa.RecordBatch) -> dict:
         found = shingle_sets(batch["text"])
-        return {"doc": batch["doc_id"], "items": [s.tobytes() for s in found], "low": [np.sort(s.astype(np.uint16)).tobytes() for s in found]}
+        return {"doc": batch["doc_id"], "items": [packed(s, "<u8") for s in found], "low": [packed(np.sort(s.astype(np.uint16)), "<u2") for s in found]}
 
     items = materialize(map_batches(docs.join(hinted(ids), "doc_id", "left_semi"), sets, "doc long, items binary, low binary"), "candidate-sets")
     likely = materialize(_compared(pairs, items, "low", "<u2", overlap_bound), "likely-pairs")
@@ -283,16 +283,14 @@ def _remaining(shared: DataFrame, component: DataFrame, tested: DataFrame) -> Da
     rows = shared.select("token", "doc", "n", "need", "pos").join(hinted(component), F.col("doc") == F.col("node"), "left")
     rows = materialize(rows.select("token", "doc", "n", "need", "pos", F.coalesce("component", "doc").alias("c")), "open-tokens")
     several = rows.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("token")
-    rows = rows.join(several, "token")
-    # Sizes that fit are in the same band or in bands side by side.
-    band = F.floor(F.log("n") / F.log(F.lit(100 / PERCENT)) + 1e-9)
-    a = rows.select("token", F.explode(F.array(band - 1, band, band + 1)).alias("band"), *[F.col(x).alias(f"a_{x}") for x in ("doc", "n", "need", "pos", "c")])
-    b = rows.select("token", band.alias("band"), *[F.col(x).alias(f"b_{x}") for x in ("doc", "n", "need", "pos", "c")])
+    rows = materialize(rows.join(several, "token"), "tokens-of-several")
+    a = rows.select("token", *[F.col(x).alias(f"a_{x}") for x in ("doc", "n", "need", "pos", "c")])
+    b = rows.select("token", *[F.col(x).alias(f"b_{x}") for x in ("doc", "n", "need", "pos", "c")])
     # For an overlap of at least `overlap`, the first `least` shared tokens stand among the first n - overlap + least of each.
     overlap = F.ceil((F.col("a_n") + F.col("b_n")) * PERCENT / (100 + PERCENT))
     least = F.least("a_need", "b_need")
     early = (F.col("a_pos") < F.col("a_n") - overlap + least) & (F.col("b_pos") < F.col("b_n") - overlap + least)
-    met = a.join(b, ["token", "band"]).filter("a_doc < b_doc and a_c <> b_c").filter(_sizes_fit("a_n", "b_n")).filter(early)
+    met = a.join(b, (a["token"] == b["token"]) & (F.col("a_doc") < F.col("b_doc")) & (F.col("a_c") != F.col("b_c")) & _sizes_fit("a_n", "b_n") & early)
     enough = met.groupBy(F.col("a_doc").alias("a"), F.col("b_doc").alias("b")).agg(F.count("*").alias("k"), F.first(least).alias("need"))
     return enough.filter("k >= need").select("a", "b").join(tested, ["a", "b"], "left_anti")
 
