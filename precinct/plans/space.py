@@ -53,16 +53,21 @@ def a18_series(spark, sf):
 
 
 def _summary_sql(members: str) -> str:
-    return f"""su AS (SELECT series_id, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon, min(occurred_at)::DATE AS first_day, max(occurred_at)::DATE AS last_day, count(*) AS size FROM {members} JOIN ce USING (event_id) GROUP BY 1),
+    return f"""su AS (SELECT series_id, round(avg(lat) + 1e-9, 6) AS lat, round(avg(lon) + 1e-9, 6) AS lon, min(occurred_at)::DATE AS first_day, max(occurred_at)::DATE AS last_day, count(*) AS size FROM {members} JOIN ce USING (event_id) GROUP BY 1),
 kd AS (SELECT series_id, kind FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY n DESC, kind) AS k FROM (SELECT series_id, coalesce(crime_type, '') AS kind, count(*) AS n FROM {members} JOIN ce USING (event_id) GROUP BY ALL)) WHERE k = 1)
 SELECT su.series_id, lat, lon, first_day, last_day, size, kind AS dominant_type, CAST(last_day - first_day AS INT) AS span_days, CASE WHEN size >= 10 THEN 'CRITICAL' WHEN size >= 5 THEN 'HIGH' ELSE 'ACTIVE' END AS status FROM su JOIN kd USING (series_id)"""
 
 
+def centred(summary):
+    """Centres rounded a little off the ties that means of round numbers make."""
+    return summary.withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in ("lat", "lon")})
+
+
 @R("a19_series_summary", f"WITH RECURSIVE {CE}, {_series_sql(burglary=0.2)}, {_summary_sql('sr')}")
 def a19_series_summary(spark, sf):
     """Series with a radius of their own for burglaries."""
     e = crime_events(spark, sf)
-    return rounded(series.series_summary(series.detect_series(e, eps_by_bucket={"burglary": 0.2, "theft": 0.0}), e))
+    return centred(series.series_summary(series.detect_series(e, eps_by_bucket={"burglary": 0.2, "theft": 0.0}), e))
 
 
 @R("j04_series_links", f"""WITH RECURSIVE {CE}, {_series_sql(0.15, 3.0, 8)}, mb AS (SELECT series_id, lat, lon, (epoch(occurred_at) - 946684800) / 86400 AS t FROM sr JOIN ce USING (event_id)),
@@ -100,7 +105,7 @@ def l09_series_overrides(spark, sf):
 def l09_overridden_summary(spark, sf):
     """The summary computed anew after an analyst's changes."""
     e, m = overridden(spark, sf)
-    return rounded(series.series_summary(m, e))
+    return centred(series.series_summary(m, e))
 
 
 _BOX = "bx AS (SELECT count(*) AS n, stddev_samp(lat) AS sy, stddev_samp(lon) AS sx, min(lat) AS y0, max(lat) AS y1, min(lon) AS x0, max(lon) AS x1 FROM ce WHERE lat IS NOT NULL)"

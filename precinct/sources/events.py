@@ -95,7 +95,8 @@ def weather_flags(df: DataFrame) -> DataFrame:
 
 def weather_hours(raw: DataFrame) -> DataFrame:
     """A row an hour; a later entry for an hour replaces an earlier one; missing tails take defaults."""
-    z = raw.select("utc_offset_seconds", F.posexplode(F.arrays_zip(*[F.coalesce(F.col(f"hourly.{c}"), F.array().cast(kind)).alias(c) for c, kind in ("time", "temperature_2m", "precipitation", "windspeed_10m", "visibility", "is_day", "weathercode")])).alias("pos", "h"))
+    arrays = [F.coalesce(F.col(f"hourly.{c}"), F.array().cast(kind)).alias(c) for c, kind in (f.split(":") for f in _HOURLY)]
+    z = raw.select("utc_offset_seconds", F.posexplode(F.arrays_zip(*arrays)).alias("pos", "h"))
     local = F.coalesce(F.try_to_timestamp("h.time", F.lit("yyyy-MM-dd'T'HH:mm")), F.try_to_timestamp("h.time", F.lit("yyyy-MM-dd'T'HH:mm:ss")))
     utc = F.timestamp_seconds(F.unix_timestamp(local) - F.coalesce("utc_offset_seconds", F.lit(0)))
     v = lambda c, d: F.coalesce(f"h.{c}", F.lit(d))

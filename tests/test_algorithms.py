@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from precinct.blocks.components import connected_components
 from precinct.blocks.ranks import global_cumulate
-from precinct.operators import evaluation, network, quality, rates, series, surfaces
+from precinct.operators import cases, evaluation, network, quality, rates, series, surfaces
 from precinct.sources import events as sources
 from precinct.sources import people
 
@@ -107,13 +107,144 @@ def test_quantiles_against_sums():
             assert rates.poisson_quantiles(np.array([lam]), q)[0] == int(np.argmax(np.cumsum(pmf) >= q))
 
 
+def test_roots_and_substitution():
+    g = np.random.default_rng(1)
+    m = g.normal(size=(12, 12))
+    a, b = m @ m.T + np.eye(12), g.normal(size=(12, 3))
+    root = surfaces.cholesky(a)
+    assert np.allclose(root @ root.T, a) and np.allclose(root, np.tril(root))
+    assert np.allclose(root @ surfaces.substituted(root, b), b) and np.allclose(root.T @ surfaces.back_substituted(root, b), b)
+
+
 def test_gaussian_process_recovers_a_plane(spark):
     g = np.random.default_rng(3)
     x = g.uniform(0, 1, (300, 2))
     rows = [(i, float(a), float(b), float(a + 2 * b)) for i, (a, b) in enumerate(x)]
     df = spark.createDataFrame(rows, "id long, x1 double, x2 double, y double")
-    got = surfaces.FourierProcess(length=1.0, noise=0.05).fit(df).predict(df, "id").toPandas().set_index("id")["mean"]
-    assert max(abs(got[i] - y) for i, _, _, y in rows) < 0.15
+    got = surfaces.FourierProcess(length=1.0, noise=0.05).fit(df).predict(df, "id").toPandas().set_index("id")
+    assert max(abs(got["mean"][i] - y) for i, _, _, y in rows) < 0.15 and (got["variance"] > 0).all()
+
+
+def hawkes_model(rows, mu, a, b, s, strict=False):
+    w = min(20 / b, 90)
+    out = {}
+    for i, t, y, x in rows:
+        before = [r for r in rows if (r[1] < t or (not strict and r[1] == t and r[0] < i)) and t - r[1] <= w]
+        out[i] = mu + sum(a * b * math.exp(-b * (t - u)) * s * s / ((y - v) ** 2 + (x - z) ** 2 + s * s) for _, u, v, z in before)
+    return out
+
+
+def test_hawkes_fit_against_a_plain_model(spark, monkeypatch):
+    """The likelihood of every candidate, over several blocks, and a fit that no neighbouring candidate beats."""
+    monkeypatch.setattr(surfaces, "BLOCK_EVENTS", 7)
+    g = random.Random(2)
+    rows = [(i, g.choice([float(g.randrange(12)), g.uniform(0, 130)]), 51.5 + g.gauss(0, 0.02), g.gauss(0, 0.02)) for i in range(50)]
+    e = spark.createDataFrame(rows, "id long, t double, lat double, lon double")
+    ends = [r[1] for r in rows]
+
+    def nll(mu, a, b, s):
+        return -sum(map(math.log, hawkes_model(rows, mu, a, b, s).values())) + mu * (max(ends) - min(ends)) + sum(a * (1 - math.exp(-b * (max(ends) - t))) for t in ends)
+
+    tries = [(0.1, 0.3, 0.5, 0.01), (0.4, 0.3, 0.5, 0.01), (0.2, 0.5, 2.0, 0.05)]
+    assert all(math.isclose(x, nll(*c), rel_tol=1e-9) for x, c in zip(surfaces.hawkes_nll(e, tries), tries, strict=True))
+    want = hawkes_model(rows, 0.1, 0.3, 0.5, 0.01, strict=True)
+    got = {r["id"]: r["intensity"] for r in surfaces.hawkes_intensity(e, e, 0.1, 0.3, 0.5, 0.01).collect()}
+    assert all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in want)
+    fit = surfaces.fit_hawkes(e, sweeps=2, width=6, rounds=2)
+    best = [fit[k] for k in ("mu", "alpha", "beta", "sigma")]
+    assert math.isclose(fit["nll"], nll(*best), rel_tol=1e-6) and fit["nll"] < nll(0.1, 0.3, 0.5, 0.01)
+
+
+def test_nearest_and_mean_distances(spark, monkeypatch):
+    """Against all pairs: clusters, far rows that need wider tiles, repeats, and blocks smaller than a tile."""
+    from precinct.blocks import nearest
+
+    monkeypatch.setattr(nearest, "BLOCK", 9)
+    g = np.random.default_rng(4)
+    p = np.concatenate([g.normal(0, 0.1, (60, 5)), g.normal(3, 1, (40, 5)), np.zeros((5, 5)), [[50.0, 0, 0, 0, 0], [0, 0, -40.0, 0, 0]]])
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(p)], "id long, a double, b double, c double, d double, e double")
+    d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(2))
+    got = {r["id"]: r["nearest"] for r in nearest.nearest_distances(df, list("abcde"), 4, len(p)).collect()}
+    assert all(np.allclose(got[i], sorted(x for x in d[i] if x >= 1e-12)[:4]) for i in range(len(p)))
+    mean = {r["id"]: r["mean_d"] for r in nearest.mean_distances(df, df, list("abcde")).collect()}
+    assert all(math.isclose(mean[i], np.mean([x for x in d[i] if x >= 1e-12]), rel_tol=1e-9) for i in range(len(p)))
+    same = df.filter("id >= 100 and id < 105")
+    assert all(r["nearest"] == [] for r in nearest.nearest_distances(same, list("abcde"), 4, 5).collect())
+    assert nearest.nearest_distances(df.limit(0), list("abcde"), 4, 0).count() == 0
+
+
+def test_pairs_near_poles_and_the_date_line(spark):
+    """Cells as wide as they are at their own latitude, against all pairs by haversine."""
+    g = random.Random(6)
+    rows = [(f"e{i}", i, None, g.choice([0.0, 60.0, -60.0, 89.9, 51.5]) + g.uniform(-0.002, 0.002), (g.choice([179.999, -179.999, 0.0, 12.0]) + g.uniform(-0.003, 0.003) + 180) % 360 - 180, g.uniform(0, 20)) for i in range(150)]
+
+    def metres(a, b):
+        (y, x), (v, z) = ((math.radians(r[3]), math.radians(r[4])) for r in (a, b))
+        h = math.sin((v - y) / 2) ** 2 + math.cos(y) * math.cos(v) * math.sin((z - x) / 2) ** 2
+        return 2 * 6371.0 * math.asin(math.sqrt(h)) * 1000
+
+    want = {(a[0], b[0]) for a in rows for b in rows if b[1] < a[1] and abs(a[5] - b[5]) <= 14 and metres(a, b) <= 200}
+    got = {(r["event_id"], r["prior_id"]) for r in series.near_repeats(events(spark, rows)).collect()}
+    assert got == want and len(want) > 20
+
+
+def test_series_profiles_equal_the_single_profile(spark):
+    g = random.Random(3)
+    rows = [(s, 51.5 + k / 10 + g.gauss(0, 0.01), g.gauss(0, 0.01)) for k, s in enumerate("AB") for _ in range(8)] + [("C", 51.0, 0.0), ("C", None, 0.0), ("C", 51.0, 0.1)]
+    df = spark.createDataFrame(rows, "series_id string, lat double, lon double").repartition(3)
+    got = {r["series_id"]: r for r in surfaces.series_profiles(df, n=30).collect()}
+    assert set(got) == {"A", "B"}
+    for s in "AB":
+        one = surfaces.profile_summary(surfaces.geographic_profile(df.filter(F.col("series_id") == s), 30)).first()
+        assert all(math.isclose(got[s][c], one[c], rel_tol=1e-9) for c in ("lat", "lon", "peak_p", "area50_km2", "area80_km2"))
+
+
+def test_rossmo_by_hand():
+    b, f = 0.5 / 111.0, 1.2
+    p = __import__("pandas").DataFrame({"lat": [51.5, 51.501], "lon": [0.0, 0.003]})
+    lats, lons = np.array([51.5, 51.51, 51.6]), np.array([0.0, 0.002])
+    got = surfaces.rossmo(0.5, f, f)(p, lats, lons)
+    for i, y in enumerate(lats):
+        for j, x in enumerate(lons):
+            want = 0.0
+            for v, z in zip(p["lat"], p["lon"], strict=True):
+                d = math.hypot(y - v, x - z)
+                want += 1 / max(2 * b - d, 1e-10) ** f if d <= b else d**-f if d < 4 * b else 0.0
+            assert math.isclose(got[i, j], want, rel_tol=1e-9)
+
+
+def test_map_hotspots_need_three_points(spark):
+    df = spark.createDataFrame([(51.5, 0.0), (51.6, 0.1), (None, 0.1)], "lat double, lon double")
+    assert surfaces.map_hotspots(df).count() == 0
+    assert surfaces.map_hotspots(df.union(df.filter("lat = 51.5"))).count() > 0
+
+
+def test_case_leads(spark):
+    """Two cases: one with a series beside its first event, one with two events only; all kinds of leads, ranked by score."""
+    rows = [("k1", f"a{i}", i, "burglary", 51.5 + 0.0002 * i, -0.1, 2.0 * i, "smashed a window alone") for i in range(5)]
+    rows += [("k2", "b0", 10, "theft", 51.9, 0.3, 1.0, "phone taken"), ("k2", "b1", 11, "theft", 51.2, 0.9, 25.0, "")]
+    e = spark.createDataFrame([(*r, 0.9) for r in rows], "case_id string, event_id string, seq long, crime_type string, lat double, lon double, d double, narrative string, quality_score double")
+    e = e.withColumn("occurred_at", F.timestamp_seconds(F.lit(1704067200.0) + F.col("d") * 86400))
+    similar = spark.createDataFrame([("k1", "old", 0.8, "group of two"), ("k2", "weak", 0.1, "")], "case_id string, other string, score double, detail string")
+    odd = spark.createDataFrame([("b1", True, 0.7, ["time"]), ("a1", False, 0.2, [])], "event_id string, is_anomaly boolean, score double, reasons array<string>")
+    who = spark.createDataFrame([("k2", "p1", 0.99, "direct_participant")], "case_id string, person_id string, risk double, kind string")
+    got = {}
+    for r in cases.case_leads(e, similar, odd, who, grid=30).collect():
+        got.setdefault(r["event_id"], []).append(r)
+    assert {r["category"] for r in got["k1"]} == {"series", "mo", "geographic"} and {r["category"] for r in got["k2"]} == {"anomaly", "network"}
+    link = next(r for r in got["k1"] if r["category"] == "series")
+    assert link["headline"] == "Linked to SERIES-0001" and link["confidence"] > 0.2
+    for rows_ in got.values():
+        assert [r["rank"] for r in sorted(rows_, key=lambda r: (-round(r["score"], 9), r["lead_no"]))] == list(range(1, len(rows_) + 1))
+
+
+def test_columns_of_known_headers():
+    find = sources.detect_columns
+    assert find("incident_id,occurred,offense,summary,y_coord,x_coord,block,resolution".split(",")) == {"id": "incident_id", "date": "occurred", "crime_type": "offense", "description": "summary", "lat": "y_coord", "lon": "x_coord", "address": "block", "outcome": "resolution"}
+    assert find(["Crime type", "Last outcome category", "Context"]) == {"crime_type": "Crime type", "outcome": "Last outcome category"}
+    assert find(["Date", "Updated On Date", "Crime Type", "Type"]) == {"date": "Date", "crime_type": "Crime Type"}
+    assert find(["location type", "Location"]) == {"location": "location type"}
+    assert find([]) == {}
 
 
 def test_hawkes_intensity_decays(spark):
@@ -126,7 +257,7 @@ def test_hawkes_intensity_decays(spark):
 
 def test_csv_source(spark, tmp_path):
     (tmp_path / "a.csv").write_text('ID,Date,Crime Type,Latitude,Longitude,Location\n1,03/04/2024,Theft,51.5,-0.1,"High St, ""A"""\n2,13/04/2024 10:30, BURGLARY ,95,-0.1,x\n3,,,1,1,y\n4,junk,fraud,,,\n')
-    got = {r["event_id"]: r for r in sources.read_events_csv(spark, str(tmp_path / "a.csv")).collect()}
+    got = {r["event_id"]: r for r in sources.read_events_csv(spark, str(tmp_path / "a.csv"), multiline=True).collect()}
     assert set(got) == {"csv_import_1", "csv_import_2", "csv_import_4"}
     assert str(got["csv_import_1"]["occurred_at"]) == "2024-03-04 00:00:00" and got["csv_import_1"]["location_raw"] == 'High St, "A"'
     assert str(got["csv_import_2"]["occurred_at"]) == "2024-04-13 10:30:00" and got["csv_import_2"]["lat"] is None and got["csv_import_2"]["crime_type"] == "burglary"

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from precinct.operators import rates
+from precinct.operators import rates, series
 from precinct.plans.fixtures import crime_events
 from precinct.streaming import streams
 
@@ -51,6 +51,46 @@ def test_split(spark, landed, tmp_path):
 
 
 def test_near_repeat_alerts(spark, landed):
+    """The stream's pairs are the batch operator's."""
     e, path = landed
-    got = streams.run_once(streams.near_repeat_alerts(streams.read_stream(spark, path, e.schema, files_per_batch=10), days=2), "near")
-    assert got.filter("metres > 200").count() == 0 and got.count() == got.distinct().count()
+    got = streams.run_once(streams.near_repeat_alerts(streams.read_stream(spark, path, e.schema, files_per_batch=10)), "near")
+    assert rows(got, ["event_id", "prior_id"]) == rows(series.near_repeats(e), ["event_id", "prior_id"])
+
+
+def test_sliding_counts(spark, landed):
+    e, path = landed
+    got = streams.run_once(streams.fortnight_counts(streams.read_stream(spark, path, e.schema)), "sliding").filter("start < '2029-01-01'")
+    want = e.groupBy(F.window("occurred_at", "14 days", "1 day").alias("w"), "zone").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "zone", "n")
+    assert rows(got, ["start", "zone", "n"]) == rows(want, ["start", "zone", "n"])
+
+
+def test_sessions(spark, landed):
+    e, path = landed
+    got = streams.run_once(streams.burst_sessions(streams.read_stream(spark, path, e.schema)), "sessions").filter("start < '2029-01-01'")
+    want = e.groupBy(F.session_window("occurred_at", "6 hours").alias("w"), "zone").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "zone", "n")
+    assert rows(got, ["start", "end", "zone", "n"]) == rows(want, ["start", "end", "zone", "n"])
+
+
+def test_live_escalation_equals_batch(spark, tmp_path):
+    """After every batch the factor of a zone's last day is the batch operator's, older days than a fortnight being forgotten."""
+    days = {"A": [1, 1, 2, 10, 28], "B": [5, 6, 6, 7], "C": [1]}
+    e = spark.createDataFrame([(z, d) for z, ds in days.items() for d in ds], "zone string, d int").select("zone", F.make_date(F.lit(2024), F.lit(1), "d").cast("timestamp").alias("occurred_at"))
+    for part in (e.filter("day(occurred_at) < 6"), e.filter("day(occurred_at) >= 6")):
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    got = streams.run_once(streams.live_escalation(streams.read_stream(spark, f"{tmp_path}/in", e.schema, files_per_batch=10)), "live", "update")
+    last = e.groupBy("zone").agg(F.to_date(F.max("occurred_at")).alias("day"))
+    want = {r["zone"]: round(r["escalation"], 9) for z in days for r in rates.escalation(e.filter(F.col("zone") == z), last.filter(F.col("zone") == z)).collect()}
+    assert {r["zone"]: round(r["escalation"], 9) for r in got.collect()} == want
+
+
+def test_ingest_from_files(spark, tmp_path):
+    """CSV rows as they arrive are mapped, scored and split as in batch."""
+    lines = ["id,date,type,lat,lon", "1,2024-01-03 10:00:00,Theft,51.5123,-0.1234", "2,,Fraud,,", "3,,,1,1"]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("\n".join(lines) + "\n")
+    stream = streams.read_csv_stream(spark, f"{tmp_path}/in", lines[0].split(","))
+    q = streams.write_split(streams.scored(stream, 0.5), f"{tmp_path}/e", f"{tmp_path}/q", f"{tmp_path}/c").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert [r["event_id"] for r in spark.read.parquet(f"{tmp_path}/e").collect()] == ["csv_import_1"]
+    assert [r["event_id"] for r in spark.read.parquet(f"{tmp_path}/q").collect()] == ["csv_import_2"]
