@@ -117,7 +117,7 @@ def rossmo(buffer_km: float, f: float, g: float):
         for y, x in zip(p["lat"].to_numpy(), p["lon"].to_numpy(), strict=True):
             d = np.sqrt((lats[:, None] - y) ** 2 + (lons[None, :] - x) ** 2)
             with np.errstate(divide="ignore"):
-                far = np.where(d < 4 * b, np.power(np.maximum(d, 1e-300), -f), 0.0)
+                far = np.where(d < 4 * b, np.power(np.maximum(d, 1e-30), -f), 0.0)
             out += np.where(d <= b, b ** (g - f) / np.maximum(2 * b - d, 1e-10) ** g, far)
         return out
 
@@ -379,7 +379,7 @@ def back_substituted(root: np.ndarray, b: np.ndarray) -> np.ndarray:
     """x with root' x = b."""
     x = np.array(b, float)
     for k in range(len(root) - 1, -1, -1):
-        x[k] = (x[k] - (root[k + 1 :, k] * x[k + 1 :]).sum()) / root[k, k]
+        x[k] = (x[k] - np.tensordot(root[k + 1 :, k], x[k + 1 :], 1)) / root[k, k]
     return x
 
 

@@ -81,7 +81,9 @@ def brandes(adj):
     return out
 
 
-def test_betweenness(spark):
+@pytest.mark.parametrize("arcs", [0, 1000])
+def test_betweenness(spark, monkeypatch, arcs):
+    monkeypatch.setattr(network, "BROADCAST_ARCS", arcs)
     g = random.Random(5)
     pairs = {tuple(sorted((f"p{g.randrange(14)}", f"p{g.randrange(14)}"))) for _ in range(22)}
     pairs = {p for p in pairs if p[0] != p[1]}
