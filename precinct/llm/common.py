@@ -115,20 +115,6 @@ def as_arrow(x, kind: pa.DataType) -> pa.Array:
     return pa.array(x, type=kind)
 
 
-class Bounded(dict):
-    """A memo that starts anew when full: bounded memory for any input."""
-
-    def __init__(self, make: Callable, most: int = 400_000):
-        super().__init__()
-        self.make, self.most = make, most
-
-    def __missing__(self, key):
-        if len(self) >= self.most:
-            self.clear()
-        value = self[key] = self.make(key)
-        return value
-
-
 # -- Columns of numbers in binary, dealt out by the bucket ----------------------------------------------------------------
 
 

@@ -12,7 +12,6 @@ count once, items without an id as one item whose id is left out of the hash. It
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np

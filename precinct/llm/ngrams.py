@@ -31,7 +31,6 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from precinct.blocks.components import connected_components
 from precinct.blocks.shared import hinted, materialize
