@@ -11,9 +11,9 @@ and all its one-character deletions, and equal variants join: lines that lose a
 one is what the other becomes by a loss, are near. A minimum for each key and place takes the place of pairs, so no
 group is expanded, and every near pair is verified on its text.
 
-Lines of `SHORT` characters or more are filtered before they emit their variants, without loss: one edit leaves one half
-whole, so only lines that share a half with another line (of the same length or one apart) can be near one, and they need only
-the deletions in the other half. Lines of exactly `SHORT` characters do both.
+Lines of `SHORT` characters or more are filtered first, without loss: one edit leaves one half whole, so only lines that share a
+half (of the same length or one apart) can be near. Up to `GROUP` lines with one half are compared pair by pair; more of them emit the
+variants of the other half, which join as above. Lines of exactly `SHORT` characters do both.
 
 Null and empty texts stay as they are. Rows that repeat doc_id and text are one document; other texts under the same
 doc_id are documents of their own. Rows without doc_id stay as they are and remove nothing. An empty table gives no rows.
@@ -32,6 +32,8 @@ from precinct.llm.common import map_batches, mixed, told_apart, with_found
 
 MIN_FUZZY = 10
 SHORT = 32
+#: So many lines with one half are compared pair by pair; more meet by their variants.
+GROUP = 32
 ID, HALF, CUT, WHOLE = 0, 1, 2, 3  # kinds of keys: identity, a half, a deletion at a place, the line itself
 _BASE = 0xD1342543DE82EF95
 _BACK = np.uint64(pow(_BASE, -1, 1 << 64))
@@ -186,16 +188,20 @@ def near_earlier(docs: DataFrame, emitted: DataFrame) -> DataFrame:
     half = emitted.filter(F.col("kind") == HALF)
     both = lambda f, n: f(F.struct("h1", "h2")).alias(n)
     shared = materialize(half.groupBy("key").agg(both(F.min, "low"), both(F.max, "high")).filter("low <> high").select("key"), "shared-halves")
-    lines = half.join(hinted(shared), "key").groupBy("h1", "h2").agg(first, F.collect_set("key").alias("keys"))  # at most four a line
-    lines = materialize(lines.select("h1", "h2", "first.*", "keys"), "half-lines")
-    texts = materialize(fetch_lines(docs, lines.drop("keys")).join(lines.select("h1", "h2", "keys"), ["h1", "h2"]), "half-texts")
+    rows = materialize(half.join(hinted(shared), "key").groupBy("key", "h1", "h2").agg(first), "half-rows")
+    sized = rows.join(rows.groupBy("key").agg(F.count("*").alias("n")), "key")
+    few, many = sized.filter(F.col("n") <= GROUP), sized.filter(F.col("n") > GROUP)
+    other = few.select("key", F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("first").alias("other_first"))
+    pairs = few.join(other, "key").filter("other_first < first and (o1 <> h1 or o2 <> h2)").select("h1", "h2", "first", "o1", "o2", "other_first").distinct()
+    lines = materialize(many.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.collect_set("key").alias("keys")).select("h1", "h2", "first.*", "keys"), "half-lines")  # at most four keys a line
+    texts = fetch_lines(docs, lines.drop("keys")).join(lines.select("h1", "h2", "keys"), ["h1", "h2"])
     long = _variants(texts).withColumn("first", F.struct(*_PLACE)).select("kind", "key", "place", "h1", "h2", "first").distinct()
-    near = _near_by_variants(materialize(short, "short-variants")).union(_near_by_variants(materialize(long, "long-variants")))
+    near = _near_by_variants(materialize(short, "short-variants")).union(pairs).union(_near_by_variants(materialize(long, "long-variants")))
     return _verified(docs, materialize(near.distinct(), "near-pairs"))
 
 
 def _variants(texts: DataFrame) -> DataFrame:
-    """For lines that share a half with another line, the variants of the rest."""
+    """For lines that share a half with many others, the variants of the rest."""
 
     def one(batch: pa.RecordBatch) -> dict:
         out = _Keys()
