@@ -90,8 +90,8 @@ def slices(batch: pa.RecordBatch, most: int = STEP_BYTES) -> Iterator[pa.RecordB
         at = stop
 
 
-def map_batches(df: DataFrame, one: Callable[[pa.RecordBatch], Iterator[dict] | dict], schema: str | StructType) -> DataFrame:
-    """mapInArrow where one(batch) gives columns by name as a dict (or several dicts)."""
+def map_batches(df: DataFrame, one: Callable[[pa.RecordBatch], Iterator[dict] | dict], schema: str | StructType, most: int = STEP_BYTES) -> DataFrame:
+    """mapInArrow where one(batch) gives columns by name as a dict (or several dicts), for about `most` bytes of text at a time."""
     from pyspark.sql.types import _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -100,7 +100,7 @@ def map_batches(df: DataFrame, one: Callable[[pa.RecordBatch], Iterator[dict] |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for piece in slices(b):
+            for piece in slices(b, most):
                 if piece.num_rows:
                     made = one(piece)
                     for columns in [made] if isinstance(made, dict) else made:

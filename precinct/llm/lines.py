@@ -149,7 +149,7 @@ def _emit(docs: DataFrame) -> DataFrame:
                         keys.add(HALF, halves(sums)[0], row)
         return keys.columns()
 
-    return map_batches(docs, one, KEYED)
+    return map_batches(docs, one, KEYED, 1_000_000)  # a line has dozens of keys
 
 
 def fetch_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -212,7 +212,7 @@ def _variants(texts: DataFrame) -> DataFrame:
                     out.add_cuts(cuts(sums, a, b, int(key)), tuple(row))
         return out.columns()
 
-    return map_batches(texts.select("h1", "h2", "doc_id", "tx", "line", "text", "keys"), one, KEYED)
+    return map_batches(texts.select("h1", "h2", "doc_id", "tx", "line", "text", "keys"), one, KEYED, 500_000)
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
