@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from precinct import fixed
+from precinct.blocks.shared import hinted
+from precinct.sources.records import fields_of, read_records
 
 #: Words that a header holds (lower-cased) if it may stand for a canonical column, in the order of the rules, and
 #: a word that rules it out.
@@ -41,7 +45,7 @@ def parse_date(raw: Column) -> Column:
 def map_rows(df: DataFrame, tag: str = "csv_import", columns: dict[str, str] | None = None) -> DataFrame:
     """Canonical events from raw text columns; rows with neither date nor crime type are dropped."""
     of = columns or detect_columns(df.columns)
-    raw = lambda n: F.nullif(F.trim(F.col(f"`{of[n]}`")), F.lit("")) if n in of else F.lit(None).cast("string")
+    raw = lambda n: F.nullif(F.trim(F.col(f"`{of[n]}`"), F.lit(" \t\n\r\x0b\x0c")), F.lit("")) if n in of else F.lit(None).cast("string")
     number = lambda n, most: F.when(F.abs(raw(n).try_cast("double")) <= most, raw(n).try_cast("double"))
     kept = df.filter(raw("date").isNotNull() | raw("crime_type").isNotNull())
     return kept.select(
@@ -51,11 +55,28 @@ def map_rows(df: DataFrame, tag: str = "csv_import", columns: dict[str, str] | N
     )
 
 
-def read_events_csv(spark: SparkSession, path: str, tag: str = "csv_import", limit: int | None = None, multiline: bool = False) -> DataFrame:
-    """Events of CSV files. Files are split between tasks; multiline (a task a file) is for quoted fields with line breaks."""
-    df = spark.read.csv(path, header=True, multiLine=multiline, quote='"', escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, inferSchema=False)
-    df = df.withColumnsRenamed({c: c.removeprefix("\ufeff") for c in df.columns if c.startswith("\ufeff")})
-    return map_rows(df.limit(limit) if limit else df, tag)
+#: So many layouts of columns may stand in one folder.
+LAYOUTS = 1000
+
+
+def read_events_csv(spark: SparkSession, path: str, tag: str = "csv_import", limit: int | None = None) -> DataFrame:
+    """Events of CSV files, each with a header of its own. Files are split between tasks, also where quoted fields hold line
+    breaks (sources/records.py). Of columns with one name the first counts; fields beyond a record's end are missing."""
+    records, heads = read_records(spark, path)
+    layouts = [r["head"] for r in heads.select("head").distinct().limit(LAYOUTS + 1).collect()]
+    if len(layouts) > LAYOUTS:
+        raise ValueError(f"more than {LAYOUTS} different headers in {path}")
+    if len(layouts) > 1:
+        records = records.join(hinted(heads.withColumnRenamed("file", "_file")), F.col("file") == F.col("_file"))
+    out = []
+    for head in layouts or [""]:
+        headers = fields_of(head)
+        of = detect_columns(headers)
+        mine = records.filter(F.col("head") == head) if len(layouts) > 1 else records
+        raw = mine.select(*[F.get("fields", F.lit(headers.index(h))).alias(name) for name, h in of.items()])
+        out.append(map_rows(raw, tag, {name: name for name in of}))
+    every = reduce(DataFrame.union, out)
+    return every.limit(limit) if limit else every
 
 
 POLICE_SCHEMA = "id string, month string, category string, context string, location struct<latitude:string,longitude:string,street:struct<name:string>>, outcome_status struct<category:string>"
