@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from precinct import fixed
-from precinct.blocks.band_join import METRES_PER_DEGREE, band_join, geo_join, sides
-from precinct.blocks.components import connected_components
+from precinct.blocks.band_join import METRES_PER_DEGREE, geo_join, sides
+from precinct.blocks.density import border_places, dense_places
 from precinct.blocks.ranks import global_cumulate
 from precinct.blocks.shared import materialize
 from precinct.functions.geo import KM_PER_DEGREE, haversine_km
@@ -61,14 +61,6 @@ def knox(events: DataFrame, metres: float = 200.0, days: float = 14.0) -> DataFr
     return one.select("n", "near", "expected", ratio.alias("ratio"))
 
 
-def neighbours(points: DataFrame, eps: float) -> DataFrame:
-    """(a, b) with both orders and a = b: points (id, grp, x, y, z) of one group at Euclidean distance <= eps."""
-    a, b = sides(points, ["id", "grp", "x", "y", "z"])
-    dist = sum((F.pow(F.col(f"a_{c}") - F.col(f"b_{c}"), 2) for c in "xyz"), F.lit(0.0))
-    near = band_join(a, b, "x", "y", "z", eps * 1.001, eps * 1.001, eps * 1.001, (F.col("a_grp") == F.col("b_grp")) & (dist <= eps * eps))
-    return near.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.col("a_grp").alias("grp"))
-
-
 BUCKET_ORDER = {"burglary": 1, "theft": 2, "violent": 3, "other": 4}
 
 
@@ -90,23 +82,21 @@ def detect_series(events: DataFrame, eps_km: float = 0.3, eps_days: float = 30.0
     scope = F.lit("") if within is None else F.col(within).cast("string")
     pts = e.select(F.col(seq).alias("id"), "event_id", scope.alias("scope"), bucket.alias("bucket"), F.concat_ws("|", scope, bucket).alias("grp"), (F.coalesce("lat", F.lit(0.0)) * scale).alias("x"), (F.coalesce("lon", F.lit(0.0)) * scale).alias("y"), (days * base / eps_days).alias("z"))
     pts = materialize(pts, "series-points")
-    near = materialize(neighbours(pts, base), "series-neighbours")
-    core = materialize(near.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") >= min_samples).select(F.col("a").alias("core")), "series-cores")
-    links = near.join(core, F.col("a") == F.col("core"), "left_semi").join(core, F.col("b") == F.col("core"), "left_semi")
-    comp = materialize(connected_components(links, "a", "b"), "series-components")
-    first = pts.join(comp, F.col("id") == F.col("node")).groupBy("scope", "bucket", "component").agg(F.min("id").alias("first"))
+    places = materialize(dense_places(pts.select("id", "grp", "x", "y", "z"), base, min_samples), "series-places")
+    at = pts.join(places.select("grp", "x", "y", "z", F.col("id").alias("place"), "component"), ["grp", "x", "y", "z"])
+    first = at.filter("component is not null").groupBy("scope", "bucket", "component").agg(F.min("id").alias("first"))
     order = F.element_at(F.create_map(*[F.lit(x) for kv in BUCKET_ORDER.items() for x in kv]), F.col("bucket"))
     first = first.withColumn("order", order)
     if within is None:
         numbered = global_cumulate(first, [F.asc("order"), F.asc("first")], {}, "k")
     else:
         numbered = first.withColumn("k", F.row_number().over(Window.partitionBy("scope").orderBy("order", "first")).cast("long"))
-    named = numbered.select("component", "k", F.concat(F.lit("SERIES-"), F.lpad(F.col("k").cast("string"), F.greatest(F.lit(4), F.length(F.col("k").cast("string"))), F.lit("0"))).alias("series_id"))
-    of_core = comp.join(named, "component").select(F.col("node").alias("id"), "k", "series_id")
-    border = near.join(core, F.col("a") == F.col("core"), "left_anti").join(of_core.withColumnRenamed("id", "b"), "b")
-    border = border.groupBy(F.col("a").alias("id")).agg(F.min(F.struct("k", "series_id")).alias("s")).select("id", "s.k", "s.series_id")
-    columns = ["event_id", "series_id"] if within is None else [F.col("scope").alias(within), "event_id", "series_id"]
-    return of_core.union(border).join(pts, "id").select(*columns)
+    name = F.concat(F.lit("SERIES-"), F.lpad(F.col("k").cast("string"), F.greatest(F.lit(4), F.length(F.col("k").cast("string"))), F.lit("0")))
+    named = materialize(numbered.select("component", F.struct("k", name.alias("series_id")).alias("rank")), "series-names")
+    border = border_places(places, named, base).select(F.col("id").alias("place"), "best")
+    columns = ["event_id"] if within is None else [F.col("scope").alias(within), "event_id"]
+    of_core = at.join(named, "component").select(*columns, "rank.series_id")
+    return of_core.union(at.join(border, "place").select(*columns, "best.series_id"))
 
 
 def series_summary(members: DataFrame, events: DataFrame) -> DataFrame:
