@@ -89,6 +89,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
+#: Steps of the log scale from one count to its double, and a count that no word has.
+STEPS, NONE = 64, 1 << 62
+
 #: Ids in blocks: those below it are the shapes of words outside the lexicon, then come the lexicon's words by key.
 FIRST = SHAPES
 
@@ -359,9 +362,10 @@ class Fitted:
         self.ends = training.count()
         sizes = counted.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
         self.tokens, self.distinct = sizes["n"] + self.ends, sizes["v"] + (self.ends > 0)
-        # The least count from which on all words fit in the lexicon; counts above a thousand stand together.
-        often = sorted(((r["c"], r["k"]) for r in counted.filter(F.col("n") >= MIN_COUNT).groupBy(F.least("n", F.lit(1000)).alias("c")).agg(F.count("*").alias("k")).collect()), reverse=True)
-        self.least, held = 1001, 0
+        # The least count from which on all words fit in the lexicon, at steps of a log scale: a row a step meets here.
+        step = F.floor(F.log2(F.col("n")) * STEPS)
+        often = sorted(((r["c"], r["k"]) for r in counted.filter(F.col("n") >= MIN_COUNT).groupBy(step.alias("s")).agg(F.min("n").alias("c"), F.count("*").alias("k")).collect()), reverse=True)
+        self.least, held = NONE, 0
         for c, k in often:
             if held + k > LEXICON:
                 break

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -167,24 +168,32 @@ _PIECE = 1 << 15
 
 #: Byte table: white space to 0, A-Z lower-cased, and 0 (which may stand in a word) to a byte that is free by then.
 _CODES = bytes(0 if c == 32 or 9 <= c <= 13 else 65 if c == 0 else LOWER[c] for c in range(256))
-_BASE = 0x9E3779B97F4A7C15
-_BACK = pow(_BASE, -1, 1 << 64)
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A finaliser, so that sums spread over all bits."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+#: Coefficients of word hashes by seed: one for every place in a word, as many as the longest word needed so far.
+_COEFFICIENTS: dict[int, np.ndarray] = {}
+#: Seed where hashes must be the same in every run; the others draw one of their own.
+SEED = 0x243F6A8885A308D3
 
 
-_UP, _DOWN = _powers(_BASE, _PIECE + 1), _powers(_BACK, _PIECE + 1)
+def drawn_seed() -> int:
+    """A secret of the run (or of a task, if its hashes stay there): nobody can prepare words that collide."""
+    return int.from_bytes(os.urandom(8), "little")
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A finaliser, so that sums spread over all bits."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def _coefficients(seed: int, n: int) -> np.ndarray:
+    have = _COEFFICIENTS.get(seed, np.empty(0, np.uint64))
+    if len(have) < n:
+        if len(_COEFFICIENTS) > 16:
+            _COEFFICIENTS.clear()
+        size = max(64, 1 << (n - 1).bit_length())
+        have = _COEFFICIENTS[seed] = mixed(mixed(np.arange(1, size + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(seed))
+    return have
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -199,9 +208,12 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class HashedWords:
     """The words between ASCII white space of a column of texts, A-Z lower-cased, as 64-bit hashes.
 
+    A hash is the sum of a word's bytes times coefficients drawn for each place, so two words have one with a chance of about 2^-62,
+    whatever they are, as long as the seed is not known to who wrote them.
     hashes: all words' in order; counts: words of each text; starts and raw: where in the bytes each word begins."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, seed: int = SEED):
+        self.seed = seed
         self.raw, ends = text_bytes(texts)
         self.codes = np.frombuffer(self.raw.tobytes().translate(_CODES), np.uint8)
         inside = self.codes != 0
@@ -229,6 +241,17 @@ class HashedWords:
         cut = np.unique(np.append(cut, len(s)))
         for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             a, b = int(s[i]), int(s[j]) if j < len(s) else n
-            up, down = (_UP, _DOWN) if b - a <= _PIECE else (_powers(_BASE, b - a), _powers(_BACK, b - a))
-            out[i:j] = np.add.reduceat(self.codes[a:b] * up[: b - a], s[i:j] - a) * down[s[i:j] - a]
+            begins = s[i:j] - a
+            sizes = np.diff(np.append(begins, b - a))
+            place = np.arange(b - a) - np.repeat(begins, sizes)
+            out[i:j] = np.add.reduceat(self.codes[a:b] * _coefficients(self.seed, int(sizes.max()))[place], begins)
         return out
+
+    def again(self, which: np.ndarray, seed: int) -> np.ndarray:
+        """Hashes of some of the words under another seed."""
+        begins, sizes = self.starts[which], self.stops()[which] - self.starts[which]
+        if not len(which):
+            return np.empty(0, np.uint64)
+        heads = np.cumsum(sizes) - sizes
+        place = np.arange(int(sizes.sum())) - np.repeat(heads, sizes)
+        return mixed(np.add.reduceat(self.codes[np.repeat(begins, sizes) + place] * _coefficients(seed, int(sizes.max()))[place], heads))

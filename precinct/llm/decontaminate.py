@@ -173,5 +173,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs in which no window of the benchmark occurs; all columns are kept."""
-    bad = contamination(docs, benchmark, window).filter("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(hinted(materialize(bad, "contaminated")), F.col("doc_id").cast("long") == F.col("__bad"), "left_anti")
+    bad = materialize(contamination(docs, benchmark, window).filter("contaminated").select(F.col("doc_id").alias("__bad")).distinct(), "contaminated")
+    return docs.join(hinted(bad), docs["doc_id"].cast("long") == bad["__bad"], "left_anti")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from precinct.blocks.shared import materialize
-from precinct.llm.common import HashedWords, docs_text, map_batches
+from precinct.llm.common import HashedWords, docs_text, drawn_seed, map_batches
 
 MAGIC = b"RVB1"
 FILE_BYTES = 4_000_000
@@ -82,8 +82,8 @@ class WordEncoder:
     """Whole texts to ids, by way of a memo of the words between white space.
 
     The tokenizer drops white space, never merges across it and lower-cases, so a text's ids are its words' ids in order.
-    Words are known by their 64-bit hash; the memo is sorted arrays of hashes, places and lengths in a pool of ids, and
-    starts anew when full. Texts that may hold a special token go to the tokenizer whole."""
+    Words are known by two 64-bit hashes with coefficients that each task draws for itself; the memo is sorted arrays of hashes,
+    places and lengths in a pool of ids, and starts anew when full. Texts that may hold a special token go to the tokenizer whole."""
 
     def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -95,7 +95,9 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known, self.at, self.size = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.seed, self.second = drawn_seed(), drawn_seed()
+        self.known, self.check = np.empty(0, np.uint64), np.empty(0, np.uint64)
+        self.at, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
         self.pool, self.used = np.empty(1 << 16, self.wide), 0
 
     def _ids(self, words: list[str]) -> list[np.ndarray]:
@@ -115,7 +117,7 @@ class WordEncoder:
                 out[k] = ids[a:b]
         return out
 
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+    def _learn(self, hashes: np.ndarray, check: np.ndarray, words: list[str]) -> None:
         made = self._ids(words)
         size = np.array([len(x) for x in made], np.int64)
         at = self.used + np.cumsum(size) - size
@@ -127,6 +129,7 @@ class WordEncoder:
         known = np.concatenate([self.known, hashes])
         order = np.argsort(known, kind="stable")
         self.known, self.at, self.size = known[order], np.concatenate([self.at, at])[order], np.concatenate([self.size, size])[order]
+        self.check = np.concatenate([self.check, check])[order]
 
     def _places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.minimum(np.searchsorted(self.known, hashes), max(len(self.known) - 1, 0))
@@ -134,17 +137,21 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Each text's ids, little-endian, 2 bytes an id if the vocabulary allows."""
-        w = HashedWords(texts)
         if len(self.known) > self.most:
             self._forget()
+        w = HashedWords(texts, self.seed)
         order = np.argsort(w.hashes)
         ranked = w.hashes[order]
         new = np.concatenate([[True], ranked[1:] != ranked[:-1]]) if len(order) else np.empty(0, bool)
         every, one = ranked[new], order[new]
-        _, there = self._places(every)
+        at, there = self._places(every)
+        check = w.again(one, self.second)
+        if (self.check[at[there]] != check[there]).any():  # another word has the first hash: new coefficients
+            self._forget()
+            return self.encode(texts)
         missing = one[~there]
         raw, stops = w.raw.tobytes(), w.stops()
-        self._learn(every[~there], [raw[a:b].decode("utf-8", "replace") for a, b in zip(w.starts[missing].tolist(), stops[missing].tolist(), strict=True)])
+        self._learn(every[~there], check[~there], [raw[a:b].decode("utf-8", "replace") for a, b in zip(w.starts[missing].tolist(), stops[missing].tolist(), strict=True)])
         at, _ = self._places(every)
         which = np.empty(len(order), np.int64)
         which[order] = np.cumsum(new) - 1

@@ -6,10 +6,10 @@ Of the occurrences of a line, in (doc_id, line number) order, the first stays; a
 with all its occurrences. Whether the earlier line itself stays doesn't matter, so the result depends on no order
 of work.
 
-Exact repeats meet by a 128-bit digest. For near lines, every line emits hashed keys of its variants within the bound, itself
-and all its one-character deletions, and equal variants join: lines that lose a character at the same place, or of which
-one is what the other becomes by a loss, are near. A minimum for each key and place takes the place of pairs, so no
-group is expanded, and every near pair is verified on its text.
+Exact repeats meet by a 128-bit digest. For near lines, every line emits hashed keys of its variants within the bound, itself and all
+its one-character deletions, and equal variants join: lines that lose a character at the same place, or of which one is
+what the other becomes by a loss, are near. A minimum for each key and place takes the place of pairs, so no group is
+expanded, and every near pair is verified on its text. Keys are polynomials modulo two primes at bases drawn for each run.
 
 Lines of `SHORT` characters or more are filtered first, without loss: one edit leaves one half whole, so only lines that share a
 half (of the same length or one apart) can be near. Up to `GROUP` lines with one half are compared pair by pair; more of them emit the
@@ -21,6 +21,8 @@ doc_id are documents of their own. Rows without doc_id stay as they are and remo
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -28,63 +30,88 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from precinct.blocks.shared import hinted, materialize
-from precinct.llm.common import map_batches, mixed, told_apart, with_found
+from precinct.llm.common import drawn_seed, map_batches, mixed, told_apart, with_found
 
 MIN_FUZZY = 10
 SHORT = 32
 #: So many lines with one half are compared pair by pair; more meet by their variants.
 GROUP = 32
 ID, HALF, CUT, WHOLE = 0, 1, 2, 3  # kinds of keys: identity, a half, a deletion at a place, the line itself
-_BASE = 0xD1342543DE82EF95
-_BACK = np.uint64(pow(_BASE, -1, 1 << 64))
-_UP = np.empty(0, np.uint64)
+#: Two primes below 2^31: products of remainders fit in 64 bits.
+PRIMES = np.array([[2147483647], [2147483629]], np.uint64)
 
 
-def _powers(n: int) -> np.ndarray:
-    """At least n powers of the base; the table grows with the longest line."""
-    global _UP
-    if len(_UP) < n:
-        up = np.full(max(n, 2 * len(_UP), 1024), _BASE, np.uint64)
-        up[0] = 1
-        _UP = np.multiply.accumulate(up)
-    return _UP
+class Powers:
+    """Bases of a run's polynomial hashes, one for each prime, and their powers; the tables grow with the longest line."""
 
+    def __init__(self, seed: int):
+        p = PRIMES[:, 0].tolist()
+        self.bases = [2 + (seed >> 32 * k & 0xFFFFFFFF) % (p[k] - 3) for k in (0, 1)]
+        self.back = np.array([[pow(b, -1, q)] for b, q in zip(self.bases, p, strict=True)], np.uint64)
+        self.n = 0
 
-def line_id(line: str) -> tuple[int, int]:
-    return tuple(np.frombuffer(xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass")), "<i8").tolist())
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(powers, inverse powers) from 0 to at least n, a row a prime."""
+        if n >= self.n:
+            self.n = max(2 * n, 1024)
+            both = [[self._table(b, q) for b, q in zip(base, PRIMES[:, 0].tolist(), strict=True)] for base in (self.bases, self.back[:, 0].tolist())]
+            self.up, self.down = (np.array(x, np.uint64) for x in both)
+        return self.up, self.down
+
+    def _table(self, base: int, q: int) -> list[int]:
+        out = [1]
+        for _ in range(self.n):
+            out.append(out[-1] * base % q)
+        return out
 
+    def sums(self, line: str) -> np.ndarray:
+        """Hashes of the first k characters for each k: polynomials in the characters' numbers, a row a prime."""
+        c = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+        out = np.zeros((2, len(c) + 1), np.uint64)
+        np.cumsum(c * self.upto(len(c))[0][:, : len(c)] % PRIMES, axis=1, out=out[:, 1:])
+        return out % PRIMES
 
-def _sums(line: str) -> np.ndarray:
-    """Hash of the first k characters for each k: a polynomial in the characters' numbers."""
-    c = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
-    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(c * _powers(len(c))[: len(c)], dtype=np.uint64)])
 
+_POWERS: dict[int, Powers] = {}
 
-def halves(sums: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+
+def powers(seed: int) -> Powers:
+    if seed not in _POWERS:
+        _POWERS.clear()
+        _POWERS[seed] = Powers(seed)
+    return _POWERS[seed]
+
+
+def line_id(line: str) -> tuple[int, int]:
+    return tuple(np.frombuffer(xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass")), "<i8").tolist())
+
+
+def halves(p: Powers, sums: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """(keys, places where the rest of the line begins and ends) when either half is taken, for the line's own length and
     for the length below."""
-    n = len(sums) - 1
-    keys, rest = [], []
+    n = sums.shape[1] - 1
+    down = p.upto(n)[1]
+    scope, ends = [], []
     for shorter in (n, n - 1):
         h = shorter // 2
-        back = (int(sums[n]) - int(sums[n - h])) * pow(_BASE, -(n - h), 1 << 64) & (1 << 64) - 1
-        keys += [[shorter, 0, int(sums[h])], [shorter, 1, back]]
-        rest += [(h, n), (0, n - h)]
-    return _scoped(np.array([k[2] for k in keys], np.uint64), np.array([2 * k[0] + k[1] + 1 for k in keys], np.uint64)), rest
+        scope += [2 * shorter + 1, 2 * shorter + 2]
+        ends += [(0, h), (n - h, n)]
+    a, b = (np.array(x) for x in zip(*ends, strict=True))
+    keys = (sums[:, b] + PRIMES - sums[:, a]) * down[:, a] % PRIMES
+    return _scoped(keys, np.array(scope, np.uint64)), [(y, n) if x == 0 else (0, x) for x, y in ends]
 
 
 def _scoped(keys: np.ndarray, scope: np.ndarray) -> np.ndarray:
-    return mixed(keys ^ mixed(scope)).view(np.int64)
+    return mixed((keys[0] << np.uint64(31) | keys[1]) ^ mixed(scope)).view(np.int64)
 
 
-def cuts(sums: np.ndarray, a: int, b: int, scope: int = 0) -> np.ndarray:
+def cuts(p: Powers, sums: np.ndarray, a: int, b: int, scope: int = 0) -> np.ndarray:
     """Keys of a line's characters from a to b without each one of them, and of all of them, last."""
-    begin, end = sums[a : a + 1], sums[b : b + 1]
-    first, last = sums[a:b] - begin, end - sums[a + 1 : b + 1]
-    keys = np.append(first + last * _BACK, end - begin)
-    if a:
-        keys *= np.uint64(pow(_BASE, -a, 1 << 64))
-    return _scoped(keys, np.full(len(keys), scope & (1 << 64) - 1, np.uint64))
+    begin, end = sums[:, a : a + 1], sums[:, b : b + 1]
+    first = sums[:, a : b + 1] + PRIMES - begin  # the last of these is all of them
+    last = np.append((end + PRIMES - sums[:, a + 1 : b + 1]) * p.back % PRIMES, np.zeros((2, 1), np.uint64), axis=1)
+    keys = (first + last) % PRIMES * p.upto(b)[1][:, a : a + 1] % PRIMES
+    return _scoped(keys, np.full(b - a + 1, scope & (1 << 64) - 1, np.uint64))
 
 
 def within_one(a: str, b: str) -> bool:
@@ -106,12 +133,15 @@ class _Keys:
 
     def __init__(self):
         self.parts: list[tuple] = []
+        self.n = 0
 
     def add(self, kind: int, keys: np.ndarray, row: tuple) -> None:
+        self.n += len(keys)
         self.parts.append((np.full(len(keys), kind, np.int8), keys, np.full(len(keys), -1, np.int32), len(keys), row))
 
     def add_cuts(self, keys: np.ndarray, row: tuple) -> None:
         n = len(keys)
+        self.n += n
         place = np.arange(n, dtype=np.int32)
         kind = np.full(n, CUT, np.int8)
         kind[-1], place[-1] = WHOLE, -1
@@ -125,11 +155,15 @@ class _Keys:
         return {"kind": np.concatenate(kind), "key": np.concatenate(key), "place": np.concatenate(place)} | {c: np.repeat(np.array(v, np.int64), n) for c, v in zip(_NAMES[3:], fixed, strict=True)}
 
 
-def _emit(docs: DataFrame) -> DataFrame:
+#: Keys that a task hands on together.
+HANDED = 100_000
+
+
+def _emit(docs: DataFrame, seed: int) -> DataFrame:
     """A row for every key of every line: its identity, and its half keys or its variants."""
 
-    def one(batch: pa.RecordBatch) -> dict:
-        keys = _Keys()
+    def one(batch: pa.RecordBatch) -> Iterator[dict]:
+        keys, p = _Keys(), powers(seed)
         seen: set[tuple[int, int]] = set()
         ids = list(zip(batch["doc_id"].to_pylist(), batch["tx"].to_pylist(), strict=True))
         in_order = all(a <= b for a, b in zip(ids, ids[1:], strict=False))  # then a line's later occurrences need no keys again
@@ -142,12 +176,15 @@ def _emit(docs: DataFrame) -> DataFrame:
                 keys.add(ID, np.zeros(1, np.int64), row)
                 if len(line) >= MIN_FUZZY and ((a, b) not in seen or not in_order):
                     seen.add((a, b))
-                    sums = _sums(line)
+                    sums = p.sums(line)
                     if len(line) <= SHORT:
-                        keys.add_cuts(cuts(sums, 0, len(line)), row)
+                        keys.add_cuts(cuts(p, sums, 0, len(line)), row)
                     if len(line) >= SHORT:
-                        keys.add(HALF, halves(sums)[0], row)
-        return keys.columns()
+                        keys.add(HALF, halves(p, sums)[0], row)
+                if keys.n >= HANDED:
+                    yield keys.columns()
+                    keys = _Keys()
+        yield keys.columns()
 
     return map_batches(docs, one, KEYED, 1_000_000)  # a line has dozens of keys
 
@@ -181,7 +218,7 @@ def _near_by_variants(keys: DataFrame) -> DataFrame:
     return found.filter("other_first < first and (o1 <> h1 or o2 <> h2)").distinct()
 
 
-def near_earlier(docs: DataFrame, emitted: DataFrame) -> DataFrame:
+def near_earlier(docs: DataFrame, emitted: DataFrame, seed: int) -> DataFrame:
     """h1, h2 of the lines that are near an earlier line."""
     first = F.min(F.struct(*_PLACE)).alias("first")
     short = emitted.filter(F.col("kind").isin(CUT, WHOLE)).groupBy("kind", "key", "place", "h1", "h2").agg(first)
@@ -195,22 +232,25 @@ def near_earlier(docs: DataFrame, emitted: DataFrame) -> DataFrame:
     pairs = few.join(other, "key").filter("other_first < first and (o1 <> h1 or o2 <> h2)").select("h1", "h2", "first", "o1", "o2", "other_first").distinct()
     lines = materialize(many.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.collect_set("key").alias("keys")).select("h1", "h2", "first.*", "keys"), "half-lines")  # at most four keys a line
     texts = fetch_lines(docs, lines.drop("keys")).join(lines.select("h1", "h2", "keys"), ["h1", "h2"])
-    long = _variants(texts).withColumn("first", F.struct(*_PLACE)).select("kind", "key", "place", "h1", "h2", "first").distinct()
+    long = _variants(texts, seed).withColumn("first", F.struct(*_PLACE)).select("kind", "key", "place", "h1", "h2", "first").distinct()
     near = _near_by_variants(materialize(short, "short-variants")).union(pairs).union(_near_by_variants(materialize(long, "long-variants")))
     return _verified(docs, materialize(near.distinct(), "near-pairs"))
 
 
-def _variants(texts: DataFrame) -> DataFrame:
+def _variants(texts: DataFrame, seed: int) -> DataFrame:
     """For lines that share a half with many others, the variants of the rest."""
 
-    def one(batch: pa.RecordBatch) -> dict:
-        out = _Keys()
+    def one(batch: pa.RecordBatch) -> Iterator[dict]:
+        out, p = _Keys(), powers(seed)
         for *row, text, keys in zip(*(batch[c].to_pylist() for c in ("h1", "h2", "doc_id", "tx", "line", "text", "keys")), strict=True):
-            sums = _sums(text)
-            for key, (a, b) in zip(*halves(sums), strict=True):
+            sums = p.sums(text)
+            for key, (a, b) in zip(*halves(p, sums), strict=True):
                 if key in keys:
-                    out.add_cuts(cuts(sums, a, b, int(key)), tuple(row))
-        return out.columns()
+                    out.add_cuts(cuts(p, sums, a, b, int(key)), tuple(row))
+            if out.n >= HANDED:
+                yield out.columns()
+                out = _Keys()
+        yield out.columns()
 
     return map_batches(texts.select("h1", "h2", "doc_id", "tx", "line", "text", "keys"), one, KEYED, 500_000)
 
@@ -229,9 +269,10 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """doc_id, tx and the sorted numbers of its lines that go. docs: told_apart."""
-    emitted = materialize(_emit(docs), "line-keys")
+    seed = drawn_seed()
+    emitted = materialize(_emit(docs, seed), "line-keys")
     lines = emitted.filter(F.col("kind") == ID)
-    near = materialize(near_earlier(docs, emitted), "near-lines")
+    near = materialize(near_earlier(docs, emitted, seed), "near-lines")
     first = lines.groupBy("h1", "h2").agg(F.min(F.struct(*_PLACE)).alias("first"), F.count("*").alias("n"))
     verdict = materialize(first.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").filter("n > 1 or near").drop("n"), "line-verdicts")
     goes = lines.join(hinted(verdict), ["h1", "h2"]).filter(F.col("near").isNotNull() | (F.struct(*_PLACE) > F.col("first")))

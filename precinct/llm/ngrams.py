@@ -18,7 +18,7 @@ remaining tokens and is not in one component yet. Only the sets of candidates tr
 
 Null texts count as empty. Rows without doc_id have no component. Rows that repeat a doc_id are one document with
 several texts: each row has its own n_shingles, and the document links with whatever one of its texts links with. An empty
-table gives no rows. Sets are of 64-bit hashes; classes of equal sets have 128-bit digests.
+table gives no rows. Sets are of 64-bit hashes with coefficients drawn for each run; classes of equal sets have 128-bit digests.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from precinct.blocks.components import connected_components
 from precinct.blocks.shared import hinted, materialize
-from precinct.llm.common import HashedWords, deal, dealt_schema, docs_text, map_batches, mixed, packed, slices, undealt, unpacked
+from precinct.llm.common import SEED, HashedWords, deal, dealt_schema, docs_text, drawn_seed, map_batches, mixed, packed, slices, undealt, unpacked
 
 WORDS = 5
 PERCENT = 75
@@ -48,9 +48,9 @@ MAX_EXTRA = 2
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(WORDS)], np.uint64)
 
 
-def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
+def shingle_sets(texts: pa.Array, seed: int = SEED) -> list[np.ndarray]:
     """Each text's sorted distinct shingle hashes. All texts' windows are hashed at once, those of one text are kept."""
-    words = HashedWords(texts)
+    words = HashedWords(texts, seed)
     h = words.hashes
     wide = max(len(h) - WORDS + 1, 0)
     total = np.full(wide, WORDS, np.uint64)
@@ -77,7 +77,7 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
     return tuple(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8").tolist())
 
 
-def _survey(docs: DataFrame) -> DataFrame:
+def _survey(docs: DataFrame, seed: int) -> DataFrame:
     """A row a document (doc_id, n, d1, d2) and rows (token, seen) of tokens that a block of documents shares."""
     arrow = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("token", pa.int64()), ("seen", pa.int64())])
 
@@ -99,7 +99,7 @@ def _survey(docs: DataFrame) -> DataFrame:
 
         for b in batches:
             for piece in slices(b):
-                sets = shingle_sets(piece["text"])
+                sets = shingle_sets(piece["text"], seed)
                 digests = [_digest(s) for s in sets]
                 for s, d in zip(sets, digests, strict=True):
                     if d not in seen and len(s):  # copies count once in a block
@@ -137,7 +137,7 @@ def prefix_size(n, need):
     return n - (PERCENT * n + 99) // 100 + need
 
 
-def _dealt(docs: DataFrame, known: np.ndarray, seen: np.ndarray, buckets: int) -> DataFrame:
+def _dealt(docs: DataFrame, known: np.ndarray, seen: np.ndarray, buckets: int, seed: int) -> DataFrame:
     """Prefix tokens dealt out by their hash, many to a row. Those that the order knows to be shared need not meet and go
     to buckets of their own, by where they come from, so a hot token is in no one place."""
 
@@ -157,7 +157,7 @@ def _dealt(docs: DataFrame, known: np.ndarray, seen: np.ndarray, buckets: int) -
 
         for b in batches:
             for piece in slices(b):
-                for d, s in zip(piece["doc_id"].to_pylist(), shingle_sets(piece["text"]), strict=True):
+                for d, s in zip(piece["doc_id"].to_pylist(), shingle_sets(piece["text"], seed), strict=True):
                     if len(s):
                         at = np.minimum(np.searchsorted(known, s), max(len(known) - 1, 0))
                         often = np.where(known[at] == s, seen[at], 0) if len(known) else np.zeros(len(s), np.int64)
@@ -239,7 +239,7 @@ def _compared(pairs: DataFrame, items: DataFrame, column: str, kind: str, overla
     return map_batches(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y"), one, "a long, b long")
 
 
-def verified_links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def verified_links(docs: DataFrame, pairs: DataFrame, seed: int) -> DataFrame:
     """The pairs (a, b) that link. pairs is read more than once: pass it materialised.
 
     Two bytes a hash bound the overlap from above, which drops most pairs at a quarter of the bytes and no link; the
@@ -247,7 +247,7 @@ def verified_links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     ids = materialize(pairs.select("a").union(pairs.select("b")).distinct(), "candidates").withColumnRenamed("a", "doc_id")
 
     def sets(batch: pa.RecordBatch) -> dict:
-        found = shingle_sets(batch["text"])
+        found = shingle_sets(batch["text"], seed)
         return {"doc": batch["doc_id"], "items": [packed(s, "<u8") for s in found], "low": [packed(np.sort(s.astype(np.uint16)), "<u2") for s in found]}
 
     items = materialize(map_batches(docs.join(hinted(ids), "doc_id", "left_semi"), sets, "doc long, items binary, low binary"), "candidate-sets")
@@ -255,14 +255,14 @@ def verified_links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return _compared(likely, items, "items", "<u8", lambda x, y: len(np.intersect1d(x, y, assume_unique=True)))
 
 
-def _neighbours(docs: DataFrame, known: np.ndarray, seen: np.ndarray, tokens: int) -> tuple[DataFrame, DataFrame]:
+def _neighbours(docs: DataFrame, known: np.ndarray, seen: np.ndarray, tokens: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """(shared, pairs): the prefix tokens that have company, and the first round's pairs. tokens: of all sets.
 
     Of the documents with a token, each meets the next in size and the most central one of its size class: the one with
     the largest share of its prefix in common with others, as the original of a group of altered copies has."""
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(1, tokens * (100 - PERCENT) // 100 // BUCKET)
-    shared = materialize(_met(_dealt(docs, known, seen, buckets), buckets, max(tasks, buckets // 4)), "shared-tokens")
+    shared = materialize(_met(_dealt(docs, known, seen, buckets, seed), buckets, max(tasks, buckets // 4)), "shared-tokens")
     near = shared.filter("last_doc is not null").select(F.col("last_doc").alias("a"), F.col("doc").alias("b"), F.col("last_n").alias("na"), F.col("n").alias("nb"), F.col("last_pos").alias("pa"), F.col("pos").alias("pb"))
     # Minima over tokens, not sorted groups. Where two documents have a token, they are neighbours already.
     central = shared.groupBy("doc").agg((F.count("*") / F.max("size")).alias("central"))
@@ -297,7 +297,8 @@ def _remaining(shared: DataFrame, component: DataFrame, tested: DataFrame) -> Da
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links; itself without any)."""
     docs = docs_text(docs)
-    survey = materialize(_survey(docs), "shingle-survey")
+    seed = drawn_seed()
+    survey = materialize(_survey(docs, seed), "shingle-survey")
     frequent = survey.filter("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "token").limit(KNOWN).toArrow()
     known = frequent["token"].to_numpy().view(np.uint64)
     order = np.argsort(known)
@@ -312,11 +313,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     firsts = docs.filter("doc_id is not null").join(hinted(copies.filter("copy").select("doc_id")), "doc_id", "left_anti")
 
     tokens = every.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    shared, pairs = _neighbours(firsts, known, seen, tokens)
-    links = materialize(verified_links(firsts, pairs).union(several), "links")
+    shared, pairs = _neighbours(firsts, known, seen, tokens, seed)
+    links = materialize(verified_links(firsts, pairs, seed).union(several), "links")
     component = materialize(connected_components(links, "a", "b"), "components")
     rest = materialize(_remaining(shared, component, pairs), "second-pairs")
-    more = materialize(verified_links(firsts, rest), "links")
+    more = materialize(verified_links(firsts, rest, seed), "links")
     if not more.isEmpty():
         component = materialize(connected_components(links.union(more), "a", "b"), "components")
     return member.join(hinted(component), F.col("rep") == F.col("node"), "left").select(
@@ -326,5 +327,5 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs that are the first of their component; all columns are kept."""
-    go = jaccard_components(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("__go"))
-    return docs.join(hinted(materialize(go, "near-copies")), F.col("doc_id").cast("long") == F.col("__go"), "left_anti")
+    go = materialize(jaccard_components(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("__go")), "near-copies")
+    return docs.join(hinted(go), docs["doc_id"].cast("long") == go["__go"], "left_anti")

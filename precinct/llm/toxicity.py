@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from precinct.blocks.shared import hinted, materialize
-from precinct.llm.common import HashedWords, docs_text, map_batches, remainder, space_words
+from precinct.llm.common import HashedWords, docs_text, drawn_seed, map_batches, remainder, space_words
 
 MAX_TRAIN = 200_000
 FEATURES = 4096
@@ -65,7 +65,9 @@ DOUBLED = re.compile(r"([^\W\d_])\1")
 #: Letters with a separator after each.
 PARTED = re.compile(r"(?:[^\W_][.\-_*/~]){2,}[^\W_]")
 #: So many one-letter words in a row are read as spaced letters.
-SPACED = 4
+SPACED = 3
+#: Bytes that may stand behind a letter without being part of it.
+_SIGN = np.isin(np.arange(256), np.frombuffer(b".,;:!?\"')", np.uint8))
 #: What is cut off a word's end, and off its start (where a sign may well stand for a letter).
 _END, _START = ".,;:?!\"'()[]{}%&*#-_/\\~^`<>=+", ".,;:?\"'()[]{}%&*#-_/\\~^`>="
 
@@ -183,8 +185,11 @@ class Channel:
         return core, core
 
     def spaced(self, letters: list[str]) -> list[str]:
-        """The words in a row of one-letter words: the blanks are arcs of the lattice, so decoding finds where words end."""
-        return self.decode(" ".join(x.lower() for x in letters)).split()
+        """The words in a row of one-letter words: the blanks are arcs of the lattice, so decoding finds where words end. The row as
+        one word is a reading of its own, since a word that the model doesn't know falls apart."""
+        text = " ".join(x.lower() for x in letters)
+        whole = text.replace(" ", "")
+        return list(dict.fromkeys([*self.decode(text).split(), whole, self.word(whole)[0]]))
 
     def words(self, text: str) -> set[str]:
         """Distinct restored words of a text."""
@@ -192,7 +197,7 @@ class Channel:
 
     def restored(self, texts: pa.Array) -> tuple[list[tuple[str, str]], np.ndarray, np.ndarray]:
         """(restored words as `word` gives them; for each document's distinct words: place in that list, document)."""
-        w = HashedWords(texts)
+        w = HashedWords(texts, _TASK_SEED)
         _, one, which, doc = distinct_words(w)
         raw, stops = w.raw.tobytes(), w.stops()
         words = [self.word(raw[a:b].decode("utf-8", "replace")) for a, b in zip(w.starts[one].tolist(), stops[one].tolist(), strict=True)]
@@ -211,18 +216,26 @@ def distinct_words(w: HashedWords) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
 
 def spaced_letters(w: HashedWords) -> Iterator[tuple[int, list[str]]]:
-    """(document, letters) of every row of at least SPACED one-letter words."""
+    """(document, letters) of every row of at least SPACED one-letter words; signs at a word's end don't count."""
     if not len(w.starts):
         return
-    size = w.stops() - w.starts
-    lead = w.raw[w.starts]
+    stops, lead = w.stops(), w.raw[w.starts]
+    ends = stops.copy()
+    for _ in range(3):  # as many signs as may stand behind a letter
+        cut = (ends - w.starts > 1) & _SIGN[w.raw[ends - 1]]
+        ends -= cut
+    size = ends - w.starts
     single = (size == 1) & ((lead >= 65) & (lead <= 90) | (lead >= 97) & (lead <= 122) | (lead >= 48) & (lead <= 57) | np.isin(lead, np.frombuffer(b"@$!|+", np.uint8))) | (size == 2) & (lead >= 0xC3)
     doc = np.repeat(np.arange(len(w.counts)), w.counts)
-    ends = np.flatnonzero(np.diff(np.concatenate([[False], single, [False]]).astype(np.int8)))
-    for a, b in zip(ends[::2].tolist(), ends[1::2].tolist(), strict=True):
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], single, [False]]).astype(np.int8)))
+    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
         for k in np.split(np.arange(a, b), np.flatnonzero(np.diff(doc[a:b])) + 1):
             if len(k) >= SPACED:
-                yield int(doc[k[0]]), [w.raw[w.starts[x] : w.starts[x] + size[x]].tobytes().decode("utf-8", "replace") for x in k.tolist()]
+                yield int(doc[k[0]]), [w.raw[w.starts[x] : ends[x]].tobytes().decode("utf-8", "replace") for x in k.tolist()]
+
+
+#: Hashes of words stay in their process.
+_TASK_SEED = drawn_seed()
 
 
 class Known:
@@ -328,7 +341,7 @@ def _raw_scores(docs: DataFrame, model: np.ndarray, weights: dict[str, float], e
 
     def one(batch: pa.RecordBatch) -> dict:
         channel, known, worth = _memo(model, weights)
-        w = HashedWords(batch["text"])
+        w = HashedWords(batch["text"], _TASK_SEED)
         every, at, which, doc = distinct_words(w)
         raw, stops = w.raw.tobytes(), w.stops()
 
@@ -383,4 +396,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAI
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are not predicted to be toxic; all columns are kept."""
     go = materialize(score_toxicity(docs, labels).filter("predicted = 1").select(F.col("doc_id").alias("__go")).distinct(), "toxic-documents")
-    return docs.join(hinted(go), F.col("doc_id").cast("long") == F.col("__go"), "left_anti")
+    return docs.join(hinted(go), docs["doc_id"].cast("long") == go["__go"], "left_anti")

@@ -344,19 +344,19 @@ def test_near_lines_on_both_sides_of_short(spark, at):
 
 def test_keys_of_variants():
     """Equal keys for equal variants, and only for those, whatever part of a line they come from."""
-    g = random.Random(1)
+    g, p = random.Random(1), lines.powers(12345)
     seen = {}
     for _ in range(300):
         t = "".join(g.choice("abé😀") for _ in range(g.randrange(2, 9)))
         a = g.randrange(0, len(t) - 1)
         b = g.randrange(a + 1, len(t) + 1)
         part = t[a:b]
-        keys = lines.cuts(lines._sums(t), a, b, 7).tolist()
+        keys = lines.cuts(p, p.sums(t), a, b, 7).tolist()
         for v, k in zip([part[:i] + part[i + 1 :] for i in range(len(part))] + [part], keys, strict=True):
             assert seen.setdefault(v, k) == k
     assert len(set(seen.values())) == len(seen)
     for t in ("abcdefgh", "abcdefghi"):
-        keys, rest = lines.halves(lines._sums(t))
+        keys, rest = lines.halves(p, p.sums(t))
         assert len(set(keys.tolist())) == 4 and [t[a:b] for a, b in rest] in (["efgh", "abcd", "defgh", "abcde"], ["efghi", "abcde", "efghi", "abcde"])
 
 
@@ -640,6 +640,58 @@ def test_hashed_words(texts):
     assert [w.raw[a:b].tobytes().lower() for a, b in zip(w.starts, w.stops(), strict=True)] == [x.lower() for x in flat]
 
 
+def thue_morse(n):
+    """Two words of n letters that a polynomial modulo a power of two can't tell apart, whatever its base."""
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_made_to_collide(spark, n):
+    one, two = thue_morse(n)
+    assert len(set(HashedWords(pa.array([f"{one} {two} {one}"])).hashes.tolist())) == 2
+    p = lines.powers(99)
+    assert p.sums(one)[:, -1].tolist() != p.sums(two)[:, -1].tolist() and not set(lines.halves(p, p.sums(one))[0].tolist()) & set(lines.halves(p, p.sums(two))[0].tolist())
+    d = spark.createDataFrame(fixture([(1, f"one two three four {one}"), (2, f"one two three four {two}"), (3, f"one two three four {one}")]), SCHEMA)
+    assert {i: r["component_id"] for i, r in by_id(ngrams.jaccard_components(d)).items()} == {1: 1, 2: 2, 3: 1}
+    encoder = encode.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    plain = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in (one, two)]
+    assert [np.frombuffer(x, encoder.wide).tolist() for x in encoder.encode(pa.array([one, two]))] == plain
+
+
+@settings(deadline=None, max_examples=25)
+@given(st.lists(st.text("ab", min_size=1, max_size=3000), max_size=5))
+def test_long_words_of_two_letters(words):
+    encoder = encode.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    got = [np.frombuffer(x, encoder.wide).tolist() for x in encoder.encode(pa.array(words, pa.string()))]
+    assert got == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in words]
+
+
+def test_lexicon_keeps_its_bound(spark, monkeypatch):
+    """Words beyond a thousand occurrences don't stand in one class."""
+    monkeypatch.setattr(brown, "LEXICON", 5)
+    text = " ".join(f"w{k} " * (1001 + 40 * k) for k in range(40))
+    fitted = brown.Fitted(spark.createDataFrame([(1, text, False)], "doc_id long, text string, held_out boolean"))
+    assert 0 < len(fitted.lexicon.keys) <= 5
+
+
+def test_spaced_letters_with_signs():
+    ch = toxicity.Channel(word_model("idiot", "moron", "trash", "stupid", "such", "know", "you", "garbage", "a", "i"))
+    assert "idiot" in ch.words("i d i o t!") and "idiot" in ch.words("you i d i o t.") and "idiot" in ch.words("i, d, i, o, t ...")
+    assert "asshole" in ch.words("a s s h o l e") and "ass" in ch.words("a s s")
+
+
+@pytest.mark.parametrize("name", ["__go", "__bad"])
+def test_filters_keep_clashing_names(spark, name):
+    rows = [(1, "a b c d e f g h i j k l", 7), (2, "a b c d e f g h i j k l", 8), (3, "other words altogether", 9)]
+    d = spark.createDataFrame(rows, f"doc_id long, text string, {name} int")
+    labels = spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([("x", "other words altogether")], "item_id string, text string")
+    assert {r[name] for r in ngrams.keep_one_of_each(d).collect()} == {7, 9}
+    assert {r[name] for r in decontaminate.remove_contaminated(d, bench).collect()} == {7, 8}
+    assert {r[name] for r in toxicity.drop_toxic(d, labels).collect()} == {7, 8, 9}
+
+
 # -- The pipeline
 
 
