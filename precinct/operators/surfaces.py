@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from precinct.blocks.ranks import global_cumulate
 from precinct.blocks.shared import materialize
 from precinct.functions.geo import KM_PER_DEGREE
 
@@ -243,54 +244,103 @@ def _window(beta: float) -> float:
 BLOCK_EVENTS = 2000
 
 
-def _blocks(events: DataFrame, days: float, n: int, prefix: str, lags: tuple[int, ...]) -> DataFrame:
-    """Events packed by time bucket in blocks of bounded size, as arrays; a block stands in its bucket less each lag."""
-    salt = F.pmod(F.xxhash64("id"), F.lit(max(1, n // BLOCK_EVENTS)))
-    rows = events.select(F.floor(F.col("t") / days).cast("long").alias("k"), salt.alias("salt"), F.struct("id", "t", "lat", "lon").alias("e"))
-    packed = rows.groupBy("k", "salt").agg(F.collect_list("e").alias(prefix))
-    return packed.select(F.explode(F.array(*[F.col("k") - x for x in lags])).alias("k"), F.col("salt").alias(f"{prefix}_salt"), prefix)
+def _blocks(events: DataFrame, side: str) -> DataFrame:
+    """Events packed in blocks of bounded size that follow each other in time: block, t0, t1 and the events as arrays."""
+    e = events.select("id", F.col("t").cast("double").alias("t"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
+    ranked = global_cumulate(e, [F.col("t"), F.col("id")], {}, "rank")
+    block = F.floor((F.col("rank") - 1) / BLOCK_EVENTS).alias(f"{side}_block")
+    packed = ranked.groupBy(block).agg(F.min("t").alias(f"{side}_t0"), F.max("t").alias(f"{side}_t1"), F.array_sort(F.collect_list(F.struct("t", "id", "lat", "lon"))).alias(side))
+    return materialize(packed, f"{side}-blocks")
+
+
+def _faded(late: tuple, early: tuple, candidates: list[tuple[float, float]], strict: bool) -> np.ndarray:
+    """Sums over two blocks, a row a candidate. Where a whole block comes first and lies in the window, exp(-beta dt) is a product of
+    a factor for each side, so places are compared once for all times at them."""
+    (bt, bid, by, bx), (at, aid, ay, ax) = late, early
+    out = np.zeros((len(candidates), len(bt)))
+    sigmas = list(dict.fromkeys(s for _, s in candidates))
+    whole = [k for k, (b, _) in enumerate(candidates) if at[-1] < bt[0] and bt[-1] - at[0] <= _window(b)]
+    part = [k for k in range(len(candidates)) if k not in whole]
+    if whole:
+        (uy, ux), of_late = np.unique(np.stack([by, bx]), axis=1, return_inverse=True)
+        (vy, vx), of_early = np.unique(np.stack([ay, ax]), axis=1, return_inverse=True)
+        betas = list(dict.fromkeys(candidates[k][0] for k in whole))
+        # weights at the earlier block's end, by place
+        held = np.stack([np.bincount(of_early.reshape(-1), b * np.exp(-b * (at[-1] - at)), len(vy)) for b in betas], axis=1)
+        for i in range(0, len(uy), 500):
+            rows = slice(i, i + 500)
+            d2 = (uy[rows, None] - vy) ** 2 + (ux[rows, None] - vx) ** 2
+            mine = np.flatnonzero((of_late.reshape(-1) >= i) & (of_late.reshape(-1) < i + 500))
+            for s in sigmas:
+                at_place = (s * s / (d2 + s * s)) @ held
+                for k in whole:
+                    if candidates[k][1] == s:
+                        b = candidates[k][0]
+                        out[k, mine] = np.exp(-b * (bt[mine] - at[-1])) * at_place[of_late.reshape(-1)[mine] - i, betas.index(b)]
+    for i in range(0, len(bt) if part else 0, 250):
+        rows = slice(i, i + 250)
+        t, betas = bt[rows], {candidates[k][0] for k in part}
+        reach = {b: (int(np.searchsorted(at, t[0] - _window(b))), int(np.searchsorted(at, t[-1], side="right"))) for b in betas}
+        low, high = min(x for x, _ in reach.values()), max(x for _, x in reach.values())
+        if low >= high:
+            continue
+        dt = t[:, None] - at[low:high]
+        before = dt > 0 if strict else (dt > 0) | ((dt == 0) & (aid[low:high] < bid[rows, None]))
+        d2 = (by[rows, None] - ay[low:high]) ** 2 + (bx[rows, None] - ax[low:high]) ** 2
+        near = {s: s * s / (d2 + s * s) for s in {candidates[k][1] for k in part}}
+        for b in betas:
+            cut = slice(reach[b][0] - low, reach[b][1] - low)
+            inside = before[:, cut] & (dt[:, cut] <= _window(b))
+            if not inside.any():
+                continue
+            lead = b * (at[reach[b][0] : reach[b][1]] - t[0])
+            products = lead.max() < 500  # else a factor would overflow
+            fade = inside if products else np.where(inside, b * np.exp(-b * np.maximum(dt[:, cut], 0)), 0.0)
+            for k in part:
+                if candidates[k][0] == b:
+                    weighed = near[candidates[k][1]][:, cut] * fade
+                    out[k, rows] = np.exp(-b * (t - t[0])) * (weighed @ (b * np.exp(lead))) if products else weighed.sum(1)
+    return out
 
 
-def excitation(targets: DataFrame, events: DataFrame, candidates: list[tuple[float, float]], strict: bool) -> DataFrame:
+def excitation(targets: DataFrame, events: DataFrame, candidates: list[tuple[float, float]], strict: bool, early: DataFrame | None = None) -> DataFrame:
     """(id, x0, x1, ...): for each (beta, sigma), the sum over earlier events within the window of
     beta exp(-beta dt) s2 / (d2 + s2). Earlier is by t alone if strict, else by (t, id).
 
-    Pairs of blocks meet by time bucket; pairs of events exist only as arrays inside a task."""
+    Blocks of equal size follow each other in time, however events bunch; a pair of blocks meets once, and only if the window of the
+    later one reaches the earlier one. Pairs of events exist only as arrays inside a task; events at one place count as one there.
+    early: the blocks of events, where they are at hand."""
     days = max(_window(b) for b, _ in candidates)
-    n = events.count()
-    late, early = _blocks(targets, days, n, "late", (0, 1)), _blocks(events, days, n, "early", (0,))
+    early = _blocks(events, "early") if early is None else early
+    late = _blocks(targets, "late") if targets is not events else early.select(*[F.col(c).alias(c.replace("early", "late")) for c in early.columns])
     names = [f"x{k}" for k in range(len(candidates))]
 
-    def arrays(column: pa.ListArray, k: int) -> list[np.ndarray]:
-        return [x.to_numpy(zero_copy_only=False) for x in column[k].values.flatten()]
+    def arrays(column: pa.ListArray, k: int) -> tuple:
+        return tuple(x.to_numpy(zero_copy_only=False) for x in column[k].values.flatten())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                (bid, bt, by, bx), (aid, at, ay, ax) = arrays(batch["late"], k), arrays(batch["early"], k)
-                sums = np.zeros((len(candidates), len(bid)))
-                for i in range(0, len(bid), 250):
-                    part = slice(i, i + 250)
-                    dt = bt[part, None] - at
-                    before = dt > 0 if strict else (dt > 0) | ((dt == 0) & (aid < bid[part, None]))
-                    if not before.any():
-                        continue
-                    d2 = (by[part, None] - ay) ** 2 + (bx[part, None] - ax) ** 2
-                    fade = {b: np.where(before & (dt <= _window(b)), b * np.exp(-b * np.maximum(dt, 0)), 0.0) for b in {b for b, _ in candidates}}
-                    near = {s: s * s / (d2 + s * s) for s in {s for _, s in candidates}}
-                    for j, (b, s) in enumerate(candidates):
-                        sums[j, part] = (fade[b] * near[s]).sum(1)
-                yield pa.RecordBatch.from_arrays([pa.array(bid, pa.int64()), *map(pa.array, sums)], names=["id", *names])
-
-    pairs = late.join(early, "k").select("late", "early")
-    return pairs.mapInArrow(run, "id long, " + ", ".join(f"{x} double" for x in names)).groupBy("id").agg(*[F.sum(x).alias(x) for x in names])
-
-
-def hawkes_nll(events: DataFrame, candidates: list[tuple[float, float, float, float]]) -> list[float]:
+                late = arrays(batch["late"], k)
+                sums = _faded(late, arrays(batch["early"], k), candidates, strict)
+                yield pa.RecordBatch.from_arrays([pa.array(late[1], pa.int64()), *map(pa.array, sums)], names=["id", *names])
+
+    # blocks meet in the windows' buckets that both touch: the earlier one's own, the later one's and those its window reaches
+    bucket = lambda c: F.floor(F.col(c) / days).cast("long")
+    heads = [d.select(f"{side}_block", f"{side}_t0", f"{side}_t1") for side, d in (("late", late), ("early", early))]
+    a = heads[0].withColumn("k", F.explode(F.sequence(bucket("late_t0") - 1, bucket("late_t1"))))
+    b = heads[1].withColumn("k", F.explode(F.sequence(bucket("early_t0"), bucket("early_t1"))))
+    met = a.join(b, "k").filter((F.col("early_t0") <= F.col("late_t1")) & (F.col("late_t0") - F.col("early_t1") <= days)).select("late_block", "early_block").distinct()
+    tasks = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = materialize(met, "block-pairs").repartition(4 * tasks).join(late.select("late_block", "late"), "late_block").join(early.select("early_block", "early"), "early_block")
+    return pairs.select("late", "early").mapInArrow(run, "id long, " + ", ".join(f"{x} double" for x in names)).groupBy("id").agg(*[F.sum(x).alias(x) for x in names])
+
+
+def hawkes_nll(events: DataFrame, candidates: list[tuple[float, float, float, float]], early: DataFrame | None = None) -> list[float]:
     """Negative log-likelihood of each (mu, alpha, beta, sigma), all in one pass over the pairs of blocks. Candidates that differ
     in mu and alpha alone share the sums of their pairs."""
     shapes = list(dict.fromkeys((b, s) for _, _, b, s in candidates))
-    return _nll(events, excitation(events, events, shapes, strict=False), shapes, candidates)
+    return _nll(events, excitation(events, events, shapes, strict=False, early=early), shapes, candidates)
 
 
 def _nll(events: DataFrame, sums: DataFrame, shapes: list[tuple[float, float]], candidates: list[tuple]) -> list[float]:
@@ -312,17 +362,18 @@ def fit_hawkes(events: DataFrame, sweeps: int = 10, width: int = 16, rounds: int
 
     For mu and alpha the sums over pairs don't change, so their searches take one pass over the pairs between them."""
     events = materialize(events.select("id", "t", "lat", "lon"), "hawkes-events")
+    early = _blocks(events, "early")
     now, best, done = [0.1, 0.3, 0.5, 0.01], math.inf, 0
     for done in range(1, sweeps + 1):  # noqa: B007
         was = best
         shapes = [(now[2], now[3])]
-        sums = materialize(excitation(events, events, shapes, strict=False), "hawkes-sums")
+        sums = materialize(excitation(events, events, shapes, strict=False, early=early), "hawkes-sums")
         for axis, (low, high) in BOUNDS.items():
             lo, hi = math.log(low), math.log(high)
             for _ in range(rounds):
                 grid = np.linspace(lo, hi, width)
                 tries = [tuple(float(math.exp(x)) if k == axis else v for k, v in enumerate(now)) for x in grid]
-                got = _nll(events, sums, shapes, tries) if axis < 2 else hawkes_nll(events, tries)
+                got = _nll(events, sums, shapes, tries) if axis < 2 else hawkes_nll(events, tries, early)
                 k = int(np.argmin(got))
                 lo, hi = grid[max(k - 1, 0)], grid[min(k + 1, width - 1)]
             if got[k] < best:

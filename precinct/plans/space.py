@@ -175,16 +175,16 @@ ar AS (SELECT (max(lat) - min(lat)) / 59 * 111 * (max(lon) - min(lon)) / 59 * 11
 
 @R("g04_profile", f"WITH {_G04} SELECT round(lat, 5) AS lat, round(lon, 5) AS lon, round(p, 5) AS peak_p, round(k50 * cell, 5) AS area50_km2, round(k80 * cell, 5) AS area80_km2 FROM ar")
 def g04_profile(spark, sf):
-    """G01-G04, W07 over the located burglaries."""
+    """G01-G04, W07 over the located events."""
     return rounded(surfaces.profile_summary(surfaces.geographic_profile(crime_events(spark, sf).filter("crime_type = 'burglary'"), 60)), 5)
 
 
 def hawkes_events(spark, sf):
-    e = crime_events(spark, sf).filter("lat is not null and occurred_at is not null and crime_type = 'burglary'")
+    e = crime_events(spark, sf).filter("lat is not null and occurred_at is not null")
     return e.select(F.col("seq").alias("id"), series.days_since_2000(F.col("occurred_at")).alias("t"), "lat", "lon")
 
 
-_HK = f"{CE}, hk AS (SELECT seq AS id, (epoch(occurred_at) - 946684800) / 86400 AS t, lat, lon FROM ce WHERE lat IS NOT NULL AND occurred_at IS NOT NULL AND crime_type = 'burglary')"
+_HK = f"{CE}, hk AS (SELECT seq AS id, (epoch(occurred_at) - 946684800) / 86400 AS t, lat, lon FROM ce WHERE lat IS NOT NULL AND occurred_at IS NOT NULL)"
 _XC = "0.3 * 0.5 * exp(-0.5 * (b.t - a.t)) * 0.0001 / (pow(b.lat - a.lat, 2) + pow(b.lon - a.lon, 2) + 0.0001)"
 
 
@@ -204,7 +204,7 @@ def a14_hawkes_nll(spark, sf):
 
 @R("a15_hawkes_fit")
 def a15_hawkes_fit(spark, sf):
-    """The fit on all located burglaries: parameters as a row."""
+    """The fit on all located events: parameters as a row."""
     got = surfaces.fit_hawkes(hawkes_events(spark, sf))
     return rounded(spark.createDataFrame([got]), 4)
 
