@@ -76,15 +76,16 @@ def poisson_pmf0(rate: Column) -> Column:
 
 
 def predict_poisson(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """rows (with the bucket columns) with rate, expected, p_any, ci90, n and model; a prior where the model has none."""
-    out = rows.join(model.drop("variance"), BUCKET, "left")
+    """rows (with the bucket columns) with rate, expected, p_any, ci90, n and model; a prior where the model has none. Quantiles are
+    found once for each bucket of the model, then joined."""
+    lo, hi = (count_quantile("rate", "r", "p", F.lit(q)) for q in (0.05, 0.95))
+    out = rows.join(model.drop("variance").withColumns({"_lo": lo, "_hi": hi}), BUCKET, "left")
     seen = F.col("rate").isNotNull()
     p_any = F.when(F.col("r").isNotNull(), 1 - F.pow(1 - F.col("p"), F.col("r"))).otherwise(1 - poisson_pmf0(F.col("rate")))
-    lo, hi = (count_quantile("rate", "r", "p", F.lit(q)) for q in (0.05, 0.95))
     return out.select(
         *rows.columns, F.coalesce("rate", F.lit(PRIOR_RATE)).alias("lambda"), F.coalesce("rate", F.lit(PRIOR_RATE)).alias("expected"),
         F.when(seen, p_any).otherwise(1 - F.exp(F.lit(-PRIOR_RATE))).alias("p_any"),
-        F.when(seen, lo).otherwise(0.0).alias("ci90_lo"), F.when(seen, hi).otherwise(2.0).alias("ci90_hi"), F.coalesce("n_days", F.lit(0)).alias("n"),
+        F.when(seen, F.col("_lo")).otherwise(0.0).alias("ci90_lo"), F.when(seen, F.col("_hi")).otherwise(2.0).alias("ci90_hi"), F.coalesce("n_days", F.lit(0)).alias("n"),
         F.when(F.col("r").isNotNull(), "NegativeBinomial").otherwise("NonHomogeneousPoisson").alias("model"),
     )
 
