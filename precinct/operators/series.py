@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from precinct import fixed
-from precinct.blocks.band_join import METRES_PER_DEGREE, geo_join, sides
+from precinct.blocks.band_join import METRES_PER_DEGREE, count_near, geo_join, sides
 from precinct.blocks.density import border_places, dense_places
 from precinct.blocks.ranks import global_cumulate
 from precinct.blocks.shared import materialize
@@ -46,10 +46,7 @@ def knox(events: DataFrame, metres: float = 200.0, days: float = 14.0) -> DataFr
     """One row: near pairs, expected pairs and their ratio."""
     e = _located(events)
     box = e.agg(F.count("*").alias("n"), F.min("lat").alias("y0"), F.max("lat").alias("y1"), F.min("lon").alias("x0"), F.max("lon").alias("x1"), F.min("t").alias("t0"), F.max("t").alias("t1"))
-    a, b = sides(e, ["event_id", "lat", "lon", "t"])
-    near = geo_join(a, b, metres, days, F.col("b_event_id") < F.col("a_event_id"))
-    m = haversine_km(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon")) * 1000
-    count = near.filter((m <= metres) & (F.abs(F.col("a_t") - F.col("b_t")) <= days)).agg(F.count("*").alias("near"))
+    count = count_near(e.select("lat", "lon", "t"), metres, days)
     side = lambda span: F.greatest(span, F.lit(5.0 * metres))
     high = side((F.col("y1") - F.col("y0")) * METRES_PER_DEGREE)
     wide = side((F.col("x1") - F.col("x0")) * METRES_PER_DEGREE * F.cos(F.radians((F.col("y0") + F.col("y1")) / 2)))
