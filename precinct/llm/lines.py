@@ -21,10 +21,12 @@ doc_id are documents of their own. Rows without doc_id stay as they are and remo
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,13 +66,6 @@ class Powers:
             out.append(out[-1] * base % q)
         return out
 
-    def sums(self, line: str) -> np.ndarray:
-        """Hashes of the first k characters for each k: polynomials in the characters' numbers, a row a prime."""
-        c = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
-        out = np.zeros((2, len(c) + 1), np.uint64)
-        np.cumsum(c * self.upto(len(c))[0][:, : len(c)] % PRIMES, axis=1, out=out[:, 1:])
-        return out % PRIMES
-
 
 _POWERS: dict[int, Powers] = {}
 
@@ -83,35 +78,53 @@ def powers(seed: int) -> Powers:
 
 
 def line_id(line: str) -> tuple[int, int]:
-    return tuple(np.frombuffer(xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass")), "<i8").tolist())
-
-
-def halves(p: Powers, sums: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """(keys, places where the rest of the line begins and ends) when either half is taken, for the line's own length and
-    for the length below."""
-    n = sums.shape[1] - 1
-    down = p.upto(n)[1]
-    scope, ends = [], []
-    for shorter in (n, n - 1):
-        h = shorter // 2
-        scope += [2 * shorter + 1, 2 * shorter + 2]
-        ends += [(0, h), (n - h, n)]
-    a, b = (np.array(x) for x in zip(*ends, strict=True))
-    keys = (sums[:, b] + PRIMES - sums[:, a]) * down[:, a] % PRIMES
-    return _scoped(keys, np.array(scope, np.uint64)), [(y, n) if x == 0 else (0, x) for x, y in ends]
+    return struct.unpack("<qq", xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass")))
+
+
+class Sums:
+    """Hashes of all stretches of many lines: running sums of a polynomial in the characters' numbers, a row a prime."""
+
+    def __init__(self, p: Powers, lines: list[str]):
+        code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+        self.n = np.fromiter(map(len, lines), np.int64, len(lines))
+        self.start = np.cumsum(self.n) - self.n
+        self.back = p.back
+        up, self.down = p.upto(int(self.n.max(initial=0)))
+        place = np.arange(len(code)) - np.repeat(self.start, self.n)
+        self.sums = np.zeros((2, len(code) + 1), np.uint64)
+        np.cumsum(code * up[:, place] % PRIMES, axis=1, out=self.sums[:, 1:])
+
+    def _span(self, begin: np.ndarray, end: np.ndarray, offset: np.ndarray) -> np.ndarray:
+        return (self.sums[:, end] - self.sums[:, begin]) % PRIMES * self.down[:, offset] % PRIMES
+
+    def halves(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(keys, begins, ends), four to a line: keys of either half for the line's own length and for the length below, and where
+        the rest of the line is."""
+        n, s = self.n[which], self.start[which]
+        keys, begins, ends = [], [], []
+        for shorter in (n, n - 1):
+            h = shorter // 2
+            keys += [_scoped(self._span(s, s + h, 0 * h), 2 * shorter + 1), _scoped(self._span(s + n - h, s + n, n - h), 2 * shorter + 2)]
+            begins += [h, 0 * h]
+            ends += [n, n - h]
+        return tuple(np.stack(x, axis=1) for x in (keys, begins, ends))
+
+    def cuts(self, which: np.ndarray, begin: np.ndarray, end: np.ndarray, scope: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(keys, place) for stretches of lines: without each one of their characters, and (place -1) whole, last."""
+        size = end - begin + 1
+        of = np.repeat(np.arange(len(which)), size)
+        place = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+        whole = place == size[of] - 1
+        a, b = self.start[which] + begin, self.start[which] + end
+        at = a[of] + place
+        first = (self.sums[:, at] - self.sums[:, a[of]]) % PRIMES
+        last = (self.sums[:, b[of]] - self.sums[:, np.minimum(at + 1, b[of])]) % PRIMES * self.back % PRIMES
+        keys = (first + last) % PRIMES * self.down[:, begin[of]] % PRIMES
+        return _scoped(keys, scope[of]), np.where(whole, -1, place).astype(np.int32)
 
 
 def _scoped(keys: np.ndarray, scope: np.ndarray) -> np.ndarray:
-    return mixed((keys[0] << np.uint64(31) | keys[1]) ^ mixed(scope)).view(np.int64)
-
-
-def cuts(p: Powers, sums: np.ndarray, a: int, b: int, scope: int = 0) -> np.ndarray:
-    """Keys of a line's characters from a to b without each one of them, and of all of them, last."""
-    begin, end = sums[:, a : a + 1], sums[:, b : b + 1]
-    first = sums[:, a : b + 1] + PRIMES - begin  # the last of these is all of them
-    last = np.append((end + PRIMES - sums[:, a + 1 : b + 1]) * p.back % PRIMES, np.zeros((2, 1), np.uint64), axis=1)
-    keys = (first + last) % PRIMES * p.upto(b)[1][:, a : a + 1] % PRIMES
-    return _scoped(keys, np.full(b - a + 1, scope & (1 << 64) - 1, np.uint64))
+    return mixed((keys[0] << np.uint64(31) | keys[1]) ^ mixed(scope.astype(np.uint64))).view(np.int64)
 
 
 def within_one(a: str, b: str) -> bool:
@@ -128,65 +141,56 @@ KEYED = "kind tinyint, key long, place int, h1 long, h2 long, doc_id long, tx lo
 _NAMES = [c.split()[0] for c in KEYED.split(", ")]
 
 
-class _Keys:
-    """Key rows in the making."""
-
-    def __init__(self):
-        self.parts: list[tuple] = []
-        self.n = 0
-
-    def add(self, kind: int, keys: np.ndarray, row: tuple) -> None:
-        self.n += len(keys)
-        self.parts.append((np.full(len(keys), kind, np.int8), keys, np.full(len(keys), -1, np.int32), len(keys), row))
+#: Keys that a task hands on together.
+HANDED = 100_000
 
-    def add_cuts(self, keys: np.ndarray, row: tuple) -> None:
-        n = len(keys)
-        self.n += n
-        place = np.arange(n, dtype=np.int32)
-        kind = np.full(n, CUT, np.int8)
-        kind[-1], place[-1] = WHOLE, -1
-        self.parts.append((kind, keys, place, n, row))
 
-    def columns(self) -> dict:
-        if not self.parts:
-            return {c: [] for c in _NAMES}
-        kind, key, place, n, rows = zip(*self.parts, strict=True)
-        fixed = zip(*rows, strict=True)
-        return {"kind": np.concatenate(kind), "key": np.concatenate(key), "place": np.concatenate(place)} | {c: np.repeat(np.array(v, np.int64), n) for c, v in zip(_NAMES[3:], fixed, strict=True)}
+def _keyed(kind, key: np.ndarray, place, rows: np.ndarray, of: np.ndarray) -> dict:
+    """Columns of KEYED; rows: h1, h2, doc_id, tx and line of each line, as rows of numbers."""
+    full = lambda x, t: np.full(len(key), x, t) if np.isscalar(x) else x
+    return {"kind": full(kind, np.int8), "key": key, "place": full(place, np.int32)} | dict(zip(_NAMES[3:], rows[:, of], strict=True))
 
 
-#: Keys that a task hands on together.
-HANDED = 100_000
+def _cut_keys(sums: Sums, which: np.ndarray, begin: np.ndarray, end: np.ndarray, scope: np.ndarray, rows: np.ndarray, of: np.ndarray) -> Iterator[dict]:
+    """Variants of stretches of lines, about HANDED at a time."""
+    turn = np.cumsum(end - begin + 1) // HANDED
+    for k in np.unique(turn):
+        mine = turn == k
+        keys, place = sums.cuts(which[mine], begin[mine], end[mine], scope[mine])
+        size = (end - begin + 1)[mine]
+        yield _keyed(np.where(place < 0, WHOLE, CUT).astype(np.int8), keys, place, rows, np.repeat(of[mine], size))
 
 
 def _emit(docs: DataFrame, seed: int) -> DataFrame:
     """A row for every key of every line: its identity, and its half keys or its variants."""
 
     def one(batch: pa.RecordBatch) -> Iterator[dict]:
-        keys, p = _Keys(), powers(seed)
         seen: set[tuple[int, int]] = set()
         ids = list(zip(batch["doc_id"].to_pylist(), batch["tx"].to_pylist(), strict=True))
         in_order = all(a <= b for a, b in zip(ids, ids[1:], strict=False))  # then a line's later occurrences need no keys again
+        found, fuzzy, lines = [], [], []
         for (d, tx), text in zip(ids, batch["text"].to_pylist(), strict=True):
             for k, raw in enumerate(text.split("\n")):
                 if not (line := raw.strip()):
                     continue
                 a, b = line_id(line)
-                row = (a, b, d, tx, k)
-                keys.add(ID, np.zeros(1, np.int64), row)
                 if len(line) >= MIN_FUZZY and ((a, b) not in seen or not in_order):
                     seen.add((a, b))
-                    sums = p.sums(line)
-                    if len(line) <= SHORT:
-                        keys.add_cuts(cuts(p, sums, 0, len(line)), row)
-                    if len(line) >= SHORT:
-                        keys.add(HALF, halves(p, sums)[0], row)
-                if keys.n >= HANDED:
-                    yield keys.columns()
-                    keys = _Keys()
-        yield keys.columns()
-
-    return map_batches(docs, one, KEYED, 1_000_000)  # a line has dozens of keys
+                    fuzzy.append(len(found))
+                    lines.append(line)
+                found.append((a, b, d, tx, k))
+        rows, of = np.array(found, np.int64).reshape(-1, 5).T, np.array(fuzzy, np.int64)
+        for at in range(0, rows.shape[1], HANDED):
+            some = np.arange(at, min(at + HANDED, rows.shape[1]))
+            yield _keyed(ID, np.zeros(len(some), np.int64), -1, rows, some)
+        sums = Sums(powers(seed), lines)
+        long, short = np.flatnonzero(sums.n >= SHORT), np.flatnonzero(sums.n <= SHORT)
+        if len(long):
+            yield _keyed(HALF, sums.halves(long)[0].reshape(-1), -1, rows, np.repeat(of[long], 4))
+        if len(short):
+            yield from _cut_keys(sums, short, 0 * sums.n[short], sums.n[short], 0 * short, rows, of[short])
+
+    return map_batches(docs, one, KEYED, 1_000_000)
 
 
 def fetch_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -195,11 +199,15 @@ def fetch_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     found = docs.join(hinted(by_doc), ["doc_id", "tx"])
 
     def one(batch: pa.RecordBatch) -> dict:
-        out = []
-        for d, tx, text, want in zip(*(batch[c].to_pylist() for c in ("doc_id", "tx", "text", "want")), strict=True):
-            lines = text.split("\n")
-            out += [(w["h1"], w["h2"], lines[w["line"]].strip(), d, tx, w["line"]) for w in want if w["line"] < len(lines)]
-        return {c: [x[k] for x in out] for k, c in enumerate(("h1", "h2", "text", "doc_id", "tx", "line"))}
+        of = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch["want"]).to_numpy(zero_copy_only=False))
+        line, h1, h2 = batch["want"].flatten().flatten()
+        numbers, bounds = line.to_numpy(), np.searchsorted(of, np.arange(batch.num_rows + 1))
+        texts = []
+        for k in range(batch.num_rows):  # one text at a time, and no object a number
+            lines = batch["text"][k].as_py().split("\n")
+            texts += [lines[x].strip() for x in numbers[bounds[k] : bounds[k + 1]].tolist()]
+        at = pa.array(of)
+        return {"h1": h1, "h2": h2, "text": texts, "doc_id": batch["doc_id"].take(at), "tx": batch["tx"].take(at), "line": line}
 
     return map_batches(found.select("doc_id", "tx", "text", "want"), one, "h1 long, h2 long, text string, doc_id long, tx long, line int")
 
@@ -241,16 +249,12 @@ def _variants(texts: DataFrame, seed: int) -> DataFrame:
     """For lines that share a half with many others, the variants of the rest."""
 
     def one(batch: pa.RecordBatch) -> Iterator[dict]:
-        out, p = _Keys(), powers(seed)
-        for *row, text, keys in zip(*(batch[c].to_pylist() for c in ("h1", "h2", "doc_id", "tx", "line", "text", "keys")), strict=True):
-            sums = p.sums(text)
-            for key, (a, b) in zip(*halves(p, sums), strict=True):
-                if key in keys:
-                    out.add_cuts(cuts(p, sums, a, b, int(key)), tuple(row))
-            if out.n >= HANDED:
-                yield out.columns()
-                out = _Keys()
-        yield out.columns()
+        rows = np.stack([batch[c].to_numpy().astype(np.int64) for c in ("h1", "h2", "doc_id", "tx", "line")])
+        sums = Sums(powers(seed), batch["text"].to_pylist())
+        keys, begin, end = sums.halves(np.arange(batch.num_rows))
+        wanted = [set(x) for x in batch["keys"].to_pylist()]
+        of, half = np.nonzero(np.array([[k in w for k in mine] for mine, w in zip(keys.tolist(), wanted, strict=True)], bool).reshape(-1, 4))
+        yield from _cut_keys(sums, of, begin[of, half], end[of, half], keys[of, half], rows, of)
 
     return map_batches(texts.select("h1", "h2", "doc_id", "tx", "line", "text", "keys"), one, KEYED, 500_000)
 

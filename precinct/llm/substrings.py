@@ -1,11 +1,13 @@
 """Substring dedup by content-defined chunking.
 
-A gear rolling hash over the last 16 bytes decides where a text is cut: wherever it is the least of some `WINDOW` places
-in a row, so every such stretch has a cut and an insertion moves only the cuts beside it. The variable chunks meet by
-digest; the occurrence that is first by (doc_id, place) is the original and the others are copies. Copies that follow
-each other in a document form a run. A run is compared with the bytes beside its original, which gives the passage's true
-ends, in whole words. A passage of at least `MIN_WORDS` words (or `MIN_BYTES` bytes, for texts without spaces) is a
-repeat and goes; shorter ones are idiom and stay.
+A gear rolling hash over the last 16 bytes decides where a text is cut: before a word whose hash is the least of some `WINDOW` words
+in a row (inside very long words, before an eighth of the characters, by their hash). So every such stretch has a cut, any `MIN_WORDS` words
+hold a whole chunk, and an insertion moves only the cuts beside it. The variable chunks meet by digest; the
+occurrence that is first by (doc_id, place) is the original and the others are copies. Copies that follow each other in a
+document form a run as long as one original, at one distance, continues it. A run is compared with the bytes beside its
+original, which gives the passage's true ends, in whole words; runs of one original that meet by that are one passage. A passage of
+at least `MIN_WORDS` words (or `MIN_BYTES` bytes, for texts without spaces) is a repeat and goes; shorter ones are idiom
+and stay, whatever stands beside them.
 
 Chunks are dealt out by digest in packed blocks. A task sends one chunk for each digest and `HELD` chunks, so a
 digest that a large part of the corpus has makes no large group; what it holds back are copies anyhow, whose original is
@@ -18,11 +20,11 @@ empty table gives no rows. Digests have 64 bits and those of the bucket.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -31,17 +33,17 @@ from pyspark.sql import functions as F
 from precinct.blocks.shared import hinted, materialize
 from precinct.llm.common import deal, dealt_schema, map_batches, slices, told_apart, undealt, with_found
 
-WINDOW = 80
+WINDOW = 16
 MIN_CHUNK = 8
+#: Words of more bytes than this may be cut inside.
+LONG_WORD = 64
 MAX_CHUNK = 250
 MIN_WORDS = 50
 MIN_BYTES = 600
 #: Bytes beside a run that are compared: more than a passage can reach beyond its whole chunks.
 CONTEXT = 320
-#: Chunks that a task holds before it deals them out, and chunks of a bucket.
-HELD, BUCKET = 500_000, 200_000
-#: Chunks at either end of a run that say which original lies beside it.
-ENDS = 4
+#: Chunks that a task holds before it deals them out, chunks of a bucket, and about the bytes of one.
+HELD, BUCKET, CHUNK_BYTES = 500_000, 200_000, 40
 SPANS = "array<struct<begin:int,end:int>>"
 
 #: Gear table: a fixed pseudo-random number for each byte, from a linear congruential rule.
@@ -51,7 +53,7 @@ for _k in range(256):
     for _ in range(4):
         _x = (_x * 6364136223846793005 + 1442695040888963407) % (1 << 64)
     GEAR[_k] = _x >> 32
-_NEVER = np.uint32(0xFFFFFFFF)
+_IS_SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8))
 
 
 def rolling(data: np.ndarray) -> np.ndarray:
@@ -78,15 +80,20 @@ def cut_places(data: np.ndarray, window: int = WINDOW) -> np.ndarray:
     if not n:
         return np.empty(0, np.int64)
     ends = np.empty(0, np.int64)
-    if n >= window + 16:
+    space = _IS_SPACE[data]
+    starts = np.flatnonzero(~space[1:] & space[:-1]) + 1
+    if n > LONG_WORD or len(starts) >= window:
         h = rolling(data)
-        h[:15] = _NEVER
-        h[:-1][(data[1:] & 0xC0) == 0x80] = _NEVER  # not inside a character
-        least = np.zeros(n + window - 1, np.uint32)
-        least[window - 1 : n] = _over_windows(h, window, np.minimum)
-        ends = np.flatnonzero((_over_windows(least, window, np.maximum) == h) & (h != _NEVER)) + 1
-        ends = ends[ends < n]
-        if len(ends):
+        starts = starts[starts >= 16]
+        edges = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).astype(np.int8)))
+        for x, y in edges.reshape(-1, 2)[np.diff(edges.reshape(-1, 2), axis=1)[:, 0] > LONG_WORD].tolist():
+            inside = np.arange(max(x + 1, 16), y)
+            starts = np.union1d(starts, inside[(h[inside - 1] >> np.uint32(8) & np.uint32(7) == 0) & ((data[inside] & 0xC0) != 0x80)])
+        if (k := len(starts)) >= window:
+            at = h[starts - 1]
+            least = np.zeros(k + window - 1, np.uint32)
+            least[window - 1 : k] = _over_windows(at, window, np.minimum)
+            ends = starts[_over_windows(least, window, np.maximum) == at]
             ends = ends[np.diff(ends, prepend=-MIN_CHUNK) >= MIN_CHUNK]  # a rule that looks back one cut only
     ends = np.append(ends, n)
     begins = np.concatenate([[0], ends[:-1]])
@@ -168,7 +175,7 @@ def _copies(dealt: DataFrame, buckets: int, tasks: int) -> DataFrame:
 def chunk_copies(docs: DataFrame) -> DataFrame:
     """doc, tx, at, size, first_doc, first_tx, first_at: every chunk that isn't the first with its digest. docs: told_apart."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = max(1, 2 * size // WINDOW // BUCKET)
+    buckets = max(1, size // CHUNK_BYTES // BUCKET)
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = materialize(_copies(_dealt(docs, buckets), buckets, max(tasks, buckets // 4)), "chunk-copies")
     sent, back = found.filter("not held").drop("held"), found.filter("held").drop("held")
@@ -179,29 +186,19 @@ def chunk_copies(docs: DataFrame) -> DataFrame:
 
 
 def runs_of(copies: list[dict]) -> list[dict]:
-    """Runs of copies that follow each other: begin, end, the originals' documents, and the places in documents that
-    stand where the run begins and ends (doc, tx, at)."""
-    runs: list[list[dict]] = []
+    """Runs of copies that follow each other as their originals do: begin, end, and the original's doc and tx and how far on it is."""
+    runs: list[dict] = []
     for c in sorted(copies, key=lambda c: c["at"]):
-        if runs and runs[-1][-1]["at"] + runs[-1][-1]["size"] == c["at"]:
-            runs[-1].append(c)
+        of = {"doc": c["first_doc"], "tx": c["first_tx"], "off": c["first_at"] - c["at"]}
+        end = c["at"] + c["size"]
+        if runs and runs[-1]["end"] == c["at"] and all(runs[-1][f] == x for f, x in of.items()):
+            runs[-1]["end"] = end
         else:
-            runs.append([c])
+            runs.append({"begin": c["at"], "end": end} | of)
+    return runs
 
-    def beside(chunks: list[dict], place: int) -> tuple[int, int, int]:
-        weight: Counter = Counter()
-        for c in chunks:
-            weight[c["first_doc"], c["first_tx"], c["first_at"] - c["at"]] += c["size"]
-        doc, tx, off = min(weight, key=lambda k: (-weight[k], k))
-        return doc, tx, max(place + off, 0)
 
-    return [
-        {"begin": (a := r[0]["at"]), "end": (b := r[-1]["at"] + r[-1]["size"]), "firsts": sorted({c["first_doc"] for c in r}), "left": beside(r[:ENDS], a), "right": beside(r[-ENDS:], b)}
-        for r in runs
-    ]
-
-
-RUN = "begin int, end int, firsts array<long>, l_doc long, l_tx long, l_at int, r_doc long, r_tx long, r_at int"
+RUN = "begin int, end int, first_doc long, first_tx long, off int"
 
 
 def _runs(copies: DataFrame) -> DataFrame:
@@ -209,28 +206,36 @@ def _runs(copies: DataFrame) -> DataFrame:
 
     def one(batch: pa.RecordBatch) -> dict:
         rows = [(d, t, r) for d, t, c in zip(batch["doc"].to_pylist(), batch["tx"].to_pylist(), batch["copies"].to_pylist(), strict=True) for r in runs_of(c)]
-        sides = {f"{s}_{f}": [r[side][k] for _, _, r in rows] for s, side in (("l", "left"), ("r", "right")) for k, f in enumerate(("doc", "tx", "at"))}
-        return {"doc": [x[0] for x in rows], "tx": [x[1] for x in rows], **{f: [r[f] for _, _, r in rows] for f in ("begin", "end", "firsts")}, **sides}
+        of = {"begin": "begin", "end": "end", "first_doc": "doc", "first_tx": "tx", "off": "off"}
+        return {"doc": [x[0] for x in rows], "tx": [x[1] for x in rows], **{f: [r[g] for _, _, r in rows] for f, g in of.items()}}
 
     return map_batches(by_doc, one, f"doc long, tx long, {RUN}")
 
 
+def _beside(runs: DataFrame, after: bool) -> DataFrame:
+    """The place in the original where a run begins, or (after) ends."""
+    at = F.col("end" if after else "begin") + F.col("off")
+    return runs.withColumns({"o_doc": F.col("first_doc"), "o_tx": F.col("first_tx"), "o_at": at.cast("int")})
+
+
 def _contexts(docs: DataFrame, runs: DataFrame) -> DataFrame:
-    """doc, tx, at, after, bytes: up to CONTEXT bytes before or after each wanted place."""
-    side = lambda s, after: runs.select(*[F.col(f"{s}_{f}").alias(f) for f in ("doc", "tx", "at")], F.lit(after).alias("after"))
-    wanted = side("l", False).union(side("r", True)).distinct().groupBy(F.col("doc").alias("doc_id"), "tx").agg(F.collect_list(F.struct("at", "after")).alias("want"))
+    """o_doc, o_tx, o_at, after, bytes: up to CONTEXT bytes before or after each wanted place."""
+    side = lambda after: _beside(runs, after).select("o_doc", "o_tx", "o_at", F.lit(after).alias("after"))
+    wanted = side(False).union(side(True)).distinct().groupBy(F.col("o_doc").alias("doc_id"), F.col("o_tx").alias("tx")).agg(F.collect_list(F.struct("o_at", "after")).alias("want"))
     found = docs.join(hinted(materialize(wanted, "wanted-contexts")), ["doc_id", "tx"]).dropDuplicates(["doc_id", "tx"])
 
     def one(batch: pa.RecordBatch) -> dict:
+        of = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch["want"]).to_numpy(zero_copy_only=False))
+        at, after = batch["want"].flatten().flatten()
+        places, sides, bounds = at.to_numpy(), after.to_numpy(zero_copy_only=False), np.searchsorted(of, np.arange(batch.num_rows + 1))
         out = []
-        for doc, tx, text, want in zip(*(batch[c].to_pylist() for c in ("doc_id", "tx", "text", "want")), strict=True):
-            raw = text.encode("utf-8")
-            for w in want:
-                k = w["at"]
-                out.append((doc, tx, k, w["after"], raw[k : k + CONTEXT] if w["after"] else raw[max(0, k - CONTEXT) : k]))
-        return {f: [x[k] for x in out] for k, f in enumerate(("doc", "tx", "at", "after", "bytes"))}
+        for k in range(batch.num_rows):
+            raw, mine = batch["text"][k].as_py().encode("utf-8"), slice(bounds[k], bounds[k + 1])
+            out += [raw[x : x + CONTEXT] if right else raw[max(0, x - CONTEXT) : x] for x, right in zip(places[mine].tolist(), sides[mine].tolist(), strict=True)]
+        rows = pa.array(of)
+        return {"o_doc": batch["doc_id"].take(rows), "o_tx": batch["tx"].take(rows), "o_at": at, "after": after, "bytes": pa.array(out, pa.binary())}
 
-    return map_batches(found.select("doc_id", "tx", "text", "want"), one, "doc long, tx long, at int, after boolean, bytes binary")
+    return map_batches(found.select("doc_id", "tx", "text", "want"), one, "o_doc long, o_tx long, o_at int, after boolean, bytes binary")
 
 
 def _same(a: bytes, b: bytes) -> int:
@@ -243,19 +248,30 @@ def _same(a: bytes, b: bytes) -> int:
 _SPACE = frozenset(b" \t\n\x0b\x0c\r")
 
 
+def _whole(mine: bytes, other: bytes) -> int:
+    """Length of the common start; a word that ends there in one text but goes on in the other isn't common."""
+    n = _same(mine, other)
+    if (n == len(mine) or mine[n] in _SPACE) and n < len(other) and other[n] not in _SPACE:
+        while n and mine[n - 1] not in _SPACE:
+            n -= 1
+    return n
+
+
 def passages(raw: bytes, runs: list[dict], min_words: int = MIN_WORDS, min_bytes: int = MIN_BYTES) -> tuple[list[dict], list[int]]:
-    """(spans, originals' documents) of the repeats: runs with their true ends, in whole words, joined where they meet."""
-    spans: list[list] = []
+    """(spans, originals' documents) of the repeats: runs with their true ends, in whole words. Runs of one original are one
+    where they meet; each passage must be long enough by itself."""
+    of_original: dict[tuple, list[list[int]]] = {}
     for r in sorted(runs, key=lambda r: r["begin"]):
-        a = r["begin"] - _same(raw[: r["begin"]][-CONTEXT:][::-1], (r["before"] or b"")[::-1])
-        b = r["end"] + _same(raw[r["end"] : r["end"] + CONTEXT], r["after"] or b"")
-        if spans and a <= spans[-1][1]:
-            spans[-1][1] = max(spans[-1][1], b)
-            spans[-1][2].update(r["firsts"])
+        before, after = raw[: r["begin"]][-CONTEXT:][::-1], raw[r["end"] : r["end"] + CONTEXT]
+        a = r["begin"] - _whole(before, (r["before"] or b"")[::-1])
+        b = r["end"] + _whole(after, r["after"] or b"")
+        mine = of_original.setdefault((r["doc"], r["tx"], r["off"]), [])
+        if mine and a <= mine[-1][1]:
+            mine[-1][1] = max(mine[-1][1], b)
         else:
-            spans.append([a, b, set(r["firsts"])])
+            mine.append([a, b])
     out, firsts = [], set()
-    for a, b, docs in spans:
+    for (doc, *_), a, b in [(key, a, b) for key, spans in of_original.items() for a, b in spans]:
         # Words that are only in part the same stay, unless the passage is one long word; then whole characters count.
         x, y = a, b
         while 0 < x < y and raw[x - 1] not in _SPACE and raw[x] not in _SPACE:
@@ -269,19 +285,26 @@ def passages(raw: bytes, runs: list[dict], min_words: int = MIN_WORDS, min_bytes
             while 0 < y < len(raw) and raw[y] & 0xC0 == 0x80:
                 y -= 1
         if y - x >= min_bytes or len(raw[x:y].split()) >= min_words:
-            out.append({"begin": x, "end": y})
-            firsts |= docs
-    return out, sorted(firsts)
+            out.append((x, y))
+            firsts.add(doc)
+    joined: list[dict] = []
+    for x, y in sorted(out):
+        if joined and x <= joined[-1]["end"]:
+            joined[-1]["end"] = max(joined[-1]["end"], y)
+        else:
+            joined.append({"begin": x, "end": y})
+    return joined, sorted(firsts)
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """doc_id, tx, runs: for the documents (told_apart) that have chunks which are copies, with the bytes beside the originals."""
     runs = materialize(_runs(chunk_copies(docs)), "runs-of-copies")
     beside = materialize(_contexts(docs, runs), "contexts")
-    for s, name in (("l", "before"), ("r", "after")):
-        c = beside.filter(F.col("after") == (s == "r")).select(*[F.col(f).alias(f"{s}_{f}") for f in ("doc", "tx", "at")], F.col("bytes").alias(name))
-        runs = runs.join(c, [f"{s}_doc", f"{s}_tx", f"{s}_at"], "left")
-    return runs.groupBy(F.col("doc").alias("doc_id"), "tx").agg(F.collect_list(F.struct("begin", "end", "firsts", "before", "after")).alias("runs"))
+    for after, name in ((False, "before"), (True, "after")):
+        c = beside.filter(F.col("after") == after).select("o_doc", "o_tx", "o_at", F.col("bytes").alias(name))
+        runs = _beside(runs, after).join(c, ["o_doc", "o_tx", "o_at"], "left").drop("o_doc", "o_tx", "o_at")
+    run = F.struct("begin", "end", F.col("first_doc").alias("doc"), F.col("first_tx").alias("tx"), "off", "before", "after")
+    return runs.groupBy(F.col("doc").alias("doc_id"), "tx").agg(F.collect_list(run).alias("runs"))
 
 
 def cut_out(text: str, spans: list[dict]) -> str:

@@ -254,28 +254,58 @@ def test_repeated_passages(spark, docs, empty):
     assert substrings.dedup_substrings(empty).count() == 0
 
 
-def test_chunks_by_brute_force(spark):
-    """Copies, runs and spans of many overlapping texts against a plain model over the same chunks."""
+def repeated_words(texts, least=50):
+    """For each text, its words that stand in a stretch of so many which has occurred before: in an earlier text, or earlier in it."""
+    seen, out = set(), {}
+    for i, t in sorted(texts.items()):
+        w = t.split()
+        hit = set()
+        for k in range(len(w) - least + 1):
+            window = tuple(w[k : k + least])
+            if window in seen:
+                hit.update(range(k, k + least))
+            seen.add(window)
+        out[i] = hit
+    return out
+
+
+def removed_words(text, spans):
+    at, out = 0, set()
+    raw = text.encode()
+    for k, w in enumerate(text.split()):
+        begin = raw.index(w.encode(), at)
+        at = begin + len(w.encode())
+        if any(s["begin"] <= begin and at <= s["end"] for s in spans):
+            out.add(k)
+    return out
+
+
+def test_passages_by_brute_force(spark):
+    """No word goes that isn't in a repeat of 50 words; passages of 51 words go whole, however short their words and whatever
+    originals stand side by side."""
     g, text = random.Random(8), word_maker(9)
+    tiny = lambda n: " ".join(g.choice("abcdefgh") + g.choice(["", "o", "i", "en"]) for _ in range(n))
+    texts = {}
+    thirty = [text(30) for _ in range(24)]
+    for k, p in enumerate(thirty):
+        texts[k] = f"{text(20)} {p} {text(20)}"
+    for k in range(20):  # four passages of 30 words, each from another text: nothing here repeats 50 words
+        texts[100 + k] = " ".join(g.sample(thirty, 4))
+    passages = [(text if k % 2 else tiny)(51) for k in range(200)]
+    for k, p in enumerate(passages):
+        texts[1000 + k] = f"{text(9)} {p} {text(9)}"
+        texts[3000 + k] = f"{text(12)} {p} {g.choice(thirty)} {text(7)}"
     pool = [text(n) for n in (60, 80, 55, 70)]
-    texts = {i: " ".join(g.choice([*pool, text(20), text(9)]) for _ in range(4)) for i in range(30)}
-    seen, want = {}, {}
-    for i, t in sorted(texts.items()):
-        raw = t.encode()
-        ends = substrings.cut_places(np.frombuffer(raw, np.uint8)).tolist()
-        copies = []
-        for a, b in itertools.pairwise([0, *ends]):
-            first = seen.setdefault(raw[a:b], (i, 0, a))
-            if first != (i, 0, a):
-                copies.append({"at": a, "size": b - a, "first_doc": first[0], "first_tx": 0, "first_at": first[2]})
-        runs = substrings.runs_of(copies)
-        for r in runs:
-            (d, _, k), (e, _, m) = r["left"], r["right"]
-            r["before"], r["after"] = texts[d].encode()[max(0, k - substrings.CONTEXT) : k], texts[e].encode()[m : m + substrings.CONTEXT]
-        want[i] = substrings.passages(raw, runs)
+    for k in range(30):
+        texts[5000 + k] = " ".join(g.choice([*pool, text(20), text(9), g.choice(thirty)]) for _ in range(4))
+    texts[6000] = f"{pool[0]} {text(5)} {pool[0]}"
     got = by_id(substrings.dedup_substrings(spark.createDataFrame(fixture(texts.items()), SCHEMA).repartition(3)))
-    assert {i: ([s.asDict() for s in r["spans"]], r["first_doc_ids"]) for i, r in got.items()} == want
-    assert sum(r["has_repeats"] for r in got.values()) > 20
+    want = repeated_words(texts)
+    gone = {i: removed_words(texts[i], r["spans"]) for i, r in got.items()}
+    assert all(gone[i] <= want[i] for i in texts)
+    assert all(want[3000 + k] == gone[3000 + k] and len(gone[3000 + k]) >= 51 for k in range(200))
+    assert not any(got[100 + k]["has_repeats"] for k in range(20))
+    assert sum(len(x) for x in gone.values()) >= 0.97 * sum(len(x) for x in want.values())
 
 
 def test_ids_with_several_texts(spark):
@@ -351,13 +381,14 @@ def test_keys_of_variants():
         a = g.randrange(0, len(t) - 1)
         b = g.randrange(a + 1, len(t) + 1)
         part = t[a:b]
-        keys = lines.cuts(p, p.sums(t), a, b, 7).tolist()
+        one = np.array([1])
+        keys = lines.Sums(p, ["before", t, "after"]).cuts(one, one * a, one * b, one * 7)[0].tolist()
         for v, k in zip([part[:i] + part[i + 1 :] for i in range(len(part))] + [part], keys, strict=True):
             assert seen.setdefault(v, k) == k
     assert len(set(seen.values())) == len(seen)
     for t in ("abcdefgh", "abcdefghi"):
-        keys, rest = lines.halves(p, p.sums(t))
-        assert len(set(keys.tolist())) == 4 and [t[a:b] for a, b in rest] in (["efgh", "abcd", "defgh", "abcde"], ["efghi", "abcde", "efghi", "abcde"])
+        keys, begin, end = (x[1] for x in lines.Sums(p, ["x", t]).halves(np.arange(2)))
+        assert len(set(keys.tolist())) == 4 and [t[a:b] for a, b in zip(begin, end, strict=True)] in (["efgh", "abcd", "defgh", "abcde"], ["efghi", "abcde", "efghi", "abcde"])
 
 
 def test_lines_of_ids_with_several_texts(spark):
@@ -651,7 +682,7 @@ def test_words_made_to_collide(spark, n):
     one, two = thue_morse(n)
     assert len(set(HashedWords(pa.array([f"{one} {two} {one}"])).hashes.tolist())) == 2
     p = lines.powers(99)
-    assert p.sums(one)[:, -1].tolist() != p.sums(two)[:, -1].tolist() and not set(lines.halves(p, p.sums(one))[0].tolist()) & set(lines.halves(p, p.sums(two))[0].tolist())
+    assert not set.intersection(*map(set, lines.Sums(p, [one, two]).halves(np.arange(2))[0].tolist()))
     d = spark.createDataFrame(fixture([(1, f"one two three four {one}"), (2, f"one two three four {two}"), (3, f"one two three four {one}")]), SCHEMA)
     assert {i: r["component_id"] for i, r in by_id(ngrams.jaccard_components(d)).items()} == {1: 1, 2: 2, 3: 1}
     encoder = encode.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
