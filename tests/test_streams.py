@@ -22,24 +22,39 @@ def landed(spark, tmp_path_factory):
 
 
 def rows(df, cols):
-    return sorted(tuple(r[c] for c in cols) for r in df.collect())
+    return sorted((tuple(r[c] for c in cols) for r in df.collect()), key=repr)
 
 
 def test_hourly_counts(spark, landed):
     e, path = landed
     got = streams.run_once(streams.hourly_counts(streams.read_stream(spark, path, e.schema)), "hourly").filter("hour < '2029-01-01'")
     want = e.groupBy(F.date_trunc("hour", "occurred_at").alias("hour"), "zone", "crime_type").agg(F.count("*").alias("n"))
-    cols = ["hour", "zone", "n"]
+    cols = ["hour", "zone", "crime_type", "n"]
     assert rows(got, cols) == rows(want, cols)
 
 
-def test_dedup_and_score(spark, landed):
+def test_dedup_and_score(spark, landed, tmp_path):
     e, path = landed
-    got = streams.run_once(streams.deduplicated(streams.read_stream(spark, path, e.schema)), "dedup")
-    assert got.count() == e.count() + 1
+    for _ in range(2):  # every event twice, also inside a batch
+        spark.read.parquet(path).coalesce(1).write.mode("append").parquet(f"{tmp_path}/twice")
+    got = streams.run_once(streams.deduplicated(streams.read_stream(spark, f"{tmp_path}/twice", e.schema, files_per_batch=2)), "dedup")
+    assert rows(got, ["event_id"]) == rows(spark.read.parquet(path), ["event_id"])
     model = rates.fit_poisson(e)
     scored = streams.run_once(streams.score_stream(streams.read_stream(spark, path, e.schema), model), "scored")
-    assert scored.filter("event_id <> 'ev_last' and rate < 0.5").count() == 0
+    want = rates.bucketed(spark.read.parquet(path)).join(model.select(*rates.BUCKET, "rate"), rates.BUCKET, "left").fillna(rates.PRIOR_RATE, ["rate"])
+    assert rows(scored, ["event_id", "rate"]) == rows(want, ["event_id", "rate"]) and want.filter(F.col("rate") == rates.PRIOR_RATE).count()
+
+
+def test_idle_zones_leave_the_state(spark, landed, tmp_path):
+    e, path = landed
+    was = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        query = streams.run_batches(streams.live_escalation(streams.read_stream(spark, path, e.schema)), f"{tmp_path}/out", f"{tmp_path}/c")
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", was)
+    sizes = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(sizes) > 20 and sizes[-1] <= 4  # the far later row's zone alone: its count and its timer
 
 
 def test_split(spark, landed, tmp_path):
