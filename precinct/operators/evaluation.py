@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from precinct import fixed
 from precinct.blocks.ranks import global_cumulate
+from precinct.blocks.shared import materialize
 
 EPS = 1e-15
 
@@ -90,13 +93,42 @@ def calibration(df: DataFrame, bins: int = 10) -> DataFrame:
     return one.crossJoin(F.broadcast(more)).withColumn("status", F.when(e < 0.05, "EXCELLENT").when(e < 0.10, "GOOD").when(e < 0.20, "FAIR").otherwise("POOR"))
 
 
-def isotonic(df: DataFrame) -> DataFrame:
-    """id, pred, calibrated: Spark's isotonic regression, which pools equal predictions."""
-    from pyspark.ml.regression import IsotonicRegression
+def _pooled(rows: pd.DataFrame) -> pd.DataFrame:
+    """Blocks (part, low, s, n) with non-decreasing means s / n, of blocks in the order of low."""
+    low, s, n = [], [], []
+    for x, y, k in rows.sort_values("low")[["low", "s", "n"]].itertuples(index=False):
+        while s and s[-1] * k >= y * n[-1]:  # a mean that isn't below the next one joins it
+            y, k, x = y + s.pop(), k + n.pop(), low.pop()
+        low.append(x)
+        s.append(y)
+        n.append(k)
+    return pd.DataFrame({"part": np.full(len(low), rows["part"].iloc[0]), "low": low, "s": s, "n": n})
+
 
-    data = df.select("id", F.col("pred"), F.col("y").cast("double").alias("label"))
-    model = IsotonicRegression(featuresCol="pred", labelCol="label", predictionCol="calibrated").fit(data)
-    return model.transform(data).select("id", "pred", "calibrated")
+def isotonic(df: DataFrame) -> DataFrame:
+    """id, pred, calibrated: the non-decreasing function of pred with the least squared error; equal predictions are one.
+
+    Violators are pooled in ranges of pred, then the ranges' blocks are merged two by two, so a task holds blocks, of which few are
+    left where values scatter. A prediction's block is the last that begins at or below it: blocks rise, so that is a
+    running maximum over ranges, not a join by ranges. Rows without pred are left out; of none, none come out."""
+    spark = df.sparkSession
+    data = df.filter("pred is not null").groupBy("pred").agg(F.sum(F.col("y").cast("double")).alias("s"), F.count("*").cast("double").alias("n"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(data.repartitionByRange(parts, "pred").withColumn("part", F.spark_partition_id()), "predictions-by-range")
+    blocks = ranged.select(F.col("part").cast("long"), F.col("pred").cast("double").alias("low"), "s", "n")
+    while True:
+        blocks = materialize(blocks.groupBy("part").applyInPandas(_pooled, "part long, low double, s double, n double"), "isotonic-blocks")
+        if parts <= 1:
+            break
+        parts = (parts + 1) // 2
+        blocks = blocks.withColumn("part", F.floor(F.col("part") / 2).cast("long"))
+    begun = ranged.join(blocks.select(F.col("low").alias("pred"), (F.col("s") / F.col("n")).alias("value")), "pred", "left")
+    tops = begun.groupBy("part").agg(F.max("value").alias("top"))
+    before = F.max("top").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # over a row a range
+    carried = tops.select("part", before.alias("carried"))
+    inside = F.max("value").over(Window.partitionBy("part").orderBy("pred").rowsBetween(Window.unboundedPreceding, 0))
+    value = begun.withColumn("inside", inside).join(F.broadcast(carried), "part").select("pred", F.coalesce(F.greatest("inside", "carried"), "inside", "carried").alias("calibrated"))
+    return df.select("id", "pred").join(value, "pred").select("id", "pred", "calibrated")
 
 
 def pool_adjacent(values: list[float]) -> list[float]:
