@@ -435,7 +435,9 @@ def back_substituted(root: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class FourierProcess:
-    """Squared-exponential regression of y on (x1, x2): features are fixed by a seed, one pass adds up the Gram matrix."""
+    """Squared-exponential regression of y on (x1, x2): features are fixed by a seed, one pass adds up the Gram matrix.
+
+    After fit, log_likelihood is log p(y) under the model: by the determinant lemma it takes the same factor of features x features."""
 
     def __init__(self, length: float = 1.0, scale: float = 1.0, noise: float = 0.1, features: int = 256, seed: int = 42):
         g = np.random.default_rng(seed)
@@ -449,17 +451,27 @@ class FourierProcess:
         phi, d = self.phi, self.d
 
         def gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros((d, d + 1))
+            total = np.zeros((d + 1, d + 1))  # the last row: number and squares of y
             for pdf in batches:
-                f = phi(pdf)
-                total += np.concatenate([f.T @ f, (f.T @ pdf["y"].to_numpy())[:, None]], axis=1)
-            yield pd.DataFrame({"row": range(d), "value": list(total)})
+                f, y = phi(pdf), pdf["y"].to_numpy()
+                total[:d] += np.concatenate([f.T @ f, (f.T @ y)[:, None]], axis=1)
+                total[d, :2] += len(y), y @ y
+            yield pd.DataFrame({"row": range(d + 1), "value": list(total)})
 
         rows = df.select("x1", "x2", "y").mapInPandas(gram, "row int, value array<double>").select("row", F.posexplode("value").alias("col", "v")).groupBy("row", "col").agg(F.sum("v").alias("v")).toPandas()
-        m = np.zeros((d, d + 1))
+        m = np.zeros((d + 1, d + 1))
         m[rows["row"], rows["col"]] = rows["v"]
-        self.root = cholesky(m[:, :d] + self.noise**2 * np.eye(d))
-        self.mean = back_substituted(self.root, substituted(self.root, m[:, d]))
+        self.n, self.squares, self.gram = int(m[d, 0]), m[d, 1], m[:d]
+        return self.with_noise(self.noise)
+
+    def with_noise(self, noise: float) -> FourierProcess:
+        """The fit under another noise, from the same Gram matrix."""
+        self.noise, d = noise, self.d
+        self.root = cholesky(self.gram[:, :d] + noise**2 * np.eye(d))
+        self.mean = back_substituted(self.root, substituted(self.root, self.gram[:, d]))
+        fitted = self.squares - self.gram[:, d] @ self.mean
+        determinant = 2 * np.log(np.diag(self.root)).sum() + (self.n - d) * math.log(noise**2)
+        self.log_likelihood = -0.5 * (fitted / noise**2 + determinant + self.n * math.log(2 * math.pi))
         return self
 
     def predict(self, df: DataFrame, key: str) -> DataFrame:
@@ -471,3 +483,17 @@ class FourierProcess:
                 yield pd.DataFrame({key: pdf[key], "mean": f @ mean, "variance": noise**2 * (substituted(root, f.T) ** 2).sum(0)})
 
         return df.select(key, "x1", "x2").mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, mean double, variance double")
+
+
+def choose_kernel(df: DataFrame, lengths: list[float], noises: list[float], features: int = 256) -> tuple[FourierProcess, list[tuple[float, float, float]]]:
+    """The process of the greatest log marginal likelihood, fitted, and (length, noise, log likelihood) of all that were tried. A
+    length takes a pass over df; noises take none. Of equal ones the first wins."""
+    tried, best = [], None
+    for length in lengths:
+        process = FourierProcess(length, features=features).fit(df)
+        for noise in noises:
+            value = process.with_noise(noise).log_likelihood
+            if best is None or value > max(t[2] for t in tried):
+                best = (process, noise)
+            tried.append((length, noise, float(value)))
+    return best[0].with_noise(best[1]), tried

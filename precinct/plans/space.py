@@ -223,6 +223,15 @@ def a17_gaussian_process(spark, sf):
     return rounded(surfaces.FourierProcess(length=0.1).fit(d).predict(d, "seq"), 4)
 
 
+@R("a17_kernel_choice")
+def a17_kernel_choice(spark, sf):
+    """Log marginal likelihood of each length and noise tried, and which is the greatest."""
+    d = crime_events(spark, sf).filter("lat is not null").select("seq", F.col("lat").alias("x1"), F.col("lon").alias("x2"), (F.col("value") / 500).alias("y"))
+    best, tried = surfaces.choose_kernel(d, [0.03, 0.1, 0.3], [0.1, 0.3, 1.0], 64)
+    top = max(tried, key=lambda t: t[2])
+    return spark.createDataFrame([(length, noise, round(value, 3), (length, noise) == top[:2]) for length, noise, value in tried], "length double, noise double, log_likelihood double, best boolean")
+
+
 def ensemble(spark, sf):
     """Poisson and Hawkes parts of each dated, located burglary."""
     from precinct.plans.core import zoned

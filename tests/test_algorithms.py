@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -287,3 +288,22 @@ def test_empty_events(spark):
     e = events(spark, []).withColumns({"source": F.lit("x"), "suburb": F.lit("z"), "location_raw": F.lit("y"), "zone": F.lit("z")})
     assert quality.import_summary(quality.score_quality(e)).first()["total"] == 0
     assert rates.fit_poisson(e).count() == 0 and series.near_repeats(e).count() == 0
+
+
+def test_likelihood_of_the_process(spark):
+    """Exact for the kernel that the features stand for, and within one in a hundred of the squared-exponential one at n = 200."""
+    g = np.random.default_rng(5)
+    x = g.uniform(0, 3, (200, 2))
+    y = np.sin(2 * x[:, 0]) + g.normal(0, 0.2, 200)
+    df = spark.createDataFrame([(float(a), float(b), float(c)) for (a, b), c in zip(x, y, strict=True)], "x1 double, x2 double, y double").repartition(3)
+
+    def exact(k):
+        return -0.5 * (y @ np.linalg.solve(k, y) + np.linalg.slogdet(k)[1] + 200 * math.log(2 * math.pi))
+
+    process = surfaces.FourierProcess(1.0, noise=0.2, features=1500).fit(df)
+    f = process.phi(pd.DataFrame(x, columns=["x1", "x2"]))
+    assert math.isclose(process.log_likelihood, exact(f @ f.T + 0.04 * np.eye(200)), rel_tol=1e-7)
+    smooth = exact(np.exp(-((x[:, None] - x[None]) ** 2).sum(2) / 2) + 0.04 * np.eye(200))
+    assert abs(process.log_likelihood - smooth) <= 0.01 * 200
+    best, tried = surfaces.choose_kernel(df, [0.3, 1.0, 5.0], [0.2, 2.0], 300)
+    assert len(tried) == 6 and best.noise == 0.2 and best.log_likelihood == max(t[2] for t in tried)
