@@ -201,3 +201,18 @@ def feedback_loop(trend: DataFrame, limit: float = 0.01) -> DataFrame:
     return g.withColumn("feedback", (F.col("n") >= 2) & (F.col("slope_pred") > limit) & (F.col("slope_actual") <= limit))
 
 
+#: Fewest train and test events of a month holdout: for calibration, and for a surface.
+HOLDOUT_LEAST, SURFACE_LEAST = (20, 10), (50, 20)
+
+
+def month_part(at: Column, last_train: int = 4) -> Column:
+    """train up to that month of any year, test after it, undated without a date."""
+    return F.when(at.isNull(), "undated").when(F.month(at) <= last_train, "train").otherwise("test")
+
+
+def month_holdout(events: DataFrame, at: str = "occurred_at", least: tuple[int, int] = HOLDOUT_LEAST) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(train, test, sizes): sizes is one row of train, test, undated and whether there are enough of the first two."""
+    marked = events.withColumn("_part", month_part(F.col(at)))
+    of = lambda name: marked.filter(F.col("_part") == name).drop("_part")
+    sizes = marked.agg(*[F.count_if(F.col("_part") == name).alias(name) for name in ("train", "test", "undated")])
+    return of("train"), of("test"), sizes.withColumn("enough", (F.col("train") >= least[0]) & (F.col("test") >= least[1]))

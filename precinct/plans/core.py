@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from precinct.functions import geo, time
-from precinct.operators import quality, rates, store
+from precinct.operators import evaluation, quality, rates, store
 from precinct.plans.base import Register, rounded
 from precinct.plans.fixtures import CE, crime_events, table
 
@@ -331,6 +331,17 @@ def w15_holdout_split(spark, sf):
     return crime_events(spark, sf).groupBy(part.alias("part")).agg(F.count("*").alias("n"))
 
 
+@R("w15_holdout", """WITH o AS (SELECT o_orderpriority AS zone, CASE WHEN o_orderkey % 50 <> 0 THEN o_orderdate END AS d FROM orders), p AS (SELECT zone, CASE WHEN d IS NULL THEN 'undated' WHEN month(d) <= 4 THEN 'train' ELSE 'test' END AS part FROM o),
+s AS (SELECT count(*) FILTER (part = 'train') AS train, count(*) FILTER (part = 'test') AS test, count(*) FILTER (part = 'undated') AS undated, count(*) FILTER (part = 'train') >= 20 AND count(*) FILTER (part = 'test') >= 10 AS enough FROM p)
+SELECT part, zone, count(*) AS n, s.* FROM p, s WHERE part <> 'undated' GROUP BY ALL""")
+def w15_holdout(spark, sf):
+    """January to April against the later months, of orders of several years; some have no date."""
+    dated = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("zone"), F.when(F.col("o_orderkey") % 50 != 0, F.col("o_orderdate")).alias("d"))
+    train, test, sizes = evaluation.month_holdout(dated, "d")
+    parts = train.withColumn("part", F.lit("train")).union(test.withColumn("part", F.lit("test")))
+    return parts.groupBy("part", "zone").agg(F.count("*").alias("n")).crossJoin(F.broadcast(sizes))  # one row
+
+
 @R("w16_badge", f"WITH {CE}, {Q} SELECT CASE WHEN quality_score >= 0.7 THEN 'High' WHEN quality_score >= 0.4 THEN 'Med' ELSE 'Low' END AS badge, count(*) AS n FROM q GROUP BY 1")
 def w16_badge(spark, sf):
     q = F.col("quality_score")
