@@ -155,13 +155,19 @@ def a12_area_fraction(spark, sf):
     return rounded(surfaces.area_fraction(surfaces.kde(crime_events(spark, sf), 20)))
 
 
-@R("j05_holdout_grid", f"""WITH {_KDE}, t AS (SELECT ce.lat, ce.lon, floor((ce.lat + 1e-9::DOUBLE - 51.3) / 0.02) AS r, floor((ce.lon + 1e-9::DOUBLE + 0.5) / 0.04) AS c FROM ce WHERE ce.lat IS NOT NULL AND day(occurred_at) > 15 AND ce.lat < 51.69999 AND ce.lon < 0.29999), h AS (SELECT r, c, count(*) AS hits FROM t GROUP BY ALL)
+_HEIGHT, _WIDTH = (51.7 - 51.3) / 20, (0.3 + 0.5) / 20
+_BOTH = "CASE WHEN {0} = floor({0}) THEN [floor({0}) - 1, floor({0})] ELSE [floor({0})] END"
+
+
+@R("j05_holdout_grid", f"""WITH {_KDE}, t AS (SELECT (lat - 51.3::DOUBLE) / {_HEIGHT!r}::DOUBLE AS y, (lon - -0.5::DOUBLE) / {_WIDTH!r}::DOUBLE AS x FROM (SELECT lat, lon FROM ce WHERE lat IS NOT NULL AND day(occurred_at) > 15 UNION ALL SELECT 51.3::DOUBLE + {_HEIGHT!r}::DOUBLE * (seq % 21), -0.5::DOUBLE + {_WIDTH!r}::DOUBLE * (seq % 20) + 0.01::DOUBLE FROM ce)),
+u AS (SELECT x, unnest({_BOTH.format("y")}) AS r FROM t), v AS (SELECT r, unnest({_BOTH.format("x")}) AS c FROM u), h AS (SELECT r, c, count(*) AS hits FROM v GROUP BY ALL)
 SELECT CAST(row AS INT) AS row, CAST(col AS INT) AS col, coalesce(hits, 0) AS hits, CAST((hits IS NOT NULL) AS INT) AS y FROM kd LEFT JOIN h ON r = row AND c = col""")
 def j05_holdout_grid(spark, sf):
-    """Test events in the cells of a grid, none of them exactly on an edge here (offsets are shifted off them)."""
+    """Test events in the cells of a grid, and as many points on the grid's own lines, which belong to the cells on both sides."""
     e = crime_events(spark, sf)
-    test = e.filter("day(occurred_at) > 15 and lat < 51.69999 and lon < 0.29999").select((F.col("lat") + 1e-9).alias("lat"), (F.col("lon") + 1e-9).alias("lon"))
-    return surfaces.grid_hits(surfaces.kde(e, 20), test, 20, (51.3, 51.7, -0.5, 0.3)).select("row", "col", "hits", "y")
+    test = e.filter("day(occurred_at) > 15").select("lat", "lon")
+    on_lines = e.select((F.lit(51.3) + F.lit(_HEIGHT) * (F.col("seq") % 21)).alias("lat"), (F.lit(-0.5) + F.lit(_WIDTH) * (F.col("seq") % 20) + F.lit(0.01)).alias("lon"))
+    return surfaces.grid_hits(surfaces.kde(e, 20), test.union(on_lines), 20, (51.3, 51.7, -0.5, 0.3)).select("row", "col", "hits", "y")
 
 
 _TAPS = ", ".join(f"({k - 5}, {float(w)!r}::DOUBLE)" for k, w in enumerate(surfaces._taps(1.5)))
