@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import itertools
 import os
 from collections.abc import Callable, Iterator
@@ -15,6 +16,9 @@ from pyspark.sql.types import StructType
 
 from precinct.blocks.shared import hinted, materialize
 
+# Freed buffers go back to the system at once: workers live on from stage to stage.
+pa.set_memory_pool(pa.system_memory_pool())
+
 #: Byte table that lower-cases A-Z and leaves all else alone.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: As LOWER, and every ASCII byte that is neither letter nor digit becomes a space.
@@ -106,10 +110,17 @@ def map_batches(df: DataFrame, one: Callable[[pa.RecordBatch], Iterator[dict] |
                     made = one(piece)
                     for columns in [made] if isinstance(made, dict) else made:
                         yield pa.RecordBatch.from_arrays([as_arrow(columns[f.name], f.type) for f in arrow], schema=arrow)
+        trimmed()
 
     return df.mapInArrow(run, spark_schema)
 
 
+def trimmed() -> None:
+    """Hand free memory back to the system (where the C library can): workers live on from stage to stage."""
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def as_arrow(x, kind: pa.DataType) -> pa.Array:
     if isinstance(x, pa.Array):
         return x if x.type == kind else x.cast(kind)
