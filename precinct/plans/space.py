@@ -239,10 +239,10 @@ def a17_kernel_choice(spark, sf):
 
 
 def ensemble(spark, sf):
-    """Poisson and Hawkes parts of each dated, located burglary."""
+    """Poisson and Hawkes parts of each dated, located event."""
     from precinct.plans.core import zoned
 
-    z = zoned(spark, sf).filter("occurred_at is not null and lat is not null and crime_type = 'burglary'")
+    z = zoned(spark, sf).filter("occurred_at is not null and lat is not null")
     rows = rates.bucketed(z).select(F.col("seq").alias("id"), *rates.BUCKET)
     e = hawkes_events(spark, sf)
     h = surfaces.hawkes_intensity(e, e, 0.1, 0.3, 0.5, 0.01).select("id", "intensity")
