@@ -41,7 +41,9 @@ PERCENT = 75
 #: Frequent tokens that the order knows; the others count as rare. A hint of bounded size, not a limit on results.
 KNOWN = 1_000_000
 #: Hashes a task holds when it counts frequent tokens, and prefix tokens when it deals them out.
-BLOCK, DEALT = 2_000_000, 400_000
+BLOCK, DEALT = 500_000, 200_000
+#: Text bytes that a task turns into shingles at a time: their numbers take some fifteen times as much.
+PIECE = 1_000_000
 #: Prefix tokens of a bucket, in which tokens meet: what a task handles at a time.
 BUCKET = 200_000
 MAX_EXTRA = 2
@@ -98,7 +100,7 @@ def _survey(docs: DataFrame, seed: int) -> DataFrame:
             return rows(token=every[at[often]].view(np.int64), seen=count[often])
 
         for b in batches:
-            for piece in slices(b):
+            for piece in slices(b, PIECE):
                 sets = shingle_sets(piece["text"], seed)
                 digests = [_digest(s) for s in sets]
                 for s, d in zip(sets, digests, strict=True):
@@ -156,7 +158,7 @@ def _dealt(docs: DataFrame, known: np.ndarray, seen: np.ndarray, buckets: int, s
             return deal(target, {"low": low, "high": bucket, "doc": doc, "n": n, "need": need, "pos": pos}, FIELDS)
 
         for b in batches:
-            for piece in slices(b):
+            for piece in slices(b, PIECE):
                 for d, s in zip(piece["doc_id"].to_pylist(), shingle_sets(piece["text"], seed), strict=True):
                     if len(s):
                         at = np.minimum(np.searchsorted(known, s), max(len(known) - 1, 0))
@@ -250,7 +252,7 @@ def verified_links(docs: DataFrame, pairs: DataFrame, seed: int) -> DataFrame:
         found = shingle_sets(batch["text"], seed)
         return {"doc": batch["doc_id"], "items": [packed(s, "<u8") for s in found], "low": [packed(np.sort(s.astype(np.uint16)), "<u2") for s in found]}
 
-    items = materialize(map_batches(docs.join(hinted(ids), "doc_id", "left_semi"), sets, "doc long, items binary, low binary"), "candidate-sets")
+    items = materialize(map_batches(docs.join(hinted(ids), "doc_id", "left_semi"), sets, "doc long, items binary, low binary", PIECE), "candidate-sets")
     likely = materialize(_compared(pairs, items, "low", "<u2", overlap_bound), "likely-pairs")
     return _compared(likely, items, "items", "<u8", lambda x, y: len(np.intersect1d(x, y, assume_unique=True)))
 
