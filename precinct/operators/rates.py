@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -36,27 +38,40 @@ def fit_poisson(events: DataFrame, kind: Column | None = None, exposure: str = "
     return out.select(*BUCKET, "n_days", mean.alias("rate"), var.alias("variance"), r.alias("r"), F.when(over, mean / (mean + r)).alias("p"))
 
 
-def _ppf(start: np.ndarray, ratio, target: float, fallback: np.ndarray) -> np.ndarray:
-    """Smallest k < 10,000 with CDF >= target; probabilities follow by ratio(k) from start = P(0)."""
-    prob, cdf, out = start.copy(), start.copy(), np.full(len(start), -1.0)
-    out[cdf >= target] = 0
-    for k in range(1, 10_000):
-        open_ = out < 0
-        if not open_.any():
-            break
-        prob = prob * ratio(k)
-        cdf = cdf + prob
-        out[open_ & (cdf >= target)] = k
-    return np.where(out < 0, fallback, out)
+def _ppf(start: float, log_first, log_ratio, mean: float, spread: float, target: float) -> float:
+    """Smallest k with CDF >= target < 1. Terms are added from far below the mean, where what lies before counts for nothing, as
+    P(0) of a large mean is no number: log_first(k) is log P(k), log_ratio(k) those of P(k) / P(k - 1)."""
+    k, width, below = start, int(8 * spread) + 64, 0.0
+    log = log_first(k)
+    while True:
+        logs = np.concatenate([[log], log + np.cumsum(log_ratio(np.arange(k + 1, k + width)))])
+        cdf = below + np.cumsum(np.exp(logs))
+        at = int(np.searchsorted(cdf, target))
+        if at < width:
+            return float(k + at)
+        if logs[-1] < -745 and k + width > mean:  # nothing comes any more: the rest is rounding
+            return float(k + int(np.argmax(cdf)))
+        below, log, k = cdf[-1], logs[-1] + float(log_ratio(np.array([k + width]))[0]), k + width
+
+
+def _quantile(start_log, ratio, mean: float, variance: float, target: float) -> float:
+    spread = math.sqrt(variance)
+    return _ppf(max(0, math.floor(mean - 12 * spread)), start_log, lambda k: np.log(ratio(k)), mean, spread, target)
 
 
 def poisson_quantiles(rate: np.ndarray, target: float) -> np.ndarray:
-    return _ppf(np.exp(-rate), lambda k: rate / k, target, rate + 10 * np.sqrt(np.maximum(rate, 0)))
+    """For each distinct rate once."""
+    each, of = np.unique(rate, return_inverse=True)
+    log_first = lambda m: lambda k: k * math.log(m) - m - math.lgamma(k + 1)
+    return np.array([_quantile(log_first(m), lambda k, m=m: m / k, m, m, target) if m > 0 else 0.0 for m in each.tolist()])[of]
 
 
 def negbin_quantiles(r: np.ndarray, p: np.ndarray, target: float) -> np.ndarray:
     """Counts with P(k) = C(k+r-1, k) p^k (1-p)^r."""
-    return _ppf((1 - p) ** r, lambda k: p * (k - 1 + r) / k, target, r * p / (1 - p))
+    each, of = np.unique(np.stack([r, p]), axis=1, return_inverse=True)
+    log_first = lambda r, p: lambda k: math.lgamma(k + r) - math.lgamma(k + 1) - math.lgamma(r) + r * math.log1p(-p) + k * math.log(p)
+    found = [_quantile(log_first(r, p), lambda k, r=r, p=p: p * (k - 1 + r) / k, r * p / (1 - p), r * p / (1 - p) ** 2, target) for r, p in each.T.tolist()]
+    return np.array(found)[of.reshape(-1)]
 
 
 @F.pandas_udf(DoubleType())
