@@ -240,46 +240,61 @@ def _window(beta: float) -> float:
     return min(20 / beta, 90.0)
 
 
-#: Events of a block: what a task compares with another block at a time.
+#: Events that a task compares one by one with as many others; of longer runs, those that come whole after others are summed up by place.
 BLOCK_EVENTS = 2000
+#: Blocks of all events: each goes to one pair with every other, so what pairs carry grows with the events, not with their square ...
+BLOCKS = 24
+#: ... up to blocks of so many events, which is what a task holds twice.
+MOST_EVENTS = 1_000_000
+#: Places compared at a time.
+TILE = 250, 1000
 
 
 def _blocks(events: DataFrame, side: str) -> DataFrame:
-    """Events packed in blocks of bounded size that follow each other in time: block, t0, t1 and the events as arrays."""
+    """Events packed in blocks of equal size that follow each other in time: block, t0, t1 and the events as arrays."""
     e = events.select("id", F.col("t").cast("double").alias("t"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
     ranked = global_cumulate(e, [F.col("t"), F.col("id")], {}, "rank")
-    block = F.floor((F.col("rank") - 1) / BLOCK_EVENTS).alias(f"{side}_block")
+    size = min(max(-(-events.count() // BLOCKS), BLOCK_EVENTS), MOST_EVENTS)
+    block = F.floor((F.col("rank") - 1) / size).alias(f"{side}_block")
     packed = ranked.groupBy(block).agg(F.min("t").alias(f"{side}_t0"), F.max("t").alias(f"{side}_t1"), F.array_sort(F.collect_list(F.struct("t", "id", "lat", "lon"))).alias(side))
     return materialize(packed, f"{side}-blocks")
 
 
-def _faded(late: tuple, early: tuple, candidates: list[tuple[float, float]], strict: bool) -> np.ndarray:
-    """Sums over two blocks, a row a candidate. Where a whole block comes first and lies in the window, exp(-beta dt) is a product of
-    a factor for each side, so places are compared once for all times at them."""
+def _whole(late: tuple, early: tuple, candidates: list[tuple[float, float]]) -> np.ndarray:
+    """Sums over events all of which come first and lie in the window: exp(-beta dt) is a product of a factor for each side, so
+    places are compared once for all times at them."""
+    (bt, _, by, bx), (at, _, ay, ax) = late, early
+    out = np.zeros((len(candidates), len(bt)))
+    u, of_late = np.unique(by + 1j * bx, return_inverse=True)
+    v, of_early = np.unique(ay + 1j * ax, return_inverse=True)
+    betas, sigmas = (list(dict.fromkeys(c[k] for c in candidates)) for k in (0, 1))
+    # weights at the earlier events' end, by place
+    held = np.stack([np.bincount(of_early, b * np.exp(-b * (at[-1] - at)), len(v)) for b in betas], axis=1)
+    sums = np.zeros((len(sigmas), len(u), len(betas)))
+    (uy, ux), (vy, vx) = ((np.ascontiguousarray(x.real), np.ascontiguousarray(x.imag)) for x in (u, v))
+    tiles = np.empty((3, *TILE))  # filled again and again: new memory for each step takes longer than the sums
+    for i in range(0, len(u), TILE[0]):
+        rows = slice(i, i + TILE[0])
+        for j in range(0, len(v), TILE[1]):
+            near = slice(j, j + TILE[1])
+            d2, dx, weight = tiles[:, : len(uy[rows]), : len(vy[near])]
+            np.square(np.subtract(uy[rows, None], vy[near], out=d2), out=d2)
+            d2 += np.square(np.subtract(ux[rows, None], vx[near], out=dx), out=dx)
+            for k, s in enumerate(sigmas):
+                np.divide(s * s, np.add(d2, s * s, out=weight), out=weight)
+                sums[k, rows] += weight @ held[near]
+    for k, (b, s) in enumerate(candidates):
+        out[k] = np.exp(-b * (bt - at[-1])) * sums[sigmas.index(s), of_late, betas.index(b)]
+    return out
+
+
+def _one_by_one(late: tuple, early: tuple, candidates: list[tuple[float, float]], strict: bool) -> np.ndarray:
+    """Sums over the pairs of two short runs of events."""
     (bt, bid, by, bx), (at, aid, ay, ax) = late, early
     out = np.zeros((len(candidates), len(bt)))
-    sigmas = list(dict.fromkeys(s for _, s in candidates))
-    whole = [k for k, (b, _) in enumerate(candidates) if at[-1] < bt[0] and bt[-1] - at[0] <= _window(b)]
-    part = [k for k in range(len(candidates)) if k not in whole]
-    if whole:
-        (uy, ux), of_late = np.unique(np.stack([by, bx]), axis=1, return_inverse=True)
-        (vy, vx), of_early = np.unique(np.stack([ay, ax]), axis=1, return_inverse=True)
-        betas = list(dict.fromkeys(candidates[k][0] for k in whole))
-        # weights at the earlier block's end, by place
-        held = np.stack([np.bincount(of_early.reshape(-1), b * np.exp(-b * (at[-1] - at)), len(vy)) for b in betas], axis=1)
-        for i in range(0, len(uy), 500):
-            rows = slice(i, i + 500)
-            d2 = (uy[rows, None] - vy) ** 2 + (ux[rows, None] - vx) ** 2
-            mine = np.flatnonzero((of_late.reshape(-1) >= i) & (of_late.reshape(-1) < i + 500))
-            for s in sigmas:
-                at_place = (s * s / (d2 + s * s)) @ held
-                for k in whole:
-                    if candidates[k][1] == s:
-                        b = candidates[k][0]
-                        out[k, mine] = np.exp(-b * (bt[mine] - at[-1])) * at_place[of_late.reshape(-1)[mine] - i, betas.index(b)]
-    for i in range(0, len(bt) if part else 0, 250):
+    for i in range(0, len(bt), 250):
         rows = slice(i, i + 250)
-        t, betas = bt[rows], {candidates[k][0] for k in part}
+        t, betas = bt[rows], {b for b, _ in candidates}
         reach = {b: (int(np.searchsorted(at, t[0] - _window(b))), int(np.searchsorted(at, t[-1], side="right"))) for b in betas}
         low, high = min(x for x, _ in reach.values()), max(x for _, x in reach.values())
         if low >= high:
@@ -287,7 +302,7 @@ def _faded(late: tuple, early: tuple, candidates: list[tuple[float, float]], str
         dt = t[:, None] - at[low:high]
         before = dt > 0 if strict else (dt > 0) | ((dt == 0) & (aid[low:high] < bid[rows, None]))
         d2 = (by[rows, None] - ay[low:high]) ** 2 + (bx[rows, None] - ax[low:high]) ** 2
-        near = {s: s * s / (d2 + s * s) for s in {candidates[k][1] for k in part}}
+        near = {s: s * s / (d2 + s * s) for s in {s for _, s in candidates}}
         for b in betas:
             cut = slice(reach[b][0] - low, reach[b][1] - low)
             inside = before[:, cut] & (dt[:, cut] <= _window(b))
@@ -296,19 +311,48 @@ def _faded(late: tuple, early: tuple, candidates: list[tuple[float, float]], str
             lead = b * (at[reach[b][0] : reach[b][1]] - t[0])
             products = lead.max() < 500  # else a factor would overflow
             fade = inside if products else np.where(inside, b * np.exp(-b * np.maximum(dt[:, cut], 0)), 0.0)
-            for k in part:
-                if candidates[k][0] == b:
-                    weighed = near[candidates[k][1]][:, cut] * fade
+            for k, (beta, s) in enumerate(candidates):
+                if beta == b:
+                    weighed = near[s][:, cut] * fade
                     out[k, rows] = np.exp(-b * (t - t[0])) * (weighed @ (b * np.exp(lead))) if products else weighed.sum(1)
     return out
 
 
+def _faded(late: tuple, early: tuple, candidates: list[tuple[float, float]], strict: bool) -> np.ndarray:
+    """Sums over two runs of events in the order of (t, id), a row a candidate. Runs are halved until all of one comes first and in
+    the window, or nothing does, or both are short."""
+    out = np.zeros((len(candidates), len(late[0])))
+    todo = [(0, len(late[0]), 0, len(early[0]), list(range(len(candidates))))]
+    while todo:
+        a, b, c, d, open_ = todo.pop()
+        mine, other = tuple(x[a:b] for x in late), tuple(x[c:d] for x in early)
+        (bt, bid), (at, aid) = mine[:2], other[:2]
+        if at[0] > bt[-1] or (strict and at[0] == bt[-1]):
+            continue
+        first = at[-1] < bt[0] or (not strict and at[-1] == bt[0] and aid[-1] < bid[0])
+        open_ = [k for k in open_ if bt[0] - at[-1] <= _window(candidates[k][0])]
+        whole = [k for k in open_ if first and bt[-1] - at[0] <= _window(candidates[k][0])]
+        if whole:
+            out[whole, a:b] += _whole(mine, other, [candidates[k] for k in whole])
+        part = [k for k in open_ if k not in whole]
+        if not part:
+            continue
+        if max(b - a, d - c) <= BLOCK_EVENTS:
+            out[part, a:b] += _one_by_one(mine, other, [candidates[k] for k in part], strict)
+        elif b - a >= d - c:
+            todo += [(a, (a + b) // 2, c, d, part), ((a + b) // 2, b, c, d, part)]
+        else:
+            todo += [(a, b, c, (c + d) // 2, part), (a, b, (c + d) // 2, d, part)]
+    return out
+
+
 def excitation(targets: DataFrame, events: DataFrame, candidates: list[tuple[float, float]], strict: bool, early: DataFrame | None = None) -> DataFrame:
     """(id, x0, x1, ...): for each (beta, sigma), the sum over earlier events within the window of
     beta exp(-beta dt) s2 / (d2 + s2). Earlier is by t alone if strict, else by (t, id).
 
     Blocks of equal size follow each other in time, however events bunch; a pair of blocks meets once, and only if the window of the
-    later one reaches the earlier one. Pairs of events exist only as arrays inside a task; events at one place count as one there.
+    later one reaches the earlier one. There are few, large blocks: what the pairs carry is their number times all events. Pairs of
+    events exist only as arrays inside a task; events at one place count as one there.
     early: the blocks of events, where they are at hand."""
     days = max(_window(b) for b, _ in candidates)
     early = _blocks(events, "early") if early is None else early
@@ -332,8 +376,9 @@ def excitation(targets: DataFrame, events: DataFrame, candidates: list[tuple[flo
     b = heads[1].withColumn("k", F.explode(F.sequence(bucket("early_t0"), bucket("early_t1"))))
     met = a.join(b, "k").filter((F.col("early_t0") <= F.col("late_t1")) & (F.col("late_t0") - F.col("early_t1") <= days)).select("late_block", "early_block").distinct()
     tasks = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = materialize(met, "block-pairs").repartition(4 * tasks).join(late.select("late_block", "late"), "late_block").join(early.select("early_block", "early"), "early_block")
-    return pairs.select("late", "early").mapInArrow(run, "id long, " + ", ".join(f"{x} double" for x in names)).groupBy("id").agg(*[F.sum(x).alias(x) for x in names])
+    met = materialize(met.withColumn("pair", F.concat_ws("|", "late_block", "early_block")), "block-pairs")
+    sent = [F.broadcast(met.select("pair", f"{side}_block")).join(d.select(f"{side}_block", side).repartition(tasks), f"{side}_block").drop(f"{side}_block") for side, d in (("late", late), ("early", early))]  # a row a pair of blocks
+    return sent[0].join(sent[1], "pair").select("late", "early").mapInArrow(run, "id long, " + ", ".join(f"{x} double" for x in names)).groupBy("id").agg(*[F.sum(x).alias(x) for x in names])
 
 
 def hawkes_nll(events: DataFrame, candidates: list[tuple[float, float, float, float]], early: DataFrame | None = None) -> list[float]:
